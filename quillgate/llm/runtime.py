@@ -62,14 +62,16 @@ def map_texts(
     the columns named in `keep`.  Null texts reach `work` as they are.  No shuffle."""
     prepare(df.sparkSession)
     keep = list(keep)
-    kept = df.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    own = text in keep and dict(df.dtypes)[text] == "string"  # then the text need not travel twice
+    kept = df.select(*[df[c] for c in keep], *([] if own else [df[text].cast("string").alias("__text")]))
+    at = keep.index(text) if own else len(keep)
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(keep)])
     full = f"{head}, {schema}" if head else schema
     names = [x.strip().split()[0].strip("`") for x in _top_level(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
+            texts = batch.column(at).to_pylist()
             for a, b in slices(texts):
                 out = work(texts[a:b])
                 cols = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
@@ -88,3 +90,12 @@ def _top_level(schema: str) -> list[str]:
             parts.append(schema[last:i])
             last = i + 1
     return [*parts, schema[last:]]
+
+
+#: Rows up to which a table of figures by group goes to every executor.  Beyond it a join shuffles.
+SMALL_ROWS = 10_000
+
+
+def look_up(df: DataFrame, small: DataFrame, on: list[str], rows: int, how: str = "left") -> DataFrame:
+    """Join with a table of `rows` rows: broadcast only if their number is small."""
+    return df.join(F.broadcast(small) if rows <= SMALL_ROWS else small, on, how)
