@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, sharding, simhash, tokens, vectors
+from . import html, langid, mixing, quality, sharding, simhash, tokens, vectors
 from .runtime import table
 
 
@@ -38,6 +38,10 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op7_embeddings": op7_embeddings,
+    "op8_html": op8_html,
     "op9_language": op9_language,
     "op10_token_counts": op10_token_counts,
 }
