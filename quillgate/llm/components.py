@@ -8,6 +8,7 @@ them, and each round's links are cut into the shared checkpoint folder.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +42,29 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric boolean matrix, by rounds of joining components."""
+    n = len(linked)
+    label, out = np.arange(n), []
+    active = np.flatnonzero(linked.any(1))
+    while len(active):
+        away = linked[active] & (label[active][:, None] != label[None, :])
+        has = away.any(1)
+        active, to = active[has], away[has].argmax(1)
+        parent = {}
+
+        def find(v):
+            while parent.get(v, v) != v:
+                v = parent[v]
+            return v
+
+        for a, b in zip(active.tolist(), to.tolist()):
+            x, y = find(int(label[a])), find(int(label[b]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((a, b))
+        if parent:
+            label = np.array([find(int(v)) for v in label])
+    return out

@@ -5,7 +5,8 @@ a chain whose first l segments differ in at most floor(l * limit / segments) bit
 equal segments at known places near its start; they make the keys under which fingerprints meet.  Whoever meets
 must pass the whole chain from that start before the full Hamming check.
 
-Buckets of a key with more than BUCKET fingerprints are not paired: each of their fingerprints lists the words
+Fingerprints that meet in a bucket give a spanning forest of their links, not all pairs.  Buckets of a key with
+more than BUCKET fingerprints are not compared: each of their fingerprints lists the words
 within half the limit of it, and those that list a word are linked with the least of them.  Two fingerprints
 within the limit share such a word, and two that share one are within the limit, so no link's component is lost
 and the work grows in proportion to the fingerprints.
@@ -16,16 +17,17 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, forest
 from .runtime import cut, map_texts, prepare
 
 SHINGLE, SEED, LIMIT = 4, 42, 4
 SEGMENTS, EQUAL = 7, 3
-BUCKET = 256
+BUCKET = 2048
 #: Rows of keys that may be broadcast (a long each).
 KEY_ROWS = 200_000
 
@@ -83,6 +85,19 @@ class Ring:
         return _any(chains) & (F.bit_count(difference) <= self.limit)
 
 
+    def pairs(self, difference: np.ndarray) -> np.ndarray:
+        """`passes` for an array of differences."""
+        count = [np.bitwise_count(difference & np.uint64(m)) for m in self.mask]
+        kept = np.zeros(difference.shape, bool)
+        for s in range(self.segments):
+            total, chain = np.zeros(difference.shape, np.int16), np.ones(difference.shape, bool)
+            for l in range(self.segments):
+                total = total + count[(s + l) % self.segments]
+                chain &= total <= self.budget[l]
+            kept |= chain
+        return kept
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -101,6 +116,16 @@ def _any(parts):
     return out
 
 
+def spanning(bucket: list[int], ring: Ring) -> list[tuple[int, int]]:
+    """Of the links within a bounded bucket, those that hold its components together."""
+    x = np.array(bucket, np.int64).view(np.uint64)
+    linked = np.zeros((len(x), len(x)), bool)
+    for a in range(0, len(x), 256):
+        linked[a : a + 256] = ring.pairs(x[a : a + 256, None] ^ x[None, :])
+    np.fill_diagonal(linked, False)
+    return [(bucket[i], bucket[j]) for i, j in forest(linked)]
+
+
 def links(distinct: DataFrame, ring: Ring | None = None, bucket: int = BUCKET) -> DataFrame:
     """distinct (fp) -> (a, b): links whose components are those of all pairs within the limit."""
     ring = ring or Ring()
@@ -113,12 +138,16 @@ def links(distinct: DataFrame, ring: Ring | None = None, bucket: int = BUCKET) -
         keys = met.filter(which).select("key")
         return keyed.join(F.broadcast(keys) if rows <= KEY_ROWS else keys, "key", "left_semi")
 
-    if few:
-        lists = of((F.col("n") > 2) & (F.col("n") <= bucket), few).groupBy("key").agg(F.collect_list("fp").alias("all"))
-        # A bounded bucket: each member with the members after it.
-        each = lists.select("all", F.posexplode("all").alias("at", "a"))
-        pair = pair.union(each.select("a", F.explode(F.slice("all", F.col("at") + 2, F.size("all"))).alias("b")))
     found = pair.filter(ring.passes(F.col("a").bitwiseXOR(F.col("b"))))
+    if few:
+        lists = of((F.col("n") > 2) & (F.col("n") <= bucket), few).groupBy("key").agg(F.collect_list("fp").alias("all")).select("all")
+
+        def join(batches):
+            for batch in batches:
+                edges = [e for x in batch.column(0).to_pylist() for e in spanning(x, ring)]
+                yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        found = found.union(lists.mapInArrow(join, "a bigint, b bigint"))
     if many:
         half = ring.limit // 2
         flips = [0, *(_signed(sum(1 << x for x in c)) for r in range(1, half + 1) for c in itertools.combinations(range(64), r))]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, forest
 from .runtime import cut, prepare
 
 COSINE = 0.95
@@ -59,32 +59,6 @@ def nearest(x: np.ndarray, pivots: np.ndarray, named: int = NAMED) -> np.ndarray
     return near
 
 
-def forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a symmetric boolean matrix, by rounds of joining components."""
-    n = len(linked)
-    label, out = np.arange(n), []
-    active = np.flatnonzero(linked.any(1))
-    while len(active):
-        away = linked[active] & (label[active][:, None] != label[None, :])
-        has = away.any(1)
-        active, to = active[has], away[has].argmax(1)
-        parent = {}
-
-        def find(v):
-            while parent.get(v, v) != v:
-                v = parent[v]
-            return v
-
-        for a, b in zip(active.tolist(), to.tolist()):
-            x, y = find(int(label[a])), find(int(label[b]))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                out.append((a, b))
-        if parent:
-            label = np.array([find(int(v)) for v in label])
-    return out
-
-
 def _meet(pivot: int, left: tuple, right: tuple | None, cosine: float, shared: int):
     """Links between the two blocks of a list (or within one): mask over left x right."""
     x, near = left
