@@ -22,7 +22,7 @@ import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that a worker's tables hold before they start afresh; bounds a worker's memory.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
 #: Longer words take the scalar way through the prefix table.
 WIDE = 48
 
@@ -55,6 +55,20 @@ def odd_characters() -> re.Pattern:
     return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
 
 
+@lru_cache(1)
+def _odd_latin() -> bytes:
+    return bytes(i for i in range(256) if odd_characters().match(chr(i)))
+
+
+def has_odd(text: str) -> bool:
+    """Has the text an odd character?  Texts within Latin-1 are asked by their bytes, which is quicker."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return odd_characters().search(text) is not None
+    return len(raw.translate(None, _odd_latin())) != len(raw)
+
+
 class Vocabulary:
     """Tables of one byte-level BPE file in the tokenizers library's JSON form."""
 
@@ -93,17 +107,18 @@ class Vocabulary:
         for i in ids.values():
             if len(self.bytes[i]) == 1:
                 single[self.bytes[i][0]] = i
-        self.single = single
+        self.single, self.single_list = single, single.tolist()
         # Only tokens that merging can reach are proposed: their own two parts must meet unhindered.
         made = np.flatnonzero(self.rank >= 0)
         reachable = self.compatible(self.left[made], self.right[made], self.rank[made])
         usable = set(made[reachable].tolist()) | set(single.tolist())
         self.of = {self.bytes[i]: i for i in usable}
         self.longest = max(map(len, self.of))
-        # The longest token that starts with each pair of bytes bounds the greedy search.
+        # The longest token that starts with the same four bytes bounds the greedy search.
         self.reach: dict[bytes, int] = {}
         for t in self.of:
-            self.reach[t[:2]] = max(self.reach.get(t[:2], 1), len(t))
+            if len(t) > 3:
+                self.reach[t[:4]] = max(self.reach.get(t[:4], 4), len(t))
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for n in sorted({len(t) for t in self.of if len(t) <= WIDE}):
             own = [t for t in self.of if len(t) == n]
@@ -142,7 +157,7 @@ class Vocabulary:
 
     def words(self, text: str) -> list[str]:
         """The pre-tokenizer's words of a text without special tokens."""
-        if odd_characters().search(text):
+        if has_odd(text):
             if self._library is None:
                 from tokenizers import Tokenizer
 
@@ -169,7 +184,7 @@ class Vocabulary:
             return [t]
         out, i, n, of, reach = [], 0, len(word), self.of, self.reach
         while i < n:
-            j = min(n, i + reach.get(word[i : i + 2], 1))
+            j = min(n, i + reach.get(word[i : i + 4], 3))
             while (t := of.get(word[i:j])) is None:
                 j -= 1
             out.append(t)
@@ -177,9 +192,21 @@ class Vocabulary:
         return out
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact merging: lowest rank first, leftmost of equals, over a linked list."""
-        tok = self.single[np.frombuffer(word, np.uint8)].tolist()
+        """Exact merging: lowest rank first, leftmost of equals; long words over a linked list and a heap."""
+        tok = list(map(self.single_list.__getitem__, word))
         n, pairs = len(tok), self.pairs
+        if n <= 32:
+            none, get = (1 << 40, -1), pairs.get
+            ranks = [get(x, none) for x in zip(tok, tok[1:])]
+            while ranks and (best := min(ranks)) is not none:
+                i = ranks.index(best)
+                tok[i : i + 2] = [best[1]]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = get((tok[i - 1], tok[i]), none)
+                if i < len(ranks):
+                    ranks[i] = get((tok[i], tok[i + 1]), none)
+            return tok
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m[0], i, tok[i], tok[i + 1], m[1]) for i in range(n - 1) if (m := pairs.get((tok[i], tok[i + 1])))]
         heapq.heapify(heap)

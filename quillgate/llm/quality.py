@@ -8,6 +8,7 @@ like number of tokens: median and interquartile range over all distinct texts of
 
 from __future__ import annotations
 
+import itertools
 from functools import lru_cache
 
 import numpy as np
@@ -87,11 +88,18 @@ def _fertility(texts: list[str | None], path: str) -> dict:
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 
 
+class _Numbers(dict):
+    """word -> its number, in order of first sight."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = i = len(self)
+        return i
+
+
 def _repeated(words: list[list[bytes]], window: int) -> np.ndarray:
     """Words of each text that lie in a window of `window` words found twice or more in that text."""
     n = np.fromiter(map(len, words), np.int64, len(words))
-    numbers: dict[bytes, int] = {}
-    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for ws in words for w in ws), np.int64, int(n.sum()))
+    ids = np.fromiter(map(_Numbers().__getitem__, itertools.chain.from_iterable(words)), np.int64, int(n.sum()))
     start = np.concatenate([[0], np.cumsum(n)])
     doc = np.repeat(np.arange(len(words)), n)
     at = np.flatnonzero(start[doc + 1] - np.arange(len(ids)) >= window)  # windows that end inside their text
