@@ -22,7 +22,7 @@ import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that a worker's tables hold before they start afresh; bounds a worker's memory.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Longer words take the scalar way through the prefix table.
 WIDE = 48
 

@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ from .runtime import map_texts, prepare, slices
 
 #: Hashed n-grams, smoothing, bits for more than 7 languages, gap of losses under which a text is ambiguous.
 FEATURES, SMOOTH, WIDE_BITS, CLOSE = 1 << 14, 0.5, 31, 0.2
-#: Characters at a time; bounds the table of counts of a batch.
-SLICE = 1_000_000
+#: Characters and texts at a time; bounds the table of counts of a batch.
+SLICE, SLICE_TEXTS = 500_000, 128
 
 
 @lru_cache(1)
@@ -115,9 +116,9 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
-            langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in slices(texts, SLICE):
-                x, _ = features(texts[i:j])
+            langs, texts = b.column(0).to_pylist(), b.column(1)
+            for i, j in slices(pc.binary_length(texts).to_pylist(), SLICE, SLICE_TEXTS):
+                x, _ = features(texts.slice(i, j - i).to_pylist())
                 own = np.array(langs[i:j], object)
                 for name in set(langs[i:j]):
                     sums[name] = sums.get(name, 0) + x[own == name].sum(0)
@@ -146,7 +147,8 @@ def identify(df: DataFrame, model: Model, keep=("doc_id",), text: str = "text")
     shared = df.sparkSession.sparkContext.broadcast(model)  # languages x bits and n-grams x bits: a fixed size
 
     def work(texts: list[str | None]) -> dict:
-        parts = [shared.value.predict(texts[a:b]) for a, b in slices(texts, SLICE)]
+        sizes = [len(t) if t else 0 for t in texts]
+        parts = [shared.value.predict(texts[a:b]) for a, b in slices(sizes, SLICE, SLICE_TEXTS)]
         return {k: [y for p in parts for y in p[k]] for k in parts[0]}
 
     return map_texts(df, keep, text, "lang_pred string, score double, ambiguous boolean, errors bigint", work)

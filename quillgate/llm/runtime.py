@@ -5,15 +5,18 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that an operator's Python code handles at a time.
-SLICE_CHARS = 2_000_000
+#: Characters of text that an operator's Python code handles at a time, and texts.
+SLICE_CHARS, SLICE_TEXTS = 2_000_000, 4096
+#: Bytes of a batch that travels to a Python worker, where the session has Spark's default of 64 MB.
+BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -27,10 +30,15 @@ def prepare(spark: SparkSession) -> None:
     have = sc.environment.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+    if spark.conf.get(_BATCH) == _DEFAULT:  # it bounds little, and long texts fill memory
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgate-"))
 
 
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder, so that a lost executor loses nothing."""
     prepare(df.sparkSession)
@@ -42,17 +50,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `limit` characters each; a longer text is alone in its range."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > start and size + n > limit:
+def slices(sizes: Sequence[int | None], limit: int = SLICE_CHARS, most: int = SLICE_TEXTS) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `limit` characters each, `most` texts at most; a longer text is alone."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        n = n or 0
+        if i > start and (total + n > limit or i - start >= most):
             yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def map_texts(
@@ -71,9 +79,9 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in slices(texts):
-                out = work(texts[a:b])
+            texts = batch.column(at)
+            for a, b in slices(pc.binary_length(texts).to_pylist()):
+                out = work(texts.slice(a, b - a).to_pylist())
                 cols = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 cols += [pa.array(out[n]) if not isinstance(out[n], pa.Array) else out[n] for n in names]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *names])
