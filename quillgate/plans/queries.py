@@ -34,6 +34,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores is dealt out to all of them first; larger ones are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -42,7 +48,7 @@ def seed(spark: SparkSession, sf: str) -> DataFrame:
     prefixes = F.array(*map(F.lit, TEMPLATES))
     number = F.regexp_extract(F.coalesce("source", F.lit("")), r"(\d+)$", 1).try_cast("int")
     kinds = F.array(*map(F.lit, lx.SOURCE_TYPES))
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id",
         F.concat(F.get(prefixes, (F.pmod("doc_id", F.lit(len(TEMPLATES)))).cast("int")), F.lit(" "), F.coalesce("text", F.lit(""))).alias("claim_text"),
         F.coalesce("source", F.lit("none")).alias("source_name"),
@@ -184,7 +190,7 @@ def line_first_wins(spark, sf):
 
 
 def claim_split(spark, sf):
-    return claims.extract_claims(table(spark, sf, "documents"), ["doc_id"]).select("doc_id", "claim_no", "claim_id", "claim_text")
+    return claims.extract_claims(spread(table(spark, sf, "documents")), ["doc_id"]).select("doc_id", "claim_no", "claim_id", "claim_text")
 
 
 def plain_claims(spark, sf):
