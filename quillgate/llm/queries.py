@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, mixing, quality, sharding, simhash, tokens, vectors
+from . import html, langid, mixing, quality, sharding, simhash, tokens, vectors, weak
 from .runtime import table
 
 
@@ -34,6 +34,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak.score(table(spark, sf_dir, "documents"))
+
+
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
+    "op6_weak_labels": op6_weak_labels,
     "op7_embeddings": op7_embeddings,
     "op8_html": op8_html,
     "op9_language": op9_language,
