@@ -162,8 +162,8 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     posterior = dict(zip(codes.tolist(), share.tolist()))
     total = sum(r[1] for r in rows)
     # By a hash of the text, so that copies count as one; about SAMPLE rows whatever the corpus.
-    top = int(min(1.0, SAMPLE / total) * ((1 << 63) - 1))
-    sample = one.filter(F.abs(F.xxhash64("text")) <= top).dropDuplicates(["text"]).limit(2 * SAMPLE)
+    whole = (1 << 63) - 1
+    sample = one.filter(F.shiftrightunsigned(F.xxhash64("text"), 1) <= whole // max(total, SAMPLE) * SAMPLE).dropDuplicates(["text"])
     drawn = map_texts(sample.withColumn("one", F.lit(1)), ["one"], "text", "x array<float>, pattern bigint", lambda t: {"x": list(shapes(t))} | pattern(t)).toArrow()
     x = drawn.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
     good = np.array([posterior.get(p, prior) for p in drawn.column("pattern").to_pylist()])

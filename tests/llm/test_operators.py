@@ -306,3 +306,31 @@ def test_pipeline(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules" and 0 < out.count() <= 3 * docs.count()
     assert out.filter("n_tokens <> size(ids)").count() == 0
+
+
+def test_weak_labels(spark, sf, odd):
+    from quillgate.llm import weak
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = weak.score(docs).collect()
+    quality_of = {r.doc_id: r.quality for r in labels.collect()}
+    words = {r.doc_id: len(r.text.split()) for r in docs.collect()}
+    good = [r.kept for r in got if quality_of.get(r.doc_id) == 1 and words[r.doc_id] >= 20]
+    bad = [r.kept for r in got if quality_of.get(r.doc_id) == 0 and words[r.doc_id] >= 20]
+    assert len(got) == docs.count() and sum(good) >= 0.95 * len(good) and sum(bad) <= 0.3 * len(bad)
+    assert all(0 <= r.score <= 1 for r in got)
+    rows = weak.score(odd).collect()
+    assert len(rows) == odd.count() and not any(r.kept for r in rows if r.doc_id in (0, 1, 2, 100))
+    assert weak.score(empty(odd)).count() == 0
+
+
+def test_expectation_maximisation():
+    from quillgate.llm import weak
+
+    rng = np.random.default_rng(4)
+    truth = rng.random(5000) < 0.8
+    said = np.stack([np.where(truth, np.where(rng.random(5000) < 0.998, 1, -1), np.where(rng.random(5000) < 0.6, -1, 1)) for _ in range(5)], 1)
+    patterns, back, counts = np.unique(said, axis=0, return_inverse=True, return_counts=True)
+    share, right, prior = weak.estimate(patterns, counts.astype(float))
+    assert ((share[back.ravel()] > 0.5) == truth).mean() > 0.97 and abs(prior - 0.8) < 0.03 and np.abs(right[1] - 0.6).max() < 0.1
