@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgate.functions import lexicon as lx
 
 from .classify import BUCKETS, bucket, risky_unresolved
+from .numbering import number_within
 
 _c = F.col
 
@@ -56,8 +57,8 @@ def exact_repetition(claims: DataFrame, run: str, order: str) -> DataFrame:
     appearance (numbers count all groups, ids are given to those with more than one).  Group sizes and first
     places are pre-aggregated, so a text repeated very often is no hot window."""
     groups = claims.groupBy(run, "normalized_claim_hash").agg(F.count("*").alias("source_count"), F.min(order).alias("first"))
-    number = F.row_number().over(Window.partitionBy(run).orderBy("first"))
-    groups = groups.withColumn("duplicate_group_id", F.when(_c("source_count") > 1, F.format_string("dup_%03d", number))).drop("first")
+    groups = number_within(groups, [run], "first", "number")
+    groups = groups.withColumn("duplicate_group_id", F.when(_c("source_count") > 1, F.format_string("dup_%03d", "number"))).drop("first", "number")
     return claims.join(groups, [run, "normalized_claim_hash"])
 
 
@@ -168,11 +169,11 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def packet_ids(claims: DataFrame, issue: str, category: Column, order: str) -> DataFrame:
-    """packet_id from issue, category and text; the n-th of equal ids ends in _n."""
+    """packet_id from issue, category and text; the n-th of equal ids ends in _n.  Copies are numbered by blocks of
+    ids, so that a text repeated very often is no hot window."""
     base = F.concat(F.lit("vreq_"), hash16(F.concat_ws("|", issue, category, "normalized_claim_hash")))
     rows = claims.withColumns({"category": category, "base_id": base})
-    nth = F.row_number().over(Window.partitionBy("base_id").orderBy(order))
-    return rows.withColumn("nth", nth).withColumn("packet_id", F.when(_c("nth") > 1, F.concat_ws("_", "base_id", _c("nth").cast("string"))).otherwise(_c("base_id")))
+    return number_within(rows, ["base_id"], order).withColumn("packet_id", F.when(_c("nth") > 1, F.concat_ws("_", "base_id", _c("nth").cast("string"))).otherwise(_c("base_id")))
 
 
 def gate_violations(claims: DataFrame, entity: str) -> DataFrame:

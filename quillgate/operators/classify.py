@@ -141,9 +141,9 @@ def ledger(classified: DataFrame) -> DataFrame:
 
 # Buckets of a report
 BUCKETS = {
-    "confirmed_fact": "confirmed_facts", "official_reported_status": "official_reported_statuses",
+    "confirmed_fact": "confirmed_facts", "official_reported_status": "official_reported_status",
     "market_observation": "market_observations", "reported_claim": "reported_claims", "interpretation": "interpretations",
-    "opinion_or_frame": "opinions_or_frames", "unverified_causality": "unverified_causality", "rumor": "rumors",
+    "opinion_or_frame": "opinion_frame_risks", "unverified_causality": "unverified_causality", "rumor": "rumors",
     "needs_official_source": "needs_official_source", "unobservable": "unobservable", "excluded": "excluded",
     "question_to_verify": "questions_to_verify",
 }

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgate.operators.numbering import number_within
+
 # Hints in file names, in order of priority; sources that a hint may not raise
 HINTS = {
     "official": ["official", "exchange", "regulator", "agency", "ministry", "gov", "government"],
@@ -48,8 +50,8 @@ def read_manifest(spark: SparkSession, path: str, source: str) -> DataFrame:
 
 def duplicate_names(df: DataFrame, keys: list[str], name: str, order: str) -> DataFrame:
     """Second and later rows of a name, ignoring case, with the place of the first."""
-    w = Window.partitionBy(*keys, F.lower(name)).orderBy(order)
-    return df.withColumns({"nth": F.row_number().over(w), "first_at": F.first(order).over(w)}).filter("nth > 1")
+    rows = df.withColumn("__name", F.lower(name))
+    return number_within(rows, [*keys, "__name"], order, "nth", "first_at").drop("__name").filter("nth > 1")
 
 
 def url_problem(url: Column) -> Column:
