@@ -124,4 +124,25 @@ ORACLE_SQL: dict[str, str] = {
     "url_policy": """SELECT page_id, CASE WHEN url IS NULL THEN 'missing url' WHEN page_id % 5 = 0 THEN 'scheme not allowed' WHEN page_id % 5 = 1 THEN 'credentials in url'
         WHEN page_id % 5 = 2 THEN 'address not global' WHEN page_id % 5 = 3 THEN 'port not allowed' END AS problem FROM pages""",
     "filename_hints": """SELECT doc_id, (list_value('unknown', 'social', 'community', 'news', 'analyst', 'unknown'))[doc_id % 6 + 1] AS source_type, doc_id % 6 = 0 AS trusted_hint_ignored FROM documents""",
+    "response_rules": """WITH t AS (SELECT DISTINCT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 2 ELSE 1 END AS copies, turn % 4 <> 1 AS found, turn % 7 = 2 AS said, turn % 3 = 0 AS high
+          FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+        r AS (SELECT conv_id, 'duplicate packet_id' AS rule, 1 AS k FROM t WHERE found AND copies = 2
+          UNION ALL SELECT conv_id, CASE WHEN high THEN 'missing high or critical packet_id' ELSE 'missing packet_id' END, 1 FROM t WHERE NOT found
+          UNION ALL SELECT conv_id, 'blocked confirmation or action language', copies FROM t WHERE found AND said
+          UNION ALL SELECT conv_id, 'upgrades a high or critical claim', copies FROM t WHERE found AND said AND high)
+        SELECT rule, sum(k)::BIGINT AS n, count(DISTINCT conv_id) AS responses FROM r GROUP BY 1""",
+    "gold_metrics": f"""{_C}, p AS (SELECT source_name AS language, 'causality' AS detector, doc_id % 2 = 0 AS expected, d_causal AS predicted FROM claims
+          UNION ALL SELECT source_name, 'action_language', doc_id % 3 = 0, d_action FROM claims),
+        c AS (SELECT detector, language, count_if(expected AND predicted)::BIGINT AS tp, count_if(NOT expected AND predicted)::BIGINT AS fp, count_if(expected AND NOT predicted)::BIGINT AS fn,
+          count_if(NOT expected AND NOT predicted)::BIGINT AS tn FROM p GROUP BY GROUPING SETS ((detector), (detector, language))),
+        r AS (SELECT *, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall FROM c)
+        SELECT *, 2 * precision * recall / nullif(precision + recall, 0) AS f1 FROM r""",
 }
+ORACLE_SQL["review_packet_index"] = f"""WITH i AS ({ORACLE_SQL["packet_ids"].replace(_P, _C)})
+SELECT doc_id, packet_id, category, CASE WHEN risk_tier IN ('high', 'critical') THEN 'unsafe_or_high_risk_review_only' WHEN risk_tier = 'medium' THEN 'review_needed'
+  ELSE 'low_risk_within_source_boundary' END AS review_bucket, {_CASE_REASON} AS reason, {_CASE_QUESTION} AS verification_question
+FROM i JOIN ({_C} SELECT * FROM claims) USING (doc_id)"""
+ORACLE_SQL["comparison_lines"] = f"""WITH k AS ({ORACLE_SQL["bundle_compare"]}), n AS (SELECT unnest([0, 1, 2]) AS pos, unnest(['new', 'repeated', 'disappeared']) AS status,
+  unnest(['New claims', 'Repeated claims', 'Disappeared claims']) AS title)
+SELECT 0 AS section, -1::BIGINT AS pos, '# Comparison' AS line UNION ALL SELECT 0, 0, '' UNION ALL
+SELECT 1, n.pos, '- ' || title || ': ' || count(key) || ', still unresolved: ' || count_if(coalesce(still_unresolved, false)) FROM n LEFT JOIN k USING (status) GROUP BY n.pos, title"""

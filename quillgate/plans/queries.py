@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from quillgate.functions import lexicon as lx
 from quillgate.functions.detectors import DETECTORS
-from quillgate.operators import analytics, claims, classify, masking
+from quillgate.operators import analytics, claims, classify, goldset, masking, reviews
+from quillgate.plans import reports
 from quillgate.sources import intake
 
 TEMPLATES = [
@@ -324,6 +325,50 @@ def page_text(spark, sf):
     return intake.visible_text(table(spark, sf, "pages"), "page_id", "html")
 
 
+def review_packet_index(spark, sf):
+    rows = classified(spark, sf).withColumn("claim_id", F.col("doc_id").cast("string"))
+    return reviews.review_packets(rows, "issue_id", "doc_id").select("doc_id", "packet_id", "category", "review_bucket", "reason", "verification_question")
+
+
+def response_rules(spark, sf):
+    """A response for each conversation, a finding for most turns, some twice: which rules are broken, how often."""
+    turns = table(spark, sf, "conversations").filter("turn is not null and conv_id is not null").select("conv_id", "turn").distinct()
+    packet = F.concat(F.lit("p"), F.col("turn").cast("string"))
+    packets = turns.select("conv_id", packet.alias("packet_id"), F.when(F.pmod("turn", F.lit(3)) == 0, "high").otherwise("low").alias("risk_tier"))
+    said = F.when(F.pmod("turn", F.lit(7)) == 2, "It was confirmed.").otherwise("one source")
+    others = {"uncertainty_reason": "single report", "operator_next_step": "ask the agency", "must_not_conclude": "Do not treat it as proven."}
+    finding = F.struct(packet.alias("packet_id"), said.alias("evidence_boundary"), *[F.lit(v).alias(k) for k, v in others.items()])
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.pmod("turn", F.lit(5)) == 0, 2).otherwise(1)))
+    found = turns.filter(F.pmod("turn", F.lit(4)) != 1).select("conv_id", finding.alias("f"), copies.alias("copy"))
+    found = found.groupBy("conv_id").agg(F.collect_list("f").alias("findings"))
+    safety = F.struct(*[F.lit(v == "true").alias(k) for k, v in reviews.SAFETY.items()])
+    body = F.struct(
+        F.lit(reviews.RESPONSE_VERSION).alias("schema_version"), F.col("conv_id").cast("string").alias("issue_id"), F.lit(True).alias("advisory_only"),
+        F.coalesce("findings", F.array()).alias("findings"), safety.alias("safety_checks"),
+    )
+    responses = turns.select("conv_id").distinct().join(found, "conv_id", "left").select("conv_id", F.to_json(body).alias("body"))
+    return reviews.response_errors(responses, packets, "conv_id").groupBy("rule").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("responses"))
+
+
+def gold_metrics(spark, sf):
+    """Composed claims as labelled cases; the labels follow from the id."""
+    labels = F.create_map(F.lit("causality"), F.pmod("doc_id", F.lit(2)) == 0, F.lit("action_language"), F.pmod("doc_id", F.lit(3)) == 0)
+    cases = seed(spark, sf).select(
+        F.col("doc_id").cast("string").alias("case_id"), F.col("claim_text").alias("text"), F.col("source_name").alias("language"), "mode", "source_type", F.lit("enforced").alias("status"),
+        labels.alias("detector_labels"), F.lit(None).cast("array<string>").alias("expected_claim_types"), F.array(F.lit("low"), F.lit("medium")).alias("expected_tiers"),
+        F.lit(None).cast("struct<must_preserve:array<string>,must_mask:array<string>>").alias("masking"),
+    )
+    return goldset.detector_metrics(goldset.evaluate(cases))
+
+
+def comparison_lines(spark, sf):
+    return reports.comparison_report(bundle_compare(spark, sf), "Comparison").select("section", "pos", "line")
+
+
+def report_lines(spark, sf):
+    return reports.run_report(classified(spark, sf), "doc_id", "Evidence report", detailed=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -331,6 +376,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         grouped_review_items, line_first_wins, claim_split, exact_repetition, fuzzy_repetition, cross_source_groups, casualty_divergence,
         numeric_divergence, causal_variants, bundle_compare, verification_categories, packet_ids, excluded_sources, unresolved_by_severity,
         gate_violations, orphan_rows, detector_confusion, tier_accuracy, manifest_duplicates, url_policy, filename_hints, masked_claims,
-        page_text,
+        page_text, review_packet_index, response_rules, gold_metrics, comparison_lines, report_lines,
     )
 }

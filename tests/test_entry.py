@@ -18,10 +18,11 @@ def test_contract(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["claim_ledger", "review_queue", "bundle_compare", "gate_violations", "numeric_divergence", "exact_repetition"])
+@pytest.mark.parametrize("name", ["claim_ledger", "review_queue", "bundle_compare", "gate_violations", "numeric_divergence", "exact_repetition", "packet_ids", "manifest_duplicates",
+                                  "bucket_counts", "review_packet_index", "response_rules", "gold_metrics", "comparison_lines"])
 def test_sql_agrees(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want, got = con.execute(entry.oracle_sql()[name]).df(), entry.queries()[name](spark, sf).toPandas()
     assert sorted(want.columns) == sorted(got.columns) and _rows(want) == _rows(got)
