@@ -2,8 +2,9 @@
 
 A public vocabulary measures each whole text: characters per token, the share of tokens that hold a broken
 piece of a character (byte fallback), and the entropy of the tokens in bits.  The bands of acceptance are
-those of the text's language, or of its script where too few texts share the language, among texts with a
-like number of tokens: median and interquartile range over all distinct texts of the corpus.
+those of the text's language, of its script where too few texts share the language, or else of the corpus,
+among texts with a like number of tokens, or the next lengths where too few have it: median and interquartile
+range over distinct texts.  Entropy grows with length, so its bands are of what is left after that trend.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import itertools
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
@@ -152,31 +153,56 @@ def measure(df: DataFrame, keep, text: str = "text", vocabulary: str | None = No
 
 def _keys(lang):
     """Band keys of a row, in the order in which they are asked."""
-    by_lang, by_script = F.concat(F.lit("lang "), lang), F.concat(F.lit("script "), F.col("script"))
-    return by_lang, by_script
+    return F.concat(F.lit("lang "), lang), F.concat(F.lit("script "), F.col("script")), F.lit("all")
 
 
 def _room():
-    return F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int")
+    return F.when(F.col("n_tokens") > 0, F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int"))
+
+
+def _shortness():
+    """Entropy falls about in proportion to it; in 1/10,000, so that sums are exact and reruns agree."""
+    return F.round(10_000 / F.sqrt(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("long")
+
+
+def _pools(cells: DataFrame) -> DataFrame:
+    """(key, room, near, slope): whose texts make the band of a key and room.  That is its own room with
+    BAND_TEXTS texts, else also the next shorter and longer ones, until there are as many.  Keys with fewer
+    texts give none, but for the whole corpus.  `slope` is the key's trend of entropy by shortness, 0 at most."""
+    whole = Window.partitionBy("key")
+    n, x, y, xx, xy = (F.sum(c).over(whole).cast("double") for c in ("texts", "x", "y", "xx", "xy"))
+    slope = F.coalesce(F.least(F.try_divide(n * xy - x * y, n * xx - x * x) / 1000, F.lit(0.0)), F.lit(0.0))
+    known = cells.select("key", "room", "texts", n.alias("total"), slope.alias("slope")).filter((F.col("total") >= BAND_TEXTS) | (F.col("key") == "all"))
+    near = known.select("key", F.col("room").alias("near"), "texts")
+    off = F.abs(F.col("room") - F.col("near"))
+    closer = F.sum("texts").over(Window.partitionBy("key", "room").orderBy("off").rangeBetween(Window.unboundedPreceding, -1))
+    pairs = known.drop("texts").join(near, "key").withColumn("off", off).withColumn("closer", F.coalesce(closer, F.lit(0)))
+    return pairs.filter(F.col("closer") < BAND_TEXTS).select("key", "room", "near", "slope")
 
 
 def bands(measured: DataFrame, lang: str | None = "lang") -> DataFrame:
-    """One row for each key (language or script) and power of two of tokens: median and half width of each
+    """One row for each key (language, script, corpus) and power of two of tokens: median and half width of each
     figure over distinct texts (rows with equal figures count once, so copies weigh nothing)."""
     lang_col = F.col(lang).cast("string") if lang else F.lit(None).cast("string")
-    rows = (
+    rows = cut(
         measured.filter("n_tokens > 0")
         .select(F.explode(F.array(*_keys(lang_col))).alias("key"), _room().alias("room"), "n_tokens", "fertility", "fallback", "entropy")
         .filter("key is not null")
         .distinct()
     )
+    x, y = _shortness(), F.round(1000 * F.col("entropy")).cast("long")
+    sums = {"x": x, "y": y, "xx": x * x, "xy": x * y}
+    pools = cut(_pools(cut(rows.groupBy("key", "room").agg(F.count("*").alias("texts"), *(F.sum(c).alias(n) for n, c in sums.items())))))
+    held = look_up(rows.withColumnRenamed("room", "near"), pools, ["key", "near"], pools.count(), "inner")
     # Exact quartiles of figures to three places: reruns agree, and a group's table of values stays small.
     quartiles = lambda c: F.percentile(F.round(c, 3), [0.25, 0.5, 0.75]).alias(c)
-    out = rows.groupBy("key", "room").agg(F.count("*").alias("texts"), *map(quartiles, ("fertility", "fallback", "entropy")))
+    held = held.withColumn("entropy", F.col("entropy") - F.col("slope") * _shortness())
+    out = held.groupBy("key", "room", "slope").agg(*map(quartiles, ("fertility", "fallback", "entropy")))
     width = lambda c: (F.col(c)[2] - F.col(c)[0]) / 1.349 * WIDTH
-    return out.filter(F.col("texts") >= BAND_TEXTS).select(
+    return out.select(
         "key",
         "room",
+        "slope",
         (F.col("fertility")[1] - F.greatest(width("fertility"), F.col("fertility")[1] * LEAST_FERTILITY)).alias("low_fertility"),
         (F.col("fertility")[1] + F.greatest(width("fertility"), F.col("fertility")[1] * LEAST_FERTILITY)).alias("high_fertility"),
         (F.col("fallback")[1] + F.greatest(width("fallback"), F.lit(LEAST_FALLBACK))).alias("high_fallback"),
@@ -187,25 +213,25 @@ def bands(measured: DataFrame, lang: str | None = "lang") -> DataFrame:
 def judge(measured: DataFrame, limits: DataFrame, n_limits: int, lang: str | None = "lang") -> DataFrame:
     """`measured` with base_failed, the reason of a rejection by fertility (or null), and kept."""
     lang_col = F.col(lang).cast("string") if lang else F.lit(None).cast("string")
-    by_lang, by_script = _keys(lang_col)
-    rows = measured.withColumns({"__room": _room(), "__lang": by_lang, "__script": by_script})
-    for name in ("lang", "script"):
+    names = ("lang", "script", "all")
+    rows = measured.withColumns({"__room": _room()} | {f"__{name}": key for name, key in zip(names, _keys(lang_col))})
+    for name in names:
         one = limits.select(
-            F.col("key").alias(f"__{name}"), F.col("room").alias("__room"), F.struct("low_fertility", "high_fertility", "high_fallback", "low_entropy").alias(f"__by_{name}")
+            F.col("key").alias(f"__{name}"), F.col("room").alias("__room"), F.struct("slope", "low_fertility", "high_fertility", "high_fallback", "low_entropy").alias(f"__by_{name}")
         )
         rows = look_up(rows, one, [f"__{name}", "__room"], n_limits)
-    b = F.coalesce(F.col("__by_lang"), F.col("__by_script"))
+    b = F.coalesce(*(F.col(f"__by_{name}") for name in names))
     reason = (
         F.when(F.col("fertility") < b["low_fertility"], "few characters per token")
         .when(F.col("fertility") > b["high_fertility"], "many characters per token")
         .when(F.col("fallback") > b["high_fallback"], "byte fallback")
-        .when(F.col("entropy") < b["low_entropy"], "low token entropy")
+        .when(F.col("entropy") - b["slope"] * _shortness() < b["low_entropy"], "low token entropy")
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
     return (
         rows.withColumns({"base_failed": failed, "reason": reason})
         .withColumn("kept", ~F.col("base_failed") & F.col("reason").isNull())
-        .drop("__room", "__lang", "__script", "__by_lang", "__by_script")
+        .drop("__room", *(f"__{name}" for name in names), *(f"__by_{name}" for name in names))
     )
 
 
@@ -213,7 +239,7 @@ def quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """One row for each row of df: its id, the figures, base_failed, reason, kept.
 
     Null and empty texts have no words, so they fail the base rules.  A text whose language is null or rare
-    is held against its script; where that has under BAND_TEXTS distinct texts too, only the base rules hold.
+    is held against its script, and where that has under BAND_TEXTS distinct texts too, against the corpus.
     Repeated rows are judged alike.  Nothing is cut short: all figures are of whole texts.
     """
     lang = lang if lang in df.columns else None

@@ -111,6 +111,24 @@ def test_quality_bands(spark):
     assert not got[200] and not got[201] and sum(got[i] for i in range(80)) >= 78
 
 
+def _prose(rng, n, end=""):
+    syllables = ["ing", "the", "an", "re", "on", "er", "at", "en", "ti", "es"]
+    return " ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) + end for _ in range(n))
+
+
+def test_quality_bands_at_every_length(spark):
+    """Thin cells borrow the language's next lengths; rare languages the script's or the corpus' texts."""
+    rng = random.Random(7)
+    rows = [(i, _prose(rng, rng.randint(100, 400)), "xx") for i in range(80)] + [(90 + i, _prose(rng, 6000), "xx") for i in range(2)]
+    rows += [(100, _prose(rng, 30), "xx"), (101, _prose(rng, 150), "yy"), (102, _prose(rng, 150), None)]
+    rows += [(200, _prose(rng, 4000, "$%&"), "xx"), (201, _prose(rng, 30, "$%&"), "xx"), (202, _prose(rng, 150, "$%&"), "yy"), (203, _prose(rng, 4000, "\u0416$%&\u0416\u0416"), "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.quality(df).collect()}
+    assert all(got[i].kept for i in (90, 91, 100, 101, 102)) and sum(got[i].kept for i in range(80)) >= 78
+    assert not any(r.kept or r.base_failed for i, r in got.items() if i >= 200)
+    assert sorted(r.doc_id for r in quality.keep_good(df).collect()) == sorted(i for i, r in got.items() if r.kept)
+
+
 def test_mixing(odd, spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [r.asDict() for r in mixing.mix(docs).collect()]
