@@ -11,6 +11,7 @@ text is what stands there, without the containers of page furniture and without
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -60,7 +61,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|
 _NAMED = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
-#: Longer texts are never constants, so a wrapper keeps none; wrappers under this many pages name no constants.
+#: Longer texts are never constants, so a wrapper keeps none; where under this many distinct pages have the article, none are named.
 CONSTANT_CHARS, CONSTANT_PAGES = 160, 3
 #: Hosts whose wrappers a task holds at a time, and share of a container's text that draws the search into it.
 HOSTS_HELD, DOMINANT = 512, 0.6
@@ -69,21 +70,23 @@ DEPTH = 60
 
 
 class Node:
-    """An element: tag, label (tag and names), children (elements and texts); on a wrapper also its marks."""
+    """An element: tag, label (tag and names), children (elements and texts); on a wrapper also its marks, and the
+    least CONSTANT_PAGES digests of distinct pages that have it: unions of such sets count exactly up to that many."""
 
-    __slots__ = ("tag", "label", "kids", "mark", "chars", "links")
+    __slots__ = ("tag", "label", "kids", "mark", "chars", "links", "seen")
 
-    def __init__(self, tag: str, label: str, mark: str = ""):
-        self.tag, self.label, self.kids, self.mark, self.chars, self.links = tag, label, [], mark, 0, 0
+    def __init__(self, tag: str, label: str, mark: str = "", seen: tuple[int, ...] = ()):
+        self.tag, self.label, self.kids, self.mark, self.chars, self.links, self.seen = tag, label, [], mark, 0, 0, seen
 
 
 class Text:
-    """A block's text; as part of a wrapper None stands for a slot."""
+    """A block's text; as part of a wrapper None stands for a slot, `digest` for the texts of a page there, and
+    `varies` tells that they differ between pages, not only between like siblings."""
 
-    __slots__ = ("text", "mark", "chars", "links")
+    __slots__ = ("text", "mark", "chars", "links", "digest", "varies")
 
-    def __init__(self, text: str | None, chars: int, links: int, mark: str = ""):
-        self.text, self.chars, self.links, self.mark = text, chars, links, mark
+    def __init__(self, text: str | None, chars: int, links: int, mark: str = "", digest: int = 0, varies: bool = False):
+        self.text, self.chars, self.links, self.mark, self.digest, self.varies = text, chars, links, mark, digest, varies
 
 
 def host_of(url: str | None) -> str | None:
@@ -200,12 +203,29 @@ def furniture(node: Node, inside: bool) -> bool:
 # wrappers ------------------------------------------------------------------------------------------------------
 
 
-def generalise(node: Node | Text) -> Node | Text:
+def _digest(*parts) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=6).digest())
+
+
+def content(root: Node) -> int:
+    """A digest of the page's texts outside furniture: pages that differ only in furniture are one page."""
+    texts, queue = [], [root]
+    while queue:
+        k = queue.pop()
+        if isinstance(k, Text):
+            texts.append(k.text)
+        elif not furniture(k, True):
+            queue += reversed(k.kids)
+    return _digest(*texts)
+
+
+def generalise(node: Node | Text, page: int | None = None) -> Node | Text:
     """A page's tree as a wrapper of that page alone: runs of like siblings fold into repeated groups."""
     if isinstance(node, Text):
-        return Text(node.text if node.chars <= CONSTANT_CHARS else None, node.chars, node.links)
-    out = Node(node.tag, node.label)
-    out.kids = fold([generalise(k) for k in node.kids])
+        return Text(node.text if node.chars <= CONSTANT_CHARS else None, node.chars, node.links, digest=_digest(node.text))
+    page = content(node) if page is None else page
+    out = Node(node.tag, node.label, seen=(page,))
+    out.kids = fold([generalise(k, page) for k in node.kids])
     out.chars, out.links = sum(k.chars for k in out.kids), sum(k.links for k in out.kids)
     return out
 
@@ -226,7 +246,7 @@ def fold(kids: list) -> list:
             if j > i + width:
                 merged = kids[i : i + width]
                 for k in range(i + width, j, width):
-                    merged = [align(a, b) for a, b in zip(merged, kids[k : k + width])]
+                    merged = [align(a, b, True) for a, b in zip(merged, kids[k : k + width])]
                 for m in merged:
                     m.mark = "+"
                 out += merged
@@ -245,12 +265,16 @@ def _mark(a: str, b: str) -> str:
     return "*" if optional and repeated else "?" if optional else "+" if repeated else ""
 
 
-def align(a, b):
-    """One wrapper for what either covers; a and b have the same name."""
+def align(a, b, siblings: bool = False):
+    """One wrapper for what either covers; a and b have the same name.  `siblings`: both stand on the same pages."""
     if isinstance(a, Text):
-        return Text(a.text if a.text == b.text else None, a.chars + b.chars, a.links + b.links, _mark(a.mark, b.mark))
-    out = Node(a.tag, a.label, _mark(a.mark, b.mark))
-    out.kids = _align_lists(a.kids, b.kids)
+        differ = a.digest != b.digest
+        digest = a.digest if not differ else _digest(a.digest, b.digest) if siblings else min(a.digest, b.digest)
+        varies = a.varies or b.varies or (differ and not siblings)
+        return Text(a.text if a.text == b.text else None, a.chars + b.chars, a.links + b.links, _mark(a.mark, b.mark), digest, varies)
+    seen = a.seen if a.seen == b.seen else tuple(sorted({*a.seen, *b.seen})[:CONSTANT_PAGES])
+    out = Node(a.tag, a.label, _mark(a.mark, b.mark), seen)
+    out.kids = _align_lists(a.kids, b.kids, siblings)
     out.chars, out.links = a.chars + b.chars, a.links + b.links
     return out
 
@@ -260,17 +284,17 @@ def _optional(k):
     return k
 
 
-def _align_lists(a: list, b: list) -> list:
+def _align_lists(a: list, b: list, siblings: bool = False) -> list:
     """Align two lists of siblings.  On a mismatch what only one side has before the next agreement is optional."""
     names_a, names_b = [_name(k) for k in a], [_name(k) for k in b]
     if names_a == names_b:
-        return [align(x, y) for x, y in zip(a, b)]
+        return [align(x, y, siblings) for x, y in zip(a, b)]
     common = _agreements(names_a, names_b)
     out, i, j = [], 0, 0
     for x, y in [*common, (len(a), len(b))]:
         out += [_optional(k) for k in a[i:x]] + [_optional(k) for k in b[j:y]]
         if x < len(a):
-            out.append(align(a[x], b[y]))
+            out.append(align(a[x], b[y], siblings))
         i, j = x + 1, y + 1
     return fold(out)
 
@@ -300,8 +324,8 @@ def _agreements(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 def dump(node, pages: int) -> str:
     def pack(k):
         if isinstance(k, Text):
-            return ["#", k.mark, k.chars, k.links, k.text]
-        return [k.label, k.mark, k.chars, k.links, [pack(x) for x in k.kids]]
+            return ["#", k.mark, k.chars, k.links, k.text, k.digest, k.varies]
+        return [k.label, k.mark, k.chars, k.links, [pack(x) for x in k.kids], k.seen]
 
     return json.dumps([pages, pack(node)], ensure_ascii=False)
 
@@ -309,8 +333,8 @@ def dump(node, pages: int) -> str:
 def load(text: str) -> tuple[int, Node]:
     def unpack(p):
         if p[0] == "#":
-            return Text(p[4], p[2], p[3], p[1])
-        node = Node(p[0].split(".")[0], p[0], p[1])
+            return Text(p[4], p[2], p[3], p[1], p[5], p[6])
+        node = Node(p[0].split(".")[0], p[0], p[1], tuple(p[5]))
         node.chars, node.links, node.kids = p[2], p[3], [unpack(x) for x in p[4]]
         return node
 
@@ -400,12 +424,21 @@ class Wrapper:
         self.path = main_path(self.root)
         found = _find(self.root, self.path) if self.path else []
         self.article = found[0] if found else None
-        # Constants are told from content only where the article has a slot, and over enough pages.
-        self.constants = self.pages >= CONSTANT_PAGES and self.article is not None and _has_slot(self.article)
+        # Constants are told from content only where enough distinct pages have the article and its texts vary.
+        self.constants = self.article is not None and len(self.article.seen) >= CONSTANT_PAGES and _varies(self.article)
 
 
-def _has_slot(node) -> bool:
-    return node.text is None if isinstance(node, Text) else any(map(_has_slot, node.kids))
+def _varies(node) -> bool:
+    """Do texts outside furniture differ between pages?"""
+    queue = [node]
+    while queue:
+        k = queue.pop()
+        if isinstance(k, Text):
+            if k.varies:
+                return True
+        elif k is node or not furniture(k, True):
+            queue += k.kids
+    return False
 
 
 @lru_cache(2_000)
@@ -441,6 +474,7 @@ def wrappers(df: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
 
     def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[int, Node]] = {}
+        done: set[tuple[str, bytes]] = set()
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([dump(n, c) for c, n in held.values()], pa.string())], names=["host", "wrapper"])
@@ -449,11 +483,16 @@ def wrappers(df: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
             for u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if (host := host_of(u)) is None:
                     continue
+                page = (host, hashlib.blake2b(h.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                if page in done:  # copies weigh nothing
+                    continue
+                done.add(page)
                 one = generalise(parse(h))
                 held[host] = (held[host][0] + 1, align(held[host][1], one)) if host in held else (1, one)
                 if len(held) > HOSTS_HELD:
                     yield out()
                     held.clear()
+                    done.clear()
         if held:
             yield out()
 

@@ -295,6 +295,32 @@ def test_html(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def _main(pages):
+    whole = None
+    for h in pages:
+        one = html.generalise(html.parse(h))
+        whole = one if whole is None else html.align(whole, one)
+    text = html.dump(whole, len(pages))
+    return [html.extract(h, text) for h in pages]
+
+
+def test_html_constants_need_distinct_pages(spark):
+    long = "A long paragraph of the only article, " * 8
+    page = f"<body><nav>{{}}</nav><article><h1>Headline</h1><p>{long.strip()}</p><p>First.</p><p>Second.</p></article></body>"
+    want = f"Headline\n\n{long.strip()}\n\nFirst.\n\nSecond."
+    rows = [(i, "https://copies.example", page.format("a")) for i in range(5)] + [(10 + i, "https://nav.example", page.format(i)) for i in range(5)]
+    other = "<body><main><h1>Title {0}</h1><p>Words {0}.</p></main></body>"  # one page has an article, the others do not
+    rows += [(20, "https://mixed.example", page.format("a"))] + [(21 + i, "https://mixed.example", other.format(i)) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 4):
+        got = {r.page_id: r.text for r in html.main_text(df.repartition(parts)).collect()}
+        assert all(got[i] == want for i in (*range(5), *range(10, 15), 20))
+        assert all(got[21 + i] == f"Title {i}\n\nWords {i}." for i in range(4))
+    shared = "<body><article><h2>Site news</h2><p>Text {0}.</p></article></body>"
+    assert _main([shared.format(i) for i in range(3)]) == ["Text 0.", "Text 1.", "Text 2."]  # the host's furniture still goes
+    assert _main([shared.format(i) for i in (0, 0, 1)])[0] == "Site news\n\nText 0."
+
+
 def test_wrapper_is_union_free():
     a = html.generalise(html.parse("<div><p>x</p><p>y</p><h2>same</h2></div>"))
     b = html.generalise(html.parse("<div><ul><li>1</li></ul><p>z</p><h2>same</h2></div>"))
