@@ -15,8 +15,9 @@ import hashlib
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,8 +66,25 @@ _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 CONSTANT_CHARS, CONSTANT_PAGES = 160, 3
 #: Hosts whose wrappers a task holds at a time, and share of a container's text that draws the search into it.
 HOSTS_HELD, DOMINANT = 512, 0.6
-#: Deeper elements join the text of those that hold them.
-DEPTH = 60
+
+
+def deep(f):
+    """Let a recursive generator function call itself (`x = yield call`) to any depth: the calls wait on a list."""
+
+    @wraps(f)
+    def run(*args):
+        calls, value = [f(*args)], None
+        while calls:
+            try:
+                calls.append(calls[-1].send(value))
+                value = None
+            except StopIteration as done:
+                calls.pop()
+                value = done.value
+        return value
+
+    run.call = f
+    return run
 
 
 class Node:
@@ -107,6 +125,7 @@ def parse(page: str | None) -> Node:
     raw elements vanish.  Elements left open end where their parents do."""
     root = Node("", "")
     stack: list[Node] = [root]
+    opened: Counter = Counter()
     buffer: list[str] = []
     in_link, linked = 0, 0
     page = page or ""
@@ -120,6 +139,11 @@ def parse(page: str | None) -> Node:
             buffer.clear()
         linked = 0
 
+    def close(i: int) -> None:
+        for n in stack[i:]:
+            opened[n.tag] -= 1
+        del stack[i:]
+
     at, end = 0, len(page)
     while at < end:
         m = _TAG.search(page, at)
@@ -138,18 +162,18 @@ def parse(page: str | None) -> Node:
         if m[1] or m[4]:  # an end
             if tag == "a":
                 in_link = max(0, in_link - 1)
-            elif tag == "p" and not any(n.tag == "p" for n in stack):
+            elif tag == "p" and not opened["p"]:
                 flush()
-            elif tag in BLOCK or tag in DROPPED:
+            elif opened[tag]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
                         flush()
-                        del stack[i:]
+                        close(i)
                         break
             continue
         if tag in RAW:
-            close = _closing(tag).search(page, at)
-            at = close.end() if close else end
+            over = _closing(tag).search(page, at)
+            at = over.end() if over else end
             continue
         if tag == "a":
             in_link += 1
@@ -158,25 +182,26 @@ def parse(page: str | None) -> Node:
         elif tag in BLOCK or tag in DROPPED:
             flush()
             in_link = 0
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and opened["p"]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == "p":
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i].tag in ("table", "td", "th", "div", "article"):
                         break
             if tag in CLOSES:
                 closed, until = CLOSES[tag]
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if any(opened[x] for x in closed) else ():
                     if stack[i].tag in until:
                         break
                     if stack[i].tag in closed:
-                        del stack[i:]
+                        close(i)
                         break
-            if tag not in VOID and len(stack) < DEPTH and not (m[3] or "").endswith("/"):
+            if tag not in VOID and not (m[3] or "").endswith("/"):
                 node = Node(tag, _label(tag, m[3] or "")[0])
                 stack[-1].kids.append(node)
                 stack.append(node)
+                opened[tag] += 1
     flush()
     return root
 
@@ -219,13 +244,17 @@ def content(root: Node) -> int:
     return _digest(*texts)
 
 
+@deep
 def generalise(node: Node | Text, page: int | None = None) -> Node | Text:
     """A page's tree as a wrapper of that page alone: runs of like siblings fold into repeated groups."""
     if isinstance(node, Text):
         return Text(node.text if node.chars <= CONSTANT_CHARS else None, node.chars, node.links, digest=_digest(node.text))
     page = content(node) if page is None else page
     out = Node(node.tag, node.label, seen=(page,))
-    out.kids = fold([generalise(k, page) for k in node.kids])
+    kids = []
+    for k in node.kids:
+        kids.append((yield generalise.call(k, page)))
+    out.kids = yield fold.call(kids)
     out.chars, out.links = sum(k.chars for k in out.kids), sum(k.links for k in out.kids)
     return out
 
@@ -234,6 +263,7 @@ def _name(k: Node | Text) -> str:
     return "#" if isinstance(k, Text) else k.label
 
 
+@deep
 def fold(kids: list) -> list:
     """Replace squares, of up to three siblings each, by repeated groups."""
     for width in (1, 2, 3):
@@ -246,7 +276,8 @@ def fold(kids: list) -> list:
             if j > i + width:
                 merged = kids[i : i + width]
                 for k in range(i + width, j, width):
-                    merged = [align(a, b, True) for a, b in zip(merged, kids[k : k + width])]
+                    for n in range(width):
+                        merged[n] = yield align.call(merged[n], kids[k + n], True)
                 for m in merged:
                     m.mark = "+"
                 out += merged
@@ -265,6 +296,7 @@ def _mark(a: str, b: str) -> str:
     return "*" if optional and repeated else "?" if optional else "+" if repeated else ""
 
 
+@deep
 def align(a, b, siblings: bool = False):
     """One wrapper for what either covers; a and b have the same name.  `siblings`: both stand on the same pages."""
     if isinstance(a, Text):
@@ -274,7 +306,7 @@ def align(a, b, siblings: bool = False):
         return Text(a.text if a.text == b.text else None, a.chars + b.chars, a.links + b.links, _mark(a.mark, b.mark), digest, varies)
     seen = a.seen if a.seen == b.seen else tuple(sorted({*a.seen, *b.seen})[:CONSTANT_PAGES])
     out = Node(a.tag, a.label, _mark(a.mark, b.mark), seen)
-    out.kids = _align_lists(a.kids, b.kids, siblings)
+    out.kids = yield _align_lists.call(a.kids, b.kids, siblings)
     out.chars, out.links = a.chars + b.chars, a.links + b.links
     return out
 
@@ -284,19 +316,23 @@ def _optional(k):
     return k
 
 
+@deep
 def _align_lists(a: list, b: list, siblings: bool = False) -> list:
     """Align two lists of siblings.  On a mismatch what only one side has before the next agreement is optional."""
     names_a, names_b = [_name(k) for k in a], [_name(k) for k in b]
     if names_a == names_b:
-        return [align(x, y, siblings) for x, y in zip(a, b)]
+        out = []
+        for x, y in zip(a, b):
+            out.append((yield align.call(x, y, siblings)))
+        return out
     common = _agreements(names_a, names_b)
     out, i, j = [], 0, 0
     for x, y in [*common, (len(a), len(b))]:
         out += [_optional(k) for k in a[i:x]] + [_optional(k) for k in b[j:y]]
         if x < len(a):
-            out.append(align(a[x], b[y], siblings))
+            out.append((yield align.call(a[x], b[y], siblings)))
         i, j = x + 1, y + 1
-    return fold(out)
+    return (yield fold.call(out))
 
 
 def _agreements(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -322,32 +358,46 @@ def _agreements(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 def dump(node, pages: int) -> str:
-    def pack(k):
+    """Elements and texts in page order, elements with the number of their children; flat, so that depth is no matter."""
+    out, queue = [], [node]
+    while queue:
+        k = queue.pop()
         if isinstance(k, Text):
-            return ["#", k.mark, k.chars, k.links, k.text, k.digest, k.varies]
-        return [k.label, k.mark, k.chars, k.links, [pack(x) for x in k.kids], k.seen]
-
-    return json.dumps([pages, pack(node)], ensure_ascii=False)
+            out.append(["#", k.mark, k.chars, k.links, k.text, k.digest, k.varies])
+        else:
+            out.append([k.label, k.mark, k.chars, k.links, len(k.kids), k.seen])
+            queue += reversed(k.kids)
+    return json.dumps([pages, out], ensure_ascii=False)
 
 
 def load(text: str) -> tuple[int, Node]:
-    def unpack(p):
+    pages, packed = json.loads(text)
+    top = Node("", "")
+    lacking = [[top, 1]]
+    for p in packed:
+        while not lacking[-1][1]:
+            lacking.pop()
+        lacking[-1][1] -= 1
         if p[0] == "#":
-            return Text(p[4], p[2], p[3], p[1], p[5], p[6])
+            lacking[-1][0].kids.append(Text(p[4], p[2], p[3], p[1], p[5], p[6]))
+            continue
         node = Node(p[0].split(".")[0], p[0], p[1], tuple(p[5]))
-        node.chars, node.links, node.kids = p[2], p[3], [unpack(x) for x in p[4]]
-        return node
-
-    pages, packed = json.loads(text)
-    return pages, unpack(packed)
+        node.chars, node.links = p[2], p[3]
+        lacking[-1][0].kids.append(node)
+        lacking.append([node, p[4]])
+    return pages, top.kids[0]
 
 
+@deep
 def expression(node) -> str:
     """The wrapper as a readable union-free regular expression."""
     if isinstance(node, Text):
         own = "#TEXT" if node.text is None else node.text
     else:
-        own = f"<{node.label}>{''.join(map(expression, node.kids))}</{node.tag}>"
+        inner = ""
+        for k in node.kids:
+            inner += yield expression.call(k)
+        own = f"<{node.label}>{inner}</{node.tag}>"
     return f"({own}){node.mark}" if node.mark else own
 
 
@@ -357,13 +407,17 @@ def expression(node) -> str:
 def main_path(root: Node) -> tuple[str, ...] | None:
     """Labels from the root to the article: the marked article or main element with most text; else the deepest
     container that draws most of the unlinked text to itself."""
+
+    def own(k) -> int:
+        return k.chars - k.links if isinstance(k, Text) else sums.get(id(k), 0)
+
     marked, queue = [], [(root, ())]
     while queue:
         node, path = queue.pop()
         for k in node.kids:
             if isinstance(k, Text) or furniture(k, False):
                 continue
-            here = (*path, k.label)
+            here = (path, k.label)
             words = set(k.label.split(".")[1:])
             rank = 3 if k.tag == "article" or "articlebody" in words else 2 if k.tag == "main" or "main" in words else 0
             if not rank and k.tag in ("div", "section") and words & MAIN_WORDS:
@@ -373,22 +427,30 @@ def main_path(root: Node) -> tuple[str, ...] | None:
             queue.append((k, here))
     strong = [m for m in marked if m[0] >= 2]
     if strong:
-        return max(strong, key=lambda m: (m[0], m[1]))[2]
+        path, out = max(strong, key=lambda m: (m[0], m[1]))[2], []
+        while path:
+            path, label = path
+            out.append(label)
+        return tuple(reversed(out))
 
-    def own(k) -> int:
-        if isinstance(k, Text):
-            return k.chars - k.links
-        return 0 if furniture(k, False) else sum(map(own, k.kids))
-
-    node, path = root, ()
+    sums, queue = {}, [(root, False)]  # unlinked text of each element outside furniture
+    while queue:
+        k, after = queue.pop()
+        if after:
+            sums[id(k)] = sum(map(own, k.kids))
+        elif not furniture(k, False):
+            queue.append((k, True))
+            queue += [(x, False) for x in k.kids if isinstance(x, Node)]
+    node, path = root, []
     while True:
         total = own(node)
         inner = [k for k in node.kids if isinstance(k, Node) and k.tag not in TEXTUAL and not furniture(k, False)]
         big = max(inner, key=own, default=None)
         if big is None or not total or own(big) < DOMINANT * total:
             break
-        node, path = big, (*path, big.label)
-    return path or None
+        node = big
+        path.append(big.label)
+    return tuple(path) or None
 
 
 def _find(root: Node, path: tuple[str, ...]) -> list[Node]:
@@ -400,22 +462,23 @@ def _find(root: Node, path: tuple[str, ...]) -> list[Node]:
 
 def _texts(node: Node, wrapper: Node | None, constants: bool) -> Iterator[str]:
     """Texts of the article in page order.  A text that the wrapper holds as constant is furniture of the host."""
-    spare = list(wrapper.kids) if wrapper else []
-    for k in node.kids:
-        name, match = _name(k), None
-        for i, w in enumerate(spare):
-            if _name(w) == name:
-                match = w
-                if w.mark not in ("+", "*"):
-                    spare = spare[i + 1 :]
-                else:
-                    spare = spare[i:]
+    walks = [(iter(node.kids), list(wrapper.kids) if wrapper else [], constants)]
+    while walks:
+        kids, spare, constants = walks.pop()
+        for k in kids:
+            name, match = _name(k), None
+            for i, w in enumerate(spare):
+                if _name(w) == name:
+                    match = w
+                    spare = spare[i + (w.mark not in ("+", "*")) :]
+                    break
+            if isinstance(k, Text):
+                if not (constants and match is not None and match.mark == "" and match.text == k.text):
+                    yield k.text
+            elif not furniture(k, True):
+                walks.append((kids, spare, constants))
+                walks.append((iter(k.kids), list(match.kids) if match else [], constants and match is not None and match.mark in ("", "+")))
                 break
-        if isinstance(k, Text):
-            if not (constants and match is not None and match.mark == "" and match.text == k.text):
-                yield k.text
-        elif not furniture(k, True):
-            yield from _texts(k, match, constants and match is not None and match.mark in ("", "+"))
 
 
 class Wrapper:

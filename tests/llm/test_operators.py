@@ -321,6 +321,18 @@ def test_html_constants_need_distinct_pages(spark):
     assert _main([shared.format(i) for i in (0, 0, 1)])[0] == "Site news\n\nText 0."
 
 
+@pytest.mark.parametrize("depth", [55, 70, 30_000])
+def test_html_at_any_depth(depth):
+    def page(n):
+        inner = "<div>" * depth + f"<p>Deep {n}.</p><nav><p>Menu {n}</p></nav><div class=ad><p>Buy {n}</p></div>" + "</div>" * depth
+        return f"<body><div id=wrap><article><h1>Head {n}</h1>{inner}<p>After {n}.</p></article><div><p>Beside {n}.</p></div></div></body>"
+
+    assert _main([page(n) for n in range(4)]) == [f"Head {n}\n\nDeep {n}.\n\nAfter {n}." for n in range(4)]
+    below = "<div>" * depth + "<div><p>Beside</p></div><article><p>Below.</p></article>" + "</div>" * depth
+    assert _main([below]) == ["Below."]
+    assert html.extract("<div>" * depth + "<p>Plain text.</p>" + "</div>" * depth) == "Plain text."
+
+
 def test_wrapper_is_union_free():
     a = html.generalise(html.parse("<div><p>x</p><p>y</p><h2>same</h2></div>"))
     b = html.generalise(html.parse("<div><ul><li>1</li></ul><p>z</p><h2>same</h2></div>"))
