@@ -38,6 +38,7 @@ DROPPED = frozenset(
     " script style textarea title noscript template iframe xmp noembed noframes".split()
 )
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption summary address".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 CLOSES_P = BLOCK - {"li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "caption", "legend", "summary"}
 # An element that starts closes these open ones, up to the given ancestors.
 CLOSES = {
@@ -55,6 +56,11 @@ FURNITURE = frozenset(
 )
 #: "header" is furniture too, but not inside the article, where it holds the headline.
 HEADING = frozenset(("header", "site-header"))
+#: Of these, words whose blocks may hold prose of their own; all others need evidence inside the article.
+PROSE = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored comment comments disqus respond sidebar aside"
+    " complementary footer contentinfo newsletter".split()
+)
 MAIN_TAGS = ("article", "main")
 MAIN_WORDS = frozenset("article post entry story content main body text articlebody".split())
 
@@ -64,6 +70,8 @@ _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 #: Longer texts are never constants, so a wrapper keeps none; where under this many distinct pages have the article, none are named.
 CONSTANT_CHARS, CONSTANT_PAGES = 160, 3
+#: Inside the article an element with a word of furniture goes with at most so many characters outside links, or this share in them.
+SHORT, LINKED = 160, 0.5
 #: Hosts whose wrappers a task holds at a time, and share of a container's text that draws the search into it.
 HOSTS_HELD, DOMINANT = 512, 0.6
 
@@ -89,12 +97,13 @@ def deep(f):
 
 class Node:
     """An element: tag, label (tag and names), children (elements and texts); on a wrapper also its marks, and the
-    least CONSTANT_PAGES digests of distinct pages that have it: unions of such sets count exactly up to that many."""
+    least CONSTANT_PAGES digests of distinct pages that have it: unions of such sets count exactly up to that many.
+    `words` are those of furniture among a page's class, role and itemprop; ids are left out, as they often name a section's topic."""
 
-    __slots__ = ("tag", "label", "kids", "mark", "chars", "links", "seen")
+    __slots__ = ("tag", "label", "kids", "mark", "chars", "links", "seen", "words")
 
-    def __init__(self, tag: str, label: str, mark: str = "", seen: tuple[int, ...] = ()):
-        self.tag, self.label, self.kids, self.mark, self.chars, self.links, self.seen = tag, label, [], mark, 0, 0, seen
+    def __init__(self, tag: str, label: str, mark: str = "", seen: tuple[int, ...] = (), words: frozenset = frozenset()):
+        self.tag, self.label, self.kids, self.mark, self.chars, self.links, self.seen, self.words = tag, label, [], mark, 0, 0, seen, words
 
 
 class Text:
@@ -114,10 +123,11 @@ def host_of(url: str | None) -> str | None:
 
 @lru_cache(20_000)
 def _label(tag: str, attributes: str) -> tuple[str, frozenset]:
-    """The element's name in wrappers, and the words of its class, id and role."""
-    names = [next(x for x in m.groups()[1:] if x is not None).lower() for m in _NAMED.finditer(attributes)] if attributes else []
-    words = frozenset(w for n in names for w in re.split(r"[^a-z]+", n) if w)
-    return (tag + "." + ".".join(sorted(words)) if words else tag), words
+    """The element's name in wrappers, and the words of furniture among those of its class, role and itemprop."""
+    names = [(m[1].lower(), next(x for x in m.groups()[1:] if x is not None).lower()) for m in _NAMED.finditer(attributes)] if attributes else []
+    split = [(kind, w) for kind, n in names for w in re.split(r"[^a-z]+", n) if w]
+    words = frozenset(w for _, w in split)
+    return (tag + "." + ".".join(sorted(words)) if words else tag), frozenset(w for kind, w in split if kind != "id") & FURNITURE
 
 
 def parse(page: str | None) -> Node:
@@ -198,7 +208,8 @@ def parse(page: str | None) -> Node:
                         close(i)
                         break
             if tag not in VOID and not (m[3] or "").endswith("/"):
-                node = Node(tag, _label(tag, m[3] or "")[0])
+                label, words = _label(tag, m[3] or "")
+                node = Node(tag, label, words=words)
                 stack[-1].kids.append(node)
                 stack.append(node)
                 opened[tag] += 1
@@ -225,6 +236,27 @@ def furniture(node: Node, inside: bool) -> bool:
     return bool(words & FURNITURE) or (not inside and bool(words & HEADING))
 
 
+def dropped(node: Node, match: Node | None = None, constants: bool = False) -> bool:
+    """Is an element of a page's article furniture?  Of those with a word of furniture headings and paragraphs stay,
+    others go if the word is of PROSE, the element short or mostly links, or its texts the same on the host's pages."""
+    if node.tag in DROPPED:
+        return True
+    if node.tag == "article":
+        return furniture(node, True) and bool(node.words)
+    if not node.words or node.tag in HEADINGS or node.tag in ("html", "body", "main"):
+        return False
+    if node.words & PROSE or (constants and match is not None and len(match.seen) >= CONSTANT_PAGES and not _varies(match)):
+        return True
+    chars, links, queue = 0, 0, [node]
+    while queue:
+        k = queue.pop()
+        if isinstance(k, Text):
+            chars, links = chars + k.chars, links + k.links
+        else:
+            queue += k.kids
+    return chars - links <= SHORT or links >= LINKED * chars
+
+
 # wrappers ------------------------------------------------------------------------------------------------------
 
 
@@ -239,7 +271,7 @@ def content(root: Node) -> int:
         k = queue.pop()
         if isinstance(k, Text):
             texts.append(k.text)
-        elif not furniture(k, True):
+        elif not dropped(k):
             queue += reversed(k.kids)
     return _digest(*texts)
 
@@ -475,7 +507,7 @@ def _texts(node: Node, wrapper: Node | None, constants: bool) -> Iterator[str]:
             if isinstance(k, Text):
                 if not (constants and match is not None and match.mark == "" and match.text == k.text):
                     yield k.text
-            elif not furniture(k, True):
+            elif not dropped(k, match, constants):
                 walks.append((kids, spare, constants))
                 walks.append((iter(k.kids), list(match.kids) if match else [], constants and match is not None and match.mark in ("", "+")))
                 break

@@ -333,6 +333,19 @@ def test_html_at_any_depth(depth):
     assert html.extract("<div>" * depth + "<p>Plain text.</p>" + "</div>" * depth) == "Plain text."
 
 
+def test_html_everyday_words():
+    prose = "This section tells at length what was said, who said it, and why it matters to all who read about it. " * 3
+    kept = f"<h2 id='how-to-register-a-domain'>Register {{0}}</h2><section id='discussion'><p>Talk {{0}}.</p></section><p id='search-results-explained'>Found {{0}}.</p>"
+    kept += f"<div class='notice'><p>{prose}{{0}}</p></div><p class='alert'>Mind {{0}}.</p>"
+    gone = "<div class='share'><a href=/x>Share {0}</a></div><div class='related'><ul>" + "<li><a href=/y>Some other story that is linked from here {0}</a></li>" * 9
+    gone += f"</ul></div><div class='notice'><p>Short {{0}}</p></div><div class='comments'><p>{prose}by {{0}}</p></div><div class='login register'><p>{prose}</p></div>"
+    want = "Head {0}\n\nRegister {0}\n\nTalk {0}.\n\nFound {0}.\n\n" + prose + "{0}\n\nMind {0}."
+    pages = [f"<body><article><h1>Head {{0}}</h1>{kept}{gone}</article></body>".format(n) for n in range(4)]
+    assert _main(pages) == [want.format(n) for n in range(4)]
+    once = f"<section class='discussion'><p>{prose.strip()}</p></section>"  # on one page only: no constant of the host
+    assert _main([p.replace("</article>", once + "</article>") if n == 2 else p for n, p in enumerate(pages)])[2] == want.format(2) + "\n\n" + prose.strip()
+
+
 def test_wrapper_is_union_free():
     a = html.generalise(html.parse("<div><p>x</p><p>y</p><h2>same</h2></div>"))
     b = html.generalise(html.parse("<div><ul><li>1</li></ul><p>z</p><h2>same</h2></div>"))
