@@ -3,8 +3,8 @@
 A public vocabulary measures each whole text: characters per token, the share of tokens that hold a broken
 piece of a character (byte fallback), and the entropy of the tokens in bits.  The bands of acceptance are
 those of the text's language, of its script where too few texts share the language, or else of the corpus,
-among texts with a like number of tokens, or the next lengths where too few have it: median and interquartile
-range over distinct texts.  Entropy grows with length, so its bands are of what is left after that trend.
+among texts with a like number of tokens, or the next lengths where too few have it: median, and distance to the
+nearer quartile, over distinct texts.  Junk of up to a third lies on one side and stretches only that.  Entropy grows with length, so its bands are of what is left after that trend.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import bpe
 from .runtime import cut, look_up, map_texts
 
-#: Half a band's width in standard deviations (of the interquartile range), and at least: a share of the
+#: Half a band's width in standard deviations (of the nearer quartile's distance), and at least: a share of the
 #: median for characters per token, bits for entropy, a share of all tokens for byte fallback.
 WIDTH, LEAST_FERTILITY, LEAST_ENTROPY, LEAST_FALLBACK = 4.0, 0.05, 0.4, 0.05
 #: Distinct texts that a band needs.
@@ -198,7 +198,7 @@ def bands(measured: DataFrame, lang: str | None = "lang") -> DataFrame:
     quartiles = lambda c: F.percentile(F.round(c, 3), [0.25, 0.5, 0.75]).alias(c)
     held = held.withColumn("entropy", F.col("entropy") - F.col("slope") * _shortness())
     out = held.groupBy("key", "room", "slope").agg(*map(quartiles, ("fertility", "fallback", "entropy")))
-    width = lambda c: (F.col(c)[2] - F.col(c)[0]) / 1.349 * WIDTH
+    width = lambda c: F.least(F.col(c)[2] - F.col(c)[1], F.col(c)[1] - F.col(c)[0]) / 0.6745 * WIDTH
     return out.select(
         "key",
         "room",

@@ -129,6 +129,14 @@ def test_quality_bands_at_every_length(spark):
     assert sorted(r.doc_id for r in quality.keep_good(df).collect()) == sorted(i for i, r in got.items() if r.kept)
 
 
+def test_quality_bands_with_a_third_of_junk(spark):
+    rng = random.Random(11)
+    rows = [(i, _prose(rng, rng.randint(150, 190)), "xx") for i in range(120)]
+    rows += [(200 + i, " ".join(w + rng.choice(["", "$%&", "##*"]) for w in _prose(rng, rng.randint(80, 95)).split()), "xx") for i in range(60)]
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(got[i] for i in range(120)) >= 117 and sum(got[200 + i] for i in range(60)) <= 3
+
+
 def test_mixing(odd, spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [r.asDict() for r in mixing.mix(docs).collect()]
