@@ -5,8 +5,11 @@ wrapper keeps the token; where two texts differ it gets a text slot; tags that o
 group; runs of like siblings fold into a repeated group.  There are no unions, so the order of alignment only
 matters in odd cases, and partial wrappers of many tasks align into one as pages do.
 
-The wrapper says where a host's article stands and which of its texts are the same on every page.  A page's main
-text is what stands there, without the containers of page furniture and without the host's constant texts.
+The wrapper finds the article.  Each of its nodes knows how much text outside links it holds that varies from page
+to page (slots), and how much is the same on all.  A page is matched with the wrapper from the root on, and the way
+leads into the group that draws most of the varying text to itself, until none does or the group is an article.
+What the page has there is its main text, less elements that HTML or their names mark as furniture; where a name is
+no proof, the wrapper decides.  A text is never dropped for being short, long, deep or shared by other pages.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, wraps
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,26 +58,25 @@ FURNITURE = frozenset(
     " sharing social related recommended recommendations comment comments disqus respond reply replies discussion"
     " widget pagination pager toolbar skip form masthead topbar".split()
 )
-#: "header" is furniture too, but not inside the article, where it holds the headline.
-HEADING = frozenset(("header", "site-header"))
 #: Of these, words whose blocks may hold prose of their own; all others need evidence inside the article.
 PROSE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored comment comments disqus respond sidebar aside"
     " complementary footer contentinfo newsletter".split()
 )
 MAIN_TAGS = ("article", "main")
-MAIN_WORDS = frozenset("article post entry story content main body text articlebody".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)[^<>]*>|<[!?][^>]*>", re.S)
 _NAMED = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
-#: Longer texts are never constants, so a wrapper keeps none; where under this many distinct pages have the article, none are named.
-CONSTANT_CHARS, CONSTANT_PAGES = 160, 3
-#: Inside the article an element with a word of furniture goes with at most so many characters outside links, or this share in them.
-SHORT, LINKED = 160, 0.5
-#: Hosts whose wrappers a task holds at a time, and share of a container's text that draws the search into it.
-HOSTS_HELD, DOMINANT = 512, 0.6
+#: Characters of a constant that a wrapper shows; what is constant is told by digests of whole texts.
+SHOWN = 40
+#: Share of a container's varying text that draws the search into a group; weight of marked articles in it.
+DOMINANT, MARKED = 0.7, 4.0
+#: A container with a word of furniture goes if its share of the article's varying text is less, or of its text in links more.
+MINOR, LINKED = 0.05, 0.5
+#: Hosts whose wrappers a task holds at a time.
+HOSTS_HELD = 512
 
 
 def deep(f):
@@ -96,19 +99,20 @@ def deep(f):
 
 
 class Node:
-    """An element: tag, label (tag and names), children (elements and texts); on a wrapper also its marks, and the
-    least CONSTANT_PAGES digests of distinct pages that have it: unions of such sets count exactly up to that many.
+    """An element: tag, label (tag and names), children (elements and texts).  On a wrapper also its mark, the pages
+    that it was aligned from, and digests of up to two distinct ones, so that it is known whether there are two.
     `words` are those of furniture among a page's class, role and itemprop; ids are left out, as they often name a section's topic."""
 
-    __slots__ = ("tag", "label", "kids", "mark", "chars", "links", "seen", "words")
+    __slots__ = ("tag", "label", "kids", "mark", "chars", "links", "seen", "pages", "words")
 
-    def __init__(self, tag: str, label: str, mark: str = "", seen: tuple[int, ...] = (), words: frozenset = frozenset()):
-        self.tag, self.label, self.kids, self.mark, self.chars, self.links, self.seen, self.words = tag, label, [], mark, 0, 0, seen, words
+    def __init__(self, tag: str, label: str, mark: str = "", seen: tuple[int, ...] = (), words: frozenset = frozenset(), pages: int = 1):
+        self.tag, self.label, self.kids, self.mark, self.chars, self.links = tag, label, [], mark, 0, 0
+        self.seen, self.words, self.pages = seen, words, pages
 
 
 class Text:
-    """A block's text; as part of a wrapper None stands for a slot, `digest` for the texts of a page there, and
-    `varies` tells that they differ between pages, not only between like siblings."""
+    """A block's text; as part of a wrapper None stands for a slot, else `text` is the start of a constant, `digest`
+    stands for the texts of a page there, and `varies` tells that they differ between pages, not only between siblings."""
 
     __slots__ = ("text", "mark", "chars", "links", "digest", "varies")
 
@@ -222,39 +226,28 @@ def _closing(tag: str) -> re.Pattern:
     return re.compile(rf"</{tag}[^>]*>", re.I)
 
 
-def furniture(node: Node, inside: bool) -> bool:
-    """Is the element page furniture?  `inside`: within the article."""
+def barred(node: Node) -> bool:
+    """Do the element's tag or names say by themselves that it is no part of an article?"""
     if node.tag in DROPPED:
         return True
-    if node.tag in ("html", "body", "main", ""):
+    if node.tag in ("html", "body", "main", "") or node.tag in HEADINGS:
         return False
-    if node.tag == "header" and not inside:
-        return True
-    words = set(node.label.split(".")[1:])
+    words = node.words or furniture_words(node.label)
     if node.tag == "article":
         return bool(words & {"comment", "comments", "reply", "ad", "ads", "sponsored", "related", "promo"})
-    return bool(words & FURNITURE) or (not inside and bool(words & HEADING))
+    return bool(words & PROSE)
 
 
-def dropped(node: Node, match: Node | None = None, constants: bool = False) -> bool:
-    """Is an element of a page's article furniture?  Of those with a word of furniture headings and paragraphs stay,
-    others go if the word is of PROSE, the element short or mostly links, or its texts the same on the host's pages."""
-    if node.tag in DROPPED:
-        return True
-    if node.tag == "article":
-        return furniture(node, True) and bool(node.words)
-    if not node.words or node.tag in HEADINGS or node.tag in ("html", "body", "main"):
-        return False
-    if node.words & PROSE or (constants and match is not None and len(match.seen) >= CONSTANT_PAGES and not _varies(match)):
-        return True
-    chars, links, queue = 0, 0, [node]
-    while queue:
-        k = queue.pop()
-        if isinstance(k, Text):
-            chars, links = chars + k.chars, links + k.links
-        else:
-            queue += k.kids
-    return chars - links <= SHORT or links >= LINKED * chars
+@lru_cache(20_000)
+def furniture_words(label: str) -> frozenset:
+    return frozenset(label.split(".")[1:]) & FURNITURE
+
+
+def semantic(node: Node) -> bool:
+    """Does the element's tag or name say that it is the article?"""
+    if node.tag in MAIN_TAGS:
+        return not barred(node)
+    return bool({"articlebody", "main"} & set(node.label.split(".")[1:])) and node.tag in ("div", "section")
 
 
 # wrappers ------------------------------------------------------------------------------------------------------
@@ -271,7 +264,7 @@ def content(root: Node) -> int:
         k = queue.pop()
         if isinstance(k, Text):
             texts.append(k.text)
-        elif not dropped(k):
+        elif not barred(k):
             queue += reversed(k.kids)
     return _digest(*texts)
 
@@ -280,7 +273,7 @@ def content(root: Node) -> int:
 def generalise(node: Node | Text, page: int | None = None) -> Node | Text:
     """A page's tree as a wrapper of that page alone: runs of like siblings fold into repeated groups."""
     if isinstance(node, Text):
-        return Text(node.text if node.chars <= CONSTANT_CHARS else None, node.chars, node.links, digest=_digest(node.text))
+        return Text(node.text[:SHOWN], node.chars, node.links, digest=_digest(node.text))
     page = content(node) if page is None else page
     out = Node(node.tag, node.label, seen=(page,))
     kids = []
@@ -295,15 +288,23 @@ def _name(k: Node | Text) -> str:
     return "#" if isinstance(k, Text) else k.label
 
 
+def _shape(k: Node | Text) -> tuple:
+    """Siblings fold if they are alike one level down too: an article between a menu and a footer is no repeated group."""
+    if isinstance(k, Text):
+        return ("#",)
+    inner = {_name(x) for x in k.kids}
+    return (k.label, *sorted(inner)) if inner - {"#"} and k.tag not in TEXTUAL else (k.label,)
+
+
 @deep
 def fold(kids: list) -> list:
     """Replace squares, of up to three siblings each, by repeated groups."""
     for width in (1, 2, 3):
-        names, out, i = [_name(k) for k in kids], [], 0
+        names, out, i = [_shape(k) for k in kids], [], 0
         while i < len(kids):
             j = i + width
             unit = names[i:j]
-            while len(unit) == width and names[j : j + width] == unit and (width > 1 or unit != ["#"]):
+            while len(unit) == width and names[j : j + width] == unit and (width > 1 or unit != [("#",)]):
                 j += width
             if j > i + width:
                 merged = kids[i : i + width]
@@ -335,9 +336,9 @@ def align(a, b, siblings: bool = False):
         differ = a.digest != b.digest
         digest = a.digest if not differ else _digest(a.digest, b.digest) if siblings else min(a.digest, b.digest)
         varies = a.varies or b.varies or (differ and not siblings)
-        return Text(a.text if a.text == b.text else None, a.chars + b.chars, a.links + b.links, _mark(a.mark, b.mark), digest, varies)
-    seen = a.seen if a.seen == b.seen else tuple(sorted({*a.seen, *b.seen})[:CONSTANT_PAGES])
-    out = Node(a.tag, a.label, _mark(a.mark, b.mark), seen)
+        return Text(None if differ or a.text != b.text else a.text, a.chars + b.chars, a.links + b.links, _mark(a.mark, b.mark), digest, varies)
+    seen = a.seen if a.seen == b.seen else tuple(sorted({*a.seen, *b.seen})[:2])
+    out = Node(a.tag, a.label, _mark(a.mark, b.mark), seen, pages=max(a.pages, b.pages) if siblings else a.pages + b.pages)
     out.kids = yield _align_lists.call(a.kids, b.kids, siblings)
     out.chars, out.links = a.chars + b.chars, a.links + b.links
     return out
@@ -397,7 +398,7 @@ def dump(node, pages: int) -> str:
         if isinstance(k, Text):
             out.append(["#", k.mark, k.chars, k.links, k.text, k.digest, k.varies])
         else:
-            out.append([k.label, k.mark, k.chars, k.links, len(k.kids), k.seen])
+            out.append([k.label, k.mark, k.chars, k.links, len(k.kids), k.seen, k.pages])
             queue += reversed(k.kids)
     return json.dumps([pages, out], ensure_ascii=False)
 
@@ -413,7 +414,7 @@ def load(text: str) -> tuple[int, Node]:
         if p[0] == "#":
             lacking[-1][0].kids.append(Text(p[4], p[2], p[3], p[1], p[5], p[6]))
             continue
-        node = Node(p[0].split(".")[0], p[0], p[1], tuple(p[5]))
+        node = Node(p[0].split(".")[0], p[0], p[1], tuple(p[5]), pages=p[6])
         node.chars, node.links = p[2], p[3]
         lacking[-1][0].kids.append(node)
         lacking.append([node, p[4]])
@@ -436,128 +437,179 @@ def expression(node) -> str:
 # extraction ----------------------------------------------------------------------------------------------------
 
 
-def main_path(root: Node) -> tuple[str, ...] | None:
-    """Labels from the root to the article: the marked article or main element with most text; else the deepest
-    container that draws most of the unlinked text to itself."""
-
-    def own(k) -> int:
-        return k.chars - k.links if isinstance(k, Text) else sums.get(id(k), 0)
-
-    marked, queue = [], [(root, ())]
-    while queue:
-        node, path = queue.pop()
-        for k in node.kids:
-            if isinstance(k, Text) or furniture(k, False):
+class Wrapper:
+    """A host's (or one page's) wrapper, with the evidence of each of its nodes: characters outside links and furniture
+    that vary between its pages, and all of them.  What only one distinct page has counts as varying."""
+
+    def __init__(self, root: Node):
+        self.root = root
+        self.fresh: dict[int, float] = {}
+        self.whole: dict[int, float] = {}
+        self.marked: set[int] = set()  # nodes that hold an article by its tag or name
+        self.headed: set[int] = set()  # nodes that hold a top heading that varies
+        queue: list[tuple] = [(root, False)]
+        while queue:
+            k, after = queue.pop()
+            if not after:
+                queue.append((k, True))
+                queue += [(x, False) for x in k.kids if isinstance(x, Node) and not barred(x)]
                 continue
-            here = (path, k.label)
-            words = set(k.label.split(".")[1:])
-            rank = 3 if k.tag == "article" or "articlebody" in words else 2 if k.tag == "main" or "main" in words else 0
-            if not rank and k.tag in ("div", "section") and words & MAIN_WORDS:
-                rank = 1
-            if rank and k.chars:
-                marked.append((rank, k.chars - k.links, here))
-            queue.append((k, here))
-    strong = [m for m in marked if m[0] >= 2]
-    if strong:
-        path, out = max(strong, key=lambda m: (m[0], m[1]))[2], []
-        while path:
-            path, label = path
-            out.append(label)
-        return tuple(reversed(out))
-
-    sums, queue = {}, [(root, False)]  # unlinked text of each element outside furniture
-    while queue:
-        k, after = queue.pop()
-        if after:
-            sums[id(k)] = sum(map(own, k.kids))
-        elif not furniture(k, False):
-            queue.append((k, True))
-            queue += [(x, False) for x in k.kids if isinstance(x, Node)]
-    node, path = root, []
-    while True:
-        total = own(node)
-        inner = [k for k in node.kids if isinstance(k, Node) and k.tag not in TEXTUAL and not furniture(k, False)]
-        big = max(inner, key=own, default=None)
-        if big is None or not total or own(big) < DOMINANT * total:
-            break
-        node = big
-        path.append(big.label)
-    return tuple(path) or None
-
-
-def _find(root: Node, path: tuple[str, ...]) -> list[Node]:
-    level = [root]
-    for label in path:
-        level = [k for n in level for k in n.kids if isinstance(k, Node) and k.label == label]
-    return level
-
-
-def _texts(node: Node, wrapper: Node | None, constants: bool) -> Iterator[str]:
-    """Texts of the article in page order.  A text that the wrapper holds as constant is furniture of the host."""
-    walks = [(iter(node.kids), list(wrapper.kids) if wrapper else [], constants)]
-    while walks:
-        kids, spare, constants = walks.pop()
-        for k in kids:
-            name, match = _name(k), None
-            for i, w in enumerate(spare):
-                if _name(w) == name:
-                    match = w
-                    spare = spare[i + (w.mark not in ("+", "*")) :]
-                    break
-            if isinstance(k, Text):
-                if not (constants and match is not None and match.mark == "" and match.text == k.text):
-                    yield k.text
-            elif not dropped(k, match, constants):
-                walks.append((kids, spare, constants))
-                walks.append((iter(k.kids), list(match.kids) if match else [], constants and match is not None and match.mark in ("", "+")))
-                break
+            fresh = whole = 0.0
+            for x in k.kids:
+                if isinstance(x, Text):
+                    own = x.chars - x.links
+                    fresh, whole = fresh + own * (x.varies or len(k.seen) < 2), whole + own
+                else:
+                    fresh, whole = fresh + self.fresh.get(id(x), 0.0), whole + self.whole.get(id(x), 0.0)
+            inner = [id(x) for x in k.kids if isinstance(x, Node) and id(x) in self.fresh]
+            if semantic(k) or any(x in self.marked for x in inner):
+                self.marked.add(id(k))
+            if k.tag != "header" and (any(x in self.headed for x in inner) or (k.tag == "h1" and any(isinstance(x, Text) and x.varies for x in k.kids))):
+                self.headed.add(id(k))
+            weight = MARKED if semantic(k) else 1.0
+            self.fresh[id(k)], self.whole[id(k)] = weight * fresh, weight * whole
+        # Where pages are near copies most of their text is the same, and being the same tells little.
+        total = self.whole.get(id(root), 0.0)
+        self.trust = self.fresh.get(id(root), 0.0) / total if total else 0.0
+
+    def evidence(self, k: Node) -> float:
+        """Per page that has the node."""
+        fresh, whole = self.fresh.get(id(k), 0.0), self.whole.get(id(k), 0.0)
+        return (fresh + (1 - self.trust) * (whole - fresh)) / max(k.pages, 1)
+
+    def constant(self, k: Node) -> bool:
+        """Is all text of the node the same on two distinct pages or more, on a host whose pages differ?"""
+        return self.trust > 0.5 and len(k.seen) > 1 and self.whole.get(id(k), 0.0) > 0 and not self.fresh.get(id(k), 0.0)
+
+
+def _matches(kids: list, own: list) -> list:
+    """For each child of a page's element the wrapper's child that stands for it, or None: a longest common
+    subsequence, in which a repeated group may stand for many.  Like shapes count double."""
+    names, of = [_name(k) for k in kids], [_name(w) for w in own]
+    place: dict[str, list[int]] = {}
+    for j, name in enumerate(of):
+        place.setdefault(name, []).append(j)
+    if all(len(place.get(n, ())) <= 1 for n in set(names)):
+        return [own[place[n][0]] if n in place else None for n in names]
+    shapes, like = [_shape(k) for k in kids], [_shape(w) for w in own]
+    again = [w.mark in ("+", "*") for w in own]
+    best = np.zeros((len(kids) + 1, len(own) + 1), np.int64)
+    score = np.array([[(a == b) * (1 + (x == y)) for b, y in zip(of, like)] for a, x in zip(names, shapes)], np.int64).reshape(len(kids), len(own))
+    keep = np.array(again)
+    for i in range(len(kids) - 1, -1, -1):
+        take = np.where(score[i] > 0, score[i] + np.where(keep, best[i + 1, :-1], best[i + 1, 1:]), 0)
+        row = np.maximum(take, best[i + 1, :-1])
+        best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
+    out, j = [], 0
+    for i in range(len(kids)):
+        if best[i, j] == best[i + 1, j]:  # no better with this child
+            out.append(None)
+            continue
+        while best[i, j] == best[i, j + 1]:
+            j += 1
+        out.append(own[j])
+        j += not again[j]
+    return out
 
 
-class Wrapper:
-    def __init__(self, text: str):
-        self.pages, self.root = load(text)
-        self.path = main_path(self.root)
-        found = _find(self.root, self.path) if self.path else []
-        self.article = found[0] if found else None
-        # Constants are told from content only where enough distinct pages have the article and its texts vary.
-        self.constants = self.article is not None and len(self.article.seen) >= CONSTANT_PAGES and _varies(self.article)
-
-
-def _varies(node) -> bool:
-    """Do texts outside furniture differ between pages?"""
-    queue = [node]
+def locate(root: Node, w: Wrapper) -> list[tuple[Node, Node | None]]:
+    """The page's elements that hold its article, with the wrapper's nodes for them."""
+    level: list[tuple[Node, Node | None]] = [(root, w.root)]
+    while True:
+        node = level[0][1]
+        if node is None or semantic(node):
+            return level
+        groups: dict[int, tuple[Node, list]] = {}
+        total, heads = 0.0, set()
+        for element, own in level:
+            for k, match in zip(element.kids, _matches(element.kids, own.kids if own is not None else [])):
+                if isinstance(k, Text) or barred(k):
+                    continue
+                if match is None or k.tag in TEXTUAL:
+                    total += _size(k) / len(level) if match is None else w.evidence(match)
+                    heads.add(0)
+                    continue
+                groups.setdefault(id(match), (match, []))[1].append((k, match))
+        for key, (match, _) in groups.items():
+            total += w.evidence(match)
+            if key in w.headed:
+                heads.add(key)
+        texts = [x for x in node.kids if isinstance(x, Text)]
+        total += sum((x.chars - x.links) * (x.varies or len(node.seen) < 2) for x in texts) / max(node.pages, 1)
+        best = max(groups.values(), key=lambda g: w.evidence(g[0]), default=None)
+        if best is None or not total or w.evidence(best[0]) < DOMINANT * total:
+            return level
+        # The page's title may stand beside the body; 0 stands for titles and paragraphs of the container itself.
+        if id(best[0]) not in w.marked and heads - {id(best[0])}:
+            return level
+        level = best[1]
+
+
+def _size(node: Node) -> int:
+    """Characters outside links and furniture."""
+    total, queue = 0, [node]
     while queue:
         k = queue.pop()
         if isinstance(k, Text):
-            if k.varies:
-                return True
-        elif k is node or not furniture(k, True):
+            total += k.chars - k.links
+        elif not barred(k):
             queue += k.kids
-    return False
+    return total
+
+
+def dropped(k: Node, match: Node | None, w: Wrapper, article: float, inside: bool) -> bool:
+    """Is an element of the place that was found furniture?  `article`: evidence of that place; `inside`: it is an
+    article by its tag or name.  Words that are no proof decide only with the wrapper: where it shows that the element
+    is the same on all pages, or a minor part of what varies, or where it is mostly links.  Headings and paragraphs stay."""
+    if barred(k):
+        return True
+    if k.tag in HEADINGS or k.tag in ("html", "body", "main", "article"):
+        return False
+    same = match is not None and w.constant(match)
+    if not inside and k.tag == "header" and same:
+        return True
+    if k.words:
+        chars, links, queue = 0, 0, [k]
+        while queue:
+            x = queue.pop()
+            if isinstance(x, Text):
+                chars, links = chars + x.chars, links + x.links
+            else:
+                queue += x.kids
+        part = w.evidence(match) if match is not None else chars - links
+        return same or links >= LINKED * chars or part < MINOR * article
+    return not inside and same and k.tag not in TEXTUAL
+
+
+def _texts(places: list, w: Wrapper) -> Iterator[str]:
+    """Texts of the article in page order."""
+    for node, own in places:
+        inside = semantic(node)
+        article = w.evidence(own) if own is not None else float(_size(node))
+        walks = [(iter(zip(node.kids, _matches(node.kids, own.kids if own is not None else []))), inside)]
+        while walks:
+            kids, inside = walks.pop()
+            for k, match in kids:
+                if isinstance(k, Text):
+                    yield k.text
+                elif not dropped(k, match, w, article, inside):
+                    walks.append((kids, inside))
+                    walks.append((iter(zip(k.kids, _matches(k.kids, match.kids if match is not None else []))), inside or semantic(k)))
+                    break
 
 
 @lru_cache(2_000)
 def wrapper_of(text: str) -> Wrapper:
-    return Wrapper(text)
+    return Wrapper(load(text)[1])
 
 
 def extract(page: str | None, wrapper: str | None = None) -> str:
-    """The main text: blocks in page order, joined by an empty line.  Without a wrapper, or where the page lacks
-    the place that it names, the page is its own wrapper."""
+    """The main text: blocks in page order, joined by an empty line.  Without a wrapper the page is its own."""
     if not page:
         return ""
-    root, w = parse(page), wrapper_of(wrapper) if wrapper else None
-    places = _find(root, w.path) if w and w.path else []
-    if places:
-        article, constants = w.article, w.constants
-    else:
-        path, article, constants = main_path(generalise(root)), None, False
-        places = _find(root, path) if path else [root]
-    out: list[str] = []
-    for p in places:
-        texts = list(_texts(p, article, constants))
-        out += texts or list(_texts(p, None, False))
-    return "\n\n".join(out)
+    root = parse(page)
+    w = wrapper_of(wrapper) if wrapper else Wrapper(generalise(root))
+    return "\n\n".join(_texts(locate(root, w), w))
 
 
 def wrappers(df: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
