@@ -2,7 +2,7 @@
 
 Heuristic labellers vote good, bad or nothing on every whole text.  Expectation-maximisation over the counts of
 all vote patterns (at most 3 to the number of labellers, however many texts) estimates each labeller's accuracy on
-either class and the share of good texts.  The posteriors of the patterns then label a bounded sample of distinct
+good texts and on several kinds of bad ones, and the kinds' shares.  The posteriors of the patterns then label a bounded sample of distinct
 texts, on which a linear scorer over hashed character-shape n-grams is trained; it scores every whole text.
 """
 
@@ -20,22 +20,42 @@ from .runtime import cut, map_texts, prepare, slices
 #: Hashed features; texts of the training sample at most (about); score from which a text is kept.
 FEATURES, SAMPLE, KEEP = 2048, 4000, 0.5
 ROUNDS, STEPS, RATE, DECAY = 200, 300, 2.0, 1e-4
-#: Least share of good votes that a labeller with an opinion gives to good texts.
-EXCEPT = 0.995
+#: Kinds of texts that the model tells apart at most, good ones and several ways of being bad.
+KINDS = 6
 
 
-def votes(texts: list[str | None]) -> np.ndarray:
-    """texts x labellers: 1 good, -1 bad, 0 no opinion."""
+def _sums(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(doc, values, minlength=n)
+
+
+def words_of(texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray]:
+    """Words of each text, and of each text the number of words that equal the word before."""
     words = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-    n = np.array([len(w) for w in words])
+    return words, np.array([sum(map(bytes.__eq__, w, w[1:])) for w in words], np.float64)
+
+
+def votes(texts: list[str | None], words: list[list[bytes]] | None = None, again: np.ndarray | None = None) -> np.ndarray:
+    """texts x labellers: 1 good, -1 bad, 0 no opinion."""
+    if words is None:
+        words, again = words_of(texts)
+    n = np.fromiter(map(len, words), np.int64, len(words))
     some = np.maximum(n, 1)
-    chars = np.array([max(1, len(t) - sum(map(t.count, SPACE))) if t else 1 for t in texts])
-    symbols = np.array([sum(map(t.count, SYMBOLS)) if t else 0 for t in texts]) / chars
-    upper = np.array([sum(map(str.isupper, t)) / max(1, sum(map(str.isalpha, t))) if t else 0 for t in texts])
-    again = np.array([sum(map(bytes.__eq__, w, w[1:])) for w in words]) / some
-    marks = np.array([sum(x[-1:] in b".,!?;:" for x in w) for w in words]) / some
-    loud = np.array([sum(x[-1:] == b"!" for x in w) for w in words]) / some
-    lone = np.array([sum(len(x) == 1 and not x.isalnum() for x in w) for w in words]) / some
+    size = np.array([len(t) if t else 0 for t in texts])
+    kinds = np.zeros((len(texts), 6))  # of each text: its capitals, letters, symbols, spaces
+    for a, b in slices(size.tolist(), 500_000, 512):
+        code = _shape()[np.frombuffer("".join(t or "" for t in texts[a:b]).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        doc = np.repeat(np.arange(b - a), size[a:b])
+        for i, hit in enumerate((code == 2, (code == 1) | (code == 2), _IS_SYMBOL[code], (code == 4) | (code == 5))):
+            kinds[a:b, i] = _sums(doc, hit, b - a)
+    chars = np.maximum(size - kinds[:, 3], 1)
+    symbols, upper = kinds[:, 2] / chars, kinds[:, 0] / np.maximum(kinds[:, 1], 1)
+    flat = [w for x in words for w in x]
+    doc = np.repeat(np.arange(len(words)), n)
+    last = np.frombuffer(b"".join(w[-1:] for w in flat), np.uint8)
+    marks, loud = _sums(doc, _IS_MARK[last], len(words)) / some, _sums(doc, last == ord("!"), len(words)) / some
+    # Words that are a lone mark or end in a symbol.
+    lone = _sums(doc, ((np.fromiter(map(len, flat), np.int64, len(flat)) == 1) & ~_IS_ALNUM[last]) | _IS_SYMBOL[10 + last.astype(np.int64)], len(words)) / some
+    again = again / some
     windows = _repeated(words, 8) / some
     mean = chars / some
 
@@ -58,28 +78,58 @@ def votes(texts: list[str | None]) -> np.ndarray:
     return np.where(n[:, None] > 0, out, -1)
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of `good` for each pattern, each labeller's accuracies on good and on bad texts, share of good."""
-    said, good = patterns != 0, patterns > 0
-    # Each labeller knows one way of being bad, so a single bad vote is where the search starts.
-    share = np.where((said & ~good).any(1), 0.2, 0.9)
-    prior = 0.5
-    right = np.full((2, patterns.shape[1]), 0.8)
+def _fit(patterns: np.ndarray, counts: np.ndarray, share: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Expectation-maximisation from a first guess (patterns x kinds): log likelihood, shares, for each kind and
+    labeller the rate of good votes among its votes, and the kinds' weights.  One vote of each sort is added to every count."""
+    said, good = (patterns != 0).astype(float), (patterns > 0).astype(float)
     for _ in range(ROUNDS):
-        w = counts * share
-        v = counts * (1 - share)
-        prior = float(np.clip(w.sum() / counts.sum(), 0.01, 0.99))
-        # A little smoothing; on good texts a bad vote is a rare exception, which keeps the classes' names and
-        # lets the bad class hold texts that are bad in one way only.
-        right[0] = np.maximum(((w[:, None] * (said & good)).sum(0) + 4) / ((w[:, None] * said).sum(0) + 5), EXCEPT)
-        right[1] = np.maximum(((v[:, None] * (said & ~good)).sum(0) + 4) / ((v[:, None] * said).sum(0) + 5), 0.05)
-        yes = np.log(prior) + (said * np.where(good, np.log(right[0]), np.log(1 - right[0] + 1e-6))).sum(1)
-        no = np.log(1 - prior) + (said * np.where(good, np.log(1 - right[1] + 1e-6), np.log(right[1]))).sum(1)
-        new = 1 / (1 + np.exp(np.clip(no - yes, -60, 60)))
+        w = counts[:, None] * share
+        weight = (w.sum(0) + 1) / (counts.sum() + share.shape[1])
+        rate = (w.T @ good + 1) / (w.T @ said + 2)
+        at = np.log(weight) + good @ np.log(rate).T + (said - good) @ np.log(1 - rate).T
+        top = at.max(1, keepdims=True)
+        whole = top + np.log(np.exp(at - top).sum(1, keepdims=True))
+        new, share = share, np.exp(at - whole)
         if np.abs(new - share).max() < 1e-9:
             break
-        share = new
-    return share, right, prior
+    return float((counts * whole[:, 0]).sum()), share, rate, weight
+
+
+def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Posterior of `good` for each pattern, each labeller's accuracies on good and on bad texts, share of good.
+
+    A latent-class model: good texts and up to KINDS - 1 other kinds, as each labeller may know a way of being bad that
+    the others do not; how many there are is settled by the Bayesian criterion.  The majority names the kinds: a kind
+    is bad if some labeller calls most of its texts bad.  Nothing else ties the estimates.  If all are bad by that, the
+    kind with most good votes is the good one.
+    """
+    said, good = patterns != 0, patterns > 0
+    total = counts.sum()
+    seeds, best = [int(counts.argmax())], None
+    for kinds in range(1, KINDS + 1):
+        far = np.abs(patterns[:, None, :] - patterns[None, seeds, :]).sum(2)
+        # Starts: nearness to the seeds; the same, with bad votes leading away from the first; the plain majority.
+        away = far + np.where(np.arange(kinds) == 0, 4 * (said & ~good).any(1)[:, None], 0)
+        starts = [np.exp(-far.astype(float)), np.exp(-away.astype(float))]
+        if kinds == 2:
+            starts.append(np.stack([good.sum(1) + 1, (said & ~good).sum(1) + 1], 1).astype(float))
+        for start in starts:
+            fit = _fit(patterns, counts, start / start.sum(1, keepdims=True))
+            score = fit[0] - 0.5 * (kinds - 1 + kinds * patterns.shape[1]) * np.log(max(total, 2))
+            if best is None or score > best[0]:
+                best = (score, *fit[1:])
+        gain = counts * far.min(1)
+        if gain.max() <= 0:
+            break
+        seeds.append(int(gain.argmax()))
+    _, share, rate, weight = best
+    fine = (rate >= 0.5).all(1)
+    if not fine.any():
+        fine[rate.mean(1).argmax()] = True
+    posterior = share[:, fine].sum(1)
+    w, v = counts * posterior, counts * (1 - posterior)
+    right = np.stack([((w[:, None] * (said & good)).sum(0) + 1) / ((w[:, None] * said).sum(0) + 2), ((v[:, None] * (said & ~good)).sum(0) + 1) / ((v[:, None] * said).sum(0) + 2)])
+    return posterior, right, float(w.sum() / total)
 
 
 @lru_cache(1)
@@ -99,9 +149,19 @@ def _shape() -> np.ndarray:
     return out
 
 
-def shapes(texts: list[str | None]) -> np.ndarray:
+# Marks at words' ends that labellers look at.
+MARKS = ".,!?;:"
+_IS_MARK, _IS_ALNUM, _IS_SYMBOL = (np.zeros(n, bool) for n in (256, 256, 266))
+_IS_MARK[[ord(c) for c in MARKS]] = True
+_IS_ALNUM[[c for c in range(128) if chr(c).isalnum()]] = True
+_IS_SYMBOL[[10 + ord(c) for c in SYMBOLS]] = True  # by character class
+
+
+def shapes(texts: list[str | None], words: list[list[bytes]] | None = None, again: np.ndarray | None = None) -> np.ndarray:
     """texts x FEATURES: square roots of the shares of hashed shape pairs and triples (runs of a class, cut at two),
     and of words that equal the word before."""
+    if words is None:
+        words, again = words_of(texts)
     out = np.zeros((len(texts), FEATURES), np.float32)
     for a, b in slices([len(t) if t else 0 for t in texts], 500_000, 512):
         lines = [t or "" for t in texts[a:b]]
@@ -121,17 +181,17 @@ def shapes(texts: list[str | None]) -> np.ndarray:
             same = doc[width - 1 :] == doc[: len(doc) - width + 1]
             grid = np.bincount(doc[width - 1 :][same] * FEATURES + at[same], minlength=len(lines) * FEATURES).reshape(len(lines), FEATURES)
             out[a:b] += grid / np.maximum(grid.sum(1, keepdims=True), 1)
-        for i, t in enumerate(lines):
-            w = t.encode("utf-8", "surrogatepass").split()
-            out[a + i, FEATURES - 1] = 4 * sum(map(bytes.__eq__, w, w[1:])) / max(1, len(w))
-            out[a + i, FEATURES - 2] = 1 / (1 + len(w))
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    out[:, FEATURES - 1] = 4 * again / np.maximum(n, 1)
+    out[:, FEATURES - 2] = 1 / (1 + n)
     return np.sqrt(out)
 
 
 def train(x: np.ndarray, good: np.ndarray) -> np.ndarray:
-    """Weights and, last, the bias of a logistic scorer on soft labels, both classes weighing alike."""
+    """Weights and, last, the bias of a logistic scorer on soft labels.  Both classes weigh alike if each has a text's
+    worth of labels; of a class with less the weight fades."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    weight = good / max(good.sum(), 1e-9) + (1 - good) / max((1 - good).sum(), 1e-9)
+    weight = good / max(good.sum(), 1.0) + (1 - good) / max((1 - good).sum(), 1.0)
     w, speed = np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
@@ -143,37 +203,42 @@ def train(x: np.ndarray, good: np.ndarray) -> np.ndarray:
 def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of df: doc_id, label (posterior of the votes), score (0 to 1), kept.
 
-    Null and wordless texts score 0 and go.  Repeated rows score alike; an empty table gives no rows.  If all
-    texts are alike in class, the scorer follows the posteriors' prior and keeps what they call good.
+    Null and wordless texts score 0 and go.  Repeated rows score alike, and count once in the training sample; an
+    empty table gives no rows.  If no text has a word, there is nothing to train on and the posteriors are the scores.
     """
     prepare(df.sparkSession)
     spark = df.sparkSession
     one = df.select(df[doc_id].alias("doc_id"), df[text].cast("string").alias("text"))
 
-    def pattern(texts):
-        return {"pattern": ((votes(texts) + 1) * 3 ** np.arange(8)).sum(1)}
-
-    voted = cut(map_texts(one.withColumn("h", F.xxhash64("text")), ["doc_id", "h"], "text", "pattern bigint", pattern))
+    codes_of = lambda texts, *parts: ((votes(texts, *parts) + 1) * 3 ** np.arange(8)).sum(1)
+    voted = cut(map_texts(one.withColumn("h", F.xxhash64("text")), ["doc_id", "h"], "text", "pattern bigint", lambda texts: {"pattern": codes_of(texts)}))
     rows = voted.groupBy("pattern").count().collect()  # 3**8 rows at most
     if not rows:
         return one.select("doc_id", F.lit(0.0).alias("label"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
     codes = np.array([r[0] for r in rows])
-    share, _, prior = estimate(codes[:, None] // 3 ** np.arange(8) % 3 - 1, np.array([r[1] for r in rows], float))
+    share, _, _ = estimate(codes[:, None] // 3 ** np.arange(8) % 3 - 1, np.array([r[1] for r in rows], float))
     posterior = dict(zip(codes.tolist(), share.tolist()))
-    total = sum(r[1] for r in rows)
-    # By a hash of the text, so that copies count as one; about SAMPLE rows whatever the corpus.
-    whole = (1 << 63) - 1
-    sample = one.filter(F.shiftrightunsigned(F.xxhash64("text"), 1) <= whole // max(total, SAMPLE) * SAMPLE).dropDuplicates(["text"])
-    drawn = map_texts(sample.withColumn("one", F.lit(1)), ["one"], "text", "x array<float>, pattern bigint", lambda t: {"x": list(shapes(t))} | pattern(t)).toArrow()
+    # About SAMPLE distinct texts whatever the corpus, drawn by a hash of the text; the rest of the hash orders them.
+    distinct = voted.select("h").distinct().count()
+    most = (1 << 63) - 1
+    limit = most if distinct <= SAMPLE else most // distinct * SAMPLE
+    sample = one.filter((F.shiftrightunsigned(F.xxhash64("text"), 1) <= limit) & F.col("text").rlike("[^\\x20\\x09-\\x0D]")).dropDuplicates(["text"])
+
+    def draw(texts):
+        parts = words_of(texts)
+        return {"x": list(shapes(texts, *parts)), "pattern": codes_of(texts, *parts)}
+
+    drawn = map_texts(sample.withColumn("one", F.lit(1)), ["one"], "text", "x array<float>, pattern bigint", draw).toArrow()
     x = drawn.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
-    good = np.array([posterior.get(p, prior) for p in drawn.column("pattern").to_pylist()])
-    model = spark.sparkContext.broadcast((train(x, good) if len(x) else np.zeros(FEATURES + 1), posterior))
+    good = np.array([posterior[p] for p in drawn.column("pattern").to_pylist()])
+    model = spark.sparkContext.broadcast((train(x, good) if len(x) else None, posterior))
 
     def judge(texts):
         w, known = model.value
-        s = 1 / (1 + np.exp(-np.clip(shapes(texts) @ w[:-1] + w[-1], -60, 60)))
-        s = np.where([bool(t and t.split()) for t in texts], s, 0.0)
-        label = [known[p] for p in pattern(texts)["pattern"].tolist()]
+        parts = words_of(texts)
+        label = np.array([known[p] for p in codes_of(texts, *parts).tolist()])
+        s = label if w is None else 1 / (1 + np.exp(-np.clip(shapes(texts, *parts) @ w[:-1] + w[-1], -60, 60)))
+        s = np.where([bool(w) for w in parts[0]], s, 0.0)
         return {"label": label, "score": s, "kept": s >= KEEP}
 
     return map_texts(one, ["doc_id"], "text", "label double, score double, kept boolean", judge)

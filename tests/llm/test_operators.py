@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillgate.llm import bpe, components, html, langid, mixing, quality, sharding, simhash, tokens, vectors
@@ -454,3 +455,36 @@ def test_expectation_maximisation():
     patterns, back, counts = np.unique(said, axis=0, return_inverse=True, return_counts=True)
     share, right, prior = weak.estimate(patterns, counts.astype(float))
     assert ((share[back.ravel()] > 0.5) == truth).mean() > 0.97 and abs(prior - 0.8) < 0.03 and np.abs(right[1] - 0.6).max() < 0.1
+
+
+@pytest.mark.parametrize("accuracy", [(0.9, 0.8), (0.8, 0.8), (0.998, 0.6)])
+def test_expectation_maximisation_is_no_worse_than_the_majority(accuracy):
+    from quillgate.llm import weak
+
+    rng, n = np.random.default_rng(4), 20_000
+    truth = rng.random(n) < 0.8
+    said = np.stack([np.where(truth, np.where(rng.random(n) < accuracy[0], 1, -1), np.where(rng.random(n) < accuracy[1], -1, 1)) for _ in range(8)], 1)
+    patterns, back, counts = np.unique(said, axis=0, return_inverse=True, return_counts=True)
+    share, right, prior = weak.estimate(patterns, counts.astype(float))
+    agree, majority = ((share[back.ravel()] > 0.5) == truth).mean(), ((said.sum(1) > 0) == truth).mean()
+    assert agree >= majority - 0.001 and abs(prior - 0.8) < 0.02
+    assert np.abs(right[0] - accuracy[0]).max() < 0.02 and np.abs(right[1] - accuracy[1]).max() < 0.05
+
+
+def test_weak_labels_of_copies(spark):
+    """Sixty thousand rows of four distinct texts: the sample counts texts, and the scorer agrees with the posteriors."""
+    from quillgate.llm import weak
+
+    good = ["The council met on Monday to discuss the new bridge, and most members spoke in favour of it after a long and quiet debate.",
+            "Rain is expected in the north tomorrow, while the south stays dry and warm with light winds from the west until the evening.",
+            "She opened the window, looked at the garden for a while, and then went back to the letter that she had not yet finished writing."]
+    bad = "BUY $$$ NOW!!! ### WIN %%% CASH!!! $$$ NOW!!! ### BUY $$$ NOW!!! ### WIN %%% CASH!!! $$$ NOW!!! ### BUY $$$"
+    rows = spark.range(60_000).selectExpr("id as doc_id", f"case when id % 2 = 0 then '{bad}' else element_at(array({', '.join(map(repr, good))}), cast(id % 3 + 1 as int)) end as text")
+    got = weak.score(rows).groupBy("kept", F.expr("doc_id % 2 = 0")).count().collect()
+    assert sorted((r[0], r[1], r[2]) for r in got) == [(False, True, 30_000), (True, False, 30_000)]
+    junk = spark.range(5_000).selectExpr("id as doc_id", f"if(id < 4990, '{bad}', '{good[0]}') as text")
+    assert {r.doc_id >= 4990 for r in weak.score(junk).filter("kept").collect()} <= {True}
+    clean = spark.range(300).selectExpr("id as doc_id", f"concat('{good[1]}', ' It was day ', id, '.') as text")
+    assert weak.score(clean).filter("not kept").count() == 0  # no bad class is made up
+    blank = spark.createDataFrame([(1, None), (2, " "), (3, "")], "doc_id long, text string")
+    assert weak.score(blank).filter("kept or score > 0").count() == 0
