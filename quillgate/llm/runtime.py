@@ -23,7 +23,7 @@ def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package, and make sure that checkpoint() has a folder.
 
     The folder is the one that the cluster names in ``spark.checkpoint.dir``.  Only where that is
-    unset, as in tests, a temporary one is made.
+    unset and the master is local, as in tests, a temporary one is made.
     """
     sc = spark.sparkContext
     root = str(Path(__file__).resolve().parents[2])
@@ -33,7 +33,10 @@ def prepare(spark: SparkSession) -> None:
     if spark.conf.get(_BATCH) == _DEFAULT:  # it bounds little, and long texts fill memory
         spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgate-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillgate-"))
 
 
 _BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
@@ -107,3 +110,22 @@ SMALL_ROWS = 10_000
 def look_up(df: DataFrame, small: DataFrame, on: list[str], rows: int, how: str = "left") -> DataFrame:
     """Join with a table of `rows` rows: broadcast only if their number is small."""
     return df.join(F.broadcast(small) if rows <= SMALL_ROWS else small, on, how)
+
+
+#: A key with more than this share of all rows is hot; there are fewer hot keys than its inverse.
+HOT_KEYS = 1000
+
+
+def join_skewed(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows joined with a table that has each key once, and in `weight` the number of rows with it (dropped).
+
+    Rows of hot keys stay where they are, as the table's rows for these, fewer than HOT_KEYS, are broadcast; only
+    the rest is shuffled by key.  Both sides should be cheap to read twice.  Null keys match nothing.
+    """
+    total, top = table.agg(F.sum(weight), F.max(weight)).first()
+    limit = (total or 0) // HOT_KEYS
+    if (top or 0) <= max(limit, 1):
+        return rows.join(table.drop(weight), key)
+    hot = F.broadcast(table.filter(F.col(weight) > limit).drop(weight))
+    cold = rows.join(F.broadcast(table.filter(F.col(weight) > limit).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(cold.join(table.filter(F.col(weight) <= limit).drop(weight), key))

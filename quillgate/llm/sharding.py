@@ -1,9 +1,10 @@
 """Operator 5: sharding by longest-processing-time scheduling.
 
 Groups of equal texts stay together.  Sorted by size, each goes to the least-loaded shard through a heap.  The
-schedule depends on sizes alone, so the driver gets only how many groups have each size (fewer than twice the
-square root of all bytes, whatever the number of groups), and equal sizes are dealt in bulk.  Which group of a
-size goes to which shard is settled by its rank among them, which executors work out.
+schedule depends on sizes alone, so the driver gets only how many groups, of how many bytes, each class of sizes has:
+sizes that agree in their first bits, at most 32,000 classes whatever the corpus.  Groups of a class are dealt in bulk
+at their mean size; which of them goes where is settled by their rank by a hash of the text, which executors work out,
+so that what single sizes are off the mean cancels out.
 """
 
 from __future__ import annotations
@@ -12,13 +13,20 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import cut, look_up, prepare
+from .runtime import cut, join_skewed, look_up, prepare
 
-#: Rows that are ranked together, and the bytes a size table may have to be broadcast.
-RANK_TOGETHER, BROADCAST_BYTES = 20_000, 8 << 20
+#: Rows that are ranked together, and bits of a size that tell its class.
+RANK_TOGETHER, BITS = 20_000, 11
+
+
+def size_class(size: str) -> Column:
+    """Sizes under 2 ** BITS are classes of their own; larger ones lose their lowest bits, so that a class spans a
+    thousandth of its size and there are 1,024 for each doubling, 32,000 up to a terabyte, however many sizes there are."""
+    low = f"greatest(length(bin({size})) - {BITS}, 0)"
+    return F.expr(f"shiftleft(shiftright({size}, {low}), {low})")
 
 
 def schedule(sizes: np.ndarray, counts: np.ndarray, shards: int) -> np.ndarray:
@@ -68,30 +76,28 @@ def shard(df: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "
             F.coalesce(F.unhex(F.sha2(t, 256)), F.lit("null").cast("binary")).alias("key"),
         )
     )
-    groups = cut(rows.groupBy("key").agg(F.sum("size").alias("total"), F.count("*").alias("rows")))
-    hist = groups.groupBy("total").agg(F.count("*").alias("n"), F.sum("rows").alias("rows")).toPandas().sort_values("total", ascending=False)
-    n_rows = int(hist["rows"].sum())
-    counts = hist["n"].to_numpy(np.int64)
-    quota = schedule(hist["total"].to_numpy(np.int64), counts, shards).cumsum(1)
-    sizes, parts = hist["total"].to_numpy(np.int64), np.maximum(1, -(-counts // RANK_TOGETHER))
-    until = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * shards, pa.int32()), pa.array(quota.ravel(), pa.int64()))
-    table = spark.createDataFrame(pa.table({"total": sizes, "parts": parts, "until": until}))
-    if len(sizes) * (shards * 8 + 32) <= BROADCAST_BYTES:
-        table = F.broadcast(table)
-    dealt = groups.select("key", "total").join(table, "total").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+    groups = cut(rows.groupBy("key").agg(F.sum("size").alias("total"), F.count("*").alias("rows")).withColumn("class", size_class("total")))
+    hist = groups.groupBy("class").agg(F.count("*").alias("n"), F.sum("total").alias("bytes"), F.sum("rows").alias("rows")).toPandas()
+    hist = hist.sort_values("class", ascending=False)
+    n_rows, counts = int(hist["rows"].sum()), hist["n"].to_numpy(np.int64)
+    quota = schedule(hist["bytes"].to_numpy(np.int64) // np.maximum(counts, 1), counts, shards).cumsum(1)
+    classes, parts = hist["class"].to_numpy(np.int64), np.maximum(1, -(-counts // RANK_TOGETHER))
+    until = pa.ListArray.from_arrays(pa.array(np.arange(len(classes) + 1) * shards, pa.int32()), pa.array(quota.ravel(), pa.int64()))
+    table = F.broadcast(spark.createDataFrame(pa.table({"class": classes, "parts": parts, "until": until})))  # a row for each class
+    dealt = groups.select("key", "class", "rows").join(table, "class").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
     if (parts > 1).any():
         # Sizes of very many groups are ranked in parts; each part starts where those before it end.
-        starts = dealt.filter("parts > 1").groupBy("total", "part").agg(F.count("*").alias("n"))
-        before = Window.partitionBy("total").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        starts = starts.select("total", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-        dealt = look_up(dealt, starts, ["total", "part"], int(parts[parts > 1].sum()))
+        starts = dealt.filter("parts > 1").groupBy("class", "part").agg(F.count("*").alias("n"))
+        before = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = starts.select("class", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+        dealt = look_up(dealt, starts, ["class", "part"], int(parts[parts > 1].sum()))
     else:
         dealt = dealt.withColumn("start", F.lit(0))
-    rank = F.coalesce(F.col("start"), F.lit(0)) + F.row_number().over(Window.partitionBy("total", "part").orderBy("key")) - 1
-    dealt = dealt.withColumn("rank", rank).select("key", F.size(F.filter("until", lambda u: u <= F.col("rank"))).alias("shard"))
+    rank = F.coalesce(F.col("start"), F.lit(0)) + F.row_number().over(Window.partitionBy("class", "part").orderBy("key")) - 1
+    dealt = dealt.withColumn("rank", rank).select("key", "rows", F.size(F.filter("until", lambda u: u <= F.col("rank"))).alias("shard"))
     parts = max(8, -(-n_rows // (shards * RANK_TOGETHER)))
     placed = cut(
-        rows.join(dealt, "key").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int").alias("part"))
+        join_skewed(rows, cut(dealt), "key", "rows").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int").alias("part"))
     )
     starts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

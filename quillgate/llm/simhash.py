@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, forest
-from .runtime import cut, map_texts, prepare
+from .components import components, forest, least_of_components
+from .runtime import cut, join_skewed, map_texts, prepare
 
 SHINGLE, SEED, LIMIT = 4, 42, 4
 SEGMENTS, EQUAL = 7, 3
@@ -172,11 +172,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     """
     prepare(df.sparkSession)
     rows = cut(fingerprints(df.select(df[doc_id].alias("doc_id"), df[text].alias("__t")), ["doc_id"], "__t"))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     roots = components(links(distinct.select("fp"), ring, bucket)).withColumnRenamed("node", "fp")
-    rooted = cut(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    rooted = cut(distinct.join(roots, "fp", "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root")))
+    named = cut(least_of_components(rooted, "fp", "least"))
+    return join_skewed(rows, named, "fp", "copies").select("doc_id", "fp", "component_id")
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

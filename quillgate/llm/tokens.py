@@ -41,7 +41,7 @@ def decode(
     df: DataFrame, keep: Iterable[str] = ("doc_id",), ids: str = "ids", vocabulary: str | None = None
 ) -> DataFrame:
     """The columns of `keep`, then the text that the ids stand for, special tokens kept.  Null ids decode to
-    an empty text; bytes that form no character become U+FFFD."""
+    an empty text; bytes that form no character become U+FFFD.  Repeated rows decode alike; an empty table gives no rows."""
     path = vocabulary or bpe.default_vocabulary()
     keep = list(keep)
     kept = df.select(*keep, df[ids].cast("array<int>").alias("__ids"))
@@ -61,7 +61,8 @@ def round_trip(
     df: DataFrame, keep: Iterable[str] = ("doc_id",), text: str = "text", vocabulary: str | None = None
 ) -> DataFrame:
     """Encode and decode every text in one pass; n_tokens, and SHA-256 (lowercase hex) of the ids as
-    little-endian unsigned 32-bit integers and of the decoded text in UTF-8."""
+    little-endian unsigned 32-bit integers and of the decoded text in UTF-8.  A null text is an empty one; repeated rows
+    give equal rows; an empty table gives no rows."""
     path = vocabulary or bpe.default_vocabulary()
 
     def work(texts: list[str | None]) -> dict:
@@ -76,49 +77,120 @@ def round_trip(
 
 
 class PrefixCounts:
-    """Exact token counts of the prefixes of one text, from the prefix table and without re-encoding."""
+    """Exact token counts of the prefixes of one text, from the prefix table and without re-encoding.
 
-    def __init__(self, text: str, vocabulary: str | None = None):
-        self.text = text
-        self.table = bpe.prefix_table(vocabulary or bpe.default_vocabulary())
-        pieces = [p[9:] if p.startswith("\0special ") else p for p in self.table.vocab.pieces(text)]
-        words, _ = self.table.look_up([text])
-        self.start = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
-        ends = self.table.start[words] + self.table.size[words] - 1
-        self.before = np.concatenate([[0], np.cumsum(self.table.pool[ends])]).astype(np.int64)
+    Positions are bytes of the text in UTF-8 within, characters in `at` and `fit`.  `words` are the text's word
+    numbers in the table; they are copied out of it, as later look-ups may empty the table.
+    """
 
-    def at(self, chars: int) -> int:
-        """Tokens of text[:chars].  Only the last two words before the cut can be split otherwise than in
+    def __init__(self, text: str, vocabulary: str | None = None, words: np.ndarray | None = None):
+        self.raw = text.encode("utf-8", "surrogatepass")
+        self.table = bpe.prefix_table(vocabulary or bpe.default_vocabulary())
+        if words is None:
+            words, _ = self.table.look_up([text])
+        self.size = self.table.size[words]
+        self.values = self.table.values(words)
+        self.start = np.concatenate([[0], np.cumsum(self.size)])
+        self.before = np.concatenate([[0], np.cumsum(self.values[self.start[1:] - 1])]).astype(np.int64) if len(words) else np.zeros(1, np.int64)
+
+    def _exact(self, byte: int) -> int:
+        """Tokens of the text's first bytes.  Only the last two words before the cut can be split otherwise than in
         the whole text; their counts come from the table."""
-        if chars <= 0:
+        if byte <= 0:
             return 0
-        if chars >= len(self.text):
+        if byte >= len(self.raw):
             return int(self.before[-1])
-        i = int(np.searchsorted(self.start, chars, "left")) - 1
-        i = max(0, i - 1)
-        tail, _ = self.table.look_up([self.text[int(self.start[i]) : chars]])
+        i = max(0, int(np.searchsorted(self.start, byte, "left")) - 2)
+        tail, _ = self.table.look_up([self.raw[int(self.start[i]) : byte].decode("utf-8", "surrogatepass")])
         ends = self.table.start[tail] + self.table.size[tail] - 1
         return int(self.before[i] + self.table.pool[ends].sum())
 
+    def _byte(self, chars: int) -> int:
+        """The byte at which a character starts."""
+        return len(self.raw.decode("utf-8", "surrogatepass")[:chars].encode("utf-8", "surrogatepass"))
+
+    def at(self, chars: int) -> int:
+        """Tokens of text[:chars]."""
+        return self._exact(self._byte(chars)) if chars > 0 else 0
+
+    def fit_bytes(self, budget: int) -> int:
+        """Bytes of the longest prefix, in whole characters, of at most `budget` tokens.
+
+        A prefix cannot reach past the first characters of the word after the one in which the budget runs out, as
+        these only can join with white space before them.  Inside a word the table's entries are exact from its
+        fourth character on: until then a cut may split contractions and white space otherwise, and strings of
+        special tokens are words of common letters as long as they are cut short.  There the cut is counted anew.
+        """
+        if self.before[-1] <= budget:
+            return len(self.raw)
+        w = int(np.searchsorted(self.before, max(budget, 0), "right")) - 1
+        at = self._back(int(self.start[w + 1]), 2)
+        while at > 0:
+            i = int(np.searchsorted(self.start, at, "left")) - 1
+            begin, end = int(self.start[i]), int(self.start[i + 1])
+            if begin + 12 < at <= end and not self.raw[begin:end].startswith(b"<|"):
+                room = budget - int(self.before[i])
+                # Entries of cuts inside characters are not asked.
+                lead = np.frombuffer(self.raw[begin + 13 : at + 1] + (b"a" if at == len(self.raw) else b""), np.uint8) & 0xC0 != 0x80
+                good = np.flatnonzero((self.values[begin + 12 : at] <= room) & lead)
+                if len(good):
+                    return begin + 13 + int(good[-1])
+                at = begin + 12
+                while self.raw[at] & 0xC0 == 0x80:
+                    at -= 1
+                continue
+            if self._exact(at) <= budget:
+                return at
+            at -= 1
+            while at > 0 and self.raw[at] & 0xC0 == 0x80:
+                at -= 1
+        return 0
+
+    def _back(self, byte: int, chars: int) -> int:
+        """The end of so many characters from a byte on."""
+        for _ in range(chars):
+            if byte < len(self.raw):
+                byte += 1
+                while byte < len(self.raw) and self.raw[byte] & 0xC0 == 0x80:
+                    byte += 1
+        return byte
+
     def fit(self, budget: int) -> int:
         """The most characters that a prefix of at most `budget` tokens has."""
-        if self.at(len(self.text)) <= budget:
-            return len(self.text)
-        low, high = 0, min(len(self.text), int(self.start[np.searchsorted(self.before, budget, "right")]) + 2)
-        for n in range(high, low, -1):
-            if self.at(n) <= budget:
-                return n
-        return 0
+        return len(self.raw[: self.fit_bytes(budget)].decode("utf-8", "surrogatepass"))
+
+
+def prefix_tokens(
+    df: DataFrame, lengths: str, keep: Iterable[str] = ("doc_id",), text: str = "text", vocabulary: str | None = None
+) -> DataFrame:
+    """The columns of `keep`, then n_tokens array<bigint>: the exact counts of the text's prefixes of so many
+    characters as column `lengths` (array<int>) asks for, in its order.
+
+    Lengths under 0 count as 0, over the text's as the whole text, null lengths give null.  A null text counts as an
+    empty one, null lengths as none.  No text is encoded; no shuffle.
+    """
+    path, keep = vocabulary or bpe.default_vocabulary(), list(keep)
+    kept = df.select(*keep, df[text].cast("string").alias("__text"), df[lengths].cast("array<int>").alias("__at"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-2])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t, asked in zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist()):
+                p = PrefixCounts(t or "", path)
+                out.append([None if n is None else p.at(n) for n in asked or []])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(out, pa.list_(pa.int64()))], names=[*keep, "n_tokens"])
+
+    return kept.mapInArrow(run, f"{schema}, n_tokens array<bigint>" if schema else "n_tokens array<bigint>")
 
 
 def count(
     df: DataFrame, keep: Iterable[str] = ("doc_id",), text: str = "text", limit: int = 1024, vocabulary: str | None = None
 ) -> DataFrame:
     """Exact counts of whole texts from the prefix table: n_bytes (UTF-8), n_tokens, over_limit
-    (n_tokens > limit), and fit_bytes, the bytes of the whole words, plus the largest part of the word after
-    them, whose table entries sum to at most `limit` tokens.
+    (n_tokens > limit), and fit_bytes, the bytes of the longest prefix in whole characters of at most `limit` tokens.
 
-    Null and empty texts count zero.  Texts are taken whole; no shuffle.
+    Null and empty texts count zero.  Texts are taken whole; repeated rows count alike; no shuffle.
     """
     path = vocabulary or bpe.default_vocabulary()
 
@@ -131,12 +203,24 @@ def count(
         cut = np.concatenate([[0], np.cumsum(n)])
         total, n_bytes = tokens[cut[1:]] - tokens[cut[:-1]], size[cut[1:]] - size[cut[:-1]]
         fit = n_bytes.copy()
-        for i in np.flatnonzero(total > limit).tolist():
-            w = int(np.searchsorted(tokens, tokens[cut[i]] + limit, "right")) - 1  # words before it fit
-            room = limit - int(tokens[w] - tokens[cut[i]])
-            at = int(table.start[words[w]])
-            inside = table.pool[at : at + int(table.size[words[w]])] <= room
-            fit[i] = size[w] - size[cut[i]] + (len(inside) if inside.all() else int(np.argmin(inside)))
+        over = np.flatnonzero(total > limit).tolist()
+        # All are made before the first is asked: asking may empty the table.
+        known = [PrefixCounts(texts[i], path, words[cut[i] : cut[i + 1]]) for i in over]
+        for i, p in zip(over, known):
+            fit[i] = p.fit_bytes(limit)
         return {"n_bytes": n_bytes, "n_tokens": total, "over_limit": total > limit, "fit_bytes": fit}
 
     return map_texts(df, keep, text, "n_bytes bigint, n_tokens bigint, over_limit boolean, fit_bytes bigint", work)
+
+
+def truncate(
+    df: DataFrame, budget: int, keep: Iterable[str] = ("doc_id",), text: str = "text", vocabulary: str | None = None
+) -> DataFrame:
+    """The columns of `keep`, then fit_text: the longest prefix of each text of at most `budget` tokens, in whole
+    characters.  A null text gives an empty one; no text is encoded; no shuffle."""
+    path = vocabulary or bpe.default_vocabulary()
+
+    def work(texts: list[str | None]) -> dict:
+        return {"fit_text": [t[: PrefixCounts(t, path).fit(budget)] if t else "" for t in texts]}
+
+    return map_texts(df, keep, text, "fit_text string", work)

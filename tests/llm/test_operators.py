@@ -74,12 +74,33 @@ def test_prefix_counts(odd, library):
         p = tokens.PrefixCounts(t)
         assert [p.at(k) for k in range(len(t) + 1)] == [len(library.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)]
         assert p.fit(3) == max(k for k in range(len(t) + 1) if p.at(k) <= 3)
+    for r in tokens.truncate(odd, 2, ["text"]).collect():
+        t = r.text or ""
+        assert r.fit_text == t[: tokens.PrefixCounts(t).fit(2)]
+    asked = odd.selectExpr("text", "array(0, 1, 3, 100000, null, -1) as at")
+    for r in tokens.prefix_tokens(asked, "at", ["text"]).collect():
+        count = lambda k, t=r.text or "": len(library.encode(t[: max(k, 0)], add_special_tokens=False).ids)
+        assert r.n_tokens == [None if k is None else count(k) for k in (0, 1, 3, 100000, None, -1)]
     for r in tokens.count(odd, ["text"]).collect():
         n = len(library.encode(r.text or "", add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((r.text or "").encode()), n, n > 1024) and r.fit_bytes <= r.n_bytes
     assert tokens.count(empty(odd)).count() == 0
 
 
+def test_longest_prefix_in_a_budget(library):
+    """Against the library for every prefix: longest in tokens, whole characters, whitespace and contractions that a cut splits otherwise."""
+    rng = random.Random(3)
+    parts = [*"aeiotnsrhl  \n\t'’éßñü一½²\x1c\x85　😀_-=*#0129.,!?ABΩж", "<|endoftext|>", "'re", "'ll", "   ", " " * 10, "aaaa", "====", "ing", "ationalization", "<|end"]
+    for _ in range(300):
+        t = "".join(rng.choices(parts, k=rng.randint(0, 60)))
+        n = [len(library.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)]
+        p = tokens.PrefixCounts(t)
+        assert [p.at(k) for k in range(len(t) + 1)] == n, t
+        for budget in (0, 1, 2, 3, rng.randint(0, max(n) + 1)):
+            assert p.fit(budget) == max(k for k in range(len(t) + 1) if n[k] <= budget), (t, budget)
+            assert p.fit_bytes(budget) == len(t[: p.fit(budget)].encode())
+
+
 def test_quality(odd, spark, sf):
     got = quality.quality(odd).collect()
     assert len(got) == odd.count() and all(r.base_failed for r in got if r.n_words < 20)
