@@ -12,31 +12,35 @@ from quillgate.llm.runtime import prepare
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that fail the base rules or lie outside the fertility bands."""
+    """Drop documents that fail the base rules or lie outside the fertility bands.  Null and empty texts fail; repeated
+    rows fare alike; no documents give none; the columns stay as they are, whatever they are named."""
     prepare(spark)
     return quality.keep_good(docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters or of an ambiguous language."""
+    """Drop documents without letters or of an ambiguous language.  Null and blank texts go; a null lang or id trains
+    nothing; repeated rows fare alike; no documents give none; the columns stay as they are."""
     prepare(spark)
     return langid.keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component of near-duplicates."""
+    """Keep one document of each component of near-duplicates: the least id, of its repeated rows one.  Rows without an id
+    stay; null and wordless texts are copies of each other; no documents give none; the columns stay as they are."""
     prepare(spark)
     return simhash.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or drop documents so that the sources' words meet their targets."""
+    """Repeat or drop documents so that the sources' words meet their targets.  Null texts have no words and are taken at
+    their source's rate; a null source is a source of its own; repeated rows count each; no documents give none."""
     prepare(spark)
     return mixing.take_mix(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document."""
+    """Token ids of each document.  A null or empty text has none; repeated rows give equal rows; no documents give none."""
     prepare(spark)
     return tokens.encode(docs, keep=["doc_id", "source"])
 
@@ -54,11 +58,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over sf_dir's documents, through the shared checkpoint folder."""
+    """All stages over sf_dir's documents, through the shared checkpoint folder.  Each stage's table is removed once
+    the next one is written; the last one's stays, as the result reads it."""
     prepare(spark)
     top = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
         docs = spark.read.parquet(f"{top}/{k}")
+        if k:
+            _remove(spark, f"{top}/{k - 1}")
     return docs
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
