@@ -43,9 +43,8 @@ def components(links: DataFrame) -> DataFrame:
             )
 
 
-def least_of_components(nodes: DataFrame, node: str, value: str) -> DataFrame:
-    """nodes (node, root, value) -> (node, component_id, ...): the least value of each root's nodes, in place of
-    root and value.  A component of very many nodes is no hot key."""
+def least_of_components(nodes: DataFrame, value: str) -> DataFrame:
+    """nodes (root, value, ...) with component_id, the least value among the nodes of a root, in place of both.  A component of very many nodes is no hot key."""
     least = cut(nodes.groupBy("root").agg(F.min(value).alias("component_id"), F.count("*").alias("__n")))
     return join_skewed(nodes.drop(value), least, "root", "__n").drop("root")
 

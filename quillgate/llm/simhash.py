@@ -60,6 +60,8 @@ class Ring:
     """Segments, budgets, masks and key tables for a limit."""
 
     def __init__(self, limit: int = LIMIT, segments: int = SEGMENTS, equal: int = EQUAL):
+        if limit % 2 or not 0 <= limit <= segments - equal:
+            raise ValueError(f"limit must be even and at most {segments - equal}, so that {equal} segments are equal and large buckets have words half way")
         self.limit, self.segments = limit, segments
         cuts = [64 * i // segments for i in range(segments + 1)]
         self.mask = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
@@ -158,8 +160,6 @@ def links(distinct: DataFrame, ring: Ring | None = None, bucket: int = BUCKET) -
         hubs = near.groupBy("word").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("word", "hub")
         star = near.join(hubs, "word").filter("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
         found = found.union(star)
-        if ring.limit % 2:
-            raise ValueError("large buckets are linked through words half way; the limit must be even")
     return found.distinct()
 
 
@@ -175,7 +175,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     roots = components(links(distinct.select("fp"), ring, bucket)).withColumnRenamed("node", "fp")
     rooted = cut(distinct.join(roots, "fp", "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root")))
-    named = cut(least_of_components(rooted, "fp", "least"))
+    named = cut(least_of_components(rooted, "least"))
     return join_skewed(rows, named, "fp", "copies").select("doc_id", "fp", "component_id")
 
 

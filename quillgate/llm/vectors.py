@@ -1,11 +1,12 @@
 """Operator 7: near-duplicate embeddings by a pivot-permutation index.
 
-Reference points (pivots) are vectors of the corpus that lie well apart.  Every vector is described by its
-nearest pivots; each pivot's inverted list holds the vectors that name it.  Two vectors of a list that share at
-least SHARED pivots are candidates, and a candidate's cosine is verified in double precision.  A pair counts in
-the list of the least pivot that both name, so it counts once and no pair is ever emitted: a list returns only
-each vector's number of links and a spanning forest of them.  Lists longer than BLOCK are dealt out as pairs of
-blocks to as many tasks.  Equal vectors are one entry with a weight.
+Reference points (pivots) are vectors of the corpus that lie well apart.  Every vector is described by its NAMED
+nearest pivots.  Vectors that share at least two of them are candidates, so the inverted lists are kept by pairs of
+pivots: a list holds the vectors that name both.  Pairs that occur grow in number with the pivots and with how many
+lie near each other, so lists stay some fifty times shorter than those of single pivots.  A candidate's cosine is
+verified in double precision, in the list of the two least pivots that both name, so it counts once and no pair is ever
+emitted: a list returns only each vector's number of links and a spanning forest of them.  Lists longer than BLOCK are
+dealt out as pairs of blocks to as many tasks.  Equal vectors are one entry with a weight.
 
 The pivots are chosen from a sample (of about 16 times the square root of the distinct vectors, at most
 4 * MOST_PIVOTS, by a hash of the vector); every vector is indexed.
@@ -20,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, forest
-from .runtime import cut, prepare
+from .components import components, forest, least_of_components
+from .runtime import cut, join_skewed, prepare
 
 COSINE = 0.95
-#: Pivots named by each vector, shared pivots of a candidate pair, most pivots, cosine under which pivots lie apart.
-NAMED, SHARED, MOST_PIVOTS, APART = 8, 2, 16_384, 0.7
+#: Pivots named by each vector, most pivots, cosine under which pivots lie apart.
+NAMED, MOST_PIVOTS, APART = 6, 16_384, 0.7
 BLOCK = 1024
 
 
@@ -59,62 +60,72 @@ def nearest(x: np.ndarray, pivots: np.ndarray, named: int = NAMED) -> np.ndarray
     return near
 
 
-def _meet(pivot: int, left: tuple, right: tuple | None, cosine: float, shared: int):
+def _pairs(near: np.ndarray) -> np.ndarray:
+    """Names of the lists of each row: each pair of its pivots, or the one pivot that there is, twice."""
+    near = np.sort(near, 1)
+    i, j = np.triu_indices(near.shape[1], 1) if near.shape[1] > 1 else (np.array([0]), np.array([0]))
+    return near[:, i] << 32 | near[:, j]
+
+
+def _meet(pair: int, left: tuple, right: tuple | None, cosine: float):
     """Links between the two blocks of a list (or within one): mask over left x right."""
     x, near = left
     y, near2 = right if right is not None else left
+    first, second = pair >> 32, pair & 0xFFFFFFFF
     names = np.unique(np.concatenate([near.ravel(), near2.ravel()]))
+    names = names[(names < second) & (names != first)]
 
     def marks(n):
-        m = np.zeros((len(n), len(names)), np.float32)
-        m[np.arange(len(n))[:, None], np.searchsorted(names, n)] = 1
-        return m
+        m = np.zeros((len(n), len(names) + 1), np.float32)
+        at = np.searchsorted(names, n)
+        known = np.zeros(n.shape, bool) if not len(names) else names[np.minimum(at, len(names) - 1)] == n
+        m[np.arange(len(n))[:, None], np.where(known, at, len(names))] = 1
+        return m[:, :-1]
 
-    a, b = marks(near), marks(near2)
-    lower = names < pivot
-    candidate = (a @ b.T >= shared) & (a[:, lower] @ b[:, lower].T == 0)
-    return candidate & (x @ y.T >= cosine)
+    # The list is that of the two least pivots that both name: they share no other below the second.
+    linked = x @ y.T >= cosine
+    return linked & (marks(near) @ marks(near2).T == 0) if len(names) else linked
 
 
-def _index(rep: DataFrame, size: int, cosine: float, shared: int) -> DataFrame:
+def _index(rep: DataFrame, size: int, cosine: float) -> DataFrame:
     """rep (node, copies, embedding) of one dimension -> rows (kind, a, b): 0 links of a node, 1 a link."""
     spark = rep.sparkSession
     n = rep.count()
     most = int(min(MOST_PIVOTS, max(16, 4 * n**0.5)))
     sample = rep.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(4 * most).toArrow()
     shared_pivots = spark.sparkContext.broadcast(choose_pivots(_matrix(sample.column(0)), most))  # at most MOST_PIVOTS rows
-    need = min(shared, len(shared_pivots.value), NAMED)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
                 near = nearest(_matrix(b.column(2)), shared_pivots.value)
-                ends = pa.array(np.arange(len(b) + 1) * near.shape[1], pa.int32())
-                listed = pa.ListArray.from_arrays(ends, pa.array(near.ravel(), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*b.columns, listed], names=[*b.schema.names, "near"])
+                listed = [pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel(), t)) for v, t in ((near, pa.int32()), (_pairs(near), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*b.columns, *listed], names=[*b.schema.names, "near", "pairs"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rep.schema.fields)
-    named = cut(rep.mapInArrow(name, f"{fields}, near array<int>"))
-    lists = named.select("*", F.explode("near").alias("pivot"))
-    sizes = lists.groupBy("pivot").count().select("pivot", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    lists = lists.join(F.broadcast(sizes), "pivot")  # a row for each pivot, MOST_PIVOTS at most
-    lists = lists.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lists = lists.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("blocks", "other")
+    named = cut(rep.mapInArrow(name, f"{fields}, near array<int>, pairs array<bigint>"))
+    # Names of lists alone are counted first: vectors travel only to lists that hold another one.
+    entries = named.select("node", F.explode("pairs").alias("pair"))
+    lists = cut(entries.groupBy("pair").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
+    entries = join_skewed(entries, lists, "pair", "n")
+    entries = entries.withColumn("block", F.pmod(F.xxhash64("node", "pair"), F.col("blocks")).cast("int"))
+    entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    entries = entries.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("blocks", "other")
+    lists = entries.join(named.select("node", "copies", "embedding", "near"), "node")
 
     def verify(key, t):
-        pivot, low, high = (k.as_py() for k in key)
+        pair, low, high = (k.as_py() for k in key)
         node, copies = t["node"].to_numpy(), t["copies"].to_numpy()
         x, near = _matrix(t["embedding"]), np.array(t["near"].to_pylist(), np.int64)
         if low == high:
-            linked = _meet(pivot, (x, near), None, cosine, need)
+            linked = _meet(pair, (x, near), None, cosine)
             np.fill_diagonal(linked, False)
             n_links = linked @ copies
             edges = forest(linked | linked.T)
         else:
             block = t["block"].to_numpy()
             i, j = np.flatnonzero(block == low), np.flatnonzero(block == high)
-            found = _meet(pivot, (x[i], near[i]), (x[j], near[j]), cosine, need) if len(i) and len(j) else np.zeros((len(i), len(j)), bool)
+            found = _meet(pair, (x[i], near[i]), (x[j], near[j]), cosine) if len(i) and len(j) else np.zeros((len(i), len(j)), bool)
             n_links = np.zeros(len(node), np.int64)
             n_links[i], n_links[j] = found @ copies[j], found.T @ copies[i]
             linked = np.zeros((len(node), len(node)), bool)
@@ -126,11 +137,11 @@ def _index(rep: DataFrame, size: int, cosine: float, shared: int) -> DataFrame:
         b = np.concatenate([n_links[has], node[[e[1] for e in edges]]]) if edges else n_links[has]
         return pa.table({"kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return lists.groupBy("pivot", "low", "high").applyInArrow(verify, "kind int, a bigint, b bigint")
+    return lists.groupBy("pair", "low", "high").applyInArrow(verify, "kind int, a bigint, b bigint")
 
 
 def near_duplicates(
-    df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, shared: int = SHARED
+    df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE
 ) -> DataFrame:
     """One row for each row of df: vec_id, n_links, component_id, kept.
 
@@ -143,21 +154,22 @@ def near_duplicates(
     rows = df.select(df[vec_id].alias("vec_id"), df[embedding].alias("embedding"))
     number = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
     fit = F.coalesce(F.forall("embedding", number) & F.exists("embedding", lambda v: v != 0), F.lit(False))
-    good = rows.filter(fit)
-    rep = good.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    # Equal vectors by 128 bits of hash, so that no vector is a shuffle key.
+    key = F.concat_ws("-", F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding"))
+    good = rows.filter(fit).withColumn("key", key)
+    rep = good.groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.any_value("embedding").alias("embedding"))
     rep = cut(rep.withColumn("node", F.monotonically_increasing_id()))
     found = None
     for (size,) in rep.select(F.size("embedding")).distinct().collect():  # one index for each length of vectors
-        part = cut(_index(rep.filter(F.size("embedding") == size).select("node", "copies", "embedding"), size, cosine, shared))
+        part = cut(_index(rep.filter(F.size("embedding") == size).select("node", "copies", "embedding"), size, cosine))
         found = part if found is None else found.union(part)
     alone = rows.filter(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if found is None:
         return alone.withColumn("kept", F.col("vec_id").isNotNull())
     links = found.filter("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n"))
     roots = components(found.filter("kind = 1").select("a", "b"))
-    joined = rep.select("node", "least", "copies", "embedding").join(links, "node", "left").join(roots, "node", "left")
-    joined = cut(joined.select("embedding", "least", F.coalesce("root", "node").alias("root"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.select("embedding", "root", "n_links").join(least, "root").select("embedding", "n_links", "component_id")
-    out = good.join(named, "embedding").select("vec_id", "n_links", "component_id").union(alone)
+    joined = rep.select("node", "key", "least", "copies").join(links, "node", "left").join(roots, "node", "left")
+    joined = cut(joined.select("key", "least", "copies", F.coalesce("root", "node").alias("root"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")))
+    named = cut(least_of_components(joined, "least"))
+    out = join_skewed(good.select("vec_id", "key"), named, "key", "copies").select("vec_id", "n_links", "component_id").union(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

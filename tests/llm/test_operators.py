@@ -238,6 +238,25 @@ def test_pigeonring_loses_nothing():
     assert not ring.pairs(np.array([0b11111], np.uint64)).any()
 
 
+def test_ring_refuses_what_it_cannot_do():
+    for limit in (-2, 1, 3, 5, 6):
+        with pytest.raises(ValueError):
+            simhash.Ring(limit)
+
+
+def test_components_of_hubs(spark):
+    """A hub of most links, and a component of most nodes: broadcast, not shuffled, and the same result."""
+    from quillgate.llm import runtime
+
+    links = spark.range(1, 6000).selectExpr("if(id < 5000, 7000, id) as a", "if(id < 5000, id, id + 10000) as b")
+    got = {r.node: r.root for r in components.components(links).collect()}
+    assert all(got[i] == 1 for i in (*range(1, 5000), 7000)) and all(got[i] == i for i in range(5000, 6000) if i != 7000)
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', cast(id as string)) as k", "id")
+    table = rows.groupBy("k").count().withColumnRenamed("count", "n").withColumn("v", F.col("n") * 2)
+    joined = runtime.join_skewed(rows, table, "k", "n")
+    assert joined.columns == ["k", "id", "v"] and joined.count() == 3000 and joined.filter("k = 'hot' and v = 2000").count() == 1000
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(0, 60)] + [(100 + rng.randint(0, 40), 100 + rng.randint(0, 40)) for _ in range(30)] + [(200, 200), (300, None)]
@@ -289,7 +308,7 @@ def test_vectors(spark, monkeypatch):
     x[140] = 3 * x[141]
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     rows += [(800, None), (801, []), (802, [0.0] * 16), (803, [float("nan")] * 16), (804, [None] + [1.0] * 15), (805, [1.0, 2.0]), (806, [2.0, 4.0]), (None, rows[300][1])]
-    monkeypatch.setattr(vectors, "BLOCK", 64)
+    monkeypatch.setattr(vectors, "BLOCK", 16)
     got = {r.vec_id: r for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     linked = unit @ unit.T >= 0.95
