@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from . import lexicon as lx
-from .rules import Not, all_of, any_of, bounded, pattern, patterns, phrases, settle, substrings
+from .rules import Hits, Not, all_of, any_of, bounded, pattern, patterns, phrases, settle, substrings
 
 market = any_of(
     phrases(lx.MARKET),
@@ -104,29 +104,43 @@ DETECTORS = {
 }
 
 
+HITS = Hits([*(p for rule in DETECTORS.values() for p in rule.patterns()), "|".join(f"(?:{p})" for p in lx.DISCLAIMERS)])
+
+
 @F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def normalise(text: Column) -> Column:
     """Format and control characters dropped (but line feed and tab), compatibility forms and split syllables
     composed, look-alike letters folded to Latin.  ASCII texts stay within the JVM."""
-    plain = F.regexp_replace(text, r"[\p{Cf}\p{Cc}&&[^\n\t]]", "")
-    folded = F.translate(_nfkc(F.when(~plain.rlike(r"^\p{ASCII}*$"), plain)), lx.LOOKALIKES, lx.LOOK_LIKE)
-    return F.when(plain.rlike(r"^\p{ASCII}*$"), plain).otherwise(folded)
+    wide = F.when(~is_ascii(text), F.regexp_replace(text, r"[\p{Cf}\p{Cc}&&[^\n\t]]", ""))
+    folded = F.translate(_nfkc(F.when(~is_ascii(wide), wide)), lx.LOOKALIKES, lx.LOOK_LIKE)
+    return F.when(is_ascii(text), F.regexp_replace(text, r"[\x00-\x08\x0b-\x1f\x7f]", "")).otherwise(F.coalesce(folded, wide))
+
+
+DISCLAIMER = "|".join(f"(?:{p})" for p in lx.DISCLAIMERS)
 
 
-def without_disclaimers(text: Column) -> Column:
-    return F.regexp_replace(text, "(?iuUd)" + "|".join(lx.DISCLAIMERS), " ")
+def without_disclaimers(text: Column, hits: Column) -> Column:
+    return F.when(HITS.may_match(hits, DISCLAIMER), F.regexp_replace(text, "(?iuUd)" + DISCLAIMER, " ")).otherwise(text)
 
 
 def detect(df: DataFrame, text: str = "claim_text") -> DataFrame:
     """df with a boolean column for each detector.  Null texts match nothing."""
     base = settle(df, {"__text": F.coalesce(normalise(F.col(text)), F.lit(""))})
-    base = settle(base, {"__lower": F.lower("__text"), "__advice": without_disclaimers(F.col("__text"))})
-    base = base.withColumn("__advice_lower", F.lower("__advice"))
-    cols = {"text": F.col("__text"), "lower": F.col("__lower")}
-    advice = {"text": F.col("__advice"), "lower": F.col("__advice_lower")}
+    base = settle(base, {"__lower": F.lower("__text")}).withColumn("__hits", HITS.find(F.col("__lower")))
+    base = settle(base, {"__advice": without_disclaimers(F.col("__text"), F.col("__hits"))})
+    base = base.withColumn("__advice_lower", F.when(F.col("__advice") != F.col("__text"), F.lower("__advice")))
+    base = base.withColumn("__advice_hits", HITS.find(F.col("__advice_lower")))
+    cols = {"text": F.col("__text"), "lower": F.col("__lower"), "hits": F.col("__hits"), "rules": HITS}
+    advice = {
+        "text": F.col("__advice"), "lower": F.coalesce("__advice_lower", "__lower"), "hits": F.coalesce("__advice_hits", "__hits"), "rules": HITS,
+    }
     out = settle(base, {k: r.column(advice if k == "d_action" else cols) for k, r in DETECTORS.items()})
-    return out.drop("__text", "__lower", "__advice", "__advice_lower")
+    return out.drop("__text", "__lower", "__advice", "__advice_lower", "__hits", "__advice_hits")

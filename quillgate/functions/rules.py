@@ -1,65 +1,131 @@
 """A small algebra of text predicates that compiles to a Spark Column or to DuckDB SQL.
 
 Detectors are data: words, substrings and patterns joined by and, or, not.  One alternation per list keeps each
-predicate a single pass inside whole-stage codegen.
+predicate a single pass.  Every pattern names literals of which a match must hold one; a single automaton looks for all
+literals of all rules in one pass over a batch of texts, and a pattern runs only on texts that hold one of its own.
 """
 
 from __future__ import annotations
 
 import re
-import re._parser as _parser
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import lru_cache
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, ShortType
 
+_ATOM = re.compile(r"\\[dDsSwWbB]|\\.|\[(?:\\.|[^\]\\])*\]|\(\?<[=!]|\(\?[=!]|\(\?[a-zA-Z-]+\)|\(\?(?:[a-zA-Z-]*:)|\(|\)|\||[*+?]|\{\d*,?\d*\}|.", re.S)
 
+
+@lru_cache(None)
 def triggers(pattern: str) -> frozenset[str] | None:
     """Lower-case literals of which every match of the pattern holds at least one; None if there are none.
 
     `contains` over a few literals is far cheaper than the pattern, and most texts hold none of them.
     """
-    return _needed(_parser.parse(pattern, re.IGNORECASE))
+    atoms = _ATOM.findall(pattern)
+    found, end = _needed(atoms, 0)
+    if end != len(atoms):
+        raise ValueError(f"unbalanced pattern: {pattern}")
+    return found
 
 
-def _needed(tokens) -> frozenset[str] | None:
-    best, run = None, ""
+def _better(a: frozenset | None, b: frozenset | None) -> frozenset | None:
+    """The set whose shortest literal is longer; of those alike the smaller."""
+    if a is None or b is None:
+        return a or b
+    return max(a, b, key=lambda s: (min(map(len, s)), -len(s)))
 
-    def better(a, b):
-        if a is None or b is None:
-            return a or b
-        return max(a, b, key=lambda s: (min(map(len, s)), -len(s)))
 
-    for op, arg in [*tokens, (None, None)]:
-        name = str(op)
-        if name == "LITERAL":
-            run += chr(arg).lower()
-            continue
+def _needed(atoms: list[str], i: int) -> tuple[frozenset[str] | None, int]:
+    """Literals needed by the alternatives from place i on, up to the parenthesis that closes them."""
+    branches: list[frozenset | None] = []
+    best, run = None, ""
+
+    def flush() -> None:
+        nonlocal best, run
         if len(run) > 1 or (run and ord(run[0]) > 127):
-            best = better(best, frozenset([run]))
-        run, found = "", None
-        if name == "SUBPATTERN":
-            found = _needed(arg[3])
-        elif name == "BRANCH":
-            parts = [_needed(b) for b in arg[1]]
-            found = frozenset().union(*parts) if all(parts) else None
-        elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
-            found = _needed(arg[2])
-        best = better(best, found)
-    return best
-
-
-def may_match(lower: Column, pattern: str) -> Column | None:
-    """A cheap necessary condition for the pattern, on lower-cased text."""
-    words = triggers(pattern)
-    if not words:
-        return None
-    # A literal that holds another asks nothing new.
-    words = sorted(w for w in words if not any(o != w and o in w for o in words))
-    out = lower.contains(words[0])
-    for w in words[1:]:
-        out = out | lower.contains(w)
-    return out
+            best = _better(best, frozenset([run]))
+        run = ""
+
+    while i < len(atoms) and atoms[i] != ")":
+        atom, inner, group = atoms[i], None, False
+        i += 1
+        if atom == "|":
+            flush()
+            branches.append(best)
+            best = None
+            continue
+        if atom.startswith("(") and not atom.endswith(")"):
+            inner, i = _needed(atoms, i)
+            i += 1
+            group = True
+            if atom[:3] in ("(?=", "(?!", "(?<"):
+                inner = None
+        # What may be left out is not needed; a repeated literal ends its run.
+        quantifier = atoms[i] if i < len(atoms) and (atoms[i] in ("*", "+", "?") or re.fullmatch(r"\{\d*,?\d*\}", atoms[i])) else ""
+        if quantifier:
+            i += 1
+            if i < len(atoms) and atoms[i] in ("?", "+"):
+                i += 1
+        optional = quantifier in ("*", "?") or quantifier.startswith(("{0", "{,"))
+        literal = atom[1:] if len(atom) == 2 and atom[0] == "\\" and not atom[1].isalnum() else atom if len(atom) == 1 and atom not in ".^$" else ""
+        if literal and not quantifier:
+            run += literal.lower()
+            continue
+        flush()
+        if literal and not optional:
+            run = literal.lower()
+            flush()
+        if group and not optional:
+            best = _better(best, inner)
+    flush()
+    branches.append(best)
+    return (frozenset().union(*branches) if all(branches) else None), i
+
+
+def _least(words: Iterable[str]) -> list[str]:
+    """Without literals that hold another one: they ask nothing new."""
+    return sorted(w for w in words if not any(o != w and o in w for o in words))
+
+
+class Hits:
+    """The literals of many patterns, and columns that tell which of them a text holds."""
+
+    def __init__(self, patterns: Iterable[str]):
+        self.words = sorted({w for p in patterns for w in _least(triggers(p) or ())})
+        self.place = {w: i for i, w in enumerate(self.words)}
+
+    def find(self, lower: Column) -> Column:
+        """array<smallint>: places of the literals that the lower-cased text holds; null for null."""
+        words = tuple(self.words)
+
+        @F.pandas_udf(ArrayType(ShortType()))
+        def found(texts: pd.Series) -> pd.Series:
+            machine = _machine(words)
+            return texts.map(lambda t: sorted({i for _, held in machine.iter(t) for i in held}), na_action="ignore")
+
+        return found(lower)
+
+    def may_match(self, hits: Column, pattern: str) -> Column | None:
+        words = triggers(pattern)
+        if not words:
+            return None
+        return F.arrays_overlap(hits, F.array(*[F.lit(self.place[w]).cast("smallint") for w in _least(words)]))
+
+
+@lru_cache(4)
+def _machine(words: tuple[str, ...]):
+    """An Aho-Corasick automaton; each of its words gives its place and those of the words within it."""
+    machine = ahocorasick.Automaton()
+    for i, w in enumerate(words):
+        machine.add_word(w, (i,))
+    machine.make_automaton()
+    return machine
 
 
 def _escape(phrase: str) -> str:
@@ -75,10 +141,14 @@ class Match:
     on: str = "text"
     re2: str | None = None
 
-    def column(self, cols: dict[str, Column]) -> Column:
-        hit, gate = cols[self.on].rlike("(?Ud)" + self.pattern), may_match(cols["lower"], self.pattern)
+    def column(self, cols: dict) -> Column:
+        """cols: text, lower, hits (a column of Hits.find) and rules (its Hits)."""
+        hit, gate = cols[self.on].rlike("(?Ud)" + self.pattern), cols["rules"].may_match(cols["hits"], self.pattern)
         return hit if gate is None else gate & hit
 
+    def patterns(self) -> list[str]:
+        return [self.pattern]
+
     def sql(self, cols: dict[str, str]) -> str:
         p = self.re2 if self.re2 is not None else self.pattern
         return f"regexp_matches({cols[self.on]}, '{p.replace(chr(39), chr(39) * 2)}')"
@@ -95,6 +165,9 @@ class Join:
             out = (out & p.column(cols)) if self.kind == "AND" else (out | p.column(cols))
         return out
 
+    def patterns(self) -> list[str]:
+        return [x for p in self.parts for x in p.patterns()]
+
     def sql(self, cols):
         return "(" + f" {self.kind} ".join(p.sql(cols) for p in self.parts) + ")"
 
@@ -106,6 +179,9 @@ class Not:
     def column(self, cols):
         return ~self.part.column(cols)
 
+    def patterns(self) -> list[str]:
+        return self.part.patterns()
+
     def sql(self, cols):
         return f"(NOT {self.part.sql(cols)})"
 

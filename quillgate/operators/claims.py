@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgate.functions.rules import settle
+
 # Page furniture of forums, in the order in which it is removed (twice)
 NOISE = [
     r"로그인\s+회원가입\s*\|\s*아이디\s+비번찾기", r"(?:증권포럼|재테크포럼|보험포럼)\s*입니다\.", r"\b(?:재테크포럼|보험포럼)\b", r"파워링크\s+등록안내",
@@ -40,7 +42,8 @@ LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 #: Characters of a claim at least; of a reply at least; words of a heading at most.
 LEAST, LEAST_REPLY = 8, 10
 _HOLD = "\u0001"
-_ANY_NOISE = r"\d|로그인|포럼|파워링크|추천|첨부파일|목록|댓글|이전글|작성|신고|스크랩|조회"
+#: What every pattern of the chain needs: a word of the furniture, numbers in front, or a time at the end.
+_ANY_NOISE = r"로그인|포럼|파워링크|추천|첨부파일|목록|댓글|이전글|작성|신고|스크랩|조회|등록일|^\s*[0-9\p{Nd}]+\s+\p{Nd}|\p{Nd}:\p{Nd}\p{Nd}\s*$"
 
 
 def _sub(c: Column, p: str, to: str = " ") -> Column:
@@ -53,8 +56,13 @@ def squeeze(c: Column) -> Column:
 
 
 def strip_noise(c: Column) -> Column:
-    """The noise chain runs only where one of its words or a digit occurs."""
-    cleaned = reduce(_sub, NOISE + NOISE, c)
+    """The noise chain runs only where something that it needs occurs.  It is cut into short methods by lambdas."""
+
+    def step(t: Column, part: list[str]) -> Column:
+        return F.get(F.transform(F.array(t), lambda x: reduce(_sub, part, x)), F.lit(0))
+
+    chain = NOISE + NOISE
+    cleaned = reduce(step, [chain[i : i + 6] for i in range(0, len(chain), 6)], c)
     return squeeze(F.when(c.rlike(_ANY_NOISE), cleaned).otherwise(c))
 
 
@@ -65,9 +73,10 @@ def _words(c: Column) -> Column:
 def _lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     trimmed = lambda x: F.regexp_replace(x, r"(?U)^[\s\u001c-\u001f]+|[\s\u001c-\u001f]+$", "")
     raw = df.select(*keys, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), LINE_BREAK)).alias("pos", "raw"))
-    raw = raw.withColumn("raw", trimmed(F.col("raw")))
+    raw = settle(raw, {"raw": trimmed(F.col("raw"))})
     r, ends = F.col("raw"), F.col("raw").rlike("[.!?。！？]$")
-    raw = raw.withColumns(
+    raw = settle(
+        raw,
         {
             "blank": r == "",
             "table": r.rlike(r"(?U)\d") & ~ends & r.rlike(" {2,}") & (_words(r) <= 6),
@@ -76,12 +85,12 @@ def _lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
             )
             | (r.rlike(FOOTER) & (_sub(_sub(r, FOOTER, ""), r"[\d,.\s|/·:\-]", "") == "")),
             "clean": strip_noise(r),
-        }
+        },
     )
     c, label = F.col("clean"), r"(?Ud)^([^\s:]{1,20}?)(님)?\s*:\s*(.+)$"
     rest = F.trim(F.regexp_extract(c, label, 3))
     reply = c.rlike(label) & ((F.regexp_extract(c, label, 2) != "") | F.regexp_extract(c, label, 1).rlike(r"^[A-Za-z0-9_.\-]{1,20}$"))
-    raw = raw.withColumns({"trivial": reply & (F.length(rest) < LEAST_REPLY), "line": F.when(reply, rest).otherwise(c)})
+    raw = settle(raw, {"trivial": reply & (F.length(rest) < LEAST_REPLY), "line": F.when(reply, rest).otherwise(c)})
     x = F.col("line")
     ends = x.rlike("[.!?。！？]$")
     capitals = x.rlike("[A-Za-z]") & ~x.rlike(r"(?U)\p{Ll}|\p{Lo}|\p{Lm}|\p{Lt}") & ~ends & (_words(x) <= 5)
@@ -97,7 +106,7 @@ def _lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
         .otherwise("text")
     )
     payload = F.when(F.col("table"), c).when(x.rlike(bullet), item).otherwise(x)
-    return raw.select(*keys, "pos", kind.alias("kind"), payload.alias("payload"))
+    return settle(raw, {"kind": kind, "payload": payload}).select(*keys, "pos", "kind", "payload")
 
 
 def hold_abbreviations(c: Column) -> Column:

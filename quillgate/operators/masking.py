@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillgate.functions import detectors as dt
 from quillgate.functions import lexicon as lx
 from quillgate.functions.detectors import normalise
-from quillgate.functions.rules import may_match, settle
+from quillgate.functions.rules import Hits, settle
 
 # What stands in for masked language
 ACTION, PRICE, RISK, PROFIT = "[blocked-investment-action]", "[blocked-price-level]", "[blocked-risk-order]", "[blocked-profit-order]"
@@ -55,38 +55,47 @@ CONTEXT = [
     (r"조심(?:들)?(?:하|해|하세요|해야)", URGENCY),
     *((p, ACTION) for p in lx.ADVICE_KO_CONTEXT if not p.startswith(("조심", "권고"))),
 ]
+HITS = Hits([dt.DISCLAIMER, lx.PRICE_TICKER, *(p for p, _ in GENERAL + FINANCE + FINANCE_LATE + CONTEXT), *dt.finance_context.patterns()])
 
 
 def _chain(text: Column, masks: list[tuple[str, str]]) -> Column:
     """All masks in order; each runs only where one of its literals occurs."""
 
     def one(t: Column, m: tuple[str, str]) -> Column:
-        gate, mask_ = may_match(F.col("__low"), m[0]), F.lit("(?iuUd)" + m[0])
-        # One reference to t at each step: the pattern, not the result, depends on the gate.
-        return F.regexp_replace(t, mask_ if gate is None else F.when(gate, mask_).otherwise(F.lit("(?!)")), F.lit(m[1]))
+        done, gate = lambda x: F.regexp_replace(x, F.lit("(?iuUd)" + m[0]), F.lit(m[1])), HITS.may_match(F.col("__hits"), m[0])
+        # An array of one names the text, so that the masks before it are not copied into both branches.
+        return done(t) if gate is None else F.get(F.transform(F.array(t), lambda x: F.when(gate, done(x)).otherwise(x)), F.lit(0))
 
     return reduce(one, masks, text)
 
 
-
-
 def mask(df: DataFrame, text: str, mode: str, out: str) -> DataFrame:
     """df with `out`: text masked for its mode (finance where null).  Advice disclaimers survive; tokens that masks
     leave are not masked again.  Null stays null."""
-    held, gap = "(?iuUd)" + "|".join(f"(?:{p})" for p in lx.DISCLAIMERS), "\ue000"
+    held, gap = "(?iuUd)" + dt.DISCLAIMER, "\ue000"
     finance = F.coalesce(F.col(mode), F.lit("finance")) == "finance"
-    df = settle(df, {"__plain": F.regexp_replace(normalise(F.col(text)), r"[\ue000-\uf8ff]", "")})
-    df = df.withColumns({"__kept": F.regexp_extract_all("__plain", F.lit(held), 0), "__masked": F.regexp_replace("__plain", held, gap)})
-    df = settle(df, {"__low": F.lower("__plain"), "__masked": F.col("__masked")})
-    df = settle(df, {"__masked": F.regexp_replace(_chain(F.col("__masked"), GENERAL), "(?Ud)" + lx.PRICE_TICKER, PRICE)})
+    plain = normalise(F.col(text))
+    df = settle(df, {"__plain": plain})
+    df = settle(df, {"__plain": F.when(dt.is_ascii(F.col("__plain")), F.col("__plain")).otherwise(F.regexp_replace("__plain", r"[\ue000-\uf8ff]", ""))})
+    df = settle(df, {"__low": F.lower("__plain")}).withColumn("__hits", HITS.find(F.col("__low")))
+    some = HITS.may_match(F.col("__hits"), dt.DISCLAIMER)
+    none = F.array().cast("array<string>")
+    df = settle(df, {
+        "__kept": F.when(some, F.regexp_extract_all("__plain", F.lit(held), 0)).otherwise(none),
+        "__masked": F.when(some, F.regexp_replace("__plain", held, gap)).otherwise(F.col("__plain")),
+    })
+    df = settle(df, {"__masked": _chain(F.col("__masked"), GENERAL)})
+    # The ticker is held to capitals.
+    ticker = HITS.may_match(F.col("__hits"), lx.PRICE_TICKER)
+    df = settle(df, {"__masked": F.when(ticker, F.regexp_replace("__masked", "(?Ud)" + lx.PRICE_TICKER, PRICE)).otherwise(F.col("__masked"))})
     # Projections between the long chains keep each generated method small.
     df = settle(df, {"__masked": F.when(finance, _chain(F.col("__masked"), FINANCE)).otherwise(F.col("__masked"))})
     df = settle(df, {"__masked": F.when(finance, _chain(F.col("__masked"), FINANCE_LATE)).otherwise(F.col("__masked"))})
-    context = dt.finance_context.column({"text": F.col("__plain"), "lower": F.col("__low")})
+    context = dt.finance_context.column({"text": F.col("__plain"), "lower": F.col("__low"), "hits": F.col("__hits"), "rules": HITS})
     df = settle(df, {"__masked": F.when(finance & context, _chain(F.col("__masked"), CONTEXT)).otherwise(F.col("__masked"))})
     pieces = F.split("__masked", gap)
     whole = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.when(i < F.size(pieces) - 1, F.coalesce(F.get("__kept", i), F.lit(""))).otherwise(""))), "")
-    return df.withColumn(out, F.when(F.col("__plain").isNotNull(), whole)).drop("__plain", "__kept", "__masked", "__low")
+    return df.withColumn(out, F.when(F.col("__plain").isNotNull(), whole)).drop("__plain", "__kept", "__masked", "__low", "__hits")
 
 
 def escape_inline(text: Column) -> Column:
