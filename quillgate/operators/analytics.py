@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgate.functions import lexicon as lx
 
 from .classify import BUCKETS, bucket, risky_unresolved
+from .joins import join_groups
 from .numbering import number_within
 
 _c = F.col
@@ -20,7 +21,12 @@ LEAD_INS = [
     r"^(?:another|second|third)\s+account\s+(?:says|claimed|claims|repeats|repeated)\s+",
 ]
 LIGHT_WORDS = ["a", "an", "the", "that", "this", "so", "and"]
-FUZZY_TYPES = ["rumor", "unverified_causality", "opinion_or_frame", "reported_claim", "needs_official_source"]
+FUZZY_TYPES = ["reported_claim", "opinion_or_frame", "unverified_causality", "rumor", "unobservable"]
+EXACT_FLAGS = ["repetition_without_lineage", "source_laundering_risk"]
+FUZZY_FLAGS = [*EXACT_FLAGS, "fuzzy_variant_grouped"]
+BUNDLE_FLAGS = ["bundle_repetition_without_lineage", "bundle_source_laundering_risk"]
+EXACT_NOTE = "Repeated text was detected; v0 does not treat repetition as independent corroboration."
+FUZZY_NOTE = "Similar social/community assertion variants were grouped; repetition is not independent corroboration."
 FACT_LEVELS = ["report_fact_bucket", "report_observation_bucket"]
 
 
@@ -52,30 +58,78 @@ def bucket_counts(claims: DataFrame) -> DataFrame:
     return every.join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def exact_repetition(claims: DataFrame, run: str, order: str) -> DataFrame:
+def exact_repetition(claims: DataFrame, run: str, order: str, bounds: list[float] | None = None) -> DataFrame:
     """Claims with the size of their group of equal normalised text within a run, and its number in order of first
     appearance (numbers count all groups, ids are given to those with more than one).  Group sizes and first
-    places are pre-aggregated, so a text repeated very often is no hot window."""
+    places are pre-aggregated, so a text repeated very often is no hot window; a null run is a run of its own."""
     groups = claims.groupBy(run, "normalized_claim_hash").agg(F.count("*").alias("source_count"), F.min(order).alias("first"))
-    groups = number_within(groups, [run], "first", "number")
+    groups = number_within(groups, [run], "first", "number", bounds=bounds)
     groups = groups.withColumn("duplicate_group_id", F.when(_c("source_count") > 1, F.format_string("dup_%03d", "number"))).drop("first", "number")
-    return claims.join(groups, [run, "normalized_claim_hash"])
+    return join_groups(claims, groups, [run, "normalized_claim_hash"], "source_count")
+
+
+def _crowd_variants(claims: DataFrame) -> Column:
+    crowd = _c("source_type").isin("community", "social") & _c("claim_type").isin(FUZZY_TYPES)
+    key = F.when(crowd, variant(_c("claim_text"), 20))
+    return F.when(key != "", key)
 
 
 def fuzzy_repetition(claims: DataFrame, run: str, order: str) -> DataFrame:
     """Groups of community and social claims that say the same in other words: run, key, members, first."""
-    crowd = claims.filter(_c("source_type").isin("community", "social") & _c("claim_type").isin(FUZZY_TYPES))
-    keyed = crowd.withColumn("variant_key", variant(_c("claim_text"), 20)).filter("variant_key <> ''")
+    keyed = claims.withColumn("variant_key", _crowd_variants(claims)).filter("variant_key is not null")
     return keyed.groupBy(run, "variant_key").agg(F.count("*").alias("members"), F.min(order).alias("first_member")).filter("members > 1")
 
 
-def cross_source_groups(claims: DataFrame, order: str) -> DataFrame:
-    """Texts that several sources carry: numbered by hash, with their sources and the first example."""
-    keyed = claims.filter("claim_type <> 'excluded'").withColumn("key", hash16(variant(_c("claim_text"), 24)))
-    groups = keyed.groupBy("key").agg(
+def with_flags(flags: Column, more: list[str], when: Column) -> Column:
+    """The flags, and those of `more` that are not among them, in order."""
+    return F.when(when, F.concat(flags, F.array_except(F.array(*map(F.lit, more)), flags))).otherwise(flags)
+
+
+def repetition_policy(claims: DataFrame, run: str, order: str, bounds: list[float] | None = None) -> DataFrame:
+    """Claims after the policy on repetition: duplicate_group_id, source_count, lineage_note, more flags, a low tier
+    raised to medium, and at most one independent source for what is repeated.
+
+    Equal texts of a run are a group.  Then variants of what community and social sources say are, unless a member
+    has a group already; these are numbered on after the exact groups, and every variant takes a number.
+    """
+    kept = [c for c in claims.columns if c not in ("source_count", "duplicate_group_id", "lineage_note")]
+    rows = exact_repetition(claims.select(*kept), run, order, bounds).withColumn("__variant", _crowd_variants(claims))
+    variants = rows.filter("__variant is not null").groupBy(run, "__variant").agg(
+        F.count("*").alias("__members"), F.min(order).alias("__first"), F.bool_or(_c("duplicate_group_id").isNotNull()).alias("__taken")
+    )
+    multiple = rows.filter("duplicate_group_id is not null").groupBy(F.col(run).alias("__run")).agg(F.count_distinct("duplicate_group_id").alias("__before"))
+    variants = number_within(variants, [run], "__first", "__number", bounds=bounds)
+    variants = variants.join(multiple, _c(run).eqNullSafe(_c("__run")), "left").drop("__run", "__first")
+    fuzzy_id = F.format_string("dup_fuzzy_%03d", _c("__number") + F.coalesce("__before", F.lit(0)))
+    variants = variants.withColumn("__fuzzy", F.when((_c("__members") > 1) & ~_c("__taken"), fuzzy_id)).drop("__taken", "__number", "__before")
+    loose = rows.filter("__variant is null").withColumns({"__members": F.lit(0).cast("long"), "__fuzzy": F.lit(None).cast("string")})
+    rows = join_groups(rows.filter("__variant is not null"), variants, [run, "__variant"], "__members").unionByName(loose)
+    exact, fuzzy = _c("duplicate_group_id").isNotNull(), _c("__fuzzy").isNotNull()
+    flags = with_flags(with_flags(_c("risk_flags"), EXACT_FLAGS, exact), FUZZY_FLAGS, fuzzy)
+    rows = rows.withColumns(
+        {
+            "risk_flags": flags,
+            "risk_tier": F.when((exact | fuzzy) & (_c("risk_tier") == "low"), "medium").otherwise(_c("risk_tier")),
+            "independent_source_count": F.when(exact | fuzzy, F.least("independent_source_count", F.lit(1))).otherwise(_c("independent_source_count")),
+            "lineage_note": F.when(exact, EXACT_NOTE).when(fuzzy, FUZZY_NOTE),
+            "source_count": F.when(fuzzy, _c("__members")).otherwise(_c("source_count")),
+            "duplicate_group_id": F.coalesce("duplicate_group_id", "__fuzzy"),
+        }
+    )
+    return rows.select(*kept, "source_count", "duplicate_group_id", "lineage_note")
+
+
+def _shared_variants(claims: DataFrame) -> tuple[DataFrame, Column]:
+    """Groups of more than one claim and source that say the same, numbered by hash; and the key of a claim."""
+    text = variant(_c("claim_text"), 24)
+    key = F.when((_c("claim_type") != "excluded") & (text != ""), hash16(text))
+    run = F.coalesce(_c("run_id"), F.lit("")) if "run_id" in claims.columns else _c("source_name")
+    order = _c("at") if "at" in claims.columns else _c("claim_text")
+    groups = claims.withColumn("key", key).filter("key is not null").groupBy("key").agg(
         F.count("*").alias("claims"),
         F.array_join(F.array_sort(F.collect_set("source_name")), ",").alias("sources"),
         F.count_distinct("source_name").alias("n_sources"),
+        F.count_distinct(run).alias("n_runs"),
         F.min_by("claim_text", order).alias("example"),
     )
     groups = groups.filter("claims > 1 and n_sources > 1")
@@ -85,7 +139,21 @@ def cross_source_groups(claims: DataFrame, order: str) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parted.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     numbered = parted.withColumn("rank", rank).join(F.broadcast(starts), "part")  # 256 parts at most
-    return numbered.select(F.format_string("bundle_dup_%03d", _c("start") + _c("rank")).alias("group_id"), "key", "claims", "sources", "n_sources", "example")
+    group_id = F.format_string("bundle_dup_%03d", _c("start") + _c("rank")).alias("group_id")
+    return numbered.select(group_id, "key", "claims", "sources", "n_sources", "n_runs", "example"), key
+
+
+def cross_source_groups(claims: DataFrame) -> DataFrame:
+    """Texts that several sources carry: group_id, key, claims, sources, n_sources, n_runs, and the first example (by
+    `at`, if there is such a column).  Claims without a word, and excluded ones, are in none."""
+    return _shared_variants(claims)[0]
+
+
+def flag_shared(claims: DataFrame) -> DataFrame:
+    """Claims with bundle_duplicate_group_id, and two more flags for those of a group of several sources."""
+    groups, key = _shared_variants(claims)
+    rows = join_groups(claims.withColumn("__key", key), groups.select(_c("key").alias("__key"), _c("group_id").alias("bundle_duplicate_group_id"), _c("claims").alias("__n")), ["__key"], "__n")
+    return rows.withColumn("risk_flags", with_flags(_c("risk_flags"), BUNDLE_FLAGS, _c("bundle_duplicate_group_id").isNotNull())).drop("__key", "__n")
 
 
 # Amounts and the words of a metric's context
@@ -94,6 +162,7 @@ KO_AMOUNT = r"(?:\d[\d,]*\s*[조억만천]\s*)+원?|\d[\d,]*\s*원"
 KO_PARTICLE = r"(?:은|는|이|가|을|를|의|에서|에|으로|로|와|과|도|만|고|며|라고|이라고)$"
 KO_STOP = ["이다", "한다", "했다", "있다", "됐다", "라고", "밝혔", "집계", "달했", "기록"]
 EN_STOP = ["the", "and", "was", "were", "are", "that", "with", "for", "from", "reported", "said", "told", "after", "about", "this"]
+CASUALTY_METRIC = "reported_people_count"
 CASUALTY = ["injured", "treated", "casualty", "casualties", "people"]
 
 
@@ -103,7 +172,7 @@ def is_casualty(text: Column) -> Column:
 
 
 def magnitude(text: Column) -> Column:
-    """The first amount: Korean units, else a percentage times 100, else a number; decimal, whole."""
+    """The first amount: Korean units, else a percentage times 100, else a number; decimal, cut to a whole number."""
     korean = F.regexp_extract(text, "(?U)" + KO_AMOUNT, 0)
     numbers = F.regexp_extract_all(korean, F.lit(r"(\d[\d,]*)\s*([조억만천])"), 1)
     units = F.regexp_extract_all(korean, F.lit(r"(\d[\d,]*)\s*([조억만천])"), 2)
@@ -118,7 +187,7 @@ def magnitude(text: Column) -> Column:
         F.when(F.size(parts) > 0, summed)
         .when(korean != "", plain)
         .when(percent != "", (percent.cast("double") * 100).cast("bigint").cast("decimal(38,0)"))
-        .when(number != "", number.cast("double").cast("decimal(38,0)"))
+        .when(number != "", F.floor(number.cast("decimal(38,6)")).cast("decimal(38,0)"))
     )
 
 
@@ -132,12 +201,21 @@ def context_key(text: Column) -> Column:
     return F.when(F.size(tokens) >= 2, F.array_join(tokens, "|")).otherwise("")
 
 
+def shown_amount(text: Column) -> Column:
+    """The first amount as it is written, white space squeezed."""
+    korean = F.regexp_extract(text, "(?U)" + KO_AMOUNT, 0)
+    percent = F.regexp_extract(text, r"\d+(?:\.\d+)?\s*(?:%|percent|퍼센트|프로)", 0)
+    number = F.regexp_extract(text, r"\d[\d,]*(?:\.\d+)?", 0)
+    return F.trim(F.regexp_replace(F.when(korean != "", korean).when(percent != "", percent).otherwise(number), r"(?U)\s+", " "))
+
+
 def numeric_divergence(claims: DataFrame) -> DataFrame:
     """Contexts for which several sources give several amounts; casualty claims are left to their own rule."""
     rows = claims.filter((_c("claim_type") != "excluded") & ~is_casualty(_c("claim_text")))
-    rows = rows.select("source_name", magnitude(_c("claim_text")).alias("magnitude"), context_key(_c("claim_text")).alias("context"))
+    rows = rows.select("source_name", magnitude(_c("claim_text")).alias("magnitude"), shown_amount(_c("claim_text")).alias("value"), context_key(_c("claim_text")).alias("context"))
     groups = rows.filter("magnitude is not null and context <> ''").groupBy("context").agg(
-        F.count_distinct("magnitude").alias("n_values"), F.count_distinct("source_name").alias("n_sources"), F.count("*").alias("claims")
+        F.count_distinct("magnitude").alias("n_values"), F.count_distinct("source_name").alias("n_sources"), F.count("*").alias("claims"),
+        F.array_join(F.array_sort(F.collect_set("value")), ", ").alias("shown"), F.array_join(F.array_sort(F.collect_set("source_name")), ", ").alias("sources"),
     )
     return groups.filter("n_values > 1 and n_sources > 1")
 
@@ -151,7 +229,8 @@ def casualty_divergence(claims: DataFrame) -> DataFrame:
     rows = claims.filter((_c("claim_type") != "excluded") & is_casualty(_c("claim_text")))
     rows = rows.select("source_name", value.alias("value"), F.when(context == "", "unscoped").otherwise(context).alias("event")).filter("value <> ''")
     groups = rows.groupBy("event").agg(
-        F.array_join(F.array_sort(F.collect_set("value")), ",").alias("reported"), F.count_distinct("value").alias("n_values"), F.count_distinct("source_name").alias("n_sources")
+        F.array_join(F.array_sort(F.collect_set("value")), ",").alias("reported"), F.count_distinct("value").alias("n_values"), F.count_distinct("source_name").alias("n_sources"),
+        F.array_join(F.array_sort(F.collect_set("source_name")), ", ").alias("sources"),
     )
     return groups.filter("n_values > 1 and n_sources > 1")
 
@@ -168,12 +247,12 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     return out.select("key", "status", ((_c("status") == "repeated") & (_c("risky_before") | _c("risky_after"))).alias("still_unresolved"))
 
 
-def packet_ids(claims: DataFrame, issue: str, category: Column, order: str) -> DataFrame:
+def packet_ids(claims: DataFrame, issue: str, category: Column, order: str, bounds: list[float] | None = None) -> DataFrame:
     """packet_id from issue, category and text; the n-th of equal ids ends in _n.  Copies are numbered by blocks of
     ids, so that a text repeated very often is no hot window."""
     base = F.concat(F.lit("vreq_"), hash16(F.concat_ws("|", issue, category, "normalized_claim_hash")))
     rows = claims.withColumns({"category": category, "base_id": base})
-    return number_within(rows, ["base_id"], order).withColumn("packet_id", F.when(_c("nth") > 1, F.concat_ws("_", "base_id", _c("nth").cast("string"))).otherwise(_c("base_id")))
+    return number_within(rows, ["base_id"], order, bounds=bounds).withColumn("packet_id", F.when(_c("nth") > 1, F.concat_ws("_", "base_id", _c("nth").cast("string"))).otherwise(_c("base_id")))
 
 
 def gate_violations(claims: DataFrame, entity: str) -> DataFrame:
@@ -188,7 +267,7 @@ def gate_violations(claims: DataFrame, entity: str) -> DataFrame:
         (~F.coalesce(_c("output_level").isin(lx.OUTPUT_LEVELS), F.lit(False)), "unknown output level"),
         (~F.coalesce(_c("risk_tier").isin(lx.RISK_TIERS), F.lit(False)), "unknown risk tier"),
         (fact & crowd, "community or social claim is a confirmed fact"),
-        (fact & has("unobservable_evidence"), "confirmed fact is unobservable"),
+        (fact & (has("unobservable_evidence") | F.coalesce(_c("verification_status") == "unobservable", F.lit(False))), "confirmed fact is unobservable"),
         (fact & has("unsupported_causality"), "confirmed fact is causal"),
         (fact & finance & has("official_data_causality_mismatch"), "confirmed fact mismatches official data"),
         (finance & has(*lx.CRITICAL_FLAGS) & ~_c("output_level").isin("excluded", "review_only"), "critical finance claim is not excluded"),

@@ -27,6 +27,7 @@ UI_ONLY = [
     r"^\|$", r"^신고$", r"^첨부파일$", r"^목록보기$", r"^\d{1,3}$", r"^\d+\s+\d+$", r"^추천하기\s+다른의견\s+\d+$", r"^댓글주소복사$",
     r"^△\s*이전글\s*▽\s*다음글$", r"^[\w.-]+\.(?:jpg|jpeg|png|gif|webp)$", r"^Screenshot_.*$",
 ]
+# Labels and counts of posts, what is left of a line of them, and words of their footers
 META_LABEL = "작성일|등록일|작성자"
 META_COUNT = r"(?:조회수|조회|추천|댓글|스크랩|신고|목록)\s*:?\s*\d"
 META_TOKEN = (
@@ -125,9 +126,13 @@ def sentences(paragraph: Column) -> Column:
 
 def extract_claims(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, claim_no (from 1, in order of extraction), claim_id, claim_text; of claims that differ only in case
-    the first.  A null or blank text gives none."""
+    the first.  A null or blank text gives none.  Each row of df is a document of its own: null or repeated keys do
+    not run together, and number their claims apart."""
+    named, row = keys, "__row"
+    df = df.select(*keys, text).withColumn(row, F.monotonically_increasing_id())
+    keys = [*named, row]
     lines = _lines(df, keys, text).filter("kind <> 'drop'")
-    order = Window.partitionBy(*keys).orderBy("pos")
+    order = Window.partitionBy(row).orderBy("pos")
     lines = lines.withColumn("island", F.sum(F.when(F.col("kind") != "text", 1).otherwise(0)).over(order))
     # A line that flushes or emits opens its island; the text lines after it are the island's paragraph.
     told = lines.filter("kind <> 'flush'").groupBy(*keys, "island", (F.col("kind") == "text").alias("para"))
@@ -136,7 +141,7 @@ def extract_claims(df: DataFrame, keys: list[str], text: str = "text") -> DataFr
     emitted = F.filter(F.array(whole), lambda x: F.length(x) >= LEAST)
     claims = blocks.select(*keys, "at", F.posexplode(F.when(F.col("para"), sentences(whole)).otherwise(emitted)).alias("n", "claim_text"))
     claims = claims.withColumn("claim_text", squeeze(F.col("claim_text"))).filter("claim_text <> ''")
-    first = F.row_number().over(Window.partitionBy(*keys, F.lower("claim_text")).orderBy("at", "n"))
+    first = F.row_number().over(Window.partitionBy(row, F.lower("claim_text")).orderBy("at", "n"))
     kept = claims.withColumn("first", first).filter("first = 1")
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("at", "n"))
-    return kept.select(*keys, number.alias("claim_no"), F.format_string("clm_%03d", number).alias("claim_id"), "claim_text")
+    number = F.row_number().over(Window.partitionBy(row).orderBy("at", "n"))
+    return kept.select(*named, number.alias("claim_no"), F.format_string("clm_%03d", number).alias("claim_id"), "claim_text")

@@ -87,13 +87,46 @@ def decisions() -> list[tuple[Column, str, str, str, float]]:
     ]
 
 
-def _case(column: int) -> Column:
+# The note of each row of the decision table, in its order
+DISALLOWED_REASON = "Finance mode blocks investment-action, price-level, allocation, and probability language."
+NOTES = [
+    DISALLOWED_REASON,
+    "Claim depends on inaccessible or unobservable material.",
+    "Community/social manipulation-style narrative is treated as rumor and requires review.",
+    "Community/social causal claims cannot be confirmed facts.",
+    "Community/social framing is treated as a signal, not fact.",
+    "Community/social source is treated as unverified reported material.",
+    "Official data can show what happened, but this causal statement still needs support.",
+    "Official market data supports an observation, not motive.",
+    "Official source status line is treated as cautious reported status.",
+    "Company source does not confirm broad market causality.",
+    "Company claim rests on internal/private evidence or an unverifiable third-party allegation; needs an official or primary source before it can be treated as fact.",
+    "Company forward-looking, market-wide prediction is interpretation and cannot be a confirmed fact.",
+    "Company source can support company-specific factual statements.",
+    "Analyst manipulation-style framing remains unverified and requires review.",
+    "Analyst true-cause market claims remain unverified.",
+    "Analyst material is interpretation by default.",
+    "News causal explanation needs primary or independent support.",
+    "News reports a market observation; official source is preferred.",
+    "News text contains framing risk.",
+    "News is treated as reported material unless primary support is supplied.",
+    "Unknown or user-provided causal claim needs verification.",
+    "Source type is not strong enough for confirmation.",
+]
+
+
+def _decided() -> Column:
+    """The number of the first row of the table that holds."""
     out = None
-    for rule in decisions():
-        out = F.when(rule[0], F.lit(rule[column])) if out is None else out.when(rule[0], F.lit(rule[column]))
+    for i, rule in enumerate(decisions()):
+        out = F.when(rule[0], F.lit(i)) if out is None else out.when(rule[0], F.lit(i))
     return out
 
 
+def _of_row(column: int) -> Column:
+    return F.get(F.array(*[F.lit(r[column]) for r in decisions()]), _c("__row"))
+
+
 def risk_tier() -> Column:
     has = lambda f: F.arrays_overlap(_c("risk_flags"), F.array(*map(F.lit, f)))
     return (
@@ -121,9 +154,13 @@ def normalised_hash(text: Column) -> Column:
 
 def classify(claims: DataFrame) -> DataFrame:
     """claims (claim_text, source_type, mode, published_at, observable_state, ...) with flags, type, status,
-    level, confidence, tier, review, independent_source_count and normalized_claim_hash.  Detector columns stay."""
+    level, confidence, notes, the reason if disallowed, tier, review, independent_source_count and normalized_claim_hash.  Detector columns stay."""
     out = settle(detect(claims), {"risk_flags": flags()})
-    out = settle(out, {"claim_type": _case(1), "verification_status": _case(2), "output_level": _case(3), "confidence": _case(4)})
+    out = settle(out, {"__row": _decided()})
+    notes = F.get(F.array(*map(F.lit, NOTES)), _c("__row"))
+    decided = {"claim_type": _of_row(1), "verification_status": _of_row(2), "output_level": _of_row(3), "confidence": _of_row(4)}
+    decided |= {"classification_notes": notes, "disallowed_reason": F.when(_c("__row") == 0, DISALLOWED_REASON)}
+    out = settle(out, decided).drop("__row")
     out = settle(out, {"risk_tier": risk_tier()}).withColumn("needs_human_review", needs_review())
     fact = _c("claim_type").isin("confirmed_fact", "official_reported_status", "market_observation")
     return out.withColumns(

@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from quillgate.functions import lexicon as lx
 from quillgate.operators import classify
-from quillgate.operators.analytics import FACT_LEVELS, FUZZY_TYPES, LIGHT_WORDS
-from quillgate.plans.queries import _SEED, EVENTS, _claims_sql, _has, _q
+from quillgate.plans.queries import _SEED, _claims_sql, _has, _q
+from quillgate.plans.split_sql import split
 
 _C = _claims_sql()
 #: The same rules over the documents themselves.
 _P = _C.replace(_C[_C.index("(list_value('The market fell") : _C.index(" AS claim_text")], "coalesce(text, '')", 1)
 
 
+# Fixed values of the rules on repetition, stated apart from the engine's own
+FACT_LEVELS = ["report_fact_bucket", "report_observation_bucket"]
+FUZZY_TYPES = ["reported_claim", "opinion_or_frame", "unverified_causality", "rumor", "unobservable"]
+LIGHT_WORDS = ["a", "an", "the", "that", "this", "so", "and"]
+_LEADS = [
+    "^\\[[^\\]]+\\]\\s+", "^(?:a|an|the)\\s+(?:first|second|third|another)\\s+(?:social\\s+)?(?:account|post)\\s+(?:says|claimed|claims|repeats|repeated)\\s+that\\s+",
+    "^(?:a|an|the)\\s+(?:social\\s+)?(?:account|post)\\s+(?:says|claimed|claims|repeats|repeated)\\s+", "^(?:another|second|third)\\s+account\\s+(?:says|claimed|claims|repeats|repeated)\\s+",
+]
+
+
 def _in(words: list[str]) -> str:
     return ", ".join(map(_q, words))
 
@@ -39,8 +49,10 @@ _BUCKET = "CASE claim_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in cla
 
 
 def _variant(text: str, n: int) -> str:
-    """Lead-ins do not occur in the driver's tables; the rest of the normaliser as it is."""
-    words = f"regexp_split_to_array(trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g')), ' ')"
+    """Without lead-ins, punctuation and light words, cut to the first n words; null if none is left."""
+    for lead in _LEADS:
+        text = f"regexp_replace({text if text.startswith('regexp') else f'lower({text})'}, '{lead}', '')"
+    words = f"regexp_split_to_array(trim(regexp_replace({text}, '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g')), ' ')"
     return f"list_aggregate(list_slice([w for w in {words} if w NOT IN ({_in(LIGHT_WORDS)}) AND w <> ''], 1, {n}), 'string_agg', ' ')"
 
 
@@ -56,6 +68,22 @@ _GATES = [
 ]
 _PAIRS = [("d_loaded", "toxic"), ("d_action", "toxic"), ("d_causal", "quality"), ("d_market", "quality")]
 
+
+def _lead(forms: list[str], number: str) -> str:
+    """Claims of whole texts, each text led by a sentence with a number."""
+    lead = f"replace((list_value({_in(forms)}))[doc_id % {len(forms)} + 1], '{{}}', ({number})::VARCHAR)"
+    return split(f"(SELECT coalesce(source, 'none') AS source_name, {lead} || chr(10) || chr(10) || coalesce(text, '') AS text FROM documents)", "source_name", "text")
+
+
+_CASUALTY = "(regexp_matches(lower(claim_text), '\\bworkers?\\s+(?:were\\s+)?affected\\b|injured|treated|casualty|casualties|people'))"
+_GROUPED = f"""x AS (SELECT issue_id, normalized_claim_hash AS h, count(*) AS c, row_number() OVER (PARTITION BY issue_id ORDER BY min(doc_id)) AS k FROM claims GROUP BY 1, 2),
+xm AS (SELECT issue_id, count(*) AS multiple FROM x WHERE c > 1 GROUP BY 1),
+xc AS (SELECT claims.*, c, printf('dup_%03d', k) AS exact_id, CASE WHEN source_type IN ('community', 'social') AND claim_type IN ({_in(FUZZY_TYPES)}) AND {_variant("claim_text", 20)} <> ''
+  THEN {_variant("claim_text", 20)} END AS vk FROM claims JOIN x ON x.issue_id = claims.issue_id AND x.h = claims.normalized_claim_hash),
+xf AS (SELECT issue_id, vk, count(*) AS members, bool_or(c > 1) AS taken, row_number() OVER (PARTITION BY issue_id ORDER BY min(doc_id)) AS k FROM xc WHERE vk IS NOT NULL GROUP BY 1, 2),
+rep AS (SELECT xc.*, xf.members, CASE WHEN xf.members > 1 AND NOT xf.taken THEN printf('dup_fuzzy_%03d', xf.k + coalesce(xm.multiple, 0)) END AS fuzzy_id
+  FROM xc LEFT JOIN xf ON xf.issue_id = xc.issue_id AND xf.vk = xc.vk LEFT JOIN xm ON xm.issue_id = xc.issue_id)"""
+
 ORACLE_SQL: dict[str, str] = {
     "claims_by_type_tier": f"{_C} SELECT source_type, claim_type, risk_tier, count(*) AS n, count_if(needs_human_review)::BIGINT AS n_review FROM claims GROUP BY ALL",
     "claim_ledger": f"""{_C} SELECT doc_id, source_type, mode, claim_type, verification_status, output_level, confidence, risk_tier, needs_human_review,
@@ -78,19 +106,44 @@ ORACLE_SQL: dict[str, str] = {
     "fuzzy_repetition": f"""{_P}, v AS (SELECT issue_id, doc_id, {_variant("claim_text", 20)} AS k FROM claims
         WHERE source_type IN ('community', 'social') AND claim_type IN ({_in(FUZZY_TYPES)}))
         SELECT issue_id, sha256(k) AS variant, count(*) AS members, min(doc_id) AS first_member FROM v WHERE k <> '' GROUP BY issue_id, k HAVING count(*) > 1""",
-    "cross_source_groups": f"""{_P}, v AS (SELECT source_name, substr(sha256(coalesce({_variant("claim_text", 24)}, '')), 1, 16) AS key FROM claims WHERE claim_type <> 'excluded'),
+    "cross_source_groups": f"""{_P}, v AS (SELECT source_name, substr(sha256({_variant("claim_text", 24)}), 1, 16) AS key FROM claims WHERE claim_type <> 'excluded' AND {_variant("claim_text", 24)} <> ''),
         g AS (SELECT key, count(*) AS claims, array_to_string(list_sort(list_distinct(list(source_name))), ',') AS sources, count(DISTINCT source_name) AS n_sources
           FROM v GROUP BY key HAVING count(*) > 1 AND count(DISTINCT source_name) > 1)
         SELECT printf('bundle_dup_%03d', row_number() OVER (ORDER BY key)) AS group_id, key, claims, sources, n_sources FROM g""",
-    "casualty_divergence": f"""WITH {_SEED}, r AS (SELECT source_name, (doc_id % 7 + 11)::VARCHAR AS value, (list_value({_in(EVENTS)}))[doc_id % 4 + 1] AS event FROM seed)
+    "casualty_divergence": f"""WITH {_lead(["{} people were injured after the flood.", "{} people were injured after the train accident.", "{} people were injured by the factory fire.", "{} people were treated after the storm."], "doc_id % 7 + 11")},
+        r AS (SELECT source_name, replace(regexp_extract(claim_text, '\\b\\d+(?:,\\d{{3}})*(?:\\.\\d+)?\\b'), ',', '') AS value,
+          trim(regexp_replace(string_split_regex(regexp_extract(lower(claim_text), '\\b(?:after|by)\\s+(?:the\\s+)?([a-z0-9][a-z0-9\\s-]{{0,80}})', 1), '[.;,:]')[1], '\\s+', ' ', 'g')) AS event
+          FROM split_claims WHERE {_CASUALTY}),
+        e AS (SELECT source_name, value, CASE WHEN event = '' THEN 'unscoped' ELSE event END AS event FROM r WHERE value <> '')
         SELECT event, array_to_string(list_sort(list_distinct(list(value))), ',') AS reported, count(DISTINCT value) AS n_values, count(DISTINCT source_name) AS n_sources
-        FROM r GROUP BY event HAVING count(DISTINCT value) > 1 AND count(DISTINCT source_name) > 1""",
-    "numeric_divergence": f"""WITH {_SEED}, r AS (SELECT source_name, doc_id % 9 + 3 AS n, doc_id % 4 AS form FROM seed),
-        m AS (SELECT source_name, CASE form WHEN 0 THEN n::DECIMAL(38, 0) * 1000000000000 + 300000000000 WHEN 1 THEN n::DECIMAL(38, 0) * 100000000
-          WHEN 2 THEN (n * 100 + 50)::DECIMAL(38, 0) ELSE (n * 1000 + 200)::DECIMAL(38, 0) END AS magnitude,
-          CASE form WHEN 0 THEN '매출|집계됐다|회사' WHEN 1 THEN '밝혔다|영업이익' WHEN 2 THEN 'benchmark|lending|rate|reached' ELSE 'factory|output|quarterly|totalled|units' END AS context FROM r)
-        SELECT context, count(DISTINCT magnitude) AS n_values, count(DISTINCT source_name) AS n_sources, count(*) AS claims FROM m GROUP BY context
-        HAVING count(DISTINCT magnitude) > 1 AND count(DISTINCT source_name) > 1""",
+        FROM e GROUP BY event HAVING count(DISTINCT value) > 1 AND count(DISTINCT source_name) > 1""",
+    "numeric_divergence": f"""WITH {_lead(["회사 매출은 {}조 3,000억원으로 집계됐다.", "영업이익이 {}억원이라고 밝혔다.", "The benchmark lending rate reached {}.5 percent.", "Quarterly factory output totalled {},200 units.", "The mean depth of the well was {}.7 metres."], "doc_id % 9 + 3")},
+        c AS (SELECT source_name, claim_text, regexp_extract(claim_text, '(?:\\d[\\d,]*\\s*[조억만천]\\s*)+원?|\\d[\\d,]*\\s*원') AS ko,
+          regexp_extract(claim_text, '(\\d+(?:\\.\\d+)?)\\s*(?:%|percent|퍼센트|프로)', 1) AS pct, replace(regexp_extract(claim_text, '\\d[\\d,]*(?:\\.\\d+)?'), ',', '') AS num,
+          regexp_replace(regexp_replace(claim_text, '(?:\\d[\\d,]*\\s*[조억만천]\\s*)+원?|\\d[\\d,]*\\s*원', ' ', 'g'), '\\d[\\d,]*(?:\\.\\d+)?\\s*(?:%|percent|퍼센트|프로|명|원)?', ' ', 'g') AS rest
+          FROM split_claims WHERE NOT {_CASUALTY}),
+        p AS (SELECT *, regexp_extract_all(ko, '(\\d[\\d,]*)\\s*([조억만천])', 1) AS amounts, regexp_extract_all(ko, '(\\d[\\d,]*)\\s*([조억만천])', 2) AS units FROM c),
+        m AS (SELECT source_name, CASE WHEN len(amounts) > 0 THEN list_sum([CAST(replace(a, ',', '') AS HUGEINT) * CASE units[i] WHEN '조' THEN 1000000000000 WHEN '억' THEN 100000000
+              WHEN '만' THEN 10000 ELSE 1000 END for a, i in amounts])::HUGEINT WHEN ko <> '' THEN CAST(replace(regexp_extract(ko, '\\d[\\d,]*'), ',', '') AS HUGEINT)
+            WHEN pct <> '' THEN trunc(pct::DOUBLE * 100)::HUGEINT WHEN num <> '' THEN trunc(num::DOUBLE)::HUGEINT END AS magnitude,
+          list_sort(list_distinct(list_concat([w for w in [regexp_replace(k, '(?:은|는|이|가|을|를|의|에서|에|으로|로|와|과|도|만|고|며|라고|이라고)$', '') for k in regexp_extract_all(rest, '[가-힣]{{2,}}')]
+              if length(w) >= 2 AND w NOT IN ('이다', '한다', '했다', '있다', '됐다', '라고', '밝혔', '집계', '달했', '기록')],
+            [w for w in regexp_extract_all(lower(rest), '[a-z]{{3,}}') if w NOT IN ('the', 'and', 'was', 'were', 'are', 'that', 'with', 'for', 'from', 'reported', 'said', 'told', 'after', 'about', 'this')]))) AS tokens FROM p)
+        SELECT array_to_string(tokens, '|') AS context, count(DISTINCT magnitude) AS n_values, count(DISTINCT source_name) AS n_sources, count(*) AS claims FROM m
+        WHERE len(tokens) >= 2 AND magnitude IS NOT NULL GROUP BY tokens HAVING count(DISTINCT magnitude) > 1 AND count(DISTINCT source_name) > 1""",
+    "claim_split": f"""WITH {split("documents", "doc_id", "text")} SELECT doc_id, claim_no::INT AS claim_no, printf('clm_%03d', claim_no) AS claim_id, claim_text FROM split_claims""",
+    "repetition_ledger": f"""{_P}, {_GROUPED} SELECT issue_id, doc_id, CASE WHEN c > 1 THEN exact_id ELSE fuzzy_id END AS duplicate_group_id,
+        CASE WHEN c = 1 AND fuzzy_id IS NOT NULL THEN members ELSE c END AS source_count,
+        CASE WHEN claim_type IN ('confirmed_fact', 'official_reported_status', 'market_observation') AND source_type IN ('official', 'company') THEN 1 ELSE 0 END AS independent_source_count,
+        CASE WHEN risk_tier = 'low' AND (c > 1 OR fuzzy_id IS NOT NULL) THEN 'medium' ELSE risk_tier END AS risk_tier,
+        array_to_string(risk_flags || CASE WHEN c > 1 THEN ['repetition_without_lineage', 'source_laundering_risk'] WHEN fuzzy_id IS NOT NULL
+          THEN ['repetition_without_lineage', 'source_laundering_risk', 'fuzzy_variant_grouped'] ELSE [] END, ',') AS flags,
+        CASE WHEN c > 1 THEN 'Repeated text was detected; v0 does not treat repetition as independent corroboration.'
+          WHEN fuzzy_id IS NOT NULL THEN 'Similar social/community assertion variants were grouped; repetition is not independent corroboration.' END AS lineage_note FROM rep""",
+    "shared_flags": f"""{_P}, v AS (SELECT *, CASE WHEN claim_type <> 'excluded' AND {_variant("claim_text", 24)} <> '' THEN substr(sha256({_variant("claim_text", 24)}), 1, 16) END AS key FROM claims),
+        g AS (SELECT key, printf('bundle_dup_%03d', row_number() OVER (ORDER BY key)) AS gid FROM v WHERE key IS NOT NULL GROUP BY key HAVING count(*) > 1 AND count(DISTINCT source_name) > 1)
+        SELECT doc_id, gid AS bundle_duplicate_group_id, array_to_string(risk_flags || CASE WHEN gid IS NOT NULL THEN ['bundle_repetition_without_lineage', 'bundle_source_laundering_risk'] ELSE [] END, ',') AS flags
+        FROM v LEFT JOIN g USING (key)""",
     "causal_variants": f"""{_C} SELECT source_type, count(*) AS claims, count(DISTINCT substr(claim_text, 1, 120)) AS variants FROM claims WHERE claim_type = 'unverified_causality'
         GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT substr(claim_text, 1, 120)) > 1""",
     "bundle_compare": f"""{_P}, p AS (SELECT *, trim(regexp_replace(lower(claim_text), '\\s+', ' ', 'g')) AS plain FROM claims), k AS (SELECT issue_id, {_KEY} AS key, {_RISKY} AS risky FROM p),
@@ -110,8 +163,9 @@ ORACLE_SQL: dict[str, str] = {
         CASE WHEN doc_id % 7 = 0 THEN 'report_fact_bucket' ELSE output_level END AS output_level) FROM claims)
         """ + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS rule FROM x WHERE {cond}" for cond, name in _GATES),
     "orphan_rows": """SELECT 'lineitem' AS entity, count(*) AS n, count(DISTINCT l_orderkey) AS ids FROM lineitem
-        WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderkey % 2 = 0) HAVING count(*) > 0
-        UNION ALL SELECT 'labels', count(*), count(DISTINCT doc_id) FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id) HAVING count(*) > 0""",
+        WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey) HAVING count(*) > 0
+        UNION ALL SELECT 'labels', count(*), count(DISTINCT doc_id) FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id) HAVING count(*) > 0
+        UNION ALL SELECT 'documents', count(*), count(DISTINCT doc_id) FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE d.doc_id = l.doc_id) HAVING count(*) > 0""",
     "detector_confusion": f"""{_C}, p AS ({" UNION ALL ".join(f"SELECT mode, '{d}' AS detector, {e} = 1 AS expected, {d} AS predicted FROM claims JOIN labels USING (doc_id)" for d, e in _PAIRS)}),
         c AS (SELECT detector, mode, count_if(expected AND predicted)::BIGINT AS tp, count_if(NOT expected AND predicted)::BIGINT AS fp, count_if(expected AND NOT predicted)::BIGINT AS fn,
           count_if(NOT expected AND NOT predicted)::BIGINT AS tn FROM p GROUP BY GROUPING SETS ((detector), (detector, mode))),
@@ -121,9 +175,20 @@ ORACLE_SQL: dict[str, str] = {
         avg(((toxic = 1) = (risk_tier IN ('high', 'critical')))::INT) AS accuracy FROM claims JOIN labels USING (doc_id) GROUP BY 1""",
     "manifest_duplicates": f"""WITH {_SEED}, n AS (SELECT doc_id, source_name, row_number() OVER w AS nth, first_value(doc_id) OVER w AS first_at FROM seed
         WINDOW w AS (PARTITION BY source_type, lower(source_name) ORDER BY doc_id)) SELECT * FROM n WHERE nth > 1""",
-    "url_policy": """SELECT page_id, CASE WHEN url IS NULL THEN 'missing url' WHEN page_id % 5 = 0 THEN 'scheme not allowed' WHEN page_id % 5 = 1 THEN 'credentials in url'
-        WHEN page_id % 5 = 2 THEN 'address not global' WHEN page_id % 5 = 3 THEN 'port not allowed' END AS problem FROM pages""",
-    "filename_hints": """SELECT doc_id, (list_value('unknown', 'social', 'community', 'news', 'analyst', 'unknown'))[doc_id % 6 + 1] AS source_type, doc_id % 6 = 0 AS trusted_hint_ignored FROM documents""",
+    "url_policy": """WITH h AS (SELECT unnest(range(27)) AS i, unnest([
+          'address not global', 'address not global', 'address not global', 'localhost', 'address not global', 'address not global', 'host not in ASCII form',
+          'address not global', 'address not global', 'address not global', 'address not canonical', 'address not canonical', 'address not global', 'address not global',
+          'scheme not allowed', 'credentials in url', 'port not allowed', 'missing host', 'localhost', NULL, 'host not in ASCII form', NULL, NULL, NULL, 'missing url', 'scheme not allowed', 'address not canonical']) AS problem),
+        u AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host FROM pages)
+        SELECT -1 - i AS page_id, problem FROM h UNION ALL SELECT page_id, CASE WHEN coalesce(trim(url), '') = '' THEN 'missing url' WHEN NOT regexp_matches(url, '^https?:') THEN 'scheme not allowed'
+          WHEN host = '' THEN 'missing host' WHEN contains(host, '@') THEN 'credentials in url' WHEN regexp_matches(host, ':\\d+$') AND NOT regexp_matches(host, ':(80|443)$') THEN 'port not allowed'
+          WHEN regexp_matches(host, '(^|\\.)localhost$') THEN 'localhost' END FROM u""",
+    "filename_hints": """WITH n AS (SELECT doc_id, regexp_split_to_array(regexp_replace(lower(substr(regexp_replace(coalesce(text, ''), '[./\\\\\\s]+', '-', 'g'), 1, 60) || ' ' ||
+          (list_value('official_notice', 'reddit-thread', 'board_post', 'press wire', 'research note', 'plain'))[doc_id % 6 + 1]), '[^a-z0-9]+', ' ', 'g'), ' ') AS w FROM documents),
+        k AS (SELECT doc_id, CASE WHEN list_has_any(w, ['official', 'exchange', 'regulator', 'agency', 'ministry', 'gov', 'government']) THEN 'official'
+          WHEN list_has_any(w, ['social', 'tweet', 'xpost', 'x_post', 'reddit']) THEN 'social' WHEN list_has_any(w, ['community', 'forum', 'board', 'thread']) THEN 'community'
+          WHEN list_has_any(w, ['news', 'article', 'wire', 'headline', 'press']) THEN 'news' WHEN list_has_any(w, ['analyst', 'commentary', 'opinion', 'research']) THEN 'analyst' END AS hint FROM n)
+        SELECT doc_id, CASE WHEN hint = 'official' THEN 'unknown' ELSE coalesce(hint, 'unknown') END AS source_type, coalesce(hint = 'official', false) AS trusted_hint_ignored FROM k""",
     "response_rules": """WITH t AS (SELECT DISTINCT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 2 ELSE 1 END AS copies, turn % 4 <> 1 AS found, turn % 7 = 2 AS said, turn % 3 = 0 AS high
           FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
         r AS (SELECT conv_id, 'duplicate packet_id' AS rule, 1 AS k FROM t WHERE found AND copies = 2
@@ -146,3 +211,75 @@ ORACLE_SQL["comparison_lines"] = f"""WITH k AS ({ORACLE_SQL["bundle_compare"]}),
   unnest(['New claims', 'Repeated claims', 'Disappeared claims']) AS title)
 SELECT 0 AS section, -1::BIGINT AS pos, '# Comparison' AS line UNION ALL SELECT 0, 0, '' UNION ALL
 SELECT 1, n.pos, '- ' || title || ': ' || count(key) || ', still unresolved: ' || count_if(coalesce(still_unresolved, false)) FROM n LEFT JOIN k USING (status) GROUP BY n.pos, title"""
+
+# The notes of the decision table in its order, stated apart from the engine's own
+_NOTES = [
+    "Finance mode blocks investment-action, price-level, allocation, and probability language.", "Claim depends on inaccessible or unobservable material.",
+    "Community/social manipulation-style narrative is treated as rumor and requires review.", "Community/social causal claims cannot be confirmed facts.",
+    "Community/social framing is treated as a signal, not fact.", "Community/social source is treated as unverified reported material.",
+    "Official data can show what happened, but this causal statement still needs support.", "Official market data supports an observation, not motive.",
+    "Official source status line is treated as cautious reported status.", "Company source does not confirm broad market causality.",
+    "Company claim rests on internal/private evidence or an unverifiable third-party allegation; needs an official or primary source before it can be treated as fact.",
+    "Company forward-looking, market-wide prediction is interpretation and cannot be a confirmed fact.", "Company source can support company-specific factual statements.",
+    "Analyst manipulation-style framing remains unverified and requires review.", "Analyst true-cause market claims remain unverified.", "Analyst material is interpretation by default.",
+    "News causal explanation needs primary or independent support.", "News reports a market observation; official source is preferred.", "News text contains framing risk.",
+    "News is treated as reported material unless primary support is supplied.", "Unknown or user-provided causal claim needs verification.",
+    "Source type is not strong enough for confirmation.",
+]
+#: A decided row by what tells the 22 apart once they are decided: type of source, of claim, and confidence.
+_KIND = [
+    ("claim_type = 'excluded'", 0), ("claim_type = 'unobservable'", 1), ("source_type IN ('community', 'social') AND claim_type = 'rumor'", 2),
+    ("source_type IN ('community', 'social') AND claim_type = 'unverified_causality'", 3), ("source_type IN ('community', 'social') AND claim_type = 'opinion_or_frame'", 4),
+    ("source_type IN ('community', 'social')", 5), ("source_type = 'official' AND claim_type = 'unverified_causality'", 6), ("source_type = 'official' AND claim_type = 'market_observation'", 7),
+    ("source_type = 'official'", 8), ("source_type = 'company' AND claim_type = 'unverified_causality'", 9), ("source_type = 'company' AND claim_type = 'needs_official_source'", 10),
+    ("source_type = 'company' AND claim_type = 'interpretation'", 11), ("source_type = 'company'", 12), ("source_type = 'analyst' AND claim_type = 'rumor'", 13),
+    ("source_type = 'analyst' AND claim_type = 'unverified_causality'", 14), ("source_type = 'analyst'", 15), ("source_type = 'news' AND claim_type = 'unverified_causality'", 16),
+    ("source_type = 'news' AND claim_type = 'market_observation'", 17), ("source_type = 'news' AND claim_type = 'opinion_or_frame'", 18), ("source_type = 'news'", 19),
+    ("claim_type = 'unverified_causality'", 20),
+]
+_NOTE = "CASE " + " ".join(f"WHEN {c} THEN {_q(_NOTES[i])}" for c, i in _KIND) + f" ELSE {_q(_NOTES[21])} END"
+_BESIDE = "(claim_type <> 'excluded' AND source_name IN (SELECT source_name FROM claims WHERE claim_type = 'excluded'))"
+_CROWD = "(claim_type IN ('rumor', 'unobservable') OR source_type IN ('community', 'social'))"
+_FAMILY = """CASE WHEN claim_type = 'excluded' THEN 'operator_policy_review' WHEN source_type = 'official' AND regexp_matches(lower(claim_text), 'exchange|turnover|net selling') THEN 'exchange_announcement'
+  WHEN source_type = 'official' THEN 'regulator_notice' WHEN list_has_any(risk_flags, ['market_causality_claim', 'true_cause_market_claim']) THEN 'official_market_data'
+  WHEN claim_type = 'unobservable' THEN 'observable_primary_source' WHEN source_type IN ('community', 'social') THEN 'primary_source_or_official_statement'
+  WHEN source_type = 'company' THEN 'company_statement' ELSE 'official_statement' END"""
+_UNSAFE = f"""CASE WHEN claim_type = 'excluded' THEN 'Do not conclude investment action, target, allocation, trade probability, or expected profit from this excluded claim.'
+  WHEN {_CROWD} THEN 'Do not conclude that the social/community or unobservable claim is true without observable primary evidence.'
+  WHEN claim_type = 'unverified_causality' THEN 'Do not conclude a definitive cause from this claim.' ELSE 'Do not state more than the source directly supports.' END"""
+_ITEMS = f"""{_C}, k AS (SELECT *, {_CATEGORY} AS category, {_BESIDE} AS beside, {_NOTE} AS note, source_name || '/' || doc_id AS ref FROM claims),
+items AS (SELECT 'must_verify' AS tier, doc_id, ref, 'Whether the claim from ' || source_name || ' is supported by observable primary or official evidence.' AS question,
+    note || CASE WHEN beside THEN ' This source also contains excluded finance material; do not treat adjacent interpretation as advice or verified fact.' ELSE '' END AS reason,
+    {_FAMILY} AS source_family_hint, 'timestamped_record' AS expected_evidence_type FROM k WHERE category IN ('unsupported_weak', 'rumor_manipulation')
+  UNION ALL SELECT 'nice_to_verify', doc_id, ref, 'Whether an independent reputable source reports the same limited factual statement for ' || source_name || '.',
+    CASE WHEN beside THEN 'Useful for context, but this source also contains excluded finance material; independent verification is recommended before downstream use.'
+      ELSE 'Useful for context, but does not by itself upgrade the claim.' END, 'independent_reporting', 'corroborating_report' FROM k WHERE category = 'confirmed_low_risk'
+  UNION ALL SELECT 'unsafe_to_conclude', doc_id, ref, {_UNSAFE}, '', '', '' FROM k WHERE category <> 'confirmed_low_risk')"""
+ORACLE_SQL |= {
+    "summary_sections": f"""{_C} SELECT doc_id, CASE WHEN claim_type = 'excluded' THEN 'excluded' WHEN {_CROWD} OR d_manipulation THEN 'rumor_social'
+        WHEN risk_tier = 'low' AND claim_type IN ('confirmed_fact', 'official_reported_status', 'market_observation', 'reported_claim') THEN 'low_risk'
+        WHEN claim_type IN ('unverified_causality', 'needs_official_source', 'interpretation', 'opinion_or_frame') THEN 'weak' ELSE 'other' END AS section,
+        {_BESIDE} AS beside_excluded, {_NOTE} AS classification_notes, CASE WHEN claim_type = 'excluded' THEN {_q(_NOTES[0])} END AS disallowed_reason FROM claims""",
+    "work_item_groups": f"""{_ITEMS} SELECT tier, question, reason, source_family_hint, expected_evidence_type, count(*) AS n, sha256(string_agg(ref, '|' ORDER BY doc_id)) AS refs
+        FROM items GROUP BY 1, 2, 3, 4, 5""",
+    "question_counts": f"""{_ITEMS} SELECT tier, count(*) AS raw, count(DISTINCT lower(question || '|' || reason || '|' || source_family_hint)) AS grouped FROM items GROUP BY 1""",
+    "official_queries": f"""{_C} SELECT doc_id, {_FAMILY} AS family, CASE WHEN claim_type = 'excluded' THEN {_q("This finance claim is blocked by policy and remains excluded. If factual context is needed, capture a separate factual claim from a primary source.")}
+        ELSE 'Check official or primary records for claim ' || doc_id || ' from ' || source_name || '.' END AS query, CASE WHEN claim_type = 'excluded' THEN 'finance_advice_or_prediction'
+        WHEN {_CROWD} THEN 'rumor_or_unobservable_material' WHEN claim_type = 'unverified_causality' THEN 'unsupported_causality' ELSE 'overstatement' END AS unsafe_risk FROM claims""",
+    "compared_claims": f"""{_P}, p AS (SELECT *, trim(regexp_replace(lower(claim_text), '\\s+', ' ', 'g')) AS plain FROM claims),
+        k AS (SELECT *, {_KEY} AS key, {_RISKY} AS risky FROM p),
+        m AS (SELECT issue_id, key, arg_min({{'t': claim_type, 'r': risk_tier, 's': source_type}}, doc_id) AS f, array_to_string(list_sort(list_distinct(list(source_name))), ',') AS sources,
+          bool_or(risky) AS risky_unresolved FROM k GROUP BY 1, 2),
+        b AS (SELECT * FROM m WHERE issue_id = 'before'), a AS (SELECT * FROM m WHERE issue_id = 'after'),
+        j AS (SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'new' WHEN a.key IS NULL THEN 'disappeared' ELSE 'repeated' END AS status, coalesce(a.f, b.f) AS f,
+          coalesce(a.sources, b.sources) AS sources, coalesce(a.risky_unresolved, b.risky_unresolved) AS risky_unresolved, (a.risky_unresolved OR b.risky_unresolved) AS open_risk FROM b FULL JOIN a ON a.key = b.key),
+        s AS (SELECT * FROM j UNION ALL SELECT * REPLACE ('still_unresolved' AS status) FROM j WHERE status = 'repeated' AND open_risk)
+        SELECT status, key, f.t AS claim_type, f.r AS risk_tier, f.s AS source_type, sources, risky_unresolved FROM s""",
+    "review_numbers": f"""{_C} SELECT issue_id, doc_id, printf('rev_%03d', row_number() OVER (PARTITION BY issue_id ORDER BY doc_id)) AS review_id FROM claims WHERE needs_human_review""",
+    "capture_names": """WITH c AS (SELECT doc_id, trim(concat_ws(' ', coalesce(source, 'none'), regexp_extract(coalesce(text, ''), '^\\S{1,12}'))) AS name FROM documents),
+        n AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY doc_id) AS nth, regexp_replace(name, '[^a-zA-Z0-9_-]+', '_', 'g') AS slug FROM c),
+        f AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY doc_id) AS k FROM n WHERE nth = 1)
+        SELECT doc_id, slug || CASE WHEN k > 1 THEN '_' || k ELSE '' END || '.txt' AS file_name FROM f UNION ALL SELECT doc_id, NULL FROM n WHERE nth > 1""",
+    "page_types": """SELECT page_id, sha256(html) AS sha256, strlen(html)::BIGINT AS bytes, CASE WHEN strlen(html) > 4096 THEN 'content too large' END AS problem,
+        CASE WHEN regexp_replace(trim(coalesce(url, '')), '[^a-zA-Z0-9_-]+', '_', 'g') = '' THEN 'issue' ELSE regexp_replace(trim(coalesce(url, '')), '[^a-zA-Z0-9_-]+', '_', 'g') END AS slug FROM pages""",
+}

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from quillgate.functions import lexicon as lx
 from quillgate.functions.detectors import DETECTORS
-from quillgate.operators import analytics, claims, classify, goldset, masking, reviews
+from quillgate.functions import strings
+from quillgate.operators import analytics, bundle, claims, classify, goldset, masking, reviews, verification
+from quillgate.operators.lineage import cut
+from quillgate.operators.numbering import order_bounds
 from quillgate.plans import reports
 from quillgate.sources import intake
 
@@ -45,13 +48,14 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def seed(spark: SparkSession, sf: str) -> DataFrame:
+def seed(spark: SparkSession, sf: str, plain: bool = False) -> DataFrame:
+    """Documents as claims: with a template sentence before the text, or as they are."""
     prefixes = F.array(*map(F.lit, TEMPLATES))
     number = F.regexp_extract(F.coalesce("source", F.lit("")), r"(\d+)$", 1).try_cast("int")
     kinds = F.array(*map(F.lit, lx.SOURCE_TYPES))
     return spread(table(spark, sf, "documents")).select(
         "doc_id",
-        F.concat(F.get(prefixes, (F.pmod("doc_id", F.lit(len(TEMPLATES)))).cast("int")), F.lit(" "), F.coalesce("text", F.lit(""))).alias("claim_text"),
+        F.concat(*([] if plain else [F.get(prefixes, (F.pmod("doc_id", F.lit(len(TEMPLATES)))).cast("int")), F.lit(" ")]), F.coalesce("text", F.lit(""))).alias("claim_text"),
         F.coalesce("source", F.lit("none")).alias("source_name"),
         F.coalesce(F.get(kinds, F.pmod(number, F.lit(8))), F.lit("unknown")).alias("source_type"),
         F.when(F.pmod("doc_id", F.lit(3)) == 0, "general").otherwise("finance").alias("mode"),
@@ -196,45 +200,63 @@ def claim_split(spark, sf):
 
 def plain_claims(spark, sf):
     """Documents themselves as claims, for what repeats between them."""
-    rows = seed(spark, sf).drop("claim_text").join(table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("claim_text")), "doc_id")
-    return classify.classify(rows)
+    return classify.classify(seed(spark, sf, plain=True))
+
+
+def _bounds(spark, sf):
+    """Of the ids, from the scan alone: nothing is classified for them."""
+    return order_bounds(table(spark, sf, "documents"), "doc_id")
 
 
 def exact_repetition(spark, sf):
-    rows = seed(spark, sf).select("doc_id", "issue_id").join(table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("claim_text")), "doc_id")
-    rows = rows.withColumn("normalized_claim_hash", classify.normalised_hash(F.col("claim_text")))
-    return analytics.exact_repetition(rows, "issue_id", "doc_id").select("issue_id", "doc_id", "source_count", "duplicate_group_id")
+    rows = cut(seed(spark, sf, plain=True).select("doc_id", "issue_id", classify.normalised_hash(F.col("claim_text")).alias("normalized_claim_hash")))
+    return analytics.exact_repetition(rows, "issue_id", "doc_id", _bounds(spark, sf)).select("issue_id", "doc_id", "source_count", "duplicate_group_id")
 
 
 def fuzzy_repetition(spark, sf):
     return analytics.fuzzy_repetition(plain_claims(spark, sf), "issue_id", "doc_id").select("issue_id", F.sha2("variant_key", 256).alias("variant"), "members", "first_member")
 
 
+def repetition_ledger(spark, sf):
+    """The ledger after the policy on repetition."""
+    rows = cut(classify.ledger(plain_claims(spark, sf)))
+    out = analytics.repetition_policy(rows, "issue_id", "doc_id", _bounds(spark, sf))
+    return out.select("issue_id", "doc_id", "duplicate_group_id", "source_count", "independent_source_count", "risk_tier", F.array_join("risk_flags", ",").alias("flags"), "lineage_note")
+
+
+def shared_flags(spark, sf):
+    rows = cut(classify.ledger(plain_claims(spark, sf)).withColumn("at", F.col("doc_id")))
+    return analytics.flag_shared(rows).select("doc_id", "bundle_duplicate_group_id", F.array_join("risk_flags", ",").alias("flags"))
+
+
 def cross_source_groups(spark, sf):
-    return analytics.cross_source_groups(plain_claims(spark, sf), "doc_id").select("group_id", "key", "claims", "sources", "n_sources")
+    return analytics.cross_source_groups(plain_claims(spark, sf)).select("group_id", "key", "claims", "sources", "n_sources")
 
 
 EVENTS = ["flood", "train accident", "factory fire", "storm"]
 
 
-def _reported(spark, sf):
-    event = F.get(F.array(*map(F.lit, EVENTS)), F.pmod("doc_id", F.lit(4)).cast("int"))
-    n = (F.pmod("doc_id", F.lit(7)) + 11).cast("string")
-    return seed(spark, sf).select("source_name", F.lit("reported_claim").alias("claim_type"), F.concat(n, F.lit(" people were injured after the "), event, F.lit(".")).alias("claim_text"))
+REPORTS = ["{} people were injured after the flood.", "{} people were injured after the train accident.", "{} people were injured by the factory fire.", "{} people were treated after the storm."]
+METRICS = [
+    "회사 매출은 {}조 3,000억원으로 집계됐다.", "영업이익이 {}억원이라고 밝혔다.", "The benchmark lending rate reached {}.5 percent.", "Quarterly factory output totalled {},200 units.",
+    "The mean depth of the well was {}.7 metres.",
+]
 
 
-def casualty_divergence(spark, sf):
-    return analytics.casualty_divergence(_reported(spark, sf))
+def _split_claims(spark, sf, forms, number):
+    """The claims of whole texts, each text led by a sentence with a number."""
+    form = F.get(F.array(*map(F.lit, forms)), F.pmod("doc_id", F.lit(len(forms))).cast("int"))
+    lead = F.replace(form, F.lit("{}"), number.cast("string"))
+    rows = spread(table(spark, sf, "documents")).select(F.coalesce("source", F.lit("none")).alias("source_name"), F.concat(lead, F.lit("\n\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    return claims.extract_claims(rows, ["source_name"]).select("source_name", "claim_text", F.lit("reported_claim").alias("claim_type"))
 
 
-METRICS = ["회사 매출은 {}조 3,000억원으로 집계됐다.", "영업이익이 {}억원이라고 밝혔다.", "The benchmark lending rate reached {}.5 percent.", "Quarterly factory output totalled {},200 units."]
+def casualty_divergence(spark, sf):
+    return analytics.casualty_divergence(_split_claims(spark, sf, REPORTS, F.pmod("doc_id", F.lit(7)) + 11)).drop("sources")
 
 
 def numeric_divergence(spark, sf):
-    forms = F.get(F.array(*map(F.lit, METRICS)), F.pmod("doc_id", F.lit(4)).cast("int"))
-    text = F.replace(forms, F.lit("{}"), (F.pmod("doc_id", F.lit(9)) + 3).cast("string"))
-    rows = seed(spark, sf).select("source_name", F.lit("reported_claim").alias("claim_type"), text.alias("claim_text"))
-    return analytics.numeric_divergence(rows)
+    return analytics.numeric_divergence(_split_claims(spark, sf, METRICS, F.pmod("doc_id", F.lit(9)) + 3)).drop("shown", "sources")
 
 
 def causal_variants(spark, sf):
@@ -252,8 +274,15 @@ def verification_categories(spark, sf):
     return rows.groupBy("category", classify.review_bucket(F.col("risk_tier")).alias("review_bucket")).agg(F.count("*").alias("n"), F.count_distinct("source_name").alias("sources"))
 
 
+def numeric_items(spark, sf):
+    """Review items of figures that sources give differently."""
+    rows = cut(_split_claims(spark, sf, METRICS, F.pmod("doc_id", F.lit(9)) + 3))
+    return bundle.numeric_review_items(bundle.numeric_conflicts(rows)).select("source_name", "risk_tier", "reason", F.sha2("verification_question", 256).alias("question"), "claim_ids")
+
+
 def packet_ids(spark, sf):
-    return analytics.packet_ids(plain_claims(spark, sf), "issue_id", classify.verification_category(), "doc_id").select("doc_id", "category", "packet_id")
+    rows = cut(plain_claims(spark, sf).select("doc_id", "issue_id", "claim_type", "source_type", "normalized_claim_hash"))
+    return analytics.packet_ids(rows, "issue_id", classify.verification_category(), "doc_id", _bounds(spark, sf)).select("doc_id", "category", "packet_id")
 
 
 def excluded_sources(spark, sf):
@@ -274,11 +303,13 @@ def gate_violations(spark, sf):
 
 
 def orphan_rows(spark, sf):
-    """Referential integrity: line items without an order, and labels without a document."""
+    """Referential integrity: line items without an order, labels without a document, documents without a label."""
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"))
-    items = lines.join(table(spark, sf, "orders").filter("o_orderkey % 2 = 0"), F.col("id") == F.col("o_orderkey"), "left_anti").select(F.lit("lineitem").alias("entity"), "id")
+    items = lines.join(table(spark, sf, "orders"), F.col("id") == F.col("o_orderkey"), "left_anti").select(F.lit("lineitem").alias("entity"), "id")
     marks = table(spark, sf, "labels").select(F.col("doc_id").alias("id")).join(table(spark, sf, "documents").select(F.col("doc_id").alias("id")), "id", "left_anti")
-    return items.union(marks.select(F.lit("labels").alias("entity"), "id")).groupBy("entity").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+    bare = table(spark, sf, "documents").select(F.col("doc_id").alias("id")).join(table(spark, sf, "labels").select(F.col("doc_id").alias("id")), "id", "left_anti")
+    rows = items.union(marks.select(F.lit("labels").alias("entity"), "id")).union(bare.select(F.lit("documents").alias("entity"), "id"))
+    return rows.groupBy("entity").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
 
 
 def _predictions(spark, sf):
@@ -303,16 +334,26 @@ def manifest_duplicates(spark, sf):
     return intake.duplicate_names(rows, ["source_type"], "source_name", "doc_id").select("doc_id", "source_name", F.col("nth").cast("long").alias("nth"), "first_at")
 
 
+#: What a hostile manifest may try, by negative page ids, beside the pages' own addresses.
+HOSTILE = [
+    "http://[::1]/", "http://[::ffff:10.0.0.1]/x", "http://10.0.0.1.nip.io/", "http://localhost./", "http://127.0.0.1./", "http://198.18.0.1/", "http://ex ample.com/",
+    "http://192.0.2.7/", "http://203.0.113.9/a", "http://app.10-0-0-1.sslip.io/", "http://0x7f.1/", "http://2130706433/", "http://[::7f00:1]/", "http://[fe80::1]:80/",
+    "ftp://example.com/", "https://user:pw@example.com/", "https://example.com:8443/", "http:///nohost", "http://a.localhost/", "https://xn--caf-dma.example/", "https://café.example/",
+    "https://8.8.8.8/", "https://[2606:4700::1111]/", "http://8.8.8.8.nip.io/", "", "javascript:alert(1)", "http://010.0.0.1/",
+]
+
+
 def url_policy(spark, sf):
-    pages = table(spark, sf, "pages")
-    forms = F.when(F.pmod("page_id", F.lit(5)) == 0, F.regexp_replace("url", "^https?", "ftp")).when(F.pmod("page_id", F.lit(5)) == 1, F.regexp_replace("url", "://", "://user@"))
-    forms = forms.when(F.pmod("page_id", F.lit(5)) == 2, F.regexp_replace("url", "://[^/]*", "://192.168.1.7")).when(F.pmod("page_id", F.lit(5)) == 3, F.regexp_replace("url", "(://[^/]*)", "$1:8080"))
-    return pages.select("page_id", intake.url_problem(forms.otherwise(F.col("url"))).alias("problem"))
+    hostile = spark.createDataFrame([(-1 - i, u) for i, u in enumerate(HOSTILE)], "page_id long, url string")
+    pages = table(spark, sf, "pages").select(F.col("page_id").cast("long").alias("page_id"), "url").union(hostile)
+    return pages.select("page_id", intake.url_problem(F.col("url")).alias("problem"))
 
 
 def filename_hints(spark, sf):
-    names = F.get(F.array(*map(F.lit, ["official_notice", "reddit-thread", "board_post", "press wire", "research note", "plain"])), F.pmod("doc_id", F.lit(6)).cast("int"))
-    kind, ignored = intake.filename_type(F.concat(names, F.lit(".txt")))
+    """File names made of the texts' own first words, after a hint that follows from the id."""
+    hints = F.get(F.array(*map(F.lit, ["official_notice", "reddit-thread", "board_post", "press wire", "research note", "plain"])), F.pmod("doc_id", F.lit(6)).cast("int"))
+    name = F.concat(F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), r"[./\\\\\s]+", "-"), 1, 60), F.lit(" "), hints, F.lit(".txt"))
+    kind, ignored = intake.filename_type(name)
     return table(spark, sf, "documents").select("doc_id", kind.alias("source_type"), ignored.alias("trusted_hint_ignored"))
 
 
@@ -331,13 +372,16 @@ def review_packet_index(spark, sf):
 
 
 def response_rules(spark, sf):
-    """A response for each conversation, a finding for most turns, some twice: which rules are broken, how often."""
-    turns = table(spark, sf, "conversations").filter("turn is not null and conv_id is not null").select("conv_id", "turn").distinct()
+    """A response for each conversation, a finding for most turns, some twice: which rules are broken, how often.  The
+    turns' own words are the findings' uncertainty."""
+    turns = table(spark, sf, "conversations").filter("turn is not null and conv_id is not null")
+    turns = turns.groupBy("conv_id", "turn").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     packet = F.concat(F.lit("p"), F.col("turn").cast("string"))
     packets = turns.select("conv_id", packet.alias("packet_id"), F.when(F.pmod("turn", F.lit(3)) == 0, "high").otherwise("low").alias("risk_tier"))
     said = F.when(F.pmod("turn", F.lit(7)) == 2, "It was confirmed.").otherwise("one source")
-    others = {"uncertainty_reason": "single report", "operator_next_step": "ask the agency", "must_not_conclude": "Do not treat it as proven."}
-    finding = F.struct(packet.alias("packet_id"), said.alias("evidence_boundary"), *[F.lit(v).alias(k) for k, v in others.items()])
+    others = {"operator_next_step": "ask the agency", "must_not_conclude": "Do not treat it as proven."}
+    words = F.concat(F.lit("Reported by one speaker: "), F.regexp_replace("text", r"[^\x20-\x7e]+", " "))
+    finding = F.struct(packet.alias("packet_id"), said.alias("evidence_boundary"), words.alias("uncertainty_reason"), *[F.lit(v).alias(k) for k, v in others.items()])
     copies = F.explode(F.sequence(F.lit(1), F.when(F.pmod("turn", F.lit(5)) == 0, 2).otherwise(1)))
     found = turns.filter(F.pmod("turn", F.lit(4)) != 1).select("conv_id", finding.alias("f"), copies.alias("copy"))
     found = found.groupBy("conv_id").agg(F.collect_list("f").alias("findings"))
@@ -361,6 +405,62 @@ def gold_metrics(spark, sf):
     return goldset.detector_metrics(goldset.evaluate(cases))
 
 
+def _named_claims(spark, sf):
+    return cut(classify.classify(seed(spark, sf)).select("doc_id", "issue_id", "source_name", "source_type", "mode", "claim_text", "claim_type", "risk_tier", "risk_flags", "needs_human_review", "classification_notes", "disallowed_reason", "d_manipulation"))
+
+
+def summary_sections(spark, sf):
+    """Where the bundle's summary puts each claim, and whether its source has excluded material beside it."""
+    rows = bundle.with_caution(_named_claims(spark, sf).withColumn("section", bundle.section()))
+    return rows.select("doc_id", "section", "beside_excluded", "classification_notes", "disallowed_reason")
+
+
+def _work_items(spark, sf):
+    rows = bundle.with_caution(_named_claims(spark, sf)).withColumn("claim_id", F.col("doc_id").cast("string"))
+    return verification.work_items(rows, "doc_id")
+
+
+def work_item_groups(spark, sf):
+    rows = verification.grouped_items(_work_items(spark, sf))
+    return rows.select("tier", "question", "reason", "source_family_hint", "expected_evidence_type", "n", F.sha2(F.array_join("claim_refs", "|"), 256).alias("refs"))
+
+
+def question_counts(spark, sf):
+    return verification.question_counts(_work_items(spark, sf))
+
+
+def official_queries(spark, sf):
+    rows = _named_claims(spark, sf).withColumn("claim_id", F.col("doc_id").cast("string"))
+    return rows.select("doc_id", verification.source_family().alias("family"), verification.official_query().alias("query"), verification.unsafe_risk().alias("unsafe_risk"))
+
+
+def compared_claims(spark, sf):
+    """The maps of two bundles by status, as the comparison shows them."""
+    rows = cut(plain_claims(spark, sf).select("doc_id", "issue_id", "source_name", "source_type", "claim_text", "claim_type", "risk_tier", "needs_human_review"))
+    sides = [bundle.claim_map(rows.filter(F.col("issue_id") == name), "doc_id") for name in ("before", "after")]
+    return bundle.compared_maps(*sides).select("status", "key", "claim_type", "risk_tier", "source_type", F.array_join("sources", ",").alias("sources"), "risky_unresolved")
+
+
+def review_numbers(spark, sf):
+    rows = cut(classified(spark, sf).filter("needs_human_review").select("issue_id", "doc_id"))
+    return bundle.review_ids(rows, "issue_id", "doc_id", _bounds(spark, sf)).select("issue_id", "doc_id", "review_id")
+
+
+def capture_names(spark, sf):
+    """Documents as captures, named by their source and first word: file names apart, and names that came before."""
+    word = F.regexp_extract(F.coalesce("text", F.lit("")), r"^\S{1,12}", 0)
+    rows = table(spark, sf, "documents").select("doc_id", F.lit("issue").alias("issue_id"), F.concat_ws(" ", F.coalesce("source", F.lit("none")), word).alias("source_name"))
+    files, again = bundle.capture_files(cut(rows), "doc_id")
+    return files.select("doc_id", "file_name").union(again.select("doc_id", F.lit(None).cast("string").alias("file_name")))
+
+
+def page_types(spark, sf):
+    """Digests and sizes of pages, and whether fetched content of that size is refused."""
+    content = F.col("html").cast("binary")
+    facts = strings.digest(content)
+    return table(spark, sf, "pages").select("page_id", facts["sha256"].alias("sha256"), facts["bytes"].cast("long").alias("bytes"), bundle.content_problem(F.lit("text/html; charset=utf-8"), F.octet_length(content), 4096).alias("problem"), strings.slug(F.col("url")).alias("slug"))
+
+
 def comparison_lines(spark, sf):
     return reports.comparison_report(bundle_compare(spark, sf), "Comparison").select("section", "pos", "line")
 
@@ -374,8 +474,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         claims_by_type_tier, claim_ledger, flag_histogram, bucket_counts, source_histograms, tier_and_type_counts, review_queue,
         grouped_review_items, line_first_wins, claim_split, exact_repetition, fuzzy_repetition, cross_source_groups, casualty_divergence,
-        numeric_divergence, causal_variants, bundle_compare, verification_categories, packet_ids, excluded_sources, unresolved_by_severity,
+        repetition_ledger, shared_flags, numeric_divergence, causal_variants, bundle_compare, verification_categories, packet_ids, excluded_sources, unresolved_by_severity,
         gate_violations, orphan_rows, detector_confusion, tier_accuracy, manifest_duplicates, url_policy, filename_hints, masked_claims,
+        numeric_items, summary_sections, work_item_groups, question_counts, official_queries, compared_claims, review_numbers, capture_names, page_types,
         page_text, review_packet_index, response_rules, gold_metrics, comparison_lines, report_lines,
     )
 }

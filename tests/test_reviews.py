@@ -9,7 +9,7 @@ from quillgate.operators import goldset, numbering, reviews
 def test_numbering_matches_brute_force(spark):
     rows = [(i * 7 % 1009, ["a", "b", None][min(i % 5, 2)], "x" if i % 3 else None) for i in range(600)]
     df = spark.createDataFrame(rows, "id long, k string, extra string")
-    got = {r.id: (r.nth, r.first) for r in numbering.number_within(df, ["k", "extra"], "id", "nth", "first", block=16).collect()}
+    got = {r.id: (r.nth, r.first) for r in numbering.number_within(df, ["k", "extra"], "id", "nth", "first").collect()}
     groups = {}
     for i, *key in rows:
         groups.setdefault(tuple(key), []).append(i)
