@@ -160,14 +160,17 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def languages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Train on the rows that are not held out (a null id trains nothing), then identify all rows."""
+    """Train on the rows that are not held out (a null id trains nothing), then identify all rows: one row for each row of
+    df.  A null text, or one without a letter, is `und`; a null lang trains nothing; repeated rows are identified alike;
+    texts as near to two languages get the first by name; an empty table gives no rows."""
     one = df.select(df[doc_id].alias("doc_id"), df[text].alias("text"), df[lang].alias("lang"))
     model = train(one.filter(F.col("doc_id").isNotNull() & ~held_out()))
     return identify(one.select("doc_id", "text").withColumn("held_out", held_out()), model, ["doc_id", "held_out"])
 
 
 def keep_identified(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of df whose language is found without ambiguity, with df's columns."""
+    """The rows of df whose language is found without ambiguity, with df's columns.  Null texts and those without a letter
+    go; repeated rows fare alike; an empty table, or one without labels to learn from, gives no rows."""
     one = df.select(df[doc_id].alias("doc_id"), df[text].alias("text"), df[lang].alias("lang"))
     model = train(one.filter(F.col("doc_id").isNotNull() & ~held_out()))
     packed = df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), df[text].cast("string").alias("__t"))

@@ -10,6 +10,7 @@ become whole copies, largest documents first, so that what rounding takes or lea
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,8 @@ def balance(cells: DataFrame, margins: list[str], size: str, goals: list[dict[st
         # Margins share one degree of freedom, so the least-squares step; long steps are cut for safety.
         step = gradient / np.maximum(hessian, 1e-300) if hessian.ndim == 1 else np.linalg.lstsq(hessian, gradient, rcond=1e-12)[0]
         lam -= np.clip(step, -2.0, 2.0)
+    else:
+        warnings.warn(f"entropy balancing stopped after {STEPS} steps, off by {np.abs(gradient).max():.3g} words: the margins may contradict each other", stacklevel=2)
     return [{k: float(lam[index[m, k]]) if (m, k) in index else -math.inf for k in g} for m, g in enumerate(goals)]
 
 
@@ -151,7 +154,9 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
 
 
 def take_mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows that the mix takes, each as often as it takes it, with df's columns."""
+    """The rows that the mix takes, each as often as it takes it, with df's columns.  Null texts have no words and are
+    taken at their source's rate; a null source is a source of its own; repeated rows count each; ties of size are
+    settled by a hash of the id; an empty table gives no rows."""
     prepare(df.sparkSession)
     packed = df.select(
         F.struct(*[df[c] for c in df.columns]).alias("__row"),
