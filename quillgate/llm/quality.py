@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .runtime import cut, look_up, map_texts
+from .runtime import cut, look_up, map_texts, stored
 
 #: Half a band's width in standard deviations (of the nearer quartile's distance), and at least: a share of the
 #: median for characters per token, bits for entropy, a share of all tokens for byte fallback.
@@ -250,11 +250,13 @@ def quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 
 def keep_good(df: DataFrame, text: str = "text", lang: str | None = "lang", vocabulary: str | None = None) -> DataFrame:
-    """The rows of df that the rules keep, with df's columns.  Fertility is measured once for the bands and
-    once more beside the rows, so that no text is shuffled or stored."""
+    """The rows of df that the rules keep, with df's columns.  Each text is measured once: rows and figures are written
+    down together, the bands come from the figures alone, and no text is shuffled.
+
+    Null and empty texts go; repeated rows fare alike; an empty table gives no rows.
+    """
     lang = lang if lang in df.columns else None
-    first = measure(df.select(*([df[lang].alias("__l")] if lang else []), df[text].alias("__t")), ["__l"] if lang else [], "__t", vocabulary, base=False)
-    limits = cut(bands(first, "__l" if lang else None))
     packed = df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), *([df[lang].alias("__l")] if lang else []), df[text].cast("string").alias("__t"))
-    judged = judge(measure(packed, ["__row", *(["__l"] if lang else [])], "__t", vocabulary), limits, limits.count(), "__l" if lang else None)
-    return judged.filter("kept").select("__row.*")
+    measured = stored(measure(packed, ["__row", *(["__l"] if lang else [])], "__t", vocabulary))
+    limits = cut(bands(measured, "__l" if lang else None))
+    return judge(measured, limits, limits.count(), "__l" if lang else None).filter("kept").select("__row.*")
