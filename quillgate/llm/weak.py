@@ -211,7 +211,17 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     one = df.select(df[doc_id].alias("doc_id"), df[text].cast("string").alias("text"))
 
     codes_of = lambda texts, *parts: ((votes(texts, *parts) + 1) * 3 ** np.arange(8)).sum(1)
-    voted = cut(map_texts(one.withColumn("h", F.xxhash64("text")), ["doc_id", "h"], "text", "pattern bigint", lambda texts: {"pattern": codes_of(texts)}))
+
+    def in_parts(work):
+        """`work` on a few texts at a time: their words and features are what fills a worker's memory."""
+
+        def run(texts):
+            done = [work(texts[a:b]) for a, b in slices([len(t) if t else 0 for t in texts], 500_000, 512)]
+            return {k: np.concatenate([d[k] for d in done]) for k in done[0]} if done else work([])
+
+        return run
+
+    voted = cut(map_texts(one.withColumn("h", F.xxhash64("text")), ["doc_id", "h"], "text", "pattern bigint", in_parts(lambda texts: {"pattern": codes_of(texts)})))
     rows = voted.groupBy("pattern").count().collect()  # 3**8 rows at most
     if not rows:
         return one.select("doc_id", F.lit(0.0).alias("label"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
@@ -237,8 +247,8 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
         w, known = model.value
         parts = words_of(texts)
         label = np.array([known[p] for p in codes_of(texts, *parts).tolist()])
-        s = label if w is None else 1 / (1 + np.exp(-np.clip(shapes(texts, *parts) @ w[:-1] + w[-1], -60, 60)))
-        s = np.where([bool(w) for w in parts[0]], s, 0.0)
+        s = label if w is None else 1 / (1 + np.exp(-np.clip(shapes(texts, *parts) @ w[:-1].astype(np.float32) + w[-1], -60, 60)))
+        s = np.where(np.array([bool(x) for x in parts[0]], bool), s, 0.0)
         return {"label": label, "score": s, "kept": s >= KEEP}
 
-    return map_texts(one, ["doc_id"], "text", "label double, score double, kept boolean", judge)
+    return map_texts(one, ["doc_id"], "text", "label double, score double, kept boolean", in_parts(judge))
