@@ -72,6 +72,9 @@ def _meet(pair: int, left: tuple, right: tuple | None, cosine: float):
     x, near = left
     y, near2 = right if right is not None else left
     first, second = pair >> 32, pair & 0xFFFFFFFF
+    linked = x @ y.T >= cosine
+    if not linked.any():
+        return linked
     names = np.unique(np.concatenate([near.ravel(), near2.ravel()]))
     names = names[(names < second) & (names != first)]
 
@@ -83,7 +86,6 @@ def _meet(pair: int, left: tuple, right: tuple | None, cosine: float):
         return m[:, :-1]
 
     # The list is that of the two least pivots that both name: they share no other below the second.
-    linked = x @ y.T >= cosine
     return linked & (marks(near) @ marks(near2).T == 0) if len(names) else linked
 
 
@@ -113,31 +115,68 @@ def _index(rep: DataFrame, size: int, cosine: float) -> DataFrame:
     entries = entries.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("blocks", "other")
     lists = entries.join(named.select("node", "copies", "embedding", "near"), "node")
 
-    def verify(key, t):
-        pair, low, high = (k.as_py() for k in key)
-        node, copies = t["node"].to_numpy(), t["copies"].to_numpy()
-        x, near = _matrix(t["embedding"]), np.array(t["near"].to_pylist(), np.int64)
-        if low == high:
-            linked = _meet(pair, (x, near), None, cosine)
-            np.fill_diagonal(linked, False)
-            n_links = linked @ copies
-            edges = forest(linked | linked.T)
-        else:
-            block = t["block"].to_numpy()
-            i, j = np.flatnonzero(block == low), np.flatnonzero(block == high)
-            found = _meet(pair, (x[i], near[i]), (x[j], near[j]), cosine) if len(i) and len(j) else np.zeros((len(i), len(j)), bool)
-            n_links = np.zeros(len(node), np.int64)
-            n_links[i], n_links[j] = found @ copies[j], found.T @ copies[i]
-            linked = np.zeros((len(node), len(node)), bool)
-            linked[np.ix_(i, j)] = found
-            edges = forest(linked | linked.T)
-        has = np.flatnonzero(n_links)
-        kind = [0] * len(has) + [1] * len(edges)
-        a = np.concatenate([node[has], node[[e[0] for e in edges]]]) if edges else node[has]
-        b = np.concatenate([n_links[has], node[[e[1] for e in edges]]]) if edges else n_links[has]
-        return pa.table({"kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return lists.groupBy("pair", "low", "high").applyInArrow(verify, "kind int, a bigint, b bigint")
+    # Lists come one after another in sorted partitions; a task holds one list's (two) blocks at a time.
+    columns = ["pair", "low", "high", "block", "node", "copies", "near", "embedding"]
+    parted = lists.select(*columns).repartition("pair", "low", "high").sortWithinPartitions("pair", "low", "high")
+    return parted.mapInArrow(_verify(cosine), "kind int, a bigint, b bigint")
+
+
+def _verify(cosine: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(pa.Table.from_batches([batch]))
+            t = pa.concat_tables(held).combine_chunks()
+            starts = _starts(t)
+            if len(starts) > 1:
+                yield _links(t.slice(0, starts[-1]), starts[:-1], cosine)
+                t = t.slice(starts[-1])
+            held = [t]
+        if held:
+            yield _links(held[0].combine_chunks(), _starts(held[0]), cosine)
+
+    return run
+
+
+def _starts(t: pa.Table) -> np.ndarray:
+    """Rows at which a list, or pair of its blocks, starts."""
+    change = np.zeros(len(t), bool)
+    change[:1] = True
+    for name in ("pair", "low", "high"):
+        x = t[name].to_numpy()
+        change[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(change)
+
+
+def _links(t: pa.Table, starts: np.ndarray, cosine: float) -> pa.RecordBatch:
+    """Rows (kind, a, b) of whole lists: links of a node in kind 0, a spanning forest of the links in kind 1."""
+    node, copies, block = (t[c].to_numpy() for c in ("node", "copies", "block"))
+    pairs, lows, highs = (t[c].to_numpy() for c in ("pair", "low", "high"))
+    x = _matrix(t["embedding"])
+    near = t["near"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+    kind, a, b = [], [], []
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(t)]):
+        i = j = np.arange(s, e)
+        if lows[s] != highs[s]:
+            i, j = i[block[s:e] == lows[s]], j[block[s:e] == highs[s]]
+        if not len(i) or not len(j) or e - s < 2:
+            continue
+        found = _meet(int(pairs[s]), (x[i], near[i]), (x[j], near[j]), cosine)
+        if lows[s] == highs[s]:
+            np.fill_diagonal(found, False)
+        if not found.any():
+            continue
+        linked = np.zeros((e - s, e - s), bool)
+        linked[np.ix_(i - s, j - s)] = found
+        linked |= linked.T
+        n = linked @ copies[s:e] if lows[s] != highs[s] else found @ copies[s:e]
+        has, edges = np.flatnonzero(n), forest(linked)
+        kind += [0] * len(has) + [1] * len(edges)
+        a += [*node[s:e][has].tolist(), *(int(node[s + p]) for p, _ in edges)]
+        b += [*n[has].tolist(), *(int(node[s + q]) for _, q in edges)]
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
 
 
 def near_duplicates(
