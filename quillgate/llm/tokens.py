@@ -116,27 +116,27 @@ class PrefixCounts:
     def fit_bytes(self, budget: int) -> int:
         """Bytes of the longest prefix, in whole characters, of at most `budget` tokens.
 
-        A prefix cannot reach past the first characters of the word after the one in which the budget runs out, as
-        these only can join with white space before them.  Inside a word the table's entries are exact from its
-        fourth character on: until then a cut may split contractions and white space otherwise, and strings of
-        special tokens are words of common letters as long as they are cut short.  There the cut is counted anew.
+        The table's entries are exact inside words of letters or digits.  A cut inside other words may split contractions
+        and strings of special tokens otherwise, up to their thirteenth character, and white space may join with
+        the space that starts the next word; there the cut is counted anew.
         """
         if self.before[-1] <= budget:
             return len(self.raw)
         w = int(np.searchsorted(self.before, max(budget, 0), "right")) - 1
-        at = self._back(int(self.start[w + 1]), 2)
+        at = int(self.start[w + 1])
+        if self._blank(w):  # it may join with the start of the next word
+            at = self._back(at, 2)
         while at > 0:
             i = int(np.searchsorted(self.start, at, "left")) - 1
             begin, end = int(self.start[i]), int(self.start[i + 1])
-            if begin + 12 < at <= end and not self.raw[begin:end].startswith(b"<|"):
-                room = budget - int(self.before[i])
-                # Entries of cuts inside characters are not asked.
-                lead = np.frombuffer(self.raw[begin + 13 : at + 1] + (b"a" if at == len(self.raw) else b""), np.uint8) & 0xC0 != 0x80
-                good = np.flatnonzero((self.values[begin + 12 : at] <= room) & lead)
+            sure = self._sure_from(i, begin, end)
+            if at > sure:
+                lead = np.frombuffer(self.raw[sure + 1 : at + 1] + (b"a" if at == len(self.raw) else b""), np.uint8) & 0xC0 != 0x80
+                good = np.flatnonzero((self.values[sure:at] <= budget - int(self.before[i])) & lead)
                 if len(good):
-                    return begin + 13 + int(good[-1])
-                at = begin + 12
-                while self.raw[at] & 0xC0 == 0x80:
+                    return sure + 1 + int(good[-1])
+                at = sure
+                while at > 0 and self.raw[at] & 0xC0 == 0x80:
                     at -= 1
                 continue
             if self._exact(at) <= budget:
@@ -146,6 +146,17 @@ class PrefixCounts:
                 at -= 1
         return 0
 
+    def _blank(self, i: int) -> bool:
+        return i >= 0 and self.raw[int(self.start[i]) : int(self.start[i + 1])].decode("utf-8", "surrogatepass").isspace()
+
+    def _sure_from(self, i: int, begin: int, end: int) -> int:
+        """Cuts of word i beyond this byte count as the table says."""
+        space = self.raw[begin : begin + 1] == b" "
+        first = self.raw[begin + space : begin + space + 4].decode("utf-8", "ignore")[:1]
+        if first.isalnum():
+            return begin + 1 if space and self._blank(i - 1) else begin
+        return end if self.raw[begin:end].startswith(b"<|") else min(begin + 12, end)
+
     def _back(self, byte: int, chars: int) -> int:
         """The end of so many characters from a byte on."""
         for _ in range(chars):
