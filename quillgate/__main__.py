@@ -56,6 +56,10 @@ COMMANDS = {
     "list-review": (lambda s, a: _show(ws.read_claims(s, a.path).filter("needs_human_review").select("claim_id", "risk_tier", "claim_type")) or True, "path"),
     "report": (lambda s, a: bool(ws.write_report(s, a.path, detailed=a.detailed)), "path"),
     "compare": (lambda s, a: bool(ws.compare_runs(s, a.path, a.other, a.out)), "path other out"),
+    "bundle-summary": (lambda s, a: bool(ws.write_summary(s, a.path)), "path"),
+    "verification-packet": (lambda s, a: bool(ws.write_verification(s, a.path)), "path"),
+    "operator-package": (lambda s, a: bool(ws.write_package(s, a.path)), "path"),
+    "import-review": (lambda s, a: bool(ws.import_reviews(s, a.path, a.out)), "path out"),
     "review-packet": (lambda s, a: ws.write_packets(s, a.path) is not None, "path"),
     "validate-response": (_responses, "path other out"),
     "eval-goldset": (lambda s, a: ws.evaluate_gold(s, a.path, a.out, a.enforce), "path out"),

@@ -7,23 +7,28 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgate.operators import analytics, claims, classify, goldset, reviews
-from quillgate.plans import reports
+from quillgate.operators import analytics, bundle, claims, classify, goldset, reviews
+from quillgate.operators.lineage import cut
+from quillgate.plans import reports, summary
 from quillgate.sources import intake, manifests
 
 _c = F.col
 LEDGER = [
-    "issue_id", "source_name", "claim_no", "claim_id", "claim_text", "source_type", "mode", "claim_type", "verification_status", "output_level", "confidence",
+    "issue_id", "run_id", "source_id", "source_name", "claim_no", "claim_id", "claim_text", "source_type", "mode", "claim_type", "verification_status", "output_level", "confidence",
     "risk_flags", "risk_tier", "needs_human_review", "independent_source_count", "normalized_claim_hash", "published_at", "observable_state",
+    "classification_notes", "disallowed_reason", "duplicate_group_id", "source_count", "lineage_note",
 ]
 
 
 def classify_sources(sources: DataFrame) -> DataFrame:
-    """sources (issue_id, source_name, source_type, mode, published_at, text), names unique within an issue, to claims."""
+    """sources (issue_id, source_name, source_type, mode, published_at, text), names unique within an issue, to claims,
+    after the policy on repetition within each source's run.  The classified claims are written once in between."""
     keys = ["issue_id", "source_name"]
     found = claims.extract_claims(sources.select(*keys, "text"), keys).select(*keys, "claim_no", "claim_id", "claim_text")
     rows = found.join(sources.drop("text"), keys).withColumn("observable_state", F.lit("observable"))
-    return classify.classify(rows)
+    run = F.concat_ws("/", "issue_id", "source_name")
+    known = classify.ledger(classify.classify(rows)).withColumns({"run_id": run, "source_id": F.lit("src_001")})
+    return analytics.repetition_policy(cut(known), "run_id", "claim_no")
 
 
 def manifest_sources(spark: SparkSession, manifest: str, base: str | None = None) -> DataFrame:
@@ -58,7 +63,7 @@ def read_claims(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(schema).json(f"{out}/claims", mode="FAILFAST")
 
 
-_KINDS = {"claim_no": "long", "confidence": "double", "risk_flags": "array<string>", "needs_human_review": "boolean", "independent_source_count": "int"}
+_KINDS = {"source_count": "long", "claim_no": "long", "confidence": "double", "risk_flags": "array<string>", "needs_human_review": "boolean", "independent_source_count": "int"}
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
@@ -80,12 +85,49 @@ def write_report(spark: SparkSession, out: str, title: str = "Evidence report",
 
 
 def compare_runs(spark: SparkSession, before: str, after: str, out: str) -> str:
-    compared = analytics.compare(read_claims(spark, before), read_claims(spark, after))
+    """The comparison's rows and its report: counts first, then the claims of each status."""
+    old, new = (_ordered(read_claims(spark, x)) for x in (before, after))
+    compared = analytics.compare(old, new)
     compared.write.mode("overwrite").json(f"{out}/comparison")
-    reports.write_lines(reports.comparison_report(spark.read.schema("key string, status string, still_unresolved boolean").json(f"{out}/comparison"), "Comparison"), f"{out}/comparison_report")
+    counts = reports.comparison_report(spark.read.schema("key string, status string, still_unresolved boolean").json(f"{out}/comparison"), "Comparison")
+    lines = summary.comparison(old, new)
+    reports.write_lines(counts.unionByName(lines.withColumn("section", _c("section") + 2)), f"{out}/comparison_report")
     return f"{out}/comparison_report"
 
 
+def _issue(claims: DataFrame) -> str:
+    row = claims.select("issue_id").first()
+    return (row and row[0]) or "issue"
+
+
+def write_summary(spark: SparkSession, out: str) -> str:
+    """The bundle's summary, with its groups of shared texts and its conflicts of figures as JSON lines."""
+    claims = _ordered(read_claims(spark, out))
+    analytics.cross_source_groups(claims).drop("example").write.mode("overwrite").json(f"{out}/cross_run_duplicates")
+    bundle.numeric_conflicts(claims).write.mode("overwrite").json(f"{out}/numeric_conflicts")
+    reports.write_lines(summary.bundle_summary(claims, _issue(claims)), f"{out}/bundle_summary")
+    return f"{out}/bundle_summary"
+
+
+def write_verification(spark: SparkSession, out: str) -> str:
+    claims = _ordered(read_claims(spark, out))
+    reports.write_lines(summary.verification_lines(claims, _issue(claims)), f"{out}/verification_packet")
+    return f"{out}/verification_packet"
+
+
+def write_package(spark: SparkSession, out: str) -> str:
+    claims = _ordered(read_claims(spark, out))
+    reports.write_lines(summary.operator_package(claims, _issue(claims)), f"{out}/operator_package")
+    return f"{out}/operator_package"
+
+
+def import_reviews(spark: SparkSession, path: str, out: str) -> str:
+    """Foreign review texts, made safe, one folder of JSON lines."""
+    texts = intake.read_texts(spark, path).filter("is_valid")
+    summary.imported_review(texts).select("path", "safe_text").write.mode("overwrite").json(out)
+    return out
+
+
 def write_packets(spark: SparkSession, out: str) -> DataFrame:
     packets = reviews.review_packets(_ordered(read_claims(spark, out)), "issue_id", "at")
     packets.write.mode("overwrite").json(f"{out}/packets")

@@ -45,6 +45,30 @@ def test_manifest_to_report_and_responses(spark, tmp_path):
     assert _lines(tmp_path / "val" / "response_report").splitlines() == ["# Response validation", "## i1: FAIL", "- advisory_only"]
 
 
+def test_bundle_reports(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("The bridge was closed on Friday.\n\nBuy now before it is too late.\n\n12 people were injured after the flood.\n", encoding="utf-8")
+    (tmp_path / "b.txt").write_text("The bridge was closed on Friday.\n\n15 people were injured after the flood.\n", encoding="utf-8")
+    sources = [{"source_name": n, "source_type": t, "mode": "finance", "file_path": f"{n}.txt"} for n, t in (("a", "news"), ("b", "forum"))]
+    manifest, run = tmp_path / "m.json", tmp_path / "run"
+    manifest.write_text(json.dumps({"issue_id": "i1", "sources": sources}), encoding="utf-8")
+    assert main(["analyze-manifest", str(manifest), str(run)], spark) == 0
+    ledger = ws.read_claims(spark, str(run)).collect()
+    assert {(r.run_id, r.source_id, r.source_count) for r in ledger} == {("i1/a", "src_001", 1), ("i1/b", "src_001", 1)}
+    assert {r.disallowed_reason is not None for r in ledger if r.claim_type == "excluded"} == {True} and all(r.classification_notes for r in ledger)
+    for command in ("bundle-summary", "verification-packet", "operator-package"):
+        assert main([command, str(run)], spark) == 0
+    text = _lines(run / "bundle_summary")
+    assert text.startswith("# Issue Bundle Operator Summary\n\n- Issue ID: i1\n- Source count: 2\n") and "Buy now" not in text
+    assert "Cross-source repeated claim group bundle_dup_001" in text and "2 reported values for reported_people_count (12,15) across sources (a, b)" in text
+    assert "Operator caution" in text and "numeric:reported_people_count (source_divergence): Which primary" in text
+    assert text.index("## Low-Risk") < text.index("## Unsupported") < text.index("## Rumor") < text.index("## Excluded") < text.index("## Source Conflict") < text.index("## Follow-Up")
+    assert "## Must verify\n- b/" in _lines(run / "verification_packet") and "## Excluded claims\n- a/clm_002" in _lines(run / "operator_package")
+    (tmp_path / "review.md").write_text("# Confirmed\nBuy now <b>[x](y)</b>\n", encoding="utf-8")
+    assert main(["import-review", str(tmp_path / "review.md"), str(tmp_path / "safe")], spark) == 0
+    safe = spark.read.json(str(tmp_path / "safe")).first().safe_text
+    assert safe.startswith("\\# Confirmed\n[blocked-investment-action] now &lt;b&gt;\\[x\\](y)")
+
+
 def test_bad_manifest_is_refused(spark, tmp_path, capsys):
     path = tmp_path / "m.json"
     path.write_text(json.dumps({"issue_id": "i", "sources": [{"source_name": "A", "mode": "x", "file_path": "../a.txt"}, {"source_name": "a", "mode": "general", "file_path": "b.txt"}]}))
