@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from quillgate.functions import lexicon as lx
-from quillgate.operators import classify
+from quillgate.plans import stated
 from quillgate.plans.queries import _SEED, _claims_sql, _has, _q
 from quillgate.plans.split_sql import split
 
@@ -27,14 +26,14 @@ def _in(words: list[str]) -> str:
 
 
 _CASE_REASON = (
-    f"CASE WHEN claim_type = 'excluded' THEN {_q(classify.DISALLOWED)} "
-    + " ".join(f"WHEN list_contains(risk_flags, '{f}') THEN {_q(v)}" for f, v in classify.REASONS)
+    f"CASE WHEN claim_type = 'excluded' THEN {_q(stated.DISALLOWED)} "
+    + " ".join(f"WHEN list_contains(risk_flags, '{f}') THEN {_q(v)}" for f, v in stated.REASONS)
     + " ELSE 'human review required' END"
 )
 _CASE_QUESTION = (
-    f"CASE WHEN claim_type = 'excluded' THEN {_q(classify.EXCLUDED_QUESTION)} "
-    + " ".join(f"WHEN list_contains(risk_flags, '{f}') THEN {_q(v)}" for f, v in classify.QUESTIONS)
-    + f" ELSE {_q(classify.LAST_QUESTION)} END"
+    f"CASE WHEN claim_type = 'excluded' THEN {_q(stated.EXCLUDED_QUESTION)} "
+    + " ".join(f"WHEN list_contains(risk_flags, '{f}') THEN {_q(v)}" for f, v in stated.QUESTIONS)
+    + f" ELSE {_q(stated.LAST_QUESTION)} END"
 )
 _CATEGORY = (
     "CASE WHEN claim_type = 'excluded' THEN 'excluded_finance' WHEN claim_type IN ('rumor', 'unobservable') OR source_type IN ('community', 'social')"
@@ -45,7 +44,7 @@ _RISKY = (
     "(claim_type IN ('unverified_causality', 'needs_official_source', 'unobservable', 'rumor', 'excluded') OR risk_tier IN ('high', 'critical')"
     " OR needs_human_review)"
 )
-_BUCKET = "CASE claim_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in classify.BUCKETS.items()) + " ELSE 'excluded' END"
+_BUCKET = "CASE claim_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in stated.BUCKETS.items()) + " ELSE 'excluded' END"
 
 
 def _variant(text: str, n: int) -> str:
@@ -63,7 +62,7 @@ _GATES = [
     (f"claim_type = 'confirmed_fact' AND {_has('unobservable_evidence')}", "confirmed fact is unobservable"),
     (f"claim_type = 'confirmed_fact' AND {_has('unsupported_causality')}", "confirmed fact is causal"),
     (f"claim_type = 'confirmed_fact' AND mode = 'finance' AND {_has('official_data_causality_mismatch')}", "confirmed fact mismatches official data"),
-    (f"mode = 'finance' AND {_has(*lx.CRITICAL_FLAGS)} AND output_level NOT IN ('excluded', 'review_only')", "critical finance claim is not excluded"),
+    (f"mode = 'finance' AND {_has(*stated.CRITICAL_FLAGS)} AND output_level NOT IN ('excluded', 'review_only')", "critical finance claim is not excluded"),
     (f"source_type IN ('community', 'social') AND output_level IN ({_in(FACT_LEVELS)})", "repetition by an untrusted source is in a fact bucket"),
 ]
 _PAIRS = [("d_loaded", "toxic"), ("d_action", "toxic"), ("d_causal", "quality"), ("d_market", "quality")]
@@ -89,7 +88,7 @@ ORACLE_SQL: dict[str, str] = {
     "claim_ledger": f"""{_C} SELECT doc_id, source_type, mode, claim_type, verification_status, output_level, confidence, risk_tier, needs_human_review,
         array_to_string(risk_flags, ',') AS flags, normalized_claim_hash FROM claims""",
     "flag_histogram": f"{_C} SELECT flag, count(*) AS n FROM (SELECT unnest(list_distinct(risk_flags)) AS flag FROM claims) GROUP BY flag",
-    "bucket_counts": f"""{_C} SELECT b.bucket, coalesce(c.n, 0) AS n FROM (SELECT unnest(list_value({_in(sorted(classify.BUCKETS.values()))})) AS bucket) b
+    "bucket_counts": f"""{_C} SELECT b.bucket, coalesce(c.n, 0) AS n FROM (SELECT unnest(list_value({_in(sorted(stated.BUCKETS.values()))})) AS bucket) b
         LEFT JOIN (SELECT {_BUCKET} AS bucket, count(*) AS n FROM claims GROUP BY 1) c USING (bucket)""",
     "source_histograms": f"""WITH {_SEED}, s AS (SELECT *, 'observable' AS observable_state FROM seed)
         SELECT source_type, observable_state, mode, count(*) AS n FROM s GROUP BY GROUPING SETS ((source_type), (observable_state), (mode))""",

@@ -12,12 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgate.functions import lexicon as lx
-from quillgate.functions.detectors import DETECTORS
 from quillgate.functions import strings
 from quillgate.operators import analytics, bundle, claims, classify, goldset, masking, reviews, verification
 from quillgate.operators.lineage import cut
 from quillgate.operators.numbering import order_bounds
-from quillgate.plans import reports
+from quillgate.plans import reports, stated
 from quillgate.sources import intake
 
 TEMPLATES = [
@@ -68,16 +67,15 @@ def seed(spark: SparkSession, sf: str, plain: bool = False) -> DataFrame:
 _SEED = f"""seed AS (SELECT doc_id,
   (list_value({", ".join(map(_q, TEMPLATES))}))[(doc_id % {len(TEMPLATES)}) + 1] || ' ' || coalesce(text, '') AS claim_text,
   coalesce(source, 'none') AS source_name,
-  coalesce((list_value({", ".join(map(_q, lx.SOURCE_TYPES))}))[(try_cast(regexp_extract(coalesce(source, ''), '(\\d+)$', 1) AS INT) % 8) + 1], 'unknown') AS source_type,
+  coalesce((list_value({", ".join(map(_q, stated.SOURCE_TYPES))}))[(try_cast(regexp_extract(coalesce(source, ''), '(\\d+)$', 1) AS INT) % 8) + 1], 'unknown') AS source_type,
   CASE WHEN doc_id % 3 = 0 THEN 'general' ELSE 'finance' END AS mode,
   CASE WHEN doc_id % 5 <> 0 THEN '2026-01-01' END AS published_at,
   CASE WHEN doc_id % 2 = 0 THEN 'before' ELSE 'after' END AS issue_id FROM documents)"""
 
 
 def _detected() -> str:
-    plain, advice = {"text": "claim_text", "lower": "low"}, {"text": "adv", "lower": "advlow"}
-    cols = ",\n  ".join(f"{r.sql(advice if k == 'd_action' else plain)} AS {k}" for k, r in DETECTORS.items())
-    gone = "|".join(lx.DISCLAIMERS)
+    cols = ",\n  ".join(f"{sql} AS {k}" for k, sql in stated.DETECTED.items())
+    gone = "|".join(f"(?:{p})" for p in stated.DISCLAIMERS)
     return f"""base AS (SELECT *, lower(claim_text) AS low, regexp_replace(claim_text, '(?i){gone}', ' ', 'g') AS adv,
   lower(regexp_replace(claim_text, '(?i){gone}', ' ', 'g')) AS advlow FROM seed),
 det AS (SELECT * EXCLUDE (low, adv, advlow), {cols} FROM base)"""
@@ -111,7 +109,7 @@ def _has(*names: str) -> str:
 def _decision_sql() -> str:
     fin, crowd, noted = "mode = 'finance'", "source_type IN ('community', 'social')", "source_type IN ('user_note', 'unknown')"
     rows = [
-        (f"{fin} AND {_has(*lx.CRITICAL_FLAGS)}", "excluded", "blocked", "excluded", 0.9), (_has("unobservable_evidence"), "unobservable", "unobservable", "review_only", 0.2),
+        (f"{fin} AND {_has(*stated.CRITICAL_FLAGS)}", "excluded", "blocked", "excluded", 0.9), (_has("unobservable_evidence"), "unobservable", "unobservable", "review_only", 0.2),
         (f"{crowd} AND d_manipulation", "rumor", "unverified", "risk_bucket", 0.25), (f"{crowd} AND d_causal", "unverified_causality", "unverified", "risk_bucket", 0.3),
         (f"{crowd} AND {_has('framing_risk', 'loaded_language', 'strong_certainty_language')}", "opinion_or_frame", "framing_risk", "risk_bucket", 0.35),
         (crowd, "reported_claim", "unverified", "reported_claim_bucket", 0.35),
@@ -132,10 +130,10 @@ def _decision_sql() -> str:
         (noted, "needs_official_source", "unverified", "review_only", 0.25),
     ]
     case = lambda i: "CASE " + " ".join(f"WHEN {r[0]} THEN {_q(r[i]) if isinstance(r[i], str) else f'CAST({r[i]} AS DOUBLE)'}" for r in rows) + " END"
-    types = ", ".join(map(_q, lx.HIGH_TYPES))
+    types = ", ".join(map(_q, stated.HIGH_TYPES))
     return f"""typed AS (SELECT *, {case(1)} AS claim_type, {case(2)} AS verification_status, {case(3)} AS output_level, {case(4)} AS confidence FROM flagged),
-tiered AS (SELECT *, CASE WHEN {fin} AND {_has(*lx.CRITICAL_FLAGS)} THEN 'critical' WHEN claim_type IN ({types}) OR {_has(*lx.HIGH_FLAGS)} THEN 'high'
-  WHEN {_has(*lx.MEDIUM_FLAGS)} THEN 'medium' ELSE 'low' END AS risk_tier FROM typed),
+tiered AS (SELECT *, CASE WHEN {fin} AND {_has(*stated.CRITICAL_FLAGS)} THEN 'critical' WHEN claim_type IN ({types}) OR {_has(*stated.HIGH_FLAGS)} THEN 'high'
+  WHEN {_has(*stated.MEDIUM_FLAGS)} THEN 'medium' ELSE 'low' END AS risk_tier FROM typed),
 claims AS (SELECT *, (risk_tier IN ('high', 'critical') OR output_level IN ('review_only', 'excluded') OR claim_type IN ('unverified_causality', 'unobservable')
   OR (source_type = 'company' AND claim_type = 'interpretation') OR ({crowd} AND claim_type IN ('opinion_or_frame', 'rumor'))) AS needs_human_review,
   substr(sha256(trim(regexp_replace(lower(claim_text), '\\s+', ' ', 'g'))), 1, 16) AS normalized_claim_hash FROM tiered)"""
