@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgate.functions import lexicon as lx
+from quillgate.functions.rules import settle
 
 from .classify import BUCKETS, bucket, risky_unresolved
 from .joins import join_groups
@@ -68,15 +69,14 @@ def exact_repetition(claims: DataFrame, run: str, order: str, bounds: list[float
     return join_groups(claims, groups, [run, "normalized_claim_hash"], "source_count")
 
 
-def _crowd_variants(claims: DataFrame) -> Column:
+def _crowd_variants() -> Column:
     crowd = _c("source_type").isin("community", "social") & _c("claim_type").isin(FUZZY_TYPES)
-    key = F.when(crowd, variant(_c("claim_text"), 20))
-    return F.when(key != "", key)
+    return F.when(crowd, F.nullif(variant(_c("claim_text"), 20), F.lit("")))
 
 
 def fuzzy_repetition(claims: DataFrame, run: str, order: str) -> DataFrame:
     """Groups of community and social claims that say the same in other words: run, key, members, first."""
-    keyed = claims.withColumn("variant_key", _crowd_variants(claims)).filter("variant_key is not null")
+    keyed = settle(claims, {"variant_key": _crowd_variants()}).filter("variant_key is not null")
     return keyed.groupBy(run, "variant_key").agg(F.count("*").alias("members"), F.min(order).alias("first_member")).filter("members > 1")
 
 
@@ -93,7 +93,7 @@ def repetition_policy(claims: DataFrame, run: str, order: str, bounds: list[floa
     has a group already; these are numbered on after the exact groups, and every variant takes a number.
     """
     kept = [c for c in claims.columns if c not in ("source_count", "duplicate_group_id", "lineage_note")]
-    rows = exact_repetition(claims.select(*kept), run, order, bounds).withColumn("__variant", _crowd_variants(claims))
+    rows = exact_repetition(claims.select(*kept), run, order, bounds).withColumn("__variant", _crowd_variants())
     variants = rows.filter("__variant is not null").groupBy(run, "__variant").agg(
         F.count("*").alias("__members"), F.min(order).alias("__first"), F.bool_or(_c("duplicate_group_id").isNotNull()).alias("__taken")
     )
@@ -121,11 +121,10 @@ def repetition_policy(claims: DataFrame, run: str, order: str, bounds: list[floa
 
 def _shared_variants(claims: DataFrame) -> tuple[DataFrame, Column]:
     """Groups of more than one claim and source that say the same, numbered by hash; and the key of a claim."""
-    text = variant(_c("claim_text"), 24)
-    key = F.when((_c("claim_type") != "excluded") & (text != ""), hash16(text))
+    key = F.when(_c("claim_type") != "excluded", hash16(F.nullif(variant(_c("claim_text"), 24), F.lit(""))))
     run = F.coalesce(_c("run_id"), F.lit("")) if "run_id" in claims.columns else _c("source_name")
     order = _c("at") if "at" in claims.columns else _c("claim_text")
-    groups = claims.withColumn("key", key).filter("key is not null").groupBy("key").agg(
+    groups = settle(claims, {"key": key}).filter("key is not null").groupBy("key").agg(
         F.count("*").alias("claims"),
         F.array_join(F.array_sort(F.collect_set("source_name")), ",").alias("sources"),
         F.count_distinct("source_name").alias("n_sources"),
@@ -152,7 +151,7 @@ def cross_source_groups(claims: DataFrame) -> DataFrame:
 def flag_shared(claims: DataFrame) -> DataFrame:
     """Claims with bundle_duplicate_group_id, and two more flags for those of a group of several sources."""
     groups, key = _shared_variants(claims)
-    rows = join_groups(claims.withColumn("__key", key), groups.select(_c("key").alias("__key"), _c("group_id").alias("bundle_duplicate_group_id"), _c("claims").alias("__n")), ["__key"], "__n")
+    rows = join_groups(settle(claims, {"__key": key}), groups.select(_c("key").alias("__key"), _c("group_id").alias("bundle_duplicate_group_id"), _c("claims").alias("__n")), ["__key"], "__n")
     return rows.withColumn("risk_flags", with_flags(_c("risk_flags"), BUNDLE_FLAGS, _c("bundle_duplicate_group_id").isNotNull())).drop("__key", "__n")
 
 

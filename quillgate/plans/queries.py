@@ -228,7 +228,7 @@ def shared_flags(spark, sf):
 
 
 def cross_source_groups(spark, sf):
-    return analytics.cross_source_groups(plain_claims(spark, sf)).select("group_id", "key", "claims", "sources", "n_sources")
+    return analytics.cross_source_groups(cut(plain_claims(spark, sf).select("source_name", "claim_type", "claim_text"))).select("group_id", "key", "claims", "sources", "n_sources")
 
 
 EVENTS = ["flood", "train accident", "factory fire", "storm"]
@@ -464,7 +464,7 @@ def comparison_lines(spark, sf):
 
 
 def report_lines(spark, sf):
-    return reports.run_report(classified(spark, sf), "doc_id", "Evidence report", detailed=True)
+    return reports.run_report(cut(classify.ledger(classified(spark, sf))), "doc_id", "Evidence report", detailed=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

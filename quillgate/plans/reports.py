@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgate.operators import classify
+from quillgate.operators.lineage import cut
 from quillgate.operators.masking import EXCLUDED, escape_inline, safe_claims
 
 _c = F.col
@@ -58,6 +59,7 @@ def run_report(claims: DataFrame, order: str, title: str, detailed: bool = False
     It refuses nothing itself; hold the claims to `gate_violations` first."""
     spark = claims.sparkSession
     rows = safe_claims(claims.withColumn("claim_id", _c("claim_id") if "claim_id" in claims.columns else _c(order).cast("string")))
+    rows = cut(rows.drop("claim_text"))  # masked once; sections, headings and the checklist read it
     items = rows.select(classify.bucket(_c("claim_type")).alias("name"), _c(order).alias("at"), claim_line(detailed).alias("line"))
     counts = claims.groupBy("source_type").agg(F.count("*").alias("n"))
     counts = counts.select(F.lit(1).alias("section"), F.row_number().over(Window.orderBy("source_type")).cast("long").alias("pos"), F.format_string("- %s: %d", "source_type", "n").alias("line"))
