@@ -281,4 +281,19 @@ ORACLE_SQL |= {
         SELECT doc_id, slug || CASE WHEN k > 1 THEN '_' || k ELSE '' END || '.txt' AS file_name FROM f UNION ALL SELECT doc_id, NULL FROM n WHERE nth > 1""",
     "page_types": """SELECT page_id, sha256(html) AS sha256, strlen(html)::BIGINT AS bytes, CASE WHEN strlen(html) > 4096 THEN 'content too large' END AS problem,
         CASE WHEN regexp_replace(trim(coalesce(url, '')), '[^a-zA-Z0-9_-]+', '_', 'g') = '' THEN 'issue' ELSE regexp_replace(trim(coalesce(url, '')), '[^a-zA-Z0-9_-]+', '_', 'g') END AS slug FROM pages""",
+    "source_suggestions": """WITH c AS (SELECT page_id, regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1) AS title, coalesce(url, '') AS url,
+          ['', 'Press release', 'a reddit thread', 'Analyst memo', 'Community blog', 'memo on crypto', 'Investor day', 'stock forum'][1 + (page_id % 8)::INT] AS note FROM pages),
+        t AS (SELECT page_id, lower(concat_ws(' ', title, url, regexp_extract(url, '^[a-z]+://([^/]*)', 1), page_id::VARCHAR, note)) AS seen,
+          trim(regexp_replace(lower(CASE WHEN title = '' THEN page_id::VARCHAR ELSE title END), '[^a-z0-9]+', '_', 'g'), '_') AS name FROM c)
+        SELECT page_id, CASE WHEN name = '' THEN 'source_' || page_id ELSE name END AS suggested_name, CASE WHEN regexp_matches(seen, 'news|press|reuters|bloomberg|journal') THEN 'news'
+          WHEN regexp_matches(seen, 'forum|reddit|twitter|discord|telegram') THEN 'social' WHEN regexp_matches(seen, 'analyst|research|report') THEN 'analyst'
+          WHEN regexp_matches(seen, 'community|blog') THEN 'community' WHEN regexp_matches(seen, 'note|memo') THEN 'user_note'
+          WHEN regexp_matches(seen, 'company|corporate|investor') THEN 'company' ELSE 'official' END AS suggested_type,
+          CASE WHEN regexp_matches(seen, 'finance|stock|crypto') THEN 'finance' ELSE 'general' END AS suggested_mode FROM t""",
+    "package_figures": """WITH p AS (SELECT doc_id, coalesce(['', 'Issue ID: alpha 1 ' || chr(10) || 'Sources: 3' || chr(10), '- [a](b)' || chr(10) || '* [c](d) [e](f)' || chr(10),
+          'Analysis Run #1, analysis run 2' || chr(10) || 'Low-risk claim' || chr(10), 'Med risk, HIGH-RISK' || chr(10) || 'source count : 12' || chr(10)][1 + (doc_id % 5)::INT], '') || coalesce(text, '') AS t FROM documents),
+        f AS (SELECT *, regexp_extract(t, '(Source Count|Sources|Total Sources)\\s*:\\s*(\\d+)', 2, 'i') AS n, trim(regexp_extract(t, 'Issue ID\\s*:\\s*([^\\n\\r]+)', 1, 'i')) AS i FROM p)
+        SELECT doc_id, CASE WHEN i <> '' THEN i END AS stated_issue, CASE WHEN n <> '' THEN TRY_CAST(n AS BIGINT) ELSE len(regexp_extract_all(t, '(?m)^[-*]\\s+\\[.*?\\]\\(.*?\\)')) END AS sources,
+          len(regexp_extract_all(t, '(?i)analysis run\\s*#?\\s*\\d+')) AS runs, len(regexp_extract_all(t, '(?i)low[- ]risk')) AS low, len(regexp_extract_all(t, '(?i)(medium|med)[- ]risk')) AS medium,
+          len(regexp_extract_all(t, '(?i)high[- ]risk')) AS high, len(regexp_extract_all(t, '(?i)claim')) AS claims FROM f""",
 }

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillgate.functions import lexicon as lx
 from quillgate.functions import strings
-from quillgate.operators import analytics, bundle, claims, classify, goldset, masking, reviews, verification
+from quillgate.operators import analytics, bundle, claims, classify, goldset, masking, reviews, verification, viewer
 from quillgate.operators.lineage import cut
 from quillgate.operators.numbering import order_bounds
 from quillgate.plans import reports, stated
@@ -33,6 +33,11 @@ TEMPLATES = [
 ]
 
 
+#: Notes of candidates, and first lines of packages, by id
+CANDIDATE_NOTES = ["", "Press release", "a reddit thread", "Analyst memo", "Community blog", "memo on crypto", "Investor day", "stock forum"]
+PACKAGE_HEADS = ["", "Issue ID: alpha 1 \nSources: 3\n", "- [a](b)\n* [c](d) [e](f)\n", "Analysis Run #1, analysis run 2\nLow-risk claim\n", "Med risk, HIGH-RISK\nsource count : 12\n"]
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -459,6 +464,24 @@ def page_types(spark, sf):
     return table(spark, sf, "pages").select("page_id", facts["sha256"].alias("sha256"), facts["bytes"].cast("long").alias("bytes"), bundle.content_problem(F.lit("text/html; charset=utf-8"), F.octet_length(content), 4096).alias("problem"), strings.slug(F.col("url")).alias("slug"))
 
 
+def source_suggestions(spark, sf):
+    """Pages as candidates: what their title, address and host suggest as name, type and mode."""
+    title = F.regexp_extract(F.coalesce("html", F.lit("")), "<title>([^<]*)</title>", 1)
+    host = F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-z]+://([^/]*)", 1)
+    rows = spread(table(spark, sf, "pages")).select(
+        "page_id", F.col("page_id").alias("at"), F.col("page_id").cast("string").alias("candidate_id"), title.alias("title"), "url", host.alias("publisher"),
+        F.array(F.get(F.array(*map(F.lit, CANDIDATE_NOTES)), F.pmod("page_id", F.lit(len(CANDIDATE_NOTES))).cast("int"))).alias("warnings"),
+    )
+    return viewer.suggestions(rows).select("page_id", "suggested_name", "suggested_type", "suggested_mode")
+
+
+def package_figures(spark, sf):
+    """Documents as the texts of packages, each led by some lines of one."""
+    heads = F.get(F.array(*map(F.lit, PACKAGE_HEADS)), F.pmod("doc_id", F.lit(len(PACKAGE_HEADS))).cast("int"))
+    rows = spread(table(spark, sf, "documents")).select("doc_id", F.concat(F.coalesce(heads, F.lit("")), F.coalesce("text", F.lit(""))).alias("text"))
+    return viewer.package_figures(rows).drop("text")
+
+
 def comparison_lines(spark, sf):
     return reports.comparison_report(bundle_compare(spark, sf), "Comparison").select("section", "pos", "line")
 
@@ -475,6 +498,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         repetition_ledger, shared_flags, numeric_divergence, causal_variants, bundle_compare, verification_categories, packet_ids, excluded_sources, unresolved_by_severity,
         gate_violations, orphan_rows, detector_confusion, tier_accuracy, manifest_duplicates, url_policy, filename_hints, masked_claims,
         numeric_items, summary_sections, work_item_groups, question_counts, official_queries, compared_claims, review_numbers, capture_names, page_types,
+        source_suggestions, package_figures,
         page_text, review_packet_index, response_rules, gold_metrics, comparison_lines, report_lines,
     )
 }

@@ -19,7 +19,7 @@ def test_contract(spark):
 
 
 @pytest.mark.parametrize("name", ["claim_ledger", "review_queue", "bundle_compare", "gate_violations", "numeric_divergence", "exact_repetition", "packet_ids", "manifest_duplicates",
-                                  "bucket_counts", "review_packet_index", "response_rules", "gold_metrics", "comparison_lines"])
+                                  "bucket_counts", "review_packet_index", "response_rules", "gold_metrics", "comparison_lines", "source_suggestions", "package_figures"])
 def test_sql_agrees(spark, sf, name):
     con = duckdb.connect()
     for t in ("documents", "labels", "pages", "conversations"):
