@@ -35,6 +35,9 @@ def _show(df) -> bool:
 
 
 def _select(spark, a) -> bool:
+    heads = [manifests.header_problem(spark, a.path, "artifact_version", manifests.CANDIDATE_VERSION), manifests.header_problem(spark, a.other, "confirm_reviewed", "true")]
+    if any(heads):
+        raise ValueError("; ".join(filter(None, heads)))
     candidates = manifests.read_sources(spark, a.path, manifests.CANDIDATE, "candidates")
     chosen = manifests.read_sources(spark, a.other, manifests.SELECTION, "selected_candidates")
     ws._refuse(manifests.problems(candidates, ["candidate_id"], ["candidate_id"], url="url"), "candidates")
@@ -59,6 +62,9 @@ COMMANDS = {
     "bundle-summary": (lambda s, a: bool(ws.write_summary(s, a.path)), "path"),
     "verification-packet": (lambda s, a: bool(ws.write_verification(s, a.path)), "path"),
     "operator-package": (lambda s, a: bool(ws.write_package(s, a.path)), "path"),
+    "operator-checklist": (lambda s, a: bool(ws.write_checklist(s, a.out)), "out"),
+    "capture-index": (lambda s, a: bool(ws.write_captures(s, a.path, a.out)), "path out"),
+    "acquisition-index": (lambda s, a: bool(ws.write_acquisitions(s, a.path, a.out, a.issue)), "path out"),
     "import-review": (lambda s, a: bool(ws.import_reviews(s, a.path, a.out)), "path out"),
     "review-packet": (lambda s, a: ws.write_packets(s, a.path) is not None, "path"),
     "validate-response": (_responses, "path other out"),
@@ -82,6 +88,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if name == "analyze-file":
             for option, default in (("issue", "issue"), ("name", "source"), ("type", "unknown"), ("mode", "general"), ("published", None)):
                 sub.add_argument(f"--{option}", default=default)
+        if name == "acquisition-index":
+            sub.add_argument("--issue", default="issue")
         sub.add_argument("--detailed", action="store_true")
         sub.add_argument("--enforce", action="store_true")
     args = top.parse_args(argv)

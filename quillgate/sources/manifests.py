@@ -19,6 +19,11 @@ OPTIONAL = ["source_url", "title", "publisher", "published_at", "captured_at", "
 BUNDLE = "source_name string, source_type string, mode string, file_path string, " + ", ".join(f"{c} string" for c in OPTIONAL)
 ACQUISITION = "source_name string, source_type string, mode string, url string, title string, publisher string, published_at string, citation_note string"
 CANDIDATE = "candidate_id string, url string, title string, snippet string, publisher string, published_at string, provider_result_id string"
+CAPTURE = BUNDLE + ", issue_id string, content_hash_sha256 string, runtime_fetching boolean"
+ACQUIRED = (
+    "source_name string, source_type string, mode string, source_url string, status string, fetched_at string, http_status string, content_type string, file_path string, "
+    "content_hash_sha256 string, content_length_bytes long, title string, publisher string, published_at string, citation_note string, warnings array<string>"
+)
 SELECTION = "candidate_id string, source_name string, source_type string, mode string, citation_note string"
 
 
@@ -30,6 +35,32 @@ def read_sources(spark: SparkSession, path: str, source: str, field: str = "sour
     return rows.select("issue_id", (_c("pos") + 1).cast("long").alias("at"), *[F.when(F.trim(f"s.{n}") != "", F.trim(f"s.{n}")).alias(n) for n in names])
 
 
+def header_problem(spark: SparkSession, path: str, field: str, wanted: str) -> str | None:
+    """What is wrong with a field in a control file's head, if anything: `wanted` is its value as JSON text."""
+    row = spark.read.text(path, wholetext=True).select(F.get_json_object("value", f"$.{field}").alias("v")).first()
+    return None if row and row.v == wanted else f"{field} must be {wanted}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def read_log(spark: SparkSession, path: str, record: str, by_name: bool = False) -> DataFrame:
+    """The records of a log, a JSON array in one file, with `at` from 1: in the file's order or by lower-case name.
+    A missing file has none; anything but an array raises ValueError."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], f"at int, {record}")
+    whole = spark.read.text(path, wholetext=True)
+    if not whole.filter(~F.ltrim("value").startswith("[")).isEmpty():
+        raise ValueError(f"{path} must hold a JSON array")
+    rows = F.from_json("value", f"array<struct<{record}>>", {"mode": "FAILFAST"})
+    if by_name:
+        name = lambda x: F.lower(F.coalesce(x["source_name"], F.lit("")))
+        rows = F.array_sort(rows, lambda a, b: F.when(name(a) < name(b), -1).when(name(a) > name(b), 1).otherwise(0))
+    return whole.select(F.posexplode(rows).alias("pos", "r")).select((_c("pos") + 1).alias("at"), "r.*")
+
+
 def normalise_sources(rows: DataFrame) -> DataFrame:
     """Sources with known types and a name each: source_001 and so on where there is none."""
     name = F.coalesce("source_name", F.format_string("source_%03d", "at"))

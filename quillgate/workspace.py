@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgate.operators import analytics, bundle, claims, classify, goldset, reviews
 from quillgate.operators.lineage import cut
-from quillgate.plans import reports, summary
+from quillgate.plans import checklist, indexes, reports, summary
 from quillgate.sources import intake, manifests
 
 _c = F.col
@@ -73,14 +73,21 @@ def _ordered(rows: DataFrame) -> DataFrame:
     return rows.join(ranked, ["issue_id", "source_name"]).withColumn("at", F.pmod("source_no", F.lit(1 << 30)) * F.lit(1 << 32) + _c("claim_no"))
 
 
+REQUIRED = ["claims", "review_items"]
+
+
 def validate_run(spark: SparkSession, out: str) -> DataFrame:
+    """The gates that the run's claims break; a run without one of its tables raises ValueError."""
+    if missing := [x for x in REQUIRED if not manifests.exists(spark, f"{out}/{x}")]:
+        raise ValueError("missing artifact: " + ", ".join(missing))
     return analytics.gate_violations(read_claims(spark, out), "claim_id")
 
 
 def write_report(spark: SparkSession, out: str, title: str = "Evidence report", detailed: bool = False) -> str:
-    """The run's report; ValueError if a gate is broken."""
+    """The run's report, and its warnings, of which the gates give none; ValueError if a gate is broken."""
     _refuse(validate_run(spark, out), "gates")
     reports.write_lines(reports.run_report(_ordered(read_claims(spark, out)), "at", title, detailed), f"{out}/report")
+    reports.write_lines(reports._text(spark, 0, ["# Warnings", "", "- None"]), f"{out}/warnings")
     return f"{out}/report"
 
 
@@ -115,6 +122,23 @@ def write_verification(spark: SparkSession, out: str) -> str:
     return f"{out}/verification_packet"
 
 
+def write_checklist(spark: SparkSession, out: str) -> str:
+    reports.write_lines(checklist.checklist(spark), out)
+    return out
+
+
+def write_captures(spark: SparkSession, log: str, out: str) -> str:
+    """The index of a log of captures, by name."""
+    reports.write_lines(indexes.capture_index(manifests.read_log(spark, log, manifests.CAPTURE, by_name=True)), out)
+    return out
+
+
+def write_acquisitions(spark: SparkSession, log: str, out: str, issue: str) -> str:
+    """The index of a log of acquired sources, in its order."""
+    reports.write_lines(indexes.acquisition_index(manifests.read_log(spark, log, manifests.ACQUIRED), issue), out)
+    return out
+
+
 def write_package(spark: SparkSession, out: str) -> str:
     claims = _ordered(read_claims(spark, out))
     reports.write_lines(summary.operator_package(claims, _issue(claims)), f"{out}/operator_package")

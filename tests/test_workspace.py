@@ -79,14 +79,34 @@ def test_bad_manifest_is_refused(spark, tmp_path, capsys):
 
 def test_candidates_and_overrides(spark, tmp_path, capsys):
     c, s = tmp_path / "c.json", tmp_path / "s.json"
-    c.write_text(json.dumps({"issue_id": "i", "candidates": [{"candidate_id": "C1", "url": "https://a.example/x", "title": " "}, {"candidate_id": "c2", "url": "https://b.example"}]}))
+    c.write_text(json.dumps({"artifact_version": "v0.8C", "issue_id": "i", "candidates": [{"candidate_id": "C1", "url": "https://a.example/x", "title": " "}, {"candidate_id": "c2", "url": "https://b.example"}]}))
     pick = {"candidate_id": "C1", "source_name": "n", "source_type": "commentary", "mode": "general"}
-    s.write_text(json.dumps({"issue_id": "i", "selected_candidates": [pick]}))
+    s.write_text(json.dumps({"confirm_reviewed": True, "issue_id": "i", "selected_candidates": [pick]}))
     assert main(["select-candidates", str(c), str(s), str(tmp_path / "acq")], spark) == 0
     r = spark.read.json(str(tmp_path / "acq")).first()
     assert (r.url, r.source_type) == ("https://a.example/x", "analyst") and "title" not in r
-    s.write_text(json.dumps({"issue_id": "i", "selected_candidates": [{**pick, "candidate_id": "c1"}]}))
+    s.write_text(json.dumps({"confirm_reviewed": True, "issue_id": "i", "selected_candidates": [{**pick, "candidate_id": "c1"}]}))
     assert main(["select-candidates", str(c), str(s), str(tmp_path / "acq")], spark) == 2 and "no such candidate" in capsys.readouterr().err
+    s.write_text(json.dumps({"confirm_reviewed": "yes", "issue_id": "i", "selected_candidates": [pick]}))
+    assert main(["select-candidates", str(c), str(s), str(tmp_path / "acq")], spark) == 2 and "confirm_reviewed must be true" in capsys.readouterr().err
     files = spark.createDataFrame([("A.txt", "news"), ("b.txt", "news"), ("c.txt", "news")], "name string, source_type string")
     over = spark.createDataFrame([("a.TXT", "Official"), ("b", "user-note"), ("B.txt", "odd")], "key string, source_type string")
     assert {r.name: r.source_type for r in manifests.override_types(files, over).collect()} == {"A.txt": "official", "b.txt": "unknown", "c.txt": "news"}
+
+
+def test_logs_and_indexes(spark, tmp_path, capsys):
+    log = tmp_path / "log.json"
+    assert main(["capture-index", str(log), str(tmp_path / "none")], spark) == 0 and _lines(tmp_path / "none").endswith("## Captured Sources\n- None\n")
+    log.write_text(json.dumps([{"source_name": "b [x]", "issue_id": "i", "file_path": "b.txt", "source_url": "https://a.example"}, {"source_name": "A", "title": "T", "mode": "general", "runtime_fetching": True}]))
+    assert main(["capture-index", str(log), str(tmp_path / "cap")], spark) == 0
+    text = _lines(tmp_path / "cap")
+    assert text.index("### 1. A\n") < text.index("- Title: T") < text.index("### 2. b \\[x\\]\n") < text.index("- Local file: `b.txt`") < text.index("https://a.example (metadata only; not fetched)")
+    assert text.count("- Runtime fetching: True") == 1 and text.count("- Runtime fetching: False") == 1
+    log.write_text(json.dumps([{"source_name": "z", "status": "fetched", "http_status": "200", "content_length_bytes": 5, "warnings": ["w (1)"]}, {"source_name": "a", "status": "failed"}]))
+    assert main(["acquisition-index", str(log), str(tmp_path / "got"), "--issue", "i7"], spark) == 0
+    text = _lines(tmp_path / "got")
+    assert "- Issue ID: i7\n" in text and text.index("### 1. z") < text.index("- Content length: 5 bytes") < text.index("- Warnings: w \\(1\\)") < text.index("### 2. a") < text.index("- HTTP status: not available")
+    log.write_text("{}")
+    assert main(["capture-index", str(log), str(tmp_path / "bad")], spark) == 2 and "JSON array" in capsys.readouterr().err
+    assert main(["validate-run", str(tmp_path / "nowhere")], spark) == 2 and "missing artifact: claims, review_items" in capsys.readouterr().err
+    assert main(["operator-checklist", str(tmp_path / "todo")], spark) == 0 and _lines(tmp_path / "todo").startswith("# Issue Bundle Operator Review Checklist\n\n## ")
