@@ -57,12 +57,16 @@ def source_index(records: DataFrame, title: str, head: list[str], fields: list[t
     """Lines (section, pos, line) of an index: its head, then for each record (`at` from 1) a heading and its fields.
     Names and citations are masked by the record's mode; a null mode is general; no record gives "- None"."""
     spark = records.sparkSession
+    plain = lambda c: F.struct(c.alias("line"), F.lit(None).cast("string").alias("raw"))
+    foreign = lambda start, name: F.struct(start.alias("line"), F.coalesce(_c(name).cast("string"), F.lit("")).alias("raw"))
+    heading = foreign(F.concat(F.lit("### "), _c("at").cast("string"), F.lit(". ")), "source_name")
+    cited = [F.when(F.coalesce(n, F.lit("")) != "", foreign(F.lit(f"- {label}: "), n)) for label, n in CITED]
+    cells = [plain(F.lit("")), heading, plain(F.lit("")), *[F.when(f.isNotNull(), plain(f)) for f in (*[_field(*x) for x in fields], *last)]]
+    cells = [*cells[: 3 + len(fields)], *cited, *cells[3 + len(fields) :]]
     rows = records.withColumn("mode", F.coalesce("mode", F.lit("general")))
-    for name in ["source_name", *[n for _, n in CITED]]:
-        rows = mask(rows.withColumn(name, F.coalesce(name, F.lit(""))), name, "mode", name)
-    heading = F.concat(F.lit("### "), _c("at").cast("string"), F.lit(". "), metadata(_c("source_name")))
-    cells = [F.lit(""), heading, F.lit(""), *[_field(*f) for f in fields], *[_field(label, n, IF_SET) for label, n in CITED], *last]
-    lines = rows.select(_c("at").cast("int").alias("section"), F.posexplode(F.array_compact(F.array(*cells))).alias("pos", "line"))
+    rows = rows.select(_c("at").cast("int").alias("section"), "mode", F.posexplode(F.array_compact(F.array(*cells))).alias("pos", "cell")).select("section", "mode", "pos", "cell.*")
+    safe = mask(rows, "raw", "mode", "safe")  # one pass for all foreign fields
+    lines = safe.select("section", "pos", F.when(_c("raw").isNull(), _c("line")).otherwise(F.concat("line", metadata(_c("safe")))).alias("line"))
     none = spark.createDataFrame([(1, 0, "- None")], "section int, pos long, line string").join(records.select(F.lit(1).alias("section")).limit(1), "section", "left_anti")
     return _text(spark, 0, [f"# {title}", "", *head]).unionByName(lines.withColumn("pos", _c("pos").cast("long"))).unionByName(none)
 
