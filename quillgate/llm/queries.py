@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, mixing, quality, sharding, simhash, tokens, vectors, weak
+from . import decontaminate, funnel, html, langid, merkle, mixing, oracle, quality, sharding, simhash, tokens, vectors, weak
 from .runtime import table
 
 
@@ -54,6 +54,28 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    hit = decontaminate.n_hit(F.col("spans"))
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated")
+    )
+
+
+def op12_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnel.funnels(table(spark, sf_dir, "clicks"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    own = [docs[c] for c in merkle.FIELDS]
+    text = F.when(F.pmod(F.crc32(docs.doc_id.cast("string").cast("binary")), F.lit(2)) == 0, F.replace(docs.text, F.lit("\n"), F.lit(""))).otherwise(docs.text)
+    leaves = docs.select("doc_id", "source", merkle.leaf(*own).alias("leaf"), merkle.leaf(*own[:-1], text).alias("found"))
+    rows = merkle.manifest(leaves, keep=["doc_id", "leaf", "found"])
+    again = merkle.folded(F.col("found"), F.col("path"))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), again.alias("folded_root"), (again == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -65,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_language": op9_language,
     "op10_token_counts": op10_token_counts,
+    "op11_decontamination": op11_decontamination,
+    "op12_funnel": op12_funnel,
+    "op13_merkle": op13_merkle,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL
