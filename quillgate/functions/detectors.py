@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quillgate.session import prepare
+
 from . import lexicon as lx
 from .rules import Hits, Not, all_of, any_of, bounded, pattern, patterns, phrases, settle, substrings
 
@@ -119,6 +121,7 @@ def is_ascii(text: Column) -> Column:
 def normalise(text: Column) -> Column:
     """Format and control characters dropped (but line feed and tab), compatibility forms and split syllables
     composed, look-alike letters folded to Latin.  ASCII texts stay within the JVM."""
+    prepare()
     wide = F.when(~is_ascii(text), F.regexp_replace(text, r"[\p{Cf}\p{Cc}&&[^\n\t]]", ""))
     folded = F.translate(_nfkc(F.when(~is_ascii(wide), wide)), lx.LOOKALIKES, lx.LOOK_LIKE)
     return F.when(is_ascii(text), F.regexp_replace(text, r"[\x00-\x08\x0b-\x1f\x7f]", "")).otherwise(F.coalesce(folded, wide))

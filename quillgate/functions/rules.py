@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, ShortType
 
+from quillgate.session import prepare
+
 _ATOM = re.compile(r"\\[dDsSwWbB]|\\.|\[(?:\\.|[^\]\\])*\]|\(\?<[=!]|\(\?[=!]|\(\?[a-zA-Z-]+\)|\(\?(?:[a-zA-Z-]*:)|\(|\)|\||[*+?]|\{\d*,?\d*\}|.", re.S)
 
 
@@ -102,6 +104,7 @@ class Hits:
 
     def find(self, lower: Column) -> Column:
         """array<smallint>: places of the literals that the lower-cased text holds; null for null."""
+        prepare()
         words = tuple(self.words)
 
         @F.pandas_udf(ArrayType(ShortType()))

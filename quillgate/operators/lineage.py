@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
+from quillgate.session import shared_folder
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the checkpoint folder that the cluster names in spark.checkpoint.dir, so that a lost executor
-    loses nothing.  Where that is unset a temporary folder serves a local master; on a cluster it is an error."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillgate-"))
+    """Materialise df in the shared folder, so that a lost executor loses nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

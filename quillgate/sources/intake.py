@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quillgate.operators.numbering import number_within
+from quillgate.session import prepare
 
 # Hints in file names, in order of priority; sources that a hint may not raise
 HINTS = {
@@ -43,7 +44,15 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.when(ok, text).alias("text"), ok.alias("is_valid"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of JSON Lines; a missing file has none, blank lines are none, a broken one fails the read."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
@@ -109,6 +118,7 @@ def _host_problems(hosts: pd.Series) -> pd.Series:
 def url_problem(url: Column) -> Column:
     """The first rule of the URL policy that the URL breaks, or null.  Plain host names of letters stay in the JVM;
     addresses, and names that may stand for one, are parsed."""
+    prepare()
     trimmed = F.trim(url)
     scheme = F.lower(F.regexp_extract(trimmed, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     authority = F.regexp_extract(trimmed, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\\\\]*)", 1)
@@ -190,5 +200,6 @@ def visible_text(df: DataFrame, key: str, page: str) -> DataFrame:
                 texts.append("\n".join(x for x in lines if x))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
+    prepare(df.sparkSession)
     kind = dict(df.dtypes)[key]
     return df.select(key, df[page].cast("string")).mapInArrow(run, f"{key} {kind}, text string")

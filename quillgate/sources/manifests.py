@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgate.operators.classify import coerce_source_type
 
-from .intake import ALIASES, duplicate_names, path_problem, url_problem
+from .intake import ALIASES, duplicate_names, exists, path_problem, url_problem
 
 _c = F.col
 
@@ -41,11 +41,6 @@ def header_problem(spark: SparkSession, path: str, field: str, wanted: str) -> s
     return None if row and row.v == wanted else f"{field} must be {wanted}"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
 def read_log(spark: SparkSession, path: str, record: str, by_name: bool = False) -> DataFrame:
     """The records of a log, a JSON array in one file, with `at` from 1: in the file's order or by lower-case name.
     A missing file has none; anything but an array raises ValueError."""
