@@ -8,8 +8,9 @@ matters in odd cases, and partial wrappers of many tasks align into one as pages
 The wrapper finds the article.  Each of its nodes knows how much text outside links it holds that varies from page
 to page (slots), and how much is the same on all.  A page is matched with the wrapper from the root on, and the way
 leads into the group that draws most of the varying text to itself, until none does or the group is an article.
-What the page has there is its main text, less elements that HTML or their names mark as furniture; where a name is
-no proof, the wrapper decides.  A text is never dropped for being short, long, deep or shared by other pages.
+What the page has there is its main text, less elements that their tag or a plain name marks as furniture; where such a
+name is no proof, the wrapper decides.  A text is never dropped for being short, long, deep or a small part, and a name that
+only holds a word of furniture (`notice-of-intent`) says nothing.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import hashlib
 import html
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, wraps
@@ -58,7 +60,11 @@ FURNITURE = frozenset(
     " sharing social related recommended recommendations comment comments disqus respond reply replies discussion"
     " widget pagination pager toolbar skip form masthead topbar".split()
 )
-#: Of these, words whose blocks may hold prose of their own; all others need evidence inside the article.
+# Words that say nothing beside these: a name of both kinds only is plain.
+NEUTRAL = frozenset(
+    "list section area box block wrapper wrap container inner outer content body item items main top bottom left right user reader readers page site thread count post unit slot group panel bar holder row col column".split()
+)
+#: Of the words of furniture, those whose plain names suffice; all others need evidence inside the article.
 PROSE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored comment comments disqus respond sidebar aside"
     " complementary footer contentinfo newsletter".split()
@@ -73,8 +79,10 @@ _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 SHOWN = 40
 #: Share of a container's varying text that draws the search into a group; weight of marked articles in it.
 DOMINANT, MARKED = 0.7, 4.0
-#: A container with a word of furniture goes if its share of the article's varying text is less, or of its text in links more.
-MINOR, LINKED = 0.05, 0.5
+#: A container with a plain name of furniture goes if this share of its text lies in links.
+LINKED = 0.5
+#: Pairs of siblings that are compared at once; of longer lists, windows of this many siblings follow each other.
+PAIRS, SPAN = 250_000, 400
 #: Hosts whose wrappers a task holds at a time.
 HOSTS_HELD = 512
 
@@ -127,11 +135,12 @@ def host_of(url: str | None) -> str | None:
 
 @lru_cache(20_000)
 def _label(tag: str, attributes: str) -> tuple[str, frozenset]:
-    """The element's name in wrappers, and the words of furniture among those of its class, role and itemprop."""
+    """The element's name in wrappers, and its words of furniture.  The name has the tag and each of its names, numbers as
+    #, so that numbered siblings are alike; ids are marked, as they often name a section's topic."""
     names = [(m[1].lower(), next(x for x in m.groups()[1:] if x is not None).lower()) for m in _NAMED.finditer(attributes)] if attributes else []
-    split = [(kind, w) for kind, n in names for w in re.split(r"[^a-z]+", n) if w]
-    words = frozenset(w for _, w in split)
-    return (tag + "." + ".".join(sorted(words)) if words else tag), frozenset(w for kind, w in split if kind != "id") & FURNITURE
+    tokens = {("@" if kind == "id" else "") + re.sub(r"[^a-z#]+", "-", re.sub(r"[0-9]+", "#", w)).strip("-") for kind, n in names for w in n.split()}
+    label = ".".join([tag, *sorted(tokens - {"", "@"})])
+    return label, furniture_words(label)
 
 
 def parse(page: str | None) -> Node:
@@ -240,14 +249,16 @@ def barred(node: Node) -> bool:
 
 @lru_cache(20_000)
 def furniture_words(label: str) -> frozenset:
-    return frozenset(label.split(".")[1:]) & FURNITURE
+    """Words of furniture in the plain ones of an element's classes, roles and itemprops: those made of nothing else."""
+    split = [t.split("-") for t in label.split(".")[1:] if not t.startswith("@")]
+    return frozenset(w for parts in split if all(w in FURNITURE or w in NEUTRAL for w in parts) for w in parts) & FURNITURE
 
 
 def semantic(node: Node) -> bool:
     """Does the element's tag or name say that it is the article?"""
     if node.tag in MAIN_TAGS:
         return not barred(node)
-    return bool({"articlebody", "main"} & set(node.label.split(".")[1:])) and node.tag in ("div", "section")
+    return node.tag in ("div", "section") and bool({"articlebody", "main"} & set(re.split(r"[.@-]", node.label)[1:]))
 
 
 # wrappers ------------------------------------------------------------------------------------------------------
@@ -368,20 +379,16 @@ def _align_lists(a: list, b: list, siblings: bool = False) -> list:
     return (yield fold.call(out))
 
 
-def _agreements(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence of names, as index pairs."""
-    lead = 0
-    while lead < min(len(a), len(b)) and a[lead] == b[lead]:
-        lead += 1
-    a2, b2 = a[lead:], b[lead:]
-    best = [[0] * (len(b2) + 1) for _ in range(len(a2) + 1)]
-    for i in range(len(a2) - 1, -1, -1):
-        for j in range(len(b2) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a2[i] == b2[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [(k, k) for k in range(lead)], 0, 0
-    while i < len(a2) and j < len(b2):
-        if a2[i] == b2[j]:
-            out.append((lead + i, lead + j))
+def _longest(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence of two short lists, as index pairs."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
@@ -390,6 +397,66 @@ def _agreements(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of pairs in order of the first index a longest run in which the second one rises too."""
+    ends: list[int] = []  # at k the last pair of the best run of k + 1
+    before = [-1] * len(pairs)
+    for n, (_, j) in enumerate(pairs):
+        k = bisect_left(ends, j, key=lambda e: pairs[e][1])
+        before[n] = ends[k - 1] if k else -1
+        ends[k : k + 1] = [n]
+    out, n = [], ends[-1] if ends else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
+def _agreements(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A common subsequence of names, as index pairs: equal ends first, then names that both sides have once as anchors,
+    and between these a longest one.  Of long stretches without an anchor windows follow each other, so that time and
+    memory grow with the siblings, not with their square; names that one side lacks cost nothing."""
+    lead = 0
+    while lead < min(len(a), len(b)) and a[lead] == b[lead]:
+        lead += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - lead and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    ends = [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+    inner_a, inner_b = Counter(a[lead : len(a) - tail]), Counter(b[lead : len(b) - tail])
+    ia = [i for i in range(lead, len(a) - tail) if a[i] in inner_b]
+    ib = [j for j in range(lead, len(b) - tail) if b[j] in inner_a]
+    met = []
+    if len(ia) * len(ib) <= PAIRS:
+        met = [(ia[x], ib[y]) for x, y in _longest([a[i] for i in ia], [b[j] for j in ib])]
+    else:
+        once = {b[j]: j for j in ib if inner_b[b[j]] == 1}
+        anchors = _rising([(i, once[a[i]]) for i in ia if inner_a[a[i]] == 1 and a[i] in once])
+        x = y = 0
+        for i, j in [*anchors, (len(a), len(b))]:
+            upto_x, upto_y = bisect_left(ia, i), bisect_left(ib, j)
+            met += [(ia[x + p], ib[y + q]) for p, q in _windows([a[k] for k in ia[x:upto_x]], [b[k] for k in ib[y:upto_y]])]
+            if i < len(a):
+                met.append((i, j))
+            x, y = upto_x + 1, upto_y + 1
+    return [(k, k) for k in range(lead)] + met + ends
+
+
+def _windows(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A common subsequence of lists of any length: that of a window of each, of which the first half stands, and on."""
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        found = _longest(a[i : i + SPAN], b[j : j + SPAN])
+        last = i + SPAN >= len(a) and j + SPAN >= len(b)
+        kept = found if last else found[: max(1, len(found) // 2)]
+        out += [(i + x, j + y) for x, y in kept]
+        if last:
+            break
+        x, y = kept[-1] if kept else (SPAN // 2 - 1, SPAN // 2 - 1)
+        i, j = i + x + 1, j + y + 1
+    return out
+
+
 def dump(node, pages: int) -> str:
     """Elements and texts in page order, elements with the number of their children; flat, so that depth is no matter."""
     out, queue = [], [node]
@@ -491,23 +558,47 @@ def _matches(kids: list, own: list) -> list:
         place.setdefault(name, []).append(j)
     if all(len(place.get(n, ())) <= 1 for n in set(names)):
         return [own[place[n][0]] if n in place else None for n in names]
-    shapes, like = [_shape(k) for k in kids], [_shape(w) for w in own]
-    again = [w.mark in ("+", "*") for w in own]
-    best = np.zeros((len(kids) + 1, len(own) + 1), np.int64)
-    score = np.array([[(a == b) * (1 + (x == y)) for b, y in zip(of, like)] for a, x in zip(names, shapes)], np.int64).reshape(len(kids), len(own))
-    keep = np.array(again)
-    for i in range(len(kids) - 1, -1, -1):
-        take = np.where(score[i] > 0, score[i] + np.where(keep, best[i + 1, :-1], best[i + 1, 1:]), 0)
+    # Neither side's strangers take part; they have no match.
+    known = set(names)
+    mine, theirs = [i for i, n in enumerate(names) if n in place], [j for j, n in enumerate(of) if n in known]
+    codes: dict = {}
+    number = lambda values: np.array([codes.setdefault(v, len(codes)) for v in values], np.int64)
+    a, b = number([("n", names[i]) for i in mine]), number([("n", of[j]) for j in theirs])
+    x, y = number([("s", _shape(kids[i])) for i in mine]), number([("s", _shape(own[j])) for j in theirs])
+    again = np.array([own[j].mark in ("+", "*") for j in theirs])
+    out: list = [None] * len(kids)
+    i = j = 0
+    while i < len(a):
+        # Long lists are matched window by window: the first half of one stands, and the next begins where it ends.
+        whole = (len(a) - i) * (len(b) - j) <= PAIRS
+        p, q = (len(a), len(b)) if whole else (min(i + SPAN, len(a)), min(j + 2 * SPAN, len(b)))
+        found = _matched(a[i:p], b[j:q], x[i:p], y[j:q], again[j:q])
+        upto = p if whole or p == len(a) else i + SPAN // 2
+        for k, m in enumerate(found[: upto - i]):
+            if m >= 0:
+                out[mine[i + k]] = own[theirs[j + m]]
+        met = [m for m in found[: upto - i] if m >= 0]
+        i, j = upto, j + (met[-1] + (not again[j + met[-1]]) if met else 0)
+    return out
+
+
+def _matched(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, again: np.ndarray) -> list[int]:
+    """For each of a the place in b that it takes, or -1."""
+    n, m = len(a), len(b)
+    best = np.zeros((n + 1, m + 1), np.int32)
+    for i in range(n - 1, -1, -1):
+        score = (b == a[i]) * (1 + (y == x[i]))
+        take = np.where(score > 0, score + np.where(again, best[i + 1, :-1], best[i + 1, 1:]), 0)
         row = np.maximum(take, best[i + 1, :-1])
         best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
     out, j = [], 0
-    for i in range(len(kids)):
+    for i in range(n):
         if best[i, j] == best[i + 1, j]:  # no better with this child
-            out.append(None)
+            out.append(-1)
             continue
         while best[i, j] == best[i, j + 1]:
             j += 1
-        out.append(own[j])
+        out.append(j)
         j += not again[j]
     return out
 
@@ -557,10 +648,10 @@ def _size(node: Node) -> int:
     return total
 
 
-def dropped(k: Node, match: Node | None, w: Wrapper, article: float, inside: bool) -> bool:
-    """Is an element of the place that was found furniture?  `article`: evidence of that place; `inside`: it is an
-    article by its tag or name.  Words that are no proof decide only with the wrapper: where it shows that the element
-    is the same on all pages, or a minor part of what varies, or where it is mostly links.  Headings and paragraphs stay."""
+def dropped(k: Node, match: Node | None, w: Wrapper, inside: bool) -> bool:
+    """Is an element of the place that was found furniture?  `inside`: that is an article by its tag or name.  Plain names
+    that are no proof decide only with evidence: the wrapper shows the same text on two distinct pages, or it is mostly
+    links.  Headings and paragraphs stay, and so does whatever else an article holds."""
     if barred(k):
         return True
     if k.tag in HEADINGS or k.tag in ("html", "body", "main", "article"):
@@ -576,8 +667,7 @@ def dropped(k: Node, match: Node | None, w: Wrapper, article: float, inside: boo
                 chars, links = chars + x.chars, links + x.links
             else:
                 queue += x.kids
-        part = w.evidence(match) if match is not None else chars - links
-        return same or links >= LINKED * chars or part < MINOR * article
+        return same or links >= LINKED * chars
     return not inside and same and k.tag not in TEXTUAL
 
 
@@ -585,14 +675,13 @@ def _texts(places: list, w: Wrapper) -> Iterator[str]:
     """Texts of the article in page order."""
     for node, own in places:
         inside = semantic(node)
-        article = w.evidence(own) if own is not None else float(_size(node))
         walks = [(iter(zip(node.kids, _matches(node.kids, own.kids if own is not None else []))), inside)]
         while walks:
             kids, inside = walks.pop()
             for k, match in kids:
                 if isinstance(k, Text):
                     yield k.text
-                elif not dropped(k, match, w, article, inside):
+                elif not dropped(k, match, w, inside):
                     walks.append((kids, inside))
                     walks.append((iter(zip(k.kids, _matches(k.kids, match.kids if match is not None else []))), inside or semantic(k)))
                     break

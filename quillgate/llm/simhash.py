@@ -15,6 +15,7 @@ and the work grows in proportion to the fingerprints.
 from __future__ import annotations
 
 import itertools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest, least_of_components
-from .runtime import cut, join_skewed, map_texts, prepare
+from .runtime import cut, join_skewed, map_texts, prepare, stored
 
 SHINGLE, SEED, LIMIT = 4, 42, 4
 SEGMENTS, EQUAL = 7, 3
@@ -180,12 +181,26 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", r
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without all but one row of each component: that with the least id, and of its repeated rows one.
-    Rows without an id stay, as no component can name them."""
-    from pyspark.sql import Window
-
-    kept = near_duplicates(df, doc_id, text).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    packed = df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), df[doc_id].alias("__kept"), F.xxhash64(df[text]).alias("__order"))
-    first = F.row_number().over(Window.partitionBy("__kept").orderBy("__order"))
-    named = packed.filter("__kept is not null").join(kept, "__kept", "left_semi").withColumn("__n", first).filter("__n = 1")
-    return named.select("__row.*").union(packed.filter("__kept is null").select("__row.*"))
+    """df without all but one row of each component: of the rows that have the component's least id one, whichever
+    document of the component that names, so that no component loses all its rows, nor keeps two.
+
+    An id that several texts share counts for each of them: a component is told by its fingerprints, not by ids.  Of rows
+    of the least id the one of the least digest of all columns stays; rows equal in every column are one.  Components in
+    which no row has an id keep the row of the least digest.  Null and wordless texts are one component; an empty table
+    stays empty; other columns, whatever their names, stay as they are.
+    """
+    prepare(df.sparkSession)
+    # A row's own number, written with it, tells rows apart that agree in every column.
+    packed = stored(df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), F.monotonically_increasing_id().alias("__id")))
+    own = [F.col("__row")[c] for c in df.columns]
+    plain = [F.to_json(F.struct(c)) if re.search("map|variant", kind) else c for c, (_, kind) in zip(own, df.dtypes)]
+    digest = F.xxhash64(*[x for i, c in enumerate(plain) for x in (F.lit(i), c)])  # a null is told by its place
+    rows = packed.select("__id", F.col("__row")[doc_id].alias("__doc"), digest.alias("__order"), F.col("__row")[text].cast("string").alias("__text"))
+    rows = cut(fingerprints(rows, ["__id", "__doc", "__order"], "__text"))
+    # Of each fingerprint its first row is enough, so copies are gone before components form; nulls of the id come last.
+    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("__doc").isNull().alias("none"), "__doc", "__order", "__id")).alias("first"))
+    distinct = cut(first)
+    roots = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    rooted = distinct.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    kept = cut(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__id").alias("__id")))
+    return packed.join(kept, "__id", "left_semi").select("__row.*")

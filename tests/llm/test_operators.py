@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -430,14 +431,65 @@ def test_html_everyday_words():
     kept = f"<h2 id='how-to-register-a-domain'>Register {{0}}</h2><section id='discussion'><p>Talk {{0}}.</p></section><p id='search-results-explained'>Found {{0}}.</p>"
     kept += f"<div class='notice'><p>{prose}{{0}}</p></div><p class='alert'>Mind {{0}}.</p>"
     gone = "<div class='share'><a href=/x>Share {0}</a></div><div class='related'><ul>" + "<li><a href=/y>Some other story that is linked from here {0}</a></li>" * 9
-    gone += f"</ul></div><div class='notice'><p>Short {{0}}</p></div><div class='comments'><p>{prose}by {{0}}</p></div><div class='login register'><p>{prose}</p></div>"
-    want = "Head {0}\n\nRegister {0}\n\nTalk {0}.\n\nFound {0}.\n\n" + prose + "{0}\n\nMind {0}."
+    kept += "<div class='notice'><p>Short {0}</p></div>"  # a plain name without evidence, however short
+    gone += f"</ul></div><div class='comments'><p>{prose}by {{0}}</p></div><div class='login register'><p>{prose}</p></div>"
+    want = "Head {0}\n\nRegister {0}\n\nTalk {0}.\n\nFound {0}.\n\n" + prose + "{0}\n\nMind {0}.\n\nShort {0}"
     pages = [f"<body><article><h1>Head {{0}}</h1>{kept}{gone}</article></body>".format(n) for n in range(4)]
     assert _main(pages) == [want.format(n) for n in range(4)]
     once = f"<section class='discussion'><p>{prose.strip()}</p></section>"  # on one page only: no constant of the host
     assert _main([p.replace("</article>", once + "</article>") if n == 2 else p for n, p in enumerate(pages)])[2] == want.format(2) + "\n\n" + prose.strip()
 
 
+FRAGMENTS = [
+    '<div class="search-theory">A thought of {0}.</div>', '<section class="discussion"><h2>Discussion {0}</h2><p>We discuss {0}.</p></section>', '<div class="notice-of-intent">Intent {0}</div>',
+    '<blockquote class="social-history">Quote {0}</blockquote>', '<ul class="related-work"><li>Work {0}</li></ul>', '<ol><li class="register-office">Office {0}</li></ol>',
+    '<table class="form-of-verbs"><tr><td>go {0}</td></tr></table>', '<section class="comments-on-method"><p>Method {0}</p></section>', '<div class="how-to-respond">Respond {0}</div>', '<figure class="ad-1920">In the year {0}</figure>',
+]
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+@pytest.mark.parametrize("n", [1, 2, 8, 20, 60])
+def test_html_keeps_whatever_its_share(tag, n):
+    """Names that hold a word of furniture drop no text, be it most of the article or little of it, on a host or alone."""
+    for fragment in FRAGMENTS:
+        prose = "".join(f"<p>Paragraph {i} of {{0}} says what no other page says.</p>" for i in range(n))
+        pages = [f"<body><nav><a href='/'>Home</a></nav><{tag}><h1>Title {{0}}</h1>{prose}{fragment}</{tag}><footer>The same</footer></body>".format(u) for u in ("alpha", "beta", "gamma")]
+        for u, h, text in zip(("alpha", "beta", "gamma"), pages, _main(pages)):
+            want = re.sub("<[^>]+>", " ", fragment.format(u)).split()
+            for got in (text, html.extract(h)):
+                assert got.split()[-len(want) :] == want and "Home" not in got
+
+
+def test_html_agreements():
+    rng = random.Random(8)
+    for names, most in (("abcde", 40), ("abcdefghijklmnopqrstuvwxyz", 60)):
+        for _ in range(200):
+            a, b = ([rng.choice(names) for _ in range(rng.randrange(most))] for _ in range(2))
+            got = html._agreements(a, b)
+            assert all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+            assert len(got) == len(html._longest(a, b))
+    # Beyond a window's pairs: still in order, and what is equal but for a few strangers is met whole.
+    a = [rng.choice("abcdefg") for _ in range(3000)]
+    b = [x for x in a for _ in range(1)]
+    for at in sorted(rng.sample(range(3000), 20), reverse=True):
+        b.insert(at, "stranger")
+    assert len(html._agreements(a, b)) == len(a)
+    c = [rng.choice("abcdefg") for _ in range(2500)]
+    got = html._agreements(a, c)
+    assert all(a[i] == c[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:])) and len(got) > 1200
+
+
+@pytest.mark.parametrize("kind", ["unlike", "mixed"])
+def test_html_many_siblings(kind):
+    """Thirty thousand siblings, on two pages that differ: nothing is lost, and time and memory stay small."""
+    rng, n = random.Random(9), 30_000
+    name = lambda u, i: u + "".join(chr(97 + int(d)) for d in str(i)) if kind == "unlike" else rng.choice("pqrstuv")
+    pages = ["<body><article>" + "".join(f"<div class={name(u, i)}>Text {u} {i}</div>" for i in range(n)) + "</article></body>" for u in ("k", "m")]
+    began = time.monotonic()
+    for u, text in zip(("k", "m"), _main(pages)):
+        assert text == "\n\n".join(f"Text {u} {i}" for i in range(n))
+    assert time.monotonic() - began < 120
+
 def test_wrapper_is_union_free():
     a = html.generalise(html.parse("<div><p>x</p><p>y</p><h2>same</h2></div>"))
     b = html.generalise(html.parse("<div><ul><li>1</li></ul><p>z</p><h2>same</h2></div>"))
@@ -528,3 +580,32 @@ def test_weak_labels_of_copies(spark):
     assert weak.score(clean).filter("not kept").count() == 0  # no bad class is made up
     blank = spark.createDataFrame([(1, None), (2, " "), (3, "")], "doc_id long, text string")
     assert weak.score(blank).filter("kept or score > 0").count() == 0
+
+
+def test_keep_one_by_brute_force(spark):
+    """Repeated and null ids: each component of equal or near texts keeps one row, that of the least id."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(4000)]
+    base = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(16)]
+    rows = [(i % 2, base[i % 16], "a") for i in range(16)] + [(1, base[0], "a"), (1, base[5], "b"), (None, base[3], "a"), (None, "alone and without an id", "c"), (None, "alone and without an id", "c"), (7, None, "x"), (8, "", "y"), (1, base[2] + " end", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for c in ("fp", "component_id", "__id", "__row", "first", "root"):
+        df = df.withColumn(c, F.lit(1))
+    fps = [simhash.fingerprint(t) for _, t, _ in rows]
+    comp = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= 4:
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    held = {}
+    for (i, t, s), c in zip(rows, comp):
+        held.setdefault(c, []).append((i is None, i or 0, t, s))
+    for parts in (1, 5):
+        kept = simhash.keep_one(df.repartition(parts))
+        got = [(r.doc_id, r.text, r.source) for r in kept.collect()]
+        assert kept.columns == df.columns and len(got) == len(held) and len({t or "" for _, t, _ in got}) == len(got)
+        for i, t, s in got:
+            mine = next(h for h in held.values() if (i is None, i or 0, t, s) in h)
+            assert (i is None, i or 0) == min(h[:2] for h in mine)
+    assert simhash.keep_one(df.limit(0)).count() == 0
