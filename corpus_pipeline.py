@@ -26,8 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component of near-duplicates: the least id, of its repeated rows one.  Rows without an id
-    stay; null and wordless texts are copies of each other; no documents give none; the columns stay as they are."""
+    """Keep one document of each component of near-duplicates: that of the least id, nulls last, of several such the one of
+    the least digest.  Equal ids with other texts are documents of their own; null and wordless texts are copies of each
+    other; no documents give none; the columns stay as they are."""
     prepare(spark)
     return simhash.keep_one(docs)
 
