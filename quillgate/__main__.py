@@ -48,6 +48,35 @@ def _select(spark, a) -> bool:
     return True
 
 
+def _capture(spark, a) -> bool:
+    texts = intake.read_texts(spark, a.other)
+    if not texts.filter("not is_valid").isEmpty():
+        raise ValueError("not UTF-8")
+    fixed = {"issue_id": a.issue, "source_name": a.name, "source_type": a.type, "mode": a.mode, "published_at": a.published}
+    row = texts.select(F.lit(1).cast("long").alias("at"), "text", *[F.lit(v).cast("string").alias(k) for k, v in fixed.items()])
+    return _show(ws.capture(spark, a.path, row.withColumn("source_type", classify.coerce_source_type(F.col("source_type"), intake.ALIASES)))) or True
+
+
+def _bundles(spark, a) -> bool:
+    *paths, root = a.paths
+    if not paths:
+        raise ValueError("a manifest and the catalogue's folder")
+    for issue in ws.bundle_manifests(spark, paths, root, allow_absolute=a.allow_absolute):
+        made = ws.issue_of(spark, root, issue)
+        made.manifest()
+        made.summary()
+    return True
+
+
+def _analysis(spark, a) -> bool:
+    (issue,) = ws.bundle_manifests(spark, [a.path], a.out, allow_absolute=a.allow_absolute)
+    return bool(ws.write_issue(spark, a.out, issue, a.before))
+
+
+def _of_folder(a) -> dict:
+    return {"mode": a.mode, "kind": a.type, "overrides": a.overrides}
+
+
 def _responses(spark, a) -> bool:
     return ws.validate_responses(spark, ws.write_packets(spark, a.path), a.other, a.out)
 
@@ -70,6 +99,19 @@ COMMANDS = {
     "validate-response": (_responses, "path other out"),
     "eval-goldset": (lambda s, a: ws.evaluate_gold(s, a.path, a.out, a.enforce), "path out"),
     "select-candidates": (_select, "path other out"),
+    "bundle-create": (lambda s, a: bool(ws.create_bundle(s, a.path, a.issue, a.out, **_of_folder(a))), "path out"),
+    "bundle-run": (_bundles, "paths"),
+    "issue-package": (lambda s, a: bool(ws.folder_package(s, a.path, a.issue, a.out, a.before, **_of_folder(a))), "path out"),
+    "analysis-package": (_analysis, "path out"),
+    "helper-packet": (lambda s, a: bool(ws.issue_of(s, a.path, a.issue).helper_packet()), "path"),
+    "llm-review-packet": (lambda s, a: bool(ws.issue_of(s, a.path, a.issue).review_packet()), "path"),
+    "mock-llm-review": (lambda s, a: bool(ws.issue_of(s, a.path, a.issue).mock_review()), "path"),
+    "import-helper-review": (lambda s, a: bool(ws.import_reviews(s, a.path, a.out, a.reviewer, a.model)), "path out"),
+    "capture-source": (_capture, "path other"),
+    "capture-manifest": (lambda s, a: bool(ws.capture_manifest(s, a.path, a.to)), "path"),
+    "acquisition-manifest": (lambda s, a: bool(ws.acquisition_manifest(s, a.path, a.out, a.confirm_reviewed)), "path out"),
+    "candidate-index": (lambda s, a: bool(ws.write_candidates(s, a.path, a.out)), "path out"),
+    "validate-artifact": (lambda s, a: ws.validate_artifacts(s, a.path, a.schema, a.out), "path out"),
     "validate-acquisition": (
         lambda s, a: _show(manifests.problems(manifests.read_sources(s, a.path, manifests.ACQUISITION), ["source_name", "url"], ["source_name"], url="url", cap=manifests.MAX_ACQUIRED)),
         "path",
@@ -77,6 +119,16 @@ COMMANDS = {
 }
 
 
+OPTIONS = {
+    "issue": "issue", "name": "source", "type": "unknown", "mode": "general", "published": None, "before": None, "overrides": None, "to": None,
+    "reviewer": "helper", "model": "unknown", "schema": "acquisition-manifest",
+}
+
+
+def run() -> None:
+    sys.exit(main())
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     top = argparse.ArgumentParser(prog="quillgate")
     top.add_argument("--debug", action="store_true")
@@ -84,12 +136,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     for name, (_, places) in COMMANDS.items():
         sub = subs.add_parser(name)
         for place in places.split():
-            sub.add_argument(place)
-        if name == "analyze-file":
-            for option, default in (("issue", "issue"), ("name", "source"), ("type", "unknown"), ("mode", "general"), ("published", None)):
-                sub.add_argument(f"--{option}", default=default)
-        if name == "acquisition-index":
-            sub.add_argument("--issue", default="issue")
+            sub.add_argument(place, nargs="+" if place == "paths" else None)
+        for option, default in OPTIONS.items():
+            sub.add_argument(f"--{option}", default=default)
+        for flag in ("allow-absolute", "confirm-reviewed"):
+            sub.add_argument(f"--{flag}", action="store_true")
         sub.add_argument("--detailed", action="store_true")
         sub.add_argument("--enforce", action="store_true")
     args = top.parse_args(argv)

@@ -23,12 +23,35 @@ def no_headings(text: Column) -> Column:
     return F.regexp_replace(text, "(?m)^#", r"\\#")
 
 
-def shown_path(path: Column, base: str) -> Column:
-    """A path as seen from the base folder; of one outside it only the name."""
-    root, name = base.rstrip("/") + "/", F.regexp_extract(path, r"([^/]+)/*$", 1)
-    inside = path.startswith(root) & ~path.rlike(r"(^|/)\.\.(/|$)")
+def folded(path: Column) -> Column:
+    """An absolute path without empty parts, `.` and `..`; `..` at the top stays there."""
+    empty = F.array().cast("array<string>")
+    step = lambda held, part: F.when(part.isin("", "."), held).when(part == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.concat(held, F.array(part)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(path, "/"), empty, step), "/"))
+
+
+def whole(path: Column, base: Column) -> Column:
+    """A path as one from the root: a relative one begins at the base."""
+    return folded(F.when(path.startswith("/"), path).otherwise(F.concat(base, F.lit("/"), path)))
+
+
+def manifest_path(path: Column, base: Column) -> Column:
+    """(file_path, warnings) as a manifest in the folder `base` states a file: relative to the folder if it lies in it, else
+    as it is, with a warning."""
+    at, root = whole(path, base), folded(base)
+    prefix = F.when(root == "/", root).otherwise(F.concat(root, F.lit("/")))
+    inside = at.startswith(prefix) & (at != root)
+    held = F.when(at == root, F.lit(".")).when(inside, F.substring(at, F.length(prefix) + 1, F.length(at))).otherwise(path)
+    return F.struct(held.alias("file_path"), F.when(~(inside | (at == root)), F.array(F.lit("absolute_path_requires_allow_absolute_flag"))).alias("warnings"))
+
+
+def shown_path(path: Column, base: Column | str) -> Column:
+    """A path as reports show it: from the base folder on, or of one outside it only the name; an unknown one was not
+    generated.  Both are folded first, so that no detour leads out of the base unseen."""
+    inside = manifest_path(path, F.lit(base) if isinstance(base, str) else base)
+    name = F.regexp_extract(folded(path), r"([^/]*)$", 1)
     outside = F.concat(F.lit("<redacted-external-path>/"), F.when(name == "", "path").otherwise(name))
-    return F.when(path != "", F.when(inside, F.substring(path, len(root) + 1, 1 << 30)).otherwise(outside))
+    return F.when(F.coalesce(path, F.lit("")) == "", "not generated").when(inside["warnings"].isNull(), inside["file_path"]).otherwise(outside)
 
 
 def decoded(content: Column, charset: str = "UTF-8") -> Column:

@@ -276,6 +276,31 @@ def gate_violations(claims: DataFrame, entity: str) -> DataFrame:
     return claims.select(entity, F.explode(broken).alias("rule"))
 
 
+def source_violations(sources: DataFrame) -> DataFrame:
+    """entity, id, rule: what is wrong with the records of sources (source_id, source_type, source_name, mode, captured_at)."""
+    blank = lambda k: F.trim(F.coalesce(k, F.lit(""))) == ""
+    named = ~blank("source_id")
+    rules = [
+        (blank("source_id"), "source_id is missing"),
+        (named & ~F.coalesce(_c("source_type").isin(lx.SOURCE_TYPES), F.lit(False)), "unknown source type"),
+        (named & blank("source_name"), "source_name is missing"),
+        (named & blank("captured_at"), "captured_at is missing"),
+        (~F.coalesce(_c("mode").isin("general", "finance"), F.lit(False)), "unknown mode"),
+    ]
+    found = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in rules]))
+    run = F.coalesce("run_id", F.lit("")) if "run_id" in sources.columns else F.lit("")
+    return sources.select(F.lit("source").alias("entity"), F.concat_ws("/", F.nullif(run, F.lit("")), F.coalesce("source_id", F.lit("<missing>"))).alias("id"), F.explode(found).alias("rule"))
+
+
+def missing_sources(claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """Claims whose run has no record of their source.  Keys are counted first; what lacks a source is then found by key,
+    so that a source of very many claims is no hot key.  A null key has no source."""
+    keys = ["run_id", "source_id"]
+    held = claims.groupBy(*keys).agg(F.count("*").alias("__n"))
+    known = sources.filter("source_id is not null").select(*keys).distinct()
+    return join_groups(claims, held.join(known, keys, "left_anti"), keys, "__n", "inner").drop("__n")
+
+
 def confusion(rows: DataFrame, by: str) -> DataFrame:
     """rows (detector, expected, predicted, by): counts and precision, recall, F1, overall (null) and by group."""
     e, p = _c("expected"), _c("predicted")

@@ -12,6 +12,9 @@ from quillgate.functions.strings import slug
 
 from .analytics import CASUALTY_METRIC, casualty_divergence, claim_key, numeric_divergence
 from .classify import risky_unresolved, rumor_or_social
+from .joins import join_groups
+from .lineage import cut
+from .names import free_names
 from .numbering import number_within
 
 _c = F.col
@@ -26,9 +29,10 @@ CAUTION = " Operator caution: this source also contains excluded finance materia
 
 def collect(claims: DataFrame, runs: DataFrame) -> DataFrame:
     """Claims of all runs of a bundle with the index's source name and mode.  runs: run_id, source_name, mode; a run
-    that the index does not name is left out."""
+    that the index does not name is left out.  Runs of very many claims are no hot keys."""
     index = runs.select("run_id", _c("source_name").alias("__name"), _c("mode").alias("__mode")).dropDuplicates(["run_id"])
-    out = claims.join(index, "run_id")
+    sizes = claims.groupBy("run_id").agg(F.count("*").alias("__n"))
+    out = join_groups(claims, sizes.join(index, "run_id"), ["run_id"], "__n", "inner").drop("__n")
     return out.withColumns({"source_name": F.coalesce("__name", "source_name"), "mode": F.coalesce("__mode", F.lit("finance"))}).drop("__name", "__mode")
 
 
@@ -46,9 +50,9 @@ def section() -> Column:
 
 def with_caution(claims: DataFrame) -> DataFrame:
     """Claims with `beside_excluded`: is another claim of the source excluded?  Sources without a name have no such."""
-    bad = claims.filter((_c("claim_type") == "excluded") & (_c("source_name") != "")).select("source_name").distinct().withColumn("__bad", F.lit(True))
-    out = claims.join(bad, "source_name", "left")
-    return out.withColumn("beside_excluded", F.coalesce("__bad", F.lit(False)) & (_c("claim_type") != "excluded")).drop("__bad")
+    of = claims.groupBy("source_name").agg(F.count("*").alias("__n"), F.bool_or((_c("claim_type") == "excluded") & (_c("source_name") != "")).alias("__bad"))
+    out = join_groups(claims, of, ["source_name"], "__n")
+    return out.withColumn("beside_excluded", F.coalesce("__bad", F.lit(False)) & (_c("claim_type") != "excluded")).drop("__bad", "__n")
 
 
 def numeric_conflicts(claims: DataFrame) -> DataFrame:
@@ -113,15 +117,24 @@ def counts(claims: DataFrame, sources: DataFrame) -> DataFrame:
 # captures and acquisitions ---------------------------------------------------------------------------------------
 
 
-def capture_files(captures: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
-    """Captures (issue_id, source_name) with a file name of their own, and those whose name, ignoring case, came before
-    in the issue.  Names of one slug get _2, _3 and so on in order."""
+def capture_files(captures: DataFrame, order: str, log: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Captures (issue_id, source_name) with a file name of their own, the first free one in order, and those whose name,
+    ignoring case, came before in the issue or its log (issue_id, source_name, file_path).  `order` has each number once."""
     rows = captures.withColumn("__name", F.lower(F.trim("source_name")))
     nth = number_within(rows, ["issue_id", "__name"], order, "__nth")
-    fresh, again = nth.filter("__nth = 1").drop("__nth", "__name"), nth.filter("__nth > 1").drop("__nth", "__name")
-    numbered = number_within(fresh.withColumn("__slug", slug(_c("source_name"))), ["issue_id", "__slug"], order, "__n")
-    name = F.concat("__slug", F.when(_c("__n") > 1, F.concat(F.lit("_"), _c("__n").cast("string"))).otherwise(""), F.lit(".txt"))
-    return numbered.withColumn("file_name", name).drop("__slug", "__n"), again
+    fresh, again = nth.filter("__nth = 1").drop("__nth"), nth.filter("__nth > 1").drop("__nth")
+    empty = captures.sparkSession.createDataFrame([], "issue string, stem string")
+    if log is not None:
+        said = log.select(_c("issue_id").alias("__issue"), F.lower(F.trim("source_name")).alias("__said")).distinct()
+        on = _c("issue_id").eqNullSafe(_c("__issue")) & _c("__name").eqNullSafe(_c("__said"))
+        fresh, again = fresh.join(said, on, "left_anti"), again.unionByName(fresh.join(said, on, "left_semi"))
+        stem = F.regexp_extract("file_path", r"([^/]*)\.txt$", 1)
+        empty = log.select(_c("issue_id").alias("issue"), stem.alias("stem")).filter("stem <> ''")
+    fresh = cut(fresh.drop("__name").withColumn("__slug", slug(_c("source_name"))))
+    found = free_names(fresh.select(_c("issue_id").alias("issue"), _c("__slug").alias("slug"), _c(order).alias("at")), empty)
+    named = found.select(_c("issue").alias("__issue"), _c("at").alias("__at"), F.concat("stem", F.lit(".txt")).alias("file_name"))
+    out = fresh.join(named, _c("issue_id").eqNullSafe(_c("__issue")) & (_c(order) == _c("__at"))).drop("__slug", "__issue", "__at")
+    return out, again.drop("__name")
 
 
 def fetched(acquired: DataFrame) -> DataFrame:

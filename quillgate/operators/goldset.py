@@ -113,6 +113,11 @@ def status_summary(evaluated: DataFrame) -> DataFrame:
     return evaluated.groupBy("status").agg(F.count("*").alias("total"), F.count_if("passed").alias("passing"), F.count_if(~_c("passed")).alias("failing"))
 
 
+def violations(evaluated: DataFrame) -> DataFrame:
+    """case_id, violations of the cases whose masks left or lost something."""
+    return evaluated.filter(F.size("violations") > 0).select("case_id", F.array_join("violations", "; ").alias("violations"))
+
+
 def failures(evaluated: DataFrame) -> DataFrame:
     """case_id, status, reason of the cases that fail."""
     parts = F.array(

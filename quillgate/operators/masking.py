@@ -103,8 +103,10 @@ def escape_inline(text: Column) -> Column:
     return F.replace(F.replace(F.regexp_replace(text, r"([\[\]`])", r"\\$1"), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def safe_claims(df: DataFrame, text: str = "claim_text", out: str = "safe_text") -> DataFrame:
-    """The output gate: excluded claims give a placeholder with their reference, others are escaped, then masked."""
-    masked = mask(df.withColumn("__raw", escape_inline(F.col(text))), "__raw", "mode", out).drop("__raw")
+def safe_claims(df: DataFrame, text: str = "claim_text", out: str = "safe_text", mode: Column | None = None) -> DataFrame:
+    """The output gate: excluded claims give a placeholder with their reference, others are escaped, then masked by `mode`
+    (the column of that name if none is given)."""
+    rows = df.withColumns({"__raw": escape_inline(F.col(text)), "__mode": F.col("mode") if mode is None else mode})
+    masked = mask(rows, "__raw", "__mode", out).drop("__raw", "__mode")
     reference = F.concat(F.lit(EXCLUDED + " id="), F.col("source_name"), F.lit("/"), F.col("claim_id"))
     return masked.withColumn(out, F.when(F.col("claim_type") == "excluded", reference).otherwise(F.col(out)))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,53 +48,46 @@ def negated(path: Column, text: Column) -> Column:
 
 
 def leaves(df: DataFrame, key: str, body: str) -> DataFrame:
-    """key, path, text: every string of the JSON documents at any depth; null and broken documents give none."""
-
-    def walk(value) -> Iterator[tuple[str, str]]:
-        todo = [("$", value)]
-        while todo:
-            path, v = todo.pop()
-            if isinstance(v, str):
-                yield path, v
-            elif isinstance(v, dict):
-                todo += [(f"{path}.{k}", x) for k, x in v.items()]
-            elif isinstance(v, list):
-                todo += [(f"{path}[{i}]", x) for i, x in enumerate(v)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at, doc in enumerate(b.column(1).to_pylist()):
-                try:
-                    found = list(walk(json.loads(doc or "null")))
-                except (ValueError, RecursionError):
-                    found = []
-                if found:
-                    ids = pa.concat_arrays([b.column(0).slice(at, 1)] * len(found))
-                    texts = [t.encode("utf-8", "replace").decode() for _, t in found]  # lone surrogates
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([p for p, _ in found], pa.string()), pa.array(texts, pa.string())], names=[key, "path", "text"])
-
-    return df.select(key, _c(body).cast("string")).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, path string, text string")
+    """key, path, text: every string of the JSON documents at any depth; null and broken documents give none.
+
+    A recursion takes the documents apart level by level; Spark ends it when a level is empty.  The parser refuses
+    documents of over a thousand levels as broken.
+    """
+    kind = dict(df.dtypes)[key]
+    rows = df.select(_c(key).alias("__key"), F.try_parse_json(_c(body).cast("string")).alias("__doc"))
+    # The key travels as it is; only containers go on to the next level.
+    found = df.sparkSession.sql(
+        """WITH RECURSIVE parts(k, path, v) MAX RECURSION LEVEL 1001 AS (
+             SELECT __key, '$', __doc FROM {docs}
+             UNION ALL
+             SELECT p.k, p.path || CASE WHEN e.key IS NULL THEN '[' || e.pos || ']' ELSE '.' || e.key END, e.value FROM parts AS p, LATERAL variant_explode(p.v) AS e)
+           SELECT k, path, CAST(v AS STRING) AS text FROM parts WHERE schema_of_variant(v) = 'STRING' LIMIT ALL""",
+        docs=rows,
+    )
+    return found.select(_c("k").cast(kind).alias(key), "path", "text")
+
+
+def instruction(tier: Column) -> Column:
+    return F.when(tier.isin("high", "critical"), INSTRUCTIONS["high"]).when(tier == "medium", INSTRUCTIONS["medium"]).otherwise(INSTRUCTIONS["low"])
 
 
 def review_packets(claims: DataFrame, issue: str, order: str) -> DataFrame:
     """The index of claims to review: packet id, category, tier, bucket, masked text, instruction, reason, question."""
     rows = packet_ids(safe_claims(claims), issue, verification_category(), order)
-    told = F.when(_c("risk_tier").isin("high", "critical"), INSTRUCTIONS["high"]).when(_c("risk_tier") == "medium", INSTRUCTIONS["medium"]).otherwise(INSTRUCTIONS["low"])
     return rows.select(
         issue, order, "packet_id", "category", "source_name", "claim_type", "risk_tier", review_bucket(_c("risk_tier")).alias("review_bucket"),
-        _c("safe_text").alias("claim_text_masked"), told.alias("review_instruction"), review_reason().alias("reason"), review_question().alias("verification_question"),
+        _c("safe_text").alias("claim_text_masked"), instruction(_c("risk_tier")).alias("review_instruction"), review_reason().alias("reason"), review_question().alias("verification_question"),
     )
 
 
-def mock_response(packets: DataFrame, issue: str) -> DataFrame:
-    """issue, packet_id, finding (JSON): a constant advisory finding for every packet."""
-    fixed = {
-        "evidence_boundary": "Only the supplied source material was considered.",
-        "uncertainty_reason": "The claim rests on its own source.",
-        "operator_next_step": "Check the question against a primary source.",
-        "must_not_conclude": "Do not treat this claim as settled.",
-    }
-    return packets.select(issue, "packet_id", F.to_json(F.struct("packet_id", *[F.lit(v).alias(k) for k, v in fixed.items()])).alias("finding"))
+def mock_findings(packets: DataFrame) -> DataFrame:
+    """A finding for every packet (packet_id, source_name, risk_tier) that concludes nothing and so breaks no rule."""
+    bound = F.concat(F.lit("Review only the supplied source-manifest artifacts for source `"), F.coalesce("source_name", F.lit("None")), F.lit("`; do not import outside knowledge."))
+    return packets.select(
+        "packet_id", bound.alias("evidence_boundary"), instruction(_c("risk_tier")).alias("uncertainty_reason"),
+        F.lit("Check the verification packet and seek primary evidence before relying on this claim.").alias("operator_next_step"),
+        F.lit("Do not conclude truth, causality, market action, expected return, or investment suitability.").alias("must_not_conclude"),
+    )
 
 
 def response_errors(responses: DataFrame, packets: DataFrame, key: str = "issue_id") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .analytics import packet_ids
 from .classify import EXCLUDED_QUESTION, verification_category
 
 _c = F.col
@@ -57,10 +58,12 @@ def unsafe_risk() -> Column:
     return _unsafe(0)
 
 
-def work_items(claims: DataFrame, order: str) -> DataFrame:
-    """claims (with beside_excluded) -> one row for each item: tier (must_verify, nice_to_verify, unsafe_to_conclude), at, claim_id,
-    claim_ref, question, reason, source_family_hint, expected_evidence_type.  Weak claims and rumors must be verified
-    and not be concluded from; excluded ones are only not to be concluded from; the rest is nice to verify."""
+def _ref() -> Column:
+    return F.concat_ws("/", F.coalesce("source_name", F.lit("source")), F.coalesce("claim_id", F.lit("claim")))
+
+
+def _item_parts(claims: DataFrame) -> tuple[Column, Column, Column, Column]:
+    """The claim's category, and its item in each tier."""
     category, name = verification_category(), F.coalesce("source_name", F.lit("source"))
     note = F.coalesce("classification_notes", F.lit(MUST_REASON)) if "classification_notes" in claims.columns else F.lit(MUST_REASON)
     must = F.struct(
@@ -80,13 +83,41 @@ def work_items(claims: DataFrame, order: str) -> DataFrame:
     unsafe = F.struct(
         F.lit("unsafe_to_conclude").alias("tier"), _unsafe(1).alias("question"), F.lit("").alias("reason"), F.lit("").alias("source_family_hint"), F.lit("").alias("expected_evidence_type")
     )
+    return category, must, nice, unsafe
+
+
+def packets(claims: DataFrame, order: str = "at") -> DataFrame:
+    """The packet of each claim (a ledger row with beside_excluded and safe_text): its ids, how it stands, its masked text
+    and what must, may and cannot be concluded about it, as lists."""
+    category, must, nice, unsafe = _item_parts(claims)
+    ref = [_c("claim_id").alias("claim_id"), _ref().alias("claim_ref")]
+    item = lambda of, *more: F.struct(*ref, *[of[k].alias(k) for k in ITEM_KEYS], *more)
+    unsafes = F.struct(*ref, unsafe["question"].alias("question"), unsafe_risk().alias("risk_if_answered"))
+    weak, low = _c("category").isin("unsupported_weak", "rumor_manipulation"), _c("category") == "confirmed_low_risk"
+    when = lambda cond, x: F.array_compact(F.array(F.when(cond, x)))
+    asked = F.struct(
+        F.lit("What observable source or record would be sufficient to support this claim?").alias("question"), F.when(weak, "must_verify").otherwise("nice_to_verify").alias("applies_to"),
+        F.lit("operator_review_required").alias("deterministic_check"),
+    )
+    rows = packet_ids(claims, "issue_id", category, order)
+    return rows.select(
+        _c(order).alias("at"), "packet_id", "issue_id", "claim_id", "source_name", "source_type", "claim_type", "risk_tier", _c("safe_text").alias("claim_text_safe"),
+        _c("safe_text").alias("claim_text_masked"), _c("category").alias("claim_category"), when(weak, item(must, official_query().alias("official_source_query"))).alias("must_verify"), when(low, item(nice)).alias("nice_to_verify"),
+        when(weak | (_c("category") == "excluded_finance"), unsafes).alias("unsafe_to_conclude"), F.array(asked).alias("evidence_questions"),
+    )
+
+
+def work_items(claims: DataFrame, order: str) -> DataFrame:
+    """claims (with beside_excluded) -> one row for each item: tier (must_verify, nice_to_verify, unsafe_to_conclude), at, claim_id,
+    claim_ref, question, reason, source_family_hint, expected_evidence_type.  Weak claims and rumors must be verified
+    and not be concluded from; excluded ones are only not to be concluded from; the rest is nice to verify."""
+    category, must, nice, unsafe = _item_parts(claims)
     items = (
         F.when(category.isin("unsupported_weak", "rumor_manipulation"), F.array(must, unsafe))
         .when(category == "excluded_finance", F.array(unsafe))
         .otherwise(F.array(nice))
     )
-    ref = F.concat_ws("/", name, F.coalesce("claim_id", F.lit("claim")))
-    return claims.select(_c(order).alias("at"), "claim_id", ref.alias("claim_ref"), F.explode(items).alias("item")).select("item.tier", "at", "claim_id", "claim_ref", "item.question", "item.reason", "item.source_family_hint", "item.expected_evidence_type")
+    return claims.select(_c(order).alias("at"), "claim_id", _ref().alias("claim_ref"), F.explode(items).alias("item")).select("item.tier", "at", "claim_id", "claim_ref", "item.question", "item.reason", "item.source_family_hint", "item.expected_evidence_type")
 
 
 ITEM_KEYS = ["question", "reason", "source_family_hint", "expected_evidence_type"]

@@ -32,6 +32,30 @@ CAPTURE_FIELDS = [
     ("Issue ID", "issue_id", ALWAYS), ("Source type", "source_type", ALWAYS), ("Mode", "mode", ALWAYS), ("Local file", "file_path", "code always"), ("Captured at", "captured_at", ALWAYS),
     ("Acquisition method", "acquisition_method", ALWAYS), ("Content SHA-256", "content_hash_sha256", "code always"), ("Runtime fetching", "runtime_fetching", "flag"),
 ]
+# Heads and tails of the indexes of analyses and candidates
+ANALYSIS_HEAD = [
+    "- Runtime boundary: local files only; source URLs are stored as metadata and are not fetched.",
+    "- Acquisition responsibility: the human/operator or orchestrator is responsible for collecting source excerpts before runtime analysis.",
+]
+ANALYSIS_TAIL = [
+    "", "## Citation Note Guidance", "", "- Citation notes are operator-supplied provenance metadata only.", "- Citation notes are not verified by the runtime and do not upgrade any claim.",
+    "- For community, social, private, deleted, or finance-related sources, note whether primary records were available in the local excerpt.",
+    "- If a citation note references a URL, that URL is metadata only and is not fetched by the runtime.", "", "## Boundary Notice", "",
+    "- This runtime does not search the web, fetch URLs, call external APIs, call LLMs, use MCP/connectors, or run automation.",
+    "- The package summarizes only the local `.txt` and `.md` files listed above.", "- Source metadata can guide follow-up verification, but it does not verify or upgrade any claim.",
+]
+ANALYSIS_FIELDS = [("Source type", "source_type", ALWAYS), ("Mode", "mode", ALWAYS), ("Local file", "file_path", "code always")]
+ANALYSIS_CITED = [("Title", "title"), ("Publisher", "publisher"), ("Published at", "published_at"), ("Captured at", "captured_at"), ("Acquisition method", "acquisition_method"), ("Citation note", "citation_note")]
+GUIDANCE = "- Citation note guidance: add provenance and whether primary records were available for this community/social source."
+CANDIDATE_HEAD = [
+    "- Status: CANDIDATES ONLY - NOT VERIFIED.", "- Selection gate: an operator must review and select candidates before direct URL acquisition.",
+    "- Candidate presence is not verification, endorsement, truth adjudication, or finance advice.", "", "## Candidates",
+]
+CANDIDATE_TAIL = [
+    "", "## Next Step", "", "- Create an explicit search-candidate selection JSON with candidate IDs, source metadata, and `confirm_reviewed: true`.",
+    "- Convert only selected candidates into the existing direct URL acquisition manifest.", "- Search candidates do not bypass acquisition review or local analysis safety gates.",
+]
+CANDIDATE_CITED = [("Title", "title"), ("Snippet", "snippet"), ("Publisher", "publisher"), ("Published at", "published_at"), ("Provider result ID", "provider_result_id")]
 CITED = [("Title", "title"), ("Publisher", "publisher"), ("Published at", "published_at"), ("Citation note", "citation_note")]
 
 
@@ -53,22 +77,26 @@ def _field(label: str, name: str, kind: str) -> Column:
     return line if kind == ALWAYS else F.when(said, line)
 
 
-def source_index(records: DataFrame, title: str, head: list[str], fields: list[tuple[str, str, str]], last: list[Column]) -> DataFrame:
-    """Lines (section, pos, line) of an index: its head, then for each record (`at` from 1) a heading and its fields.
-    Names and citations are masked by the record's mode; a null mode is general; no record gives "- None"."""
+def source_index(
+    records: DataFrame, title: str, head: list[str], fields: list[tuple[str, str, str]], last: list[Column], cited: list[tuple[str, str]] | None = None, name: str = "source_name", tail: list[str] | None = None
+) -> DataFrame:
+    """Lines (section, pos, line) of an index: its head, then for each record (`at` from 1) a heading with its name and its
+    fields, then its tail.  Names and citations are masked by the record's mode; a null mode is general; no record gives
+    "- None"."""
     spark = records.sparkSession
     plain = lambda c: F.struct(c.alias("line"), F.lit(None).cast("string").alias("raw"))
     foreign = lambda start, name: F.struct(start.alias("line"), F.coalesce(_c(name).cast("string"), F.lit("")).alias("raw"))
-    heading = foreign(F.concat(F.lit("### "), _c("at").cast("string"), F.lit(". ")), "source_name")
-    cited = [F.when(F.coalesce(n, F.lit("")) != "", foreign(F.lit(f"- {label}: "), n)) for label, n in CITED]
+    heading = foreign(F.concat(F.lit("### "), _c("at").cast("string"), F.lit(". ")), name)
+    said = [F.when(F.coalesce(n, F.lit("")) != "", foreign(F.lit(f"- {label}: "), n)) for label, n in cited or CITED]
     cells = [plain(F.lit("")), heading, plain(F.lit("")), *[F.when(f.isNotNull(), plain(f)) for f in (*[_field(*x) for x in fields], *last)]]
-    cells = [*cells[: 3 + len(fields)], *cited, *cells[3 + len(fields) :]]
+    cells = [*cells[: 3 + len(fields)], *said, *cells[3 + len(fields) :]]
     rows = records.withColumn("mode", F.coalesce("mode", F.lit("general")))
     rows = rows.select(_c("at").cast("int").alias("section"), "mode", F.posexplode(F.array_compact(F.array(*cells))).alias("pos", "cell")).select("section", "mode", "pos", "cell.*")
     safe = mask(rows, "raw", "mode", "safe")  # one pass for all foreign fields
     lines = safe.select("section", "pos", F.when(_c("raw").isNull(), _c("line")).otherwise(F.concat("line", metadata(_c("safe")))).alias("line"))
     none = spark.createDataFrame([(1, 0, "- None")], "section int, pos long, line string").join(records.select(F.lit(1).alias("section")).limit(1), "section", "left_anti")
-    return _text(spark, 0, [f"# {title}", "", *head]).unionByName(lines.withColumn("pos", _c("pos").cast("long"))).unionByName(none)
+    parts = _text(spark, 0, [f"# {title}", "", *head]).unionByName(lines.withColumn("pos", _c("pos").cast("long"))).unionByName(none)
+    return parts.unionByName(_text(spark, (1 << 31) - 1, tail)) if tail else parts
 
 
 def acquisition_index(records: DataFrame, issue: str) -> DataFrame:
@@ -79,3 +107,19 @@ def acquisition_index(records: DataFrame, issue: str) -> DataFrame:
 def capture_index(records: DataFrame) -> DataFrame:
     address = F.when(F.coalesce("source_url", F.lit("")) != "", F.concat(F.lit("- Source URL: "), metadata(_c("source_url")), F.lit(" (metadata only; not fetched)")))
     return source_index(records, "Capture Source Index", CAPTURE_HEAD, CAPTURE_FIELDS, [address])
+
+
+def analysis_index(records: DataFrame, issue: str) -> DataFrame:
+    """The index of an analysis' sources in the manifest's order."""
+    bare = (F.coalesce("citation_note", F.lit("")) == "") & _c("source_type").isin("community", "social")
+    address = F.when(F.coalesce("source_url", F.lit("")) != "", F.concat(F.lit("- Source URL: "), metadata(_c("source_url")), F.lit(" (metadata only; not fetched)")))
+    head = [f"- Issue ID: {issue}", *ANALYSIS_HEAD, "", "## Sources"]
+    return source_index(records, "Analysis Source Index", head, ANALYSIS_FIELDS, [F.when(bare, GUIDANCE), address], ANALYSIS_CITED, tail=ANALYSIS_TAIL)
+
+
+def candidate_index(records: DataFrame, issue: str, query: str = "", provider: str = "", generated: str = "") -> DataFrame:
+    """The index of search candidates (candidate_id, url, what is cited, warnings), all masked as finance."""
+    rows = records.withColumn("mode", F.lit("finance"))
+    warned = F.when(F.size("warnings") > 0, F.concat(F.lit("- Warnings: "), F.array_join(F.transform("warnings", metadata), ", "))) if "warnings" in records.columns else F.lit(None).cast("string")
+    head = [f"- Issue ID: {issue}", f"- Query: {query}", f"- Provider: {provider}", f"- Generated at: {generated}", *CANDIDATE_HEAD]
+    return source_index(rows, "Search Candidate Index", head, [("URL", "url", ALWAYS)], [warned], CANDIDATE_CITED, name="candidate_id", tail=CANDIDATE_TAIL)

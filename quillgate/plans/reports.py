@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgate.functions.strings import metric
 from quillgate.operators import classify
 from quillgate.operators.lineage import cut
 from quillgate.operators.masking import EXCLUDED, escape_inline, safe_claims
@@ -93,6 +94,40 @@ def verdict_report(verdicts: DataFrame, errors: DataFrame, key: str) -> DataFram
     return spark.createDataFrame([("", "", "# Response validation")], "k string, o string, line string").unionByName(heads).unionByName(found)
 
 
+def _table(rows: DataFrame, section: int, heads: list[str]) -> DataFrame:
+    """rows (o, line) as lines under their heads, in the order of o, a text; a few rows for each detector and language."""
+    spark = rows.sparkSession
+    placed = rows.select(F.lit(section).alias("section"), F.row_number().over(Window.orderBy("o", "line")).cast("long").alias("pos"), "line")
+    return _text(spark, section, heads).withColumn("pos", _c("pos") - len(heads)).unionByName(placed)
+
+
+def gold_report(statuses: DataFrame, failures: DataFrame, detectors: DataFrame, accuracies: DataFrame, violations: DataFrame) -> DataFrame:
+    """Lines of the evaluation of labelled cases: statuses and failures, detectors overall and by language, accuracies,
+    masks.  Cases come by id, figures have three decimals, so the same cases give the same lines."""
+    spark = statuses.sparkSession
+    wanted = spark.createDataFrame([(0, "enforced", "Enforced"), (1, "aspirational", "Aspirational")], "k int, status string, title string")
+    counts = wanted.join(statuses, "status", "left").select(
+        F.lit(1).alias("section"), _c("k").cast("long").alias("pos"),
+        F.format_string("- %s: %d/%d passing", "title", F.coalesce("passing", F.lit(0)), F.coalesce("total", F.lit(0))).alias("line"),
+    )
+    parts = [_text(spark, 0, ["# Evaluation Gold Set Report", ""]), _text(spark, 1, ["## Enforced vs Aspirational"]), counts]
+    case = F.concat(F.lit("- `"), "case_id", F.lit("`: "))
+    for k, (status, title) in enumerate((("enforced", "### Enforced failures (regressions)"), ("aspirational", "### Aspirational failures (gap list)")), 2):
+        parts.append(_table(failures.filter(_c("status") == status).select(_c("case_id").alias("o"), F.concat(case, "reason").alias("line")), k, ["", title]))
+    three = lambda c: metric(_c(c))
+    row = F.concat(F.lit("| "), "detector", *[x for c in ("tp", "fp", "fn", "tn") for x in (F.lit(" | "), _c(c).cast("string"))], *[x for c in ("precision", "recall", "f1") for x in (F.lit(" | "), three(c))], F.lit(" |"))
+    heads = ["| detector | tp | fp | fn | tn | precision | recall | f1 |", "|---|---|---|---|---|---|---|---|"]
+    parts.append(_table(detectors.filter("language is null").select(_c("detector").alias("o"), row.alias("line")), 4, ["", "## Detector Metrics (overall)", "", *heads]))
+    by = detectors.filter("language is not null").select(F.concat_ws("/", "language", "detector").alias("o"), F.concat(F.lit("| "), "language", F.lit(" "), row).alias("line"))
+    parts.append(_table(by, 5, ["", "## Detector Metrics (by language)", "", "| language " + heads[0], "|---" + heads[1]]))
+    rate = lambda of: F.concat(three(f"{of}_accuracy"), F.lit(" ("), _c(f"{of}_correct").cast("string"), F.lit("/"), _c(f"{of}_total").cast("string"), F.lit(")"))
+    name = F.coalesce("language", F.lit("Overall"))
+    said = F.concat(F.lit("- "), name, F.lit(": claim_type "), rate("claim_type"), F.lit(", tier "), rate("tier"))
+    parts.append(_table(accuracies.select(F.coalesce("language", F.lit("")).alias("o"), said.alias("line")), 6, ["", "## Classification Accuracy", ""]))
+    parts.append(_table(violations.select(_c("case_id").alias("o"), F.concat(case, "violations").alias("line")), 7, ["", "## Masking Violations", ""]))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def write_lines(lines: DataFrame, path: str, order: list[str] = ["section", "pos"]) -> None:  # noqa: B006
     """Text files whose names' order is the lines' order; rows are cut into ranges, never into one task."""
     lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)

@@ -48,7 +48,7 @@ def bundle_summary(claims: DataFrame, issue: str) -> DataFrame:
     ledger with `at`; excluded texts appear as placeholders only."""
     spark = claims.sparkSession
     shared = analytics.flag_shared(claims)
-    rows = safe_claims(bundle.with_caution(detect(shared).withColumn("section", bundle.section())))
+    rows = safe_claims(detect(bundle.with_caution(shared)).withColumn("section", bundle.section()))
     stand = F.concat(F.lit(" (source: "), _c("source_name"), F.lit("; type: "), _c("claim_type"), F.lit("; risk: "), _c("risk_tier"), F.lit(")"))
     tags = F.when(F.size("risk_flags") > 0, F.array_join("risk_flags", ", ")).otherwise("none")
     gone = F.concat(

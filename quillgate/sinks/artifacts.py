@@ -133,18 +133,19 @@ class ArtifactSource(DataSource):
         return ArtifactWriter(dict(self.options), schema)
 
 
-def write_artifact(df: DataFrame, path: str, order: Sequence[str | Column] = (), kind: str = "jsonl", head: dict | None = None, field: str = "") -> str:
+def write_artifact(
+    df: DataFrame, path: str, order: Sequence[str | Column] = (), kind: str = "jsonl", head: dict | None = None, field: str = "", columns: Sequence[str] | None = None
+) -> str:
     """df as one file at `path`, in a folder that driver and executors share; an earlier one is replaced at once, when the
     new one is whole.
 
-    Rows lie in the order of `order` and then of their own values, so that neither ties nor the number of tasks show.
-    `order` may name what is not to be written only as expressions of columns that are.  No rows give an empty file, an
-    empty list, or for an object an error.
+    Rows lie in the order of `order` and then of their own values, so that neither ties nor the number of tasks show.  Of
+    the columns those named are written, or all.  No rows give an empty file, an empty list, or for an object an error.
     """
     spark: SparkSession = df.sparkSession
     prepare(spark)
     spark.dataSource.register(ArtifactSource)
     by = [*order, F.to_json(F.struct(*[df[c] for c in sorted(df.columns)]))]
-    rows = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by).select(*(columns or df.columns))
     rows.write.format(ArtifactSource.name()).mode("append").options(path=path, kind=kind, head=json.dumps(head or {}), field=field).save()
     return path

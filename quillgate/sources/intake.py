@@ -135,12 +135,13 @@ def url_problem(url: Column) -> Column:
     )
 
 
-def path_problem(path: Column) -> Column:
-    """The first rule of the path policy that a manifest's path breaks, or null."""
+def path_problem(path: Column, allow_absolute: bool = False) -> Column:
+    """The first rule of the path policy that a manifest's path breaks, or null.  Absolute paths must be allowed expressly;
+    links, missing files and paths that leave their folder by a link are found where the files are read."""
     return (
         F.when(path.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), "looks like a url")
         .when(path.rlike(r"^([A-Za-z]:[\\/]|\\\\)"), "windows absolute path")
-        .when(path.startswith("/"), "absolute path")
+        .when(path.startswith("/") & F.lit(not allow_absolute), "absolute path")
         .when(path.rlike(r"(^|[\\/])\.\.([\\/]|$)"), "parent directory")
         .when(~F.lower(path).rlike(r"\.(txt|md)$"), "suffix not allowed")
     )

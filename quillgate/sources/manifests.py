@@ -62,13 +62,13 @@ def normalise_sources(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"source_name": name, "source_type": coerce_source_type(F.coalesce("source_type", F.lit("")), ALIASES)})
 
 
-def problems(rows: DataFrame, required: list[str], unique: list[str], path: str | None = None, url: str | None = None, cap: int | None = None) -> DataFrame:
+def problems(rows: DataFrame, required: list[str], unique: list[str], path: str | None = None, url: str | None = None, cap: int | None = None, allow_absolute: bool = False) -> DataFrame:
     """issue_id, at, problem: what is wrong with each row; second and later rows of a unique field, ignoring case."""
     rules: list[Column] = [F.when(F.coalesce(F.trim(k), F.lit("")) == "", F.lit(f"{k} is missing")) for k in required]
     if "mode" in rows.columns:
         rules.append(F.when(~F.coalesce(_c("mode").isin(MODES), F.lit(False)), "mode is unknown"))
     if path:
-        rules.append(F.concat(F.lit(f"{path}: "), path_problem(_c(path))))
+        rules.append(F.concat(F.lit(f"{path}: "), path_problem(_c(path), allow_absolute)))
     if url:
         rules.append(F.concat(F.lit(f"{url}: "), url_problem(_c(url))))
     if cap:
@@ -89,6 +89,13 @@ def select_candidates(candidates: DataFrame, selections: DataFrame) -> tuple[Dat
     return met, selections.join(candidates, on, "left_anti")
 
 
+def read_overrides(spark: SparkSession, path: str) -> DataFrame:
+    """key, source_type of an override file: an object of names and types, or one that holds it under source_types."""
+    whole = spark.read.text(path, wholetext=True)
+    inner = F.coalesce(F.from_json(F.get_json_object("value", "$.source_types"), "map<string,string>"), F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}))
+    return whole.select(F.explode(inner).alias("key", "source_type"))
+
+
 def override_types(files: DataFrame, overrides: DataFrame) -> DataFrame:
     """files (name, source_type) with overrides (key, source_type): by file name, else by stem, ignoring case."""
     wanted = overrides.groupBy(F.lower("key").alias("key")).agg(F.max("source_type").alias("forced"))
