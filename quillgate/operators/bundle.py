@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillgate.functions.strings import slug
 
-from .analytics import CASUALTY_METRIC, casualty_divergence, claim_key, numeric_divergence
+from .analytics import CASUALTY_METRIC, casualty_divergence, claim_key, hash16, numeric_divergence
 from .classify import risky_unresolved, rumor_or_social
 from .joins import join_groups
 from .lineage import cut
@@ -73,9 +73,22 @@ def numeric_review_items(conflicts: DataFrame) -> DataFrame:
     )
 
 
+REVIEW_KEYS = ["source_name", "risk_tier", "reason", "verification_question"]
+
+
+def review_references(reviews: DataFrame) -> DataFrame:
+    """The keys of each group of items that ask the same of the same source, with group_id, and its claims, one row each,
+    numbered in order.  Null fields are empty; a claim without an id is none."""
+    keys = [F.coalesce(k, F.lit("")).alias(k) for k in REVIEW_KEYS]
+    each = reviews.filter(F.coalesce("claim_id", F.lit("")) != "").groupBy(*keys, "claim_id").agg(F.min("at").alias("at"))
+    each = each.withColumn("group_id", hash16(F.concat_ws("\u0001", *REVIEW_KEYS)))
+    return number_within(cut(each), ["group_id"], "at", "nth").drop("at")
+
+
 def grouped_reviews(reviews: DataFrame) -> DataFrame:
-    """Items that ask the same of the same source, with the ids of their claims in order.  Null fields are empty."""
-    keys = ["source_name", "risk_tier", "reason", "verification_question"]
+    """Items that ask the same of the same source, with the ids of their claims in order, as one line of a report holds
+    them; tables take `review_references`.  Null fields are empty."""
+    keys = REVIEW_KEYS
     first = reviews.groupBy(*[F.coalesce(k, F.lit("")).alias(k) for k in keys], "claim_id").agg(F.min("at").alias("at"))
     ids = F.array_sort(F.collect_list(F.when(F.coalesce("claim_id", F.lit("")) != "", F.struct("at", "claim_id"))))
     groups = first.groupBy(*keys).agg(ids.alias("ids"), F.min("at").alias("at"), F.count("*").alias("n"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .analytics import packet_ids
+from .analytics import hash16, packet_ids
 from .classify import EXCLUDED_QUESTION, verification_category
+from .lineage import cut
+from .numbering import number_within
 
 _c = F.col
 
@@ -123,9 +125,17 @@ def work_items(claims: DataFrame, order: str) -> DataFrame:
 ITEM_KEYS = ["question", "reason", "source_family_hint", "expected_evidence_type"]
 
 
+def item_references(items: DataFrame) -> DataFrame:
+    """tier, group_id, nth, claim_ref: the claims of each group of items, one row each, numbered in order.  A group of very
+    many claims is as many rows, never a list."""
+    fields = [F.lower(F.trim(F.coalesce(k, F.lit("")))) for k in ITEM_KEYS]
+    each = items.groupBy("tier", hash16(F.concat_ws("\u0001", "tier", *fields)).alias("group_id"), "claim_ref").agg(F.min("at").alias("at"))
+    return number_within(cut(each), ["group_id"], "at", "nth").select("tier", "group_id", "nth", "claim_ref")
+
+
 def grouped_items(items: DataFrame) -> DataFrame:
     """Items of a tier that agree in the four fields, ignoring case and outer space, as one: the first one's fields, the
-    number of claims and the references in order."""
+    number of claims and the references in order, as one line of a report holds them; tables take `item_references`."""
     keys = [F.lower(F.trim(F.coalesce(k, F.lit("")))).alias(f"__{k}") for k in ITEM_KEYS]
     each = items.groupBy("tier", *keys, "claim_ref").agg(F.min("at").alias("at"), F.min_by(F.struct(*ITEM_KEYS), "at").alias("first"))
     out = each.groupBy("tier", *[f"__{k}" for k in ITEM_KEYS]).agg(

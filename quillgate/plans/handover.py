@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from quillgate import catalogue
 from quillgate.functions import json_schema, strings
-from quillgate.operators import analytics, bundle, claims, classify, helpers, reviews
+from quillgate.operators import analytics, bundle, claims, classify, helpers, reviews, verification, viewer
 from quillgate.operators.lineage import cut
 from quillgate.session import shared_folder
 
-from .queries import _SEED, _claims_sql, _decision_sql, _detected, _flag_sql, _q, seed, spread, table
+from .oracle import _CASE_QUESTION, _CASE_REASON, _ITEMS
+from .queries import _SEED, _claims_sql, _decision_sql, _detected, _flag_sql, _named_claims, _q, _work_items, seed, spread, table
 from .split_sql import split
 
 _c = F.col
@@ -171,10 +172,48 @@ def free_capture_names(spark, sf):
     return files.select("doc_id", "file_name").union(again.select("doc_id", F.lit(None).cast("string").alias("file_name")))
 
 
+# work lists -------------------------------------------------------------------------------------------------------------
+
+
+def work_item_references(spark, sf):
+    """The claims of each group of work items, one row each."""
+    return verification.item_references(_work_items(spark, sf)).select("tier", "group_id", "nth", "claim_ref")
+
+
+def review_references(spark, sf):
+    """The claims of each group of review items, one row each, with what the group asks."""
+    rows = _named_claims(spark, sf).filter("needs_human_review")
+    todo = rows.select("source_name", "risk_tier", classify.review_reason().alias("reason"), classify.review_question().alias("verification_question"), _c("doc_id").cast("string").alias("claim_id"), _c("doc_id").alias("at"))
+    return bundle.review_references(todo).select("source_name", "risk_tier", "reason", "verification_question", "nth", "claim_id")
+
+
+def _acquired(spark, sf) -> DataFrame:
+    """Pages as acquired sources: some not fetched, some with warnings."""
+    warned = F.when(_mod("page_id", 5) == 0, F.array(F.col("url"))).when(_mod("page_id", 5) == 1, F.array().cast("array<string>"))
+    return table(spark, sf, "pages").select("page_id", F.when(_mod("page_id", 4) != 0, "fetched").when(_mod("page_id", 8) == 4, "http_error").alias("status"), warned.alias("warnings"))
+
+
+def candidate_cards(spark, sf):
+    """Pages as cards of a viewer: which an imported selection checks, as what, and which chips show them."""
+    rows = _acquired(spark, sf).withColumn("candidate_id", _c("page_id").cast("string"))
+    again = F.explode(F.sequence(F.lit(1), F.when(_mod("page_id", 6) == 0, 2).otherwise(1)))
+    chosen = rows.filter("page_id % 3 = 0").select("page_id", again.alias("k"), "candidate_id").select(
+        "candidate_id", (_c("page_id") * 2 - _c("k")).alias("at"), F.format_string("source %d of %s", "k", "candidate_id").alias("source_name"), F.lit("news").alias("source_type"),
+        F.when(_c("k") == 1, "finance").otherwise("general").alias("mode"),
+    )
+    shown = F.array_join(F.array_compact(F.array(*[F.when(viewer.chip(n), F.lit(n)) for n in ("all", "fetched", "warning", "non-fetched")])), ",")
+    return viewer.restored(rows, chosen).select("page_id", "checked", "source_name", "source_type", "mode", shown.alias("chips"))
+
+
+def acquired_triage(spark, sf):
+    return bundle.triage_counts(_acquired(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         classified_claims, catalogued_claims, source_modes, ledger_integrity, schema_violations, json_leaves, imported_reviews, helper_index, manifest_paths, free_capture_names,
+        work_item_references, review_references, candidate_cards, acquired_triage,
     )
 }
 
@@ -227,6 +266,15 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT *, met = '/data/in' OR met LIKE '/data/in/%' AS inside FROM f)
         SELECT page_id, CASE WHEN met = '/data/in' THEN '.' WHEN inside THEN substr(met, 10) ELSE path END AS file_path, NOT inside AS warned,
           CASE WHEN met = '/data/in' THEN '.' WHEN inside THEN substr(met, 10) ELSE '<redacted-external-path>/' || CASE WHEN alone = '' THEN 'path' ELSE regexp_extract(alone, '([^/]*)$', 1) END END AS shown FROM s""",
+    "work_item_references": f"""{_ITEMS}, e AS (SELECT tier, substr(sha256(concat_ws(chr(1), tier, lower(trim(question)), lower(trim(reason)), lower(trim(source_family_hint)), lower(trim(expected_evidence_type)))), 1, 16) AS group_id,
+          ref, min(doc_id) AS k FROM items GROUP BY 1, 2, 3)
+        SELECT tier, group_id, row_number() OVER (PARTITION BY group_id ORDER BY k) AS nth, ref AS claim_ref FROM e""",
+    "review_references": f"""{_claims_sql()}, r AS (SELECT source_name, risk_tier, {_CASE_REASON} AS reason, {_CASE_QUESTION} AS verification_question, doc_id FROM claims WHERE needs_human_review)
+        SELECT source_name, risk_tier, reason, verification_question, row_number() OVER (PARTITION BY source_name, risk_tier, reason, verification_question ORDER BY doc_id) AS nth, doc_id::VARCHAR AS claim_id FROM r""",
+    "candidate_cards": """SELECT page_id, page_id % 3 = 0 AS checked, CASE WHEN page_id % 6 = 0 THEN 'source 2 of ' || page_id WHEN page_id % 3 = 0 THEN 'source 1 of ' || page_id END AS source_name,
+        CASE WHEN page_id % 3 = 0 THEN 'news' END AS source_type, CASE WHEN page_id % 6 = 0 THEN 'general' WHEN page_id % 3 = 0 THEN 'finance' END AS mode,
+        'all' || CASE WHEN page_id % 4 <> 0 THEN ',fetched' ELSE '' END || CASE WHEN page_id % 5 = 0 THEN ',warning' ELSE '' END || CASE WHEN page_id % 4 = 0 THEN ',non-fetched' ELSE '' END AS chips FROM pages""",
+    "acquired_triage": """SELECT count(*) AS attempted, count_if(page_id % 4 <> 0)::BIGINT AS fetched, count_if(page_id % 5 = 0)::BIGINT AS with_warnings, count_if(page_id % 4 = 0)::BIGINT AS not_fetched FROM pages""",
     "free_capture_names": f"""WITH RECURSIVE d AS (SELECT doc_id, 'i' || doc_id % 8 AS issue, {_NUMBER} AS k, repeat('#', (1 + doc_id // 40)::INT) AS sep FROM documents WHERE doc_id IS NOT NULL),
         l AS (SELECT issue, list('src_' || k || '_' || (2 + doc_id % 3)) AS used FROM d WHERE doc_id % 17 = 5 GROUP BY issue),
         n AS (SELECT doc_id, issue, 'src' || sep || k || CASE doc_id % 4 WHEN 2 THEN sep || '2' WHEN 3 THEN sep || '4' ELSE '' END AS name, 'src_' || k || CASE doc_id % 4 WHEN 2 THEN '_2' WHEN 3 THEN '_4' ELSE '' END AS slug FROM d),

@@ -65,7 +65,8 @@ class Issue:
     def manifest(self) -> None:
         """The manifest's sources and the index of runs, as JSON."""
         sources, runs = self.catalogue.table("manifests", self.issue), self.catalogue.table("runs", self.issue)
-        head = {"issue_id": self.issue, "source_count": sources.count()}
+        held = bundle.counts(self.claims, sources).first()
+        head = {"issue_id": self.issue, "source_count": held.source_count, "claim_count": held.claim_count, "review_count": held.review_count}
         self._done("bundle_manifest", write_artifact(sources.drop("issue", "issue_id"), f"{self.out}/bundle_manifest.json", ["at"], "json", head, "sources"))
         self._done("bundle_run_index", write_artifact(runs.drop("issue"), f"{self.out}/bundle_run_index.json", ["sequence"], "json", {"issue_id": self.issue}, "runs"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillgate.functions.detectors import detect
 from quillgate.functions.strings import no_headings
 from quillgate.operators import analytics, bundle, classify, verification
+from quillgate.operators.lineage import cut
 from quillgate.operators.masking import EXCLUDED, escape_inline, mask, safe_claims
 
 from .reports import _headed, _text
@@ -26,11 +27,11 @@ COMPARED = [("new", "New Claims"), ("repeated", "Repeated Claims"), ("disappeare
 TIERS = [("must_verify", "Must verify"), ("nice_to_verify", "Nice to verify"), ("unsafe_to_conclude", "Unsafe to conclude")]
 
 
-def _notes(claims: DataFrame) -> DataFrame:
+def _notes(claims: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Divergent causes, divergent figures, texts that several sources carry; in this order."""
     causes = claims.filter("claim_type = 'unverified_causality'").agg(F.count("*").alias("n"), F.count_distinct(F.substring("safe_text", 1, 120)).alias("variants"))
     causes = causes.filter("n > 1 and variants > 1").select(F.lit(0).alias("at"), F.format_string("- Causal explanations diverge across sources (%d variants).", "variants").alias("line"))
-    figures = bundle.numeric_conflicts(claims).select(
+    figures = conflicts.select(
         F.lit(1).alias("at"),
         F.format_string("- Numeric divergence requires review: %d reported values for %s (%s) across sources (%s).", "variants", "metric", "shown", "sources").alias("line"),
     )
@@ -49,6 +50,7 @@ def bundle_summary(claims: DataFrame, issue: str) -> DataFrame:
     spark = claims.sparkSession
     shared = analytics.flag_shared(claims)
     rows = safe_claims(detect(bundle.with_caution(shared)).withColumn("section", bundle.section()))
+    rows, figures = cut(rows), cut(bundle.numeric_conflicts(claims))  # masked once; sections and notes read them
     stand = F.concat(F.lit(" (source: "), _c("source_name"), F.lit("; type: "), _c("claim_type"), F.lit("; risk: "), _c("risk_tier"), F.lit(")"))
     tags = F.when(F.size("risk_flags") > 0, F.array_join("risk_flags", ", ")).otherwise("none")
     gone = F.concat(
@@ -56,9 +58,9 @@ def bundle_summary(claims: DataFrame, issue: str) -> DataFrame:
     )
     caution = F.when(_c("beside_excluded") & (_c("section") != "rumor_social"), bundle.CAUTION).otherwise("")
     line = F.when(_c("claim_type") == "excluded", gone).otherwise(F.concat(F.lit("- "), "safe_text", stand, caution))
-    items = rows.select(_c("section").alias("name"), "at", line.alias("line")).unionByName(_notes(rows))
+    items = rows.select(_c("section").alias("name"), "at", line.alias("line")).unionByName(_notes(rows, figures))
     todo = claims.filter("needs_human_review").select("source_name", "risk_tier", "claim_id", "at", classify.review_reason().alias("reason"), classify.review_question().alias("verification_question"))
-    asked = bundle.grouped_reviews(todo).select(*bundle_columns()).unionByName(bundle.numeric_review_items(bundle.numeric_conflicts(claims)).withColumn("at", F.lit((1 << 62))).select(*bundle_columns()))
+    asked = bundle.grouped_reviews(todo).select(*bundle_columns()).unionByName(bundle.numeric_review_items(figures).withColumn("at", F.lit((1 << 62))).select(*bundle_columns()))
     ask = F.concat(F.lit("- "), "claim_ids", F.lit(" ("), "source_name", F.lit("): "), "verification_question", F.lit(" (reason: "), "reason", F.lit(")"))
     first = 1 + len(SECTIONS)
     tiers = [(t, f"Follow-Up Verification Questions: {t.capitalize()} Priority") for t in bundle.SEVERITY]
@@ -78,7 +80,7 @@ def comparison(before: DataFrame, after: DataFrame) -> DataFrame:
     """Lines of a comparison: the claims of each status, masked, in order of key."""
     spark = before.sparkSession
     rows = bundle.compared_maps(bundle.claim_map(before, "at"), bundle.claim_map(after, "at"))
-    rows = safe_claims(rows.withColumns({"mode": F.lit("finance"), "claim_id": _c("key"), "source_name": F.array_join("sources", ", ")}))
+    rows = cut(safe_claims(rows.withColumns({"mode": F.lit("finance"), "claim_id": _c("key"), "source_name": F.array_join("sources", ", ")})))
     line = F.concat(F.lit("- "), "safe_text", F.lit(" (type: "), "claim_type", F.lit("; risk: "), "risk_tier", F.lit("; sources: "), "source_name", F.lit(")"))
     items = rows.select(_c("status").alias("name"), F.conv(F.substring("key", 1, 15), 16, 10).cast("long").alias("at"), line.alias("line"))
     return _text(spark, 0, ["# Issue Bundle Comparison", ""]).unionByName(_headed(spark, items, COMPARED, 1))
@@ -87,7 +89,7 @@ def comparison(before: DataFrame, after: DataFrame) -> DataFrame:
 def verification_lines(claims: DataFrame, issue: str) -> DataFrame:
     """Lines of a verification packet: the work items, grouped, by tier, and how many there are."""
     spark = claims.sparkSession
-    items = verification.work_items(bundle.with_caution(claims), "at")
+    items = cut(verification.work_items(bundle.with_caution(claims), "at"))
     grouped = verification.grouped_items(items)
     reason = F.when(_c("reason") != "", F.concat(F.lit(" (reason: "), "reason", F.lit(")"))).otherwise("")
     line = F.concat(F.lit("- "), F.array_join("claim_refs", ", "), F.lit(": "), "question", reason)

@@ -167,7 +167,7 @@ def write_package(spark: SparkSession, out: str) -> str:
 def import_reviews(spark: SparkSession, path: str, out: str, reviewer: str = "helper", model: str = "unknown") -> str:
     """Foreign reviews, one row a file, as JSON lines: texts are kept and made safe, JSON of any shape becomes an object."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,md,json}").load(path)
-    texts = raw.select("path", F.make_valid_utf8(_c("content").cast("string")).alias("text"))
+    texts = raw.select("path", strings.decoded(_c("content")).alias("text"))
     rows = cut(helpers.imported(texts))
     _refuse(rows.filter("problem is not null").select("path", "problem"), "import")
     fixed = {"reviewer_name": F.lit(reviewer), "model_name": F.lit(model), "advisory_only": F.lit(True), "cannot_upgrade_claims": F.lit(True), "deterministic_core_is_final_authority": F.lit(True)}
