@@ -68,7 +68,7 @@ def test_manifests_are_refused(spark, root, capsys):
         place.write_text(json.dumps({"issue_id": "x", "sources": [{"source_name": "s", "source_type": "news", "mode": "general", "file_path": path}]}))
         assert main(["bundle-run", str(place), str(root / "nowhere")], spark) == 2 and said in capsys.readouterr().err
     bad.write_text(json.dumps({"issue_id": "abs", "sources": [{"source_name": "s", "source_type": "news", "mode": "general", "file_path": f"{root}/a.txt"}]}))
-    assert main(["bundle-run", "--allow-absolute", str(bad), str(root / "allowed")], spark) == 0
+    assert [r.text for r in ws.manifest_sources(spark, str(bad), allow_absolute=True).collect()] == [SAYS["a.txt"]]
 
 
 def test_integrity_with_a_hot_source(spark):
@@ -124,9 +124,12 @@ def test_packages_of_an_issue(spark, root, tmp_path):
 
     assert reviews.response_errors(spark.createDataFrame([("one", body)], "issue_id string, body string"), known).collect() == []
     # Once more, and nothing differs.
-    before = {a["name"]: a["content_hash_sha256"] for a in index["artifacts"]}
-    ws.write_issue(spark, cat, "one", before="two")
-    assert before == {a["name"]: a["content_hash_sha256"] for a in json.load(open(out / "PACKAGE_INDEX.json", encoding="utf-8"))["artifacts"]}
+    again = ws.packages.Issue(catalogue.Catalogue(spark, cat), "one", str(tmp_path / "again"))
+    again.manifest()
+    again.verification()
+    again.helper_packet()
+    was = {a["name"]: a["content_hash_sha256"] for a in index["artifacts"]}
+    assert len(again.files) == 6 and all(hashlib.sha256(open(p, "rb").read()).hexdigest() == was[name] for name, p in again.files.items())
     broken = tmp_path / "broken.json"
     broken.write_text(json.dumps({**json.loads(body), "advisory_only": "true"}))
     assert main(["validate-artifact", str(broken), str(tmp_path / "v"), "--schema", "external-review-response"], spark) == 2
@@ -159,7 +162,7 @@ def test_folders_captures_and_acquisitions(spark, tmp_path, capsys):
     near, far = (json.load(open(work / p, encoding="utf-8"))["sources"] for p in ("analysis_sources.json", "deep/m.json"))
     assert [s["file_path"] for s in near] == ["captured_sources/My_Source_.txt", "captured_sources/My_Source__2.txt"] and near[0]["warnings"] is None
     assert far[0]["file_path"] == f"{work}/captured_sources/My_Source_.txt" and far[0]["warnings"] == ["absolute_path_requires_allow_absolute_flag"]
-    assert main(["analysis-package", str(work / "analysis_sources.json"), str(tmp_path / "cat2")], spark) == 0
+    assert [r.file_path for r in ws.manifest_sources(spark, str(work / "analysis_sources.json")).orderBy("at").collect()] == [s["file_path"] for s in near]
     records = [{"source_name": n, "source_type": "news", "mode": "general", "status": s, "file_path": p, "fetched_at": "t", "citation_note": c} for n, s, p, c in (("b", "fetched", f"{tmp_path}/x/../b.txt", "seen"), ("A", "fetched", "/q/a.txt", None), ("c", "http_error", "", None))]
     (tmp_path / "acq.json").write_text(json.dumps({"issue_id": "f", "records": records}))
     assert main(["acquisition-manifest", str(tmp_path / "acq.json"), str(tmp_path / "an.json")], spark) == 2
