@@ -68,6 +68,13 @@ _GATES = [
 _PAIRS = [("d_loaded", "toxic"), ("d_action", "toxic"), ("d_causal", "quality"), ("d_market", "quality")]
 
 
+# What labelled cases call the detectors
+_LABELLED = [
+    ("causality", "d_causal"), ("market_terms", "d_market"), ("manipulation_framing", "d_manipulation"), ("action_language", "d_action"), ("target_price", "d_target"),
+    ("position_sizing", "d_sizing"), ("trade_probability", "d_probability"), ("private_or_unobservable", "d_private"),
+]
+
+
 def _lead(forms: list[str], number: str) -> str:
     """Claims of whole texts, each text led by a sentence with a number."""
     lead = f"replace((list_value({_in(forms)}))[doc_id % {len(forms)} + 1], '{{}}', ({number})::VARCHAR)"
@@ -182,7 +189,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT -1 - i AS page_id, problem FROM h UNION ALL SELECT page_id, CASE WHEN coalesce(trim(url), '') = '' THEN 'missing url' WHEN NOT regexp_matches(url, '^https?:') THEN 'scheme not allowed'
           WHEN host = '' THEN 'missing host' WHEN contains(host, '@') THEN 'credentials in url' WHEN regexp_matches(host, ':\\d+$') AND NOT regexp_matches(host, ':(80|443)$') THEN 'port not allowed'
           WHEN regexp_matches(host, '(^|\\.)localhost$') THEN 'localhost' END FROM u""",
-    "filename_hints": """WITH n AS (SELECT doc_id, regexp_split_to_array(regexp_replace(lower(substr(regexp_replace(coalesce(text, ''), '[./\\\\\\s]+', '-', 'g'), 1, 60) || ' ' ||
+    "filename_hints": """WITH n AS (SELECT doc_id, regexp_split_to_array(regexp_replace(lower(regexp_replace(coalesce(text, ''), '[./\\\\\\s]+', '-', 'g') || ' ' ||
           (list_value('official_notice', 'reddit-thread', 'board_post', 'press wire', 'research note', 'plain'))[doc_id % 6 + 1]), '[^a-z0-9]+', ' ', 'g'), ' ') AS w FROM documents),
         k AS (SELECT doc_id, CASE WHEN list_has_any(w, ['official', 'exchange', 'regulator', 'agency', 'ministry', 'gov', 'government']) THEN 'official'
           WHEN list_has_any(w, ['social', 'tweet', 'xpost', 'x_post', 'reddit']) THEN 'social' WHEN list_has_any(w, ['community', 'forum', 'board', 'thread']) THEN 'community'
@@ -195,8 +202,7 @@ ORACLE_SQL: dict[str, str] = {
           UNION ALL SELECT conv_id, 'blocked confirmation or action language', copies FROM t WHERE found AND said
           UNION ALL SELECT conv_id, 'upgrades a high or critical claim', copies FROM t WHERE found AND said AND high)
         SELECT rule, sum(k)::BIGINT AS n, count(DISTINCT conv_id) AS responses FROM r GROUP BY 1""",
-    "gold_metrics": f"""{_C}, p AS (SELECT source_name AS language, 'causality' AS detector, doc_id % 2 = 0 AS expected, d_causal AS predicted FROM claims
-          UNION ALL SELECT source_name, 'action_language', doc_id % 3 = 0, d_action FROM claims),
+    "gold_metrics": f"""{_C}, p AS ({" UNION ALL ".join(f"SELECT source_name AS language, '{name}' AS detector, doc_id % {k} = 0 AS expected, {d} AS predicted FROM claims" for k, (name, d) in enumerate(_LABELLED, 2))}),
         c AS (SELECT detector, language, count_if(expected AND predicted)::BIGINT AS tp, count_if(NOT expected AND predicted)::BIGINT AS fp, count_if(expected AND NOT predicted)::BIGINT AS fn,
           count_if(NOT expected AND NOT predicted)::BIGINT AS tn FROM p GROUP BY GROUPING SETS ((detector), (detector, language))),
         r AS (SELECT *, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall FROM c)
@@ -279,7 +285,7 @@ ORACLE_SQL |= {
         n AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY doc_id) AS nth, regexp_replace(name, '[^a-zA-Z0-9_-]+', '_', 'g') AS slug FROM c),
         f AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY doc_id) AS k FROM n WHERE nth = 1)
         SELECT doc_id, slug || CASE WHEN k > 1 THEN '_' || k ELSE '' END || '.txt' AS file_name FROM f UNION ALL SELECT doc_id, NULL FROM n WHERE nth > 1""",
-    "page_types": """SELECT page_id, sha256(html) AS sha256, strlen(html)::BIGINT AS bytes, CASE WHEN strlen(html) > 4096 THEN 'content too large' END AS problem,
+    "page_types": """SELECT page_id, sha256(html) AS sha256, strlen(html)::BIGINT AS bytes, CASE WHEN page_id % 6 IN (1, 4, 5) THEN 'content type not allowed' WHEN strlen(html) > 4096 THEN 'content too large' END AS problem,
         CASE WHEN regexp_replace(trim(coalesce(url, '')), '[^a-zA-Z0-9_-]+', '_', 'g') = '' THEN 'issue' ELSE regexp_replace(trim(coalesce(url, '')), '[^a-zA-Z0-9_-]+', '_', 'g') END AS slug FROM pages""",
     "source_suggestions": """WITH c AS (SELECT page_id, regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1) AS title, coalesce(url, '') AS url,
           ['', 'Press release', 'a reddit thread', 'Analyst memo', 'Community blog', 'memo on crypto', 'Investor day', 'stock forum'][1 + (page_id % 8)::INT] AS note FROM pages),
@@ -297,3 +303,22 @@ ORACLE_SQL |= {
           len(regexp_extract_all(t, '(?i)analysis run\\s*#?\\s*\\d+')) AS runs, len(regexp_extract_all(t, '(?i)low[- ]risk')) AS low, len(regexp_extract_all(t, '(?i)(medium|med)[- ]risk')) AS medium,
           len(regexp_extract_all(t, '(?i)high[- ]risk')) AS high, len(regexp_extract_all(t, '(?i)claim')) AS claims FROM f""",
 }
+
+
+def _numeric_items() -> str:
+    """Figures that sources give differently, people counted by event and others by their words, as questions."""
+    figures, people = ORACLE_SQL["numeric_divergence"], ORACLE_SQL["casualty_divergence"]
+    head = figures[: figures.index("SELECT array_to_string(tokens")].rstrip()
+    shown = r"""CASE WHEN ko <> '' THEN ko WHEN pct <> '' THEN regexp_extract(claim_text, '\d+(?:\.\d+)?\s*(?:%|percent|퍼센트|프로)') ELSE regexp_extract(claim_text, '\d[\d,]*(?:\.\d+)?') END"""
+    head = head.replace("m AS (SELECT source_name,", f"m AS (SELECT source_name, trim(regexp_replace({shown}, '\\s+', ' ', 'g')) AS shown,", 1)
+    events = people[people.index("r AS (SELECT source_name, replace(") : people.index("SELECT event, array_to_string")].rstrip()
+    joined = lambda c, sep: f"array_to_string(list_sort(list_distinct(list({c}))), '{sep}')"
+    several = lambda c: f"HAVING count(DISTINCT {c}) > 1 AND count(DISTINCT source_name) > 1"
+    return f"""{head}, {events}, q AS (
+      SELECT 'reported_people_count' AS metric, {joined("value", ",")} AS shown, {joined("source_name", ", ")} AS sources FROM e GROUP BY event {several("value")}
+      UNION ALL SELECT 'reported_numeric_value', {joined("shown", ", ")}, {joined("source_name", ", ")} FROM m WHERE len(tokens) >= 2 AND magnitude IS NOT NULL GROUP BY tokens {several("magnitude")})
+    SELECT 'source_divergence' AS source_name, 'medium' AS risk_tier, 'numeric divergence' AS reason,
+      sha256('Which primary or official record explains the ' || metric || ' divergence across values (' || shown || ') and sources (' || sources || ')?') AS question, 'numeric:' || metric AS claim_ids FROM q"""
+
+
+ORACLE_SQL["numeric_items"] = _numeric_items()

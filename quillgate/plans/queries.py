@@ -353,9 +353,9 @@ def url_policy(spark, sf):
 
 
 def filename_hints(spark, sf):
-    """File names made of the texts' own first words, after a hint that follows from the id."""
+    """File names made of the texts' own words, before a hint that follows from the id."""
     hints = F.get(F.array(*map(F.lit, ["official_notice", "reddit-thread", "board_post", "press wire", "research note", "plain"])), F.pmod("doc_id", F.lit(6)).cast("int"))
-    name = F.concat(F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), r"[./\\\\\s]+", "-"), 1, 60), F.lit(" "), hints, F.lit(".txt"))
+    name = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"[./\\\\\s]+", "-"), F.lit(" "), hints, F.lit(".txt"))
     kind, ignored = intake.filename_type(name)
     return table(spark, sf, "documents").select("doc_id", kind.alias("source_type"), ignored.alias("trusted_hint_ignored"))
 
@@ -398,8 +398,8 @@ def response_rules(spark, sf):
 
 
 def gold_metrics(spark, sf):
-    """Composed claims as labelled cases; the labels follow from the id."""
-    labels = F.create_map(F.lit("causality"), F.pmod("doc_id", F.lit(2)) == 0, F.lit("action_language"), F.pmod("doc_id", F.lit(3)) == 0)
+    """Composed claims as labelled cases, of every detector that is labelled; the labels follow from the id."""
+    labels = F.create_map(*[x for k, name in enumerate(goldset.LABELLED, 2) for x in (F.lit(name), F.pmod("doc_id", F.lit(k)) == 0)])
     cases = seed(spark, sf).select(
         F.col("doc_id").cast("string").alias("case_id"), F.col("claim_text").alias("text"), F.col("source_name").alias("language"), "mode", "source_type", F.lit("enforced").alias("status"),
         labels.alias("detector_labels"), F.lit(None).cast("array<string>").alias("expected_claim_types"), F.array(F.lit("low"), F.lit("medium")).alias("expected_tiers"),
@@ -458,10 +458,11 @@ def capture_names(spark, sf):
 
 
 def page_types(spark, sf):
-    """Digests and sizes of pages, and whether fetched content of that size is refused."""
+    """Digests and sizes of pages, and whether fetched content of that size, and of a type that follows from the id, is refused."""
     content = F.col("html").cast("binary")
+    kind = F.get(F.array(*map(F.lit, ["text/html; charset=utf-8", "application/pdf", " TEXT/Markdown", "application/xml", "image/svg+xml", ""])), F.pmod("page_id", F.lit(6)).cast("int"))
     facts = strings.digest(content)
-    return table(spark, sf, "pages").select("page_id", facts["sha256"].alias("sha256"), facts["bytes"].cast("long").alias("bytes"), bundle.content_problem(F.lit("text/html; charset=utf-8"), F.octet_length(content), 4096).alias("problem"), strings.slug(F.col("url")).alias("slug"))
+    return table(spark, sf, "pages").select("page_id", facts["sha256"].alias("sha256"), facts["bytes"].cast("long").alias("bytes"), bundle.content_problem(kind, F.octet_length(content), 4096).alias("problem"), strings.slug(F.col("url")).alias("slug"))
 
 
 def source_suggestions(spark, sf):
