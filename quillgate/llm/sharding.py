@@ -64,7 +64,8 @@ def shard(df: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "
     """One row for each row of df: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
     Size is the text's bytes and 16 more.  Null texts form one group, empty ones another; the CRC of a null
-    text is 0, as of an empty one.  Repeated rows each have a slot.  An empty table gives no rows.
+    text is 0, as of an empty one.  Repeated rows each have a slot, and however many there are they are dealt out over
+    all parts in which a shard's slots are counted; slots follow the rows as they are read.  An empty table gives no rows.
     """
     prepare(df.sparkSession)
     spark, t = df.sparkSession, df[text].cast("string")
@@ -74,6 +75,7 @@ def shard(df: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "
             (F.coalesce(F.octet_length(t), F.lit(0)).cast("long") + 16).alias("size"),
             F.coalesce(F.crc32(t.cast("binary")), F.lit(0).cast("long")).alias("text_crc32"),
             F.coalesce(F.unhex(F.sha2(t, 256)), F.lit("null").cast("binary")).alias("key"),
+            F.monotonically_increasing_id().alias("row"),  # tells repeated rows apart; it is written with them
         )
     )
     groups = cut(rows.groupBy("key").agg(F.sum("size").alias("total"), F.count("*").alias("rows")).withColumn("class", size_class("total")))
@@ -97,12 +99,12 @@ def shard(df: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "
     dealt = dealt.withColumn("rank", rank).select("key", "rows", F.size(F.filter("until", lambda u: u <= F.col("rank"))).alias("shard"))
     parts = max(8, -(-n_rows // (shards * RANK_TOGETHER)))
     placed = cut(
-        join_skewed(rows, cut(dealt), "key", "rows").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int").alias("part"))
+        join_skewed(rows, cut(dealt), "key", "rows").select("doc_id", "size", "text_crc32", "shard", "row", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part"))
     )
     starts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    slot = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32")) - 1
+    slot = F.row_number().over(Window.partitionBy("shard", "part").orderBy("row")) - 1
     numbered = look_up(placed.withColumn("at", slot), starts, ["shard", "part"], shards * parts)
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
