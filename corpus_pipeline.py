@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgate.llm import langid, mixing, quality, simhash, tokens
-from quillgate.llm.runtime import prepare
+from quillgate.llm.runtime import prepare, remove, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,18 +60,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over sf_dir's documents, through the shared checkpoint folder.  Each stage's table is removed once
-    the next one is written; the last one's stays, as the result reads it."""
+    the next one is written, and what a stage stored for itself once its own is; the last one's stays, as the result reads it."""
     prepare(spark)
     top = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
         docs = spark.read.parquet(f"{top}/{k}")
         if k:
-            _remove(spark, f"{top}/{k - 1}")
+            remove(spark, f"{top}/{k - 1}")
     return docs
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
