@@ -110,13 +110,28 @@ class Issue:
             "schema_version": reviews.PACKET_VERSION, "packet_id": f"llm_packet_{self.issue}", "issue_id": self.issue,
             "purpose": "Ask an LLM or reviewer to critique source/evidence boundaries without upgrading claims.", "boundaries": BOUNDARIES, "reviewer_instructions": TOLD, "required_output_schema": ANSWER,
         }
+        rows = cut(rows)
+        top = ["# LLM Review Packet", "", f"- Schema: {reviews.PACKET_VERSION}", f"- Issue ID: {self.issue}", "- Advisory only: true", "- Deterministic core is final authority: true"]
+        top += ["- No financial advice or investing/trading recommendations.", "", "## Reviewer Instructions", *[f"- {x}" for x in TOLD], "", "## Sanitized Review Claim Index"]
+        line = F.concat(F.lit("- "), "packet_id", F.lit(": "), "claim_text_masked", F.lit(" (source: "), "source_name", F.lit("; risk: "), "risk_tier", F.lit("; bucket: "), "review_bucket", F.lit(")"))
+        each = F.array(line, F.concat(F.lit("  - Verification question: "), "verification_question"), F.concat(F.lit("  - Must not conclude: "), "must_not_conclude"))
+        said = rows.select(F.lit(1).alias("section"), "at", F.posexplode(each).alias("k", "line")).select("section", (_c("at") * 4 + _c("k")).alias("pos"), "line")
+        lines = reports._text(self.spark, 0, top).unionByName(said).unionByName(reports._text(self.spark, 2, ["", "## Required Output", "", "Return JSON matching `required_output_schema`."]))
+        self._done("review_packet_report", write_lines(lines, f"{self.out}/llm_review/llm_review_packet.md"))
         return self._done("review_packet", write_artifact(rows, f"{self.out}/llm_review/llm_review_packet.json", ["at"], "json", head, "review_claim_index", shown))
 
     def mock_review(self) -> str:
         """A review that concludes nothing, in the form that reviewers must give."""
         safe = {**CHECKED, "missing_evidence_produces_uncertainty": True, "usable_by_operator": True}
         head = {"schema_version": reviews.RESPONSE_VERSION, "issue_id": self.issue, "advisory_only": True, "deterministic_core_is_final_authority": True, "safety_checks": safe}
-        return self._done("mock_review", write_artifact(reviews.mock_findings(self.packets), f"{self.out}/llm_review/mock_llm_review.json", ["packet_id"], "json", head, "findings"))
+        found = reviews.mock_findings(self.packets)
+        top = ["# Mock LLM Review", "", f"- Schema: {reviews.RESPONSE_VERSION}", f"- Issue ID: {self.issue}", "- Advisory only: true", "- Deterministic core is final authority: true", "- Safety checks: passed", "", "## Findings"]
+        named = [("Evidence boundary", "evidence_boundary"), ("Uncertainty reason", "uncertainty_reason"), ("Operator next step", "operator_next_step"), ("Must not conclude", "must_not_conclude")]
+        each = F.array(F.concat(F.lit("### "), "packet_id"), F.lit(""), *[F.concat(F.lit(f"- {label}: "), c) for label, c in named], F.lit(""))
+        lines = found.select(_c("packet_id").alias("k"), F.posexplode(each).alias("pos", "line")).select(F.lit(1).alias("section"), "k", _c("pos").cast("long").alias("pos"), "line")
+        lines = reports._text(self.spark, 0, top).withColumn("k", F.lit("")).unionByName(lines)
+        self._done("mock_review_report", write_artifact(lines, f"{self.out}/llm_review/mock_llm_review.md", ["section", "k", "pos"], "text", columns=["line"]))
+        return self._done("mock_review", write_artifact(found, f"{self.out}/llm_review/mock_llm_review.json", ["packet_id"], "json", head, "findings"))
 
     def comparison(self, before: str) -> str:
         """The comparison with another issue of the catalogue."""
