@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 from quillgate.session import prepare
 
 from . import lexicon as lx
-from .rules import Hits, Not, all_of, any_of, bounded, pattern, patterns, phrases, settle, substrings
+from .rules import Hits, Not, all_of, any_of, bounded, once, pattern, patterns, phrases, settle, substrings
 
 market = any_of(
     phrases(lx.MARKET),
@@ -134,6 +134,16 @@ def without_disclaimers(text: Column, hits: Column) -> Column:
     return F.when(HITS.may_match(hits, DISCLAIMER), F.regexp_replace(text, "(?iuUd)" + DISCLAIMER, " ")).otherwise(text)
 
 
+@once
+def _detected() -> dict[str, Column]:
+    """Every detector over the columns that `detect` lays down."""
+    cols = {"text": F.col("__text"), "lower": F.col("__lower"), "hits": F.col("__hits"), "rules": HITS}
+    advice = {
+        "text": F.col("__advice"), "lower": F.coalesce("__advice_lower", "__lower"), "hits": F.coalesce("__advice_hits", "__hits"), "rules": HITS,
+    }
+    return {k: r.column(advice if k == "d_action" else cols) for k, r in DETECTORS.items()}
+
+
 def detect(df: DataFrame, text: str = "claim_text") -> DataFrame:
     """df with a boolean column for each detector.  Null texts match nothing."""
     base = settle(df, {"__text": F.coalesce(normalise(F.col(text)), F.lit(""))})
@@ -141,9 +151,5 @@ def detect(df: DataFrame, text: str = "claim_text") -> DataFrame:
     base = settle(base, {"__advice": without_disclaimers(F.col("__text"), F.col("__hits"))})
     base = base.withColumn("__advice_lower", F.when(F.col("__advice") != F.col("__text"), F.lower("__advice")))
     base = base.withColumn("__advice_hits", HITS.find(F.col("__advice_lower")))
-    cols = {"text": F.col("__text"), "lower": F.col("__lower"), "hits": F.col("__hits"), "rules": HITS}
-    advice = {
-        "text": F.col("__advice"), "lower": F.coalesce("__advice_lower", "__lower"), "hits": F.coalesce("__advice_hits", "__hits"), "rules": HITS,
-    }
-    out = settle(base, {k: r.column(advice if k == "d_action" else cols) for k, r in DETECTORS.items()})
+    out = settle(base, _detected())
     return out.drop("__text", "__lower", "__advice", "__advice_lower", "__hits", "__advice_hits")

@@ -54,7 +54,11 @@ def _wrong(cond: Column, path: Column, rule: str, detail: Column | str) -> Colum
 
 
 def _name(key: str) -> str:
-    return "$['" + key.replace("'", "\\'") + "']"
+    """The path of a property; paths quote a name by one of two signs."""
+    sign = '"' if "'" in key else "'"
+    if sign in key:
+        raise ValueError(f"a property's name may not hold both quotation marks: {key}")
+    return f"$[{sign}{key}{sign}]"
 
 
 def compiled(schema: dict, at: str = "#") -> Callable[[Column, Column], Column]:

@@ -10,10 +10,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import ahocorasick
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, ShortType
@@ -118,7 +119,29 @@ class Hits:
         words = triggers(pattern)
         if not words:
             return None
-        return F.arrays_overlap(hits, F.array(*[F.lit(self.place[w]).cast("smallint") for w in _least(words)]))
+        places = ", ".join(f"{self.place[w]}S" for w in _least(words))
+        return F.arrays_overlap(hits, F.expr(f"array({places})"))  # one call to the JVM, not two a word
+
+
+def once(build):
+    """A function of plain arguments that builds columns, called once for each Spark context and arguments.
+
+    A column is many calls to the JVM; hundreds of patterns are tens of thousands, some seconds for each query anew.
+    Columns name their inputs and so serve every table that has these.
+    """
+    held: dict = {}
+
+    @wraps(build)
+    def columns(*args):
+        context = SparkContext._active_spark_context
+        if held.get("context") is not context:
+            held.clear()
+            held["context"] = context
+        if args not in held:
+            held[args] = build(*args)
+        return held[args]
+
+    return columns
 
 
 @lru_cache(4)

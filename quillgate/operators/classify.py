@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgate.functions import lexicon as lx
 from quillgate.functions.detectors import DETECTORS, detect
-from quillgate.functions.rules import settle
+from quillgate.functions.rules import once, settle
 
 _c = F.col
 
@@ -20,6 +20,7 @@ def coerce_source_type(raw: Column, aliases: dict[str, str] | None = None) -> Co
     return F.when(key.isin(lx.SOURCE_TYPES), key).otherwise("unknown")
 
 
+@once
 def flags(source_type: str = "source_type", mode: str = "mode", published_at: str = "published_at") -> Column:
     """Ordered distinct risk flags from the detector columns."""
     st, finance = _c(source_type), _c(mode) == "finance"
@@ -53,6 +54,7 @@ def flags(source_type: str = "source_type", mode: str = "mode", published_at: st
 
 
 #: The decision table: guard, claim type, verification status, output level, confidence.  The first match wins.
+@once
 def decisions() -> list[tuple[Column, str, str, str, float]]:
     st, finance = _c("source_type"), _c("mode") == "finance"
     has = lambda *f: F.arrays_overlap(_c("risk_flags"), F.array(*map(F.lit, f)))
@@ -115,6 +117,7 @@ NOTES = [
 ]
 
 
+@once
 def _decided() -> Column:
     """The number of the first row of the table that holds."""
     out = None
@@ -123,10 +126,12 @@ def _decided() -> Column:
     return out
 
 
+@once
 def _of_row(column: int) -> Column:
     return F.get(F.array(*[F.lit(r[column]) for r in decisions()]), _c("__row"))
 
 
+@once
 def risk_tier() -> Column:
     has = lambda f: F.arrays_overlap(_c("risk_flags"), F.array(*map(F.lit, f)))
     return (
@@ -137,6 +142,7 @@ def risk_tier() -> Column:
     )
 
 
+@once
 def needs_review() -> Column:
     crowd = _c("source_type").isin("community", "social")
     return (
@@ -201,6 +207,7 @@ def review_bucket(tier: Column) -> Column:
     )
 
 
+@once
 def verification_category() -> Column:
     return (
         F.when(_c("claim_type") == "excluded", "excluded_finance")
@@ -247,9 +254,11 @@ def _by_flag(first: Column, pairs: list[tuple[str, str]], last: str) -> Column:
     return first.otherwise(last)
 
 
+@once
 def review_reason() -> Column:
     return _by_flag(F.when(_c("claim_type") == "excluded", DISALLOWED), REASONS, "human review required")
 
 
+@once
 def review_question() -> Column:
     return _by_flag(F.when(_c("claim_type") == "excluded", EXCLUDED_QUESTION), QUESTIONS, LAST_QUESTION)

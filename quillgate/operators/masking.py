@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillgate.functions import detectors as dt
 from quillgate.functions import lexicon as lx
 from quillgate.functions.detectors import normalise
-from quillgate.functions.rules import Hits, settle
+from quillgate.functions.rules import Hits, once, settle
 
 # What stands in for masked language
 ACTION, PRICE, RISK, PROFIT = "[blocked-investment-action]", "[blocked-price-level]", "[blocked-risk-order]", "[blocked-profit-order]"
@@ -69,6 +69,18 @@ def _chain(text: Column, masks: list[tuple[str, str]]) -> Column:
     return reduce(one, masks, text)
 
 
+@once
+def _masks(kind: str) -> Column:
+    """A chain of masks over __masked, gated by __hits."""
+    return _chain(F.col("__masked"), {"general": GENERAL, "finance": FINANCE, "late": FINANCE_LATE, "context": CONTEXT}[kind])
+
+
+@once
+def _in_context() -> Column:
+    """Is the text about finance at all?"""
+    return dt.finance_context.column({"text": F.col("__plain"), "lower": F.col("__low"), "hits": F.col("__hits"), "rules": HITS})
+
+
 def mask(df: DataFrame, text: str, mode: str, out: str) -> DataFrame:
     """df with `out`: text masked for its mode (finance where null).  Advice disclaimers survive; tokens that masks
     leave are not masked again.  Null stays null."""
@@ -84,15 +96,14 @@ def mask(df: DataFrame, text: str, mode: str, out: str) -> DataFrame:
         "__kept": F.when(some, F.regexp_extract_all("__plain", F.lit(held), 0)).otherwise(none),
         "__masked": F.when(some, F.regexp_replace("__plain", held, gap)).otherwise(F.col("__plain")),
     })
-    df = settle(df, {"__masked": _chain(F.col("__masked"), GENERAL)})
+    df = settle(df, {"__masked": _masks("general")})
     # The ticker is held to capitals.
     ticker = HITS.may_match(F.col("__hits"), lx.PRICE_TICKER)
     df = settle(df, {"__masked": F.when(ticker, F.regexp_replace("__masked", "(?Ud)" + lx.PRICE_TICKER, PRICE)).otherwise(F.col("__masked"))})
     # Projections between the long chains keep each generated method small.
-    df = settle(df, {"__masked": F.when(finance, _chain(F.col("__masked"), FINANCE)).otherwise(F.col("__masked"))})
-    df = settle(df, {"__masked": F.when(finance, _chain(F.col("__masked"), FINANCE_LATE)).otherwise(F.col("__masked"))})
-    context = dt.finance_context.column({"text": F.col("__plain"), "lower": F.col("__low"), "hits": F.col("__hits"), "rules": HITS})
-    df = settle(df, {"__masked": F.when(finance & context, _chain(F.col("__masked"), CONTEXT)).otherwise(F.col("__masked"))})
+    df = settle(df, {"__masked": F.when(finance, _masks("finance")).otherwise(F.col("__masked"))})
+    df = settle(df, {"__masked": F.when(finance, _masks("late")).otherwise(F.col("__masked"))})
+    df = settle(df, {"__masked": F.when(finance & _in_context(), _masks("context")).otherwise(F.col("__masked"))})
     pieces = F.split("__masked", gap)
     whole = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.when(i < F.size(pieces) - 1, F.coalesce(F.get("__kept", i), F.lit(""))).otherwise(""))), "")
     return df.withColumn(out, F.when(F.col("__plain").isNotNull(), whole)).drop("__plain", "__kept", "__masked", "__low", "__hits")

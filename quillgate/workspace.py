@@ -219,7 +219,7 @@ def bundle_run(spark: SparkSession, sources: DataFrame, root: str, captured_at:
 
     Nothing is stored if the ledgers break a rule: ValueError names the first of them.
     """
-    held = cut(sources)
+    held = cut(sources.withColumns({c: F.lit(None).cast("string") for c in manifests.OPTIONAL if c not in sources.columns}))
     found = cut(classify_sources(held).select(*LEDGER))
     records = catalogue.source_ledger(held, captured_at or now())
     _refuse(catalogue.broken(found, records).orderBy("entity", "id", "rule"), "gates")
