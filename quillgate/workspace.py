@@ -312,7 +312,7 @@ def capture(spark: SparkSession, workspace: str, texts: DataFrame, captured_at:
     new = kept.withColumns(fixed)
     last = log.agg(F.coalesce(F.max("at"), F.lit(0)).alias("n")).first().n
     names = [f.split()[0] for f in manifests.CAPTURE.split(", ")]
-    rows = log.select("at", *names).unionByName(new.withColumn("at", _c("at") + last).select("at", *names, ), allowMissingColumns=True)
+    rows = log.select("at", *names).unionByName(new.withColumn("at", _c("at") + last).select("at", *[c for c in names if c in new.columns]), allowMissingColumns=True)
     write_artifact(cut(rows), log_path, ["at"], "json", columns=names)
     return kept.select("source_name", "file_path")
 
