@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .analytics import packet_ids
 from .classify import review_bucket, review_question, review_reason, verification_category
+from .lineage import cut
 from .masking import mask, safe_claims
 
 _c = F.col
@@ -133,7 +134,7 @@ def response_errors(responses: DataFrame, packets: DataFrame, key: str = "issue_
     unseen = known.join(responses.select(key).distinct(), key, "left_semi").join(seen, [key, "packet_id"], "left_anti")
     unseen = unseen.select(key, F.when(_c("risk_tier").isin("high", "critical"), "missing high or critical packet_id").otherwise("missing packet_id").alias("rule"), _c("packet_id").alias("detail"))
 
-    texts = leaves(good, key, "body").filter((F.trim("text") != "") & ~negated(_c("path"), _c("text")))
+    texts = cut(leaves(good, key, "body").filter((F.trim("text") != "") & ~negated(_c("path"), _c("text"))))  # taken apart once
     scanned = mask(texts.withColumn("mode", F.lit("finance")), "text", "mode", "safe")
     advice = scanned.filter("safe <> text").select(key, F.lit("blocked finance or advice language").alias("rule"), _c("path").alias("detail"))
     stated = texts.filter(concludes(_c("text"))).withColumn("pos", F.regexp_extract("path", r"^\$\.findings\[(\d+)\]", 1).try_cast("int"))

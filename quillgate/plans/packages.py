@@ -81,7 +81,13 @@ class Issue:
         """The verification packet as JSON and text."""
         counts = verification.question_counts(verification.work_items(bundle.with_caution(self.claims), "at")).collect()  # a row for each tier
         grouping = {f"{r.tier}_{kind}_count": n for r in sorted(counts, key=lambda r: r.tier) for kind, n in (("raw", r.raw), ("grouped", r.grouped))}
-        head = {"issue_id": self.issue, "packet_count": self.packets.count(), "question_grouping": grouping, "policy": POLICY}
+        figures = cut(bundle.numeric_conflicts(self.claims))
+        asked = bundle.numeric_review_items(figures).select(
+            _c("claim_ids").alias("question_id"), "risk_tier", _c("verification_question").alias("question"), F.lit("Multiple sources report different numeric values for the same metric.").alias("reason"),
+            F.lit("official_or_primary_numeric_record").alias("source_family_hint"), F.lit("timestamped_record").alias("expected_evidence_type"),
+        )
+        self._done("numeric_questions", write_artifact(asked, f"{self.out}/verification/numeric_questions.json", ["question_id", "question"], "json", {"issue_id": self.issue}, "numeric_divergence_questions"))
+        head = {"issue_id": self.issue, "packet_count": self.packets.count(), "numeric_divergence_question_count": figures.count(), "question_grouping": grouping, "policy": POLICY}
         self._done("verification_packet", write_artifact(self.packets, f"{self.out}/verification/verification_packet.json", ["at"], "json", head, "packets", [c for c in self.packets.columns if c != "at"]))
         return self._done("verification_report", write_lines(summary.verification_lines(self.claims, self.issue), f"{self.out}/verification/verification_packet.md"))
 

@@ -106,6 +106,8 @@ def test_packages_of_an_issue(spark, root, tmp_path):
     by = {p["claim_type"]: p for p in packet["packets"]}
     assert by["excluded"]["must_verify"] == [] and by["excluded"]["unsafe_to_conclude"][0]["risk_if_answered"] == "finance_advice_or_prediction" and "Buy" not in by["excluded"]["claim_text_masked"]
     assert by["unverified_causality"]["must_verify"][0]["claim_ref"].startswith("alpha/clm_")
+    asked = json.load(open(out / "verification/numeric_questions.json", encoding="utf-8"))["numeric_divergence_questions"]
+    assert packet["numeric_divergence_question_count"] == 1 == len(asked) and "values (12,15) and sources (alpha, zeta)" in asked[0]["question"]
     counts = packet["question_grouping"]
     assert counts["must_verify_raw_count"] == sum(len(p["must_verify"]) for p in packet["packets"]) and counts["unsafe_to_conclude_raw_count"] == sum(len(p["unsafe_to_conclude"]) for p in packet["packets"])
     helper = json.load(open(out / "helper_review/helper_review_packet.json", encoding="utf-8"))
@@ -129,7 +131,7 @@ def test_packages_of_an_issue(spark, root, tmp_path):
     again.verification()
     again.helper_packet()
     was = {a["name"]: a["content_hash_sha256"] for a in index["artifacts"]}
-    assert len(again.files) == 6 and all(hashlib.sha256(open(p, "rb").read()).hexdigest() == was[name] for name, p in again.files.items())
+    assert len(again.files) == 7 and all(hashlib.sha256(open(p, "rb").read()).hexdigest() == was[name] for name, p in again.files.items())
     broken = tmp_path / "broken.json"
     broken.write_text(json.dumps({**json.loads(body), "advisory_only": "true"}))
     assert main(["validate-artifact", str(broken), str(tmp_path / "v"), "--schema", "external-review-response"], spark) == 2
