@@ -161,8 +161,10 @@ def manifest_paths(spark, sf):
 
 
 def free_capture_names(spark, sf):
-    """Documents as captures of eight issues, whose names fall together as slugs, after a log: the names of their files."""
-    sep = F.expr("repeat('#', cast(1 + doc_id div 40 as int))")
+    """Documents as captures of eight issues, whose names fall together as slugs, after a log: the names of their files.
+    Signs that a slug folds into one tell the names apart; they spell a number in binary, so that names stay short."""
+    part = F.expr("1 + doc_id div 40")
+    sep = F.when(part > 0, F.translate(F.bin(part), "01", "~#")).otherwise("")
     own = F.concat(F.lit("src"), sep, F.coalesce(_number(), F.lit(0)).cast("string"))
     last = F.when(_mod("doc_id", 4) == 2, F.concat(sep, F.lit("2"))).when(_mod("doc_id", 4) == 3, F.concat(sep, F.lit("4"))).otherwise("")
     issue = F.concat(F.lit("i"), _mod("doc_id", 8).cast("string")).alias("issue_id")

@@ -2,9 +2,11 @@
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from quillgate.operators import bundle, names
+from quillgate.plans import handover
 
 
 def scan(captures, taken):
@@ -45,3 +47,16 @@ def test_captures_after_a_log(spark):
     assert {r["at"]: r.file_name for r in files.collect()} == {2: "a.txt", 4: "a_.txt", 5: "new.txt", 6: "Old_Name_2.txt"}
     assert sorted(r["at"] for r in again.collect()) == [1, 3]
     assert files.columns == [*rows.columns, "file_name"] and again.filter(F.col("at") == 9).count() == 0
+
+
+def test_names_of_the_query_stay_short(spark, sf, tmp_path, monkeypatch):
+    """The query's own names must not grow with the ids; files are named as the SQL says, whatever the ids' size."""
+    shifted = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 120").withColumn("doc_id", F.col("doc_id") + 400_000)
+    shifted.write.parquet(f"{tmp_path}/documents.parquet")
+    held, files = [], bundle.capture_files
+    monkeypatch.setattr(bundle, "capture_files", lambda rows, *more: held.append(rows) or files(rows, *more))
+    got = {tuple(r) for r in handover.free_capture_names(spark, str(tmp_path)).select("doc_id", "file_name").collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(con.execute(handover.ORACLE_SQL["free_capture_names"]).fetchall())
+    assert held[0].agg(F.max(F.length("source_name"))).first()[0] < 64
