@@ -1,8 +1,11 @@
 """Numbering, response validation and labelled cases, by cases and against brute force."""
 
 import json
+import os
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from quillgate.operators import goldset, numbering, reviews
 
 
@@ -54,6 +57,19 @@ def test_ids(spark):
     assert _errors(spark, _body([_finding("p9")]), packets=()) == {}
 
 
+def test_places_of_findings_hold_in_all_passes(spark):
+    """A body whose list comes in another order each time it is worked out, as after a shuffle."""
+
+    shell = _body([_finding(f"p{i}", **({"evidence_boundary": "It was confirmed."} if i == 0 else {})) for i in range(8)])
+    dumps = json.dumps
+    body = F.udf(lambda key: dumps(shell | {"issue_id": key, "findings": sorted(shell["findings"], key=lambda _: os.urandom(8))}), "string").asNondeterministic()
+    keys = [f"i{k}" for k in range(20)]
+    responses = spark.createDataFrame([(k,) for k in keys], "issue_id string").withColumn("body", body("issue_id"))
+    packets = spark.createDataFrame([(k, f"p{i}", "low" if i else "high") for k in keys for i in range(8)], "issue_id string, packet_id string, risk_tier string")
+    got = Counter(r.rule for r in reviews.response_errors(responses, packets).collect())
+    assert got == {"blocked confirmation or action language": 20, "upgrades a high or critical claim": 20}
+
+
 def test_shape_and_safety(spark):
     bad = _body([{"packet_id": "p1"}, _finding("p2")], issue="other", advisory_only="true")
     bad["safety_checks"] = {"contains_financial_advice": True, "preserves_source_boundaries": True}
