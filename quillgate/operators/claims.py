@@ -44,7 +44,10 @@ LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 LEAST, LEAST_REPLY = 8, 10
 _HOLD = "\u0001"
 #: What every pattern of the chain needs: a word of the furniture, numbers in front, or a time at the end.
-_ANY_NOISE = r"로그인|포럼|파워링크|추천|첨부파일|목록|댓글|이전글|작성|신고|스크랩|조회|등록일|^\s*[0-9\p{Nd}]+\s+\p{Nd}|\p{Nd}:\p{Nd}\p{Nd}\s*$"
+_NOISE_WORD = r"로그인|포럼|파워링크|추천|첨부파일|목록|댓글|이전글|작성|신고|스크랩|조회|등록일"
+_NOISE_NUMBER = r"^\s*[0-9\p{Nd}]+\s+\p{Nd}|\p{Nd}:\p{Nd}\p{Nd}\s*$"
+#: Texts without a Hangul syllable hold no word of furniture, label or footer; one class is faster to look for.
+_HANGUL = "[가-힣]"
 
 
 def _sub(c: Column, p: str, to: str = " ") -> Column:
@@ -53,7 +56,7 @@ def _sub(c: Column, p: str, to: str = " ") -> Column:
 
 def squeeze(c: Column) -> Column:
     """White space to single spaces, none at the ends."""
-    return F.trim(_sub(c, r"\s+"))
+    return F.trim(_sub(c, r"\s\s+|[^\S ]"))  # single spaces stay as they are
 
 
 def strip_noise(c: Column) -> Column:
@@ -64,7 +67,7 @@ def strip_noise(c: Column) -> Column:
 
     chain = NOISE + NOISE
     cleaned = reduce(step, [chain[i : i + 6] for i in range(0, len(chain), 6)], c)
-    return squeeze(F.when(c.rlike(_ANY_NOISE), cleaned).otherwise(c))
+    return squeeze(F.when((c.rlike(_HANGUL) & c.rlike(_NOISE_WORD)) | c.rlike(_NOISE_NUMBER), cleaned).otherwise(c))
 
 
 def _words(c: Column) -> Column:
@@ -80,17 +83,18 @@ def _lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
         raw,
         {
             "blank": r == "",
-            "table": r.rlike(r"(?U)\d") & ~ends & r.rlike(" {2,}") & (_words(r) <= 6),
-            "chrome": (
+            "table": r.contains("  ") & r.rlike(r"(?U)\d") & ~ends & (_words(r) <= 6),
+            "chrome": r.rlike(_HANGUL)
+            & (
                 r.rlike(META_LABEL) & r.rlike("(?U)" + META_COUNT) & (F.length(_sub(_sub(r, META_TOKEN, ""), r"[\s:|/,.\-]", "")) <= 2)
             )
-            | (r.rlike(FOOTER) & (_sub(_sub(r, FOOTER, ""), r"[\d,.\s|/·:\-]", "") == "")),
+            | (r.rlike(_HANGUL) & r.rlike(FOOTER) & (_sub(_sub(r, FOOTER, ""), r"[\d,.\s|/·:\-]", "") == "")),
             "clean": strip_noise(r),
         },
     )
     c, label = F.col("clean"), r"(?Ud)^([^\s:]{1,20}?)(님)?\s*:\s*(.+)$"
     rest = F.trim(F.regexp_extract(c, label, 3))
-    reply = c.rlike(label) & ((F.regexp_extract(c, label, 2) != "") | F.regexp_extract(c, label, 1).rlike(r"^[A-Za-z0-9_.\-]{1,20}$"))
+    reply = c.contains(":") & c.rlike(label) & ((F.regexp_extract(c, label, 2) != "") | F.regexp_extract(c, label, 1).rlike(r"^[A-Za-z0-9_.\-]{1,20}$"))
     raw = settle(raw, {"trivial": reply & (F.length(rest) < LEAST_REPLY), "line": F.when(reply, rest).otherwise(c)})
     x = F.col("line")
     ends = x.rlike("[.!?。！？]$")
@@ -101,7 +105,7 @@ def _lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
         F.when(F.col("blank"), "flush")
         .when(F.col("table"), "emit")
         .when(F.col("chrome") | (c == ""), "flush")
-        .when(F.col("trivial") | x.rlike("(?iuUd)" + "|".join(UI_ONLY)), "drop")
+        .when(F.col("trivial") | x.rlike("(?iuUd)^(?:" + "|".join(p[1:] for p in UI_ONLY) + ")"), "drop")
         .when((x.endswith(":") & (_words(x) <= 8)) | capitals, "flush")
         .when(x.rlike(bullet), "emit")
         .otherwise("text")
@@ -119,7 +123,7 @@ def sentences(paragraph: Column) -> Column:
     parts = F.split(hold_abbreviations(strip_noise(paragraph)), r"(?U)(?<=[.!?。！？])\s+")
     one = lambda p: F.btrim(F.replace(p, F.lit(_HOLD), F.lit(".")), F.lit(" \t"))
     trim = lambda p: F.when(
-        p.rlike(r"(?U)^-[\d$€£¥₩]"), F.concat(F.lit("-"), F.btrim(F.substring(p, 2, 1 << 30), F.lit(" \t-*")))
+        p.startswith("-") & p.rlike(r"(?U)^-[\d$€£¥₩]"), F.concat(F.lit("-"), F.btrim(F.substring(p, 2, 1 << 30), F.lit(" \t-*")))
     ).otherwise(F.btrim(p, F.lit(" \t-*")))
     return F.filter(F.transform(parts, lambda p: trim(one(p))), lambda p: F.length(p) >= LEAST)
 
