@@ -1,6 +1,7 @@
 """Rules on repetition, addresses, numbering, rows with null or repeated keys, and the bundle's tables."""
 
 import random
+import re
 import shutil
 
 import pytest
@@ -152,3 +153,27 @@ def test_strings(spark):
         strings.decoded(F.col("c")).alias("c"), strings.metric(F.col("m")).alias("m"), strings.metric(F.lit(None)).alias("n"), strings.slug(F.lit(" a/b ")).alias("s"),
     ).first()
     assert row.asDict() == {"p": "x/y.txt", "q": "<redacted-external-path>/z.md", "t": "a \\[b\\] \\(c\\)", "h": "\\# h\nx # y", "c": "a\nb\ufffd", "m": "0.500", "n": "n/a", "s": "a_b"}
+
+
+def _plain_variant(text, tokens):
+    out = text.lower()
+    for p in analytics.LEAD_INS:
+        out = re.sub(p, "", out)
+    return " ".join([w for w in re.sub(r"[\W_]+", " ", out).split() if w not in analytics.LIGHT_WORDS][:tokens])
+
+
+def test_variants_of_long_texts(spark):
+    words = [f"word{i}" for i in range(400)]
+    texts = [
+        " ".join(words), "[" + "x " * 900 + "] The first post says that " + " ".join(words), "[never closed " + " ".join(words), "the " * 900 + " ".join(words), " " * 3000 + " ".join(words),
+        "Another account" + " " * 3000 + "repeated " + " ".join(words), "few " + "... " * 900 + "words", "long" * 900 + " " + " ".join(words), "A Σ. " + " ".join(words), "Σ" + "'" * 3000 + "a " + " ".join(words), "The account says so", "",
+    ]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    for tokens in (20, 24):
+        got = {r.t: r.v for r in rows.select("t", analytics.variant(F.col("t"), tokens).alias("v")).collect()}
+        assert got == {t: _plain_variant(t, tokens) for t in texts} | {None: None}
+
+
+def test_shared_texts_are_taken_apart_once(spark, sf):
+    plan = queries.shared_flags(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert r"[\W_]+" not in plan and "claim_text" not in plan  # keys are stored, and no text with them
