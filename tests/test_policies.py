@@ -174,6 +174,7 @@ def test_variants_of_long_texts(spark):
         assert got == {t: _plain_variant(t, tokens) for t in texts} | {None: None}
 
 
-def test_shared_texts_are_taken_apart_once(spark, sf):
-    plan = queries.shared_flags(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+@pytest.mark.parametrize("query", ["shared_flags", "cross_source_groups"])
+def test_shared_texts_are_taken_apart_once(spark, sf, query):
+    plan = queries.QUERIES[query](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert r"[\W_]+" not in plan and "claim_text" not in plan  # keys are stored, and no text with them
