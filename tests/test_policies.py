@@ -178,3 +178,8 @@ def test_variants_of_long_texts(spark):
 def test_shared_texts_are_taken_apart_once(spark, sf, query):
     plan = queries.QUERIES[query](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert r"[\W_]+" not in plan and "claim_text" not in plan  # keys are stored, and no text with them
+
+
+def test_repetition_reads_stored_rows(spark, sf):
+    plan = queries.repetition_ledger(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert r"[\W_]+" not in plan and "claim_text" not in plan and plan.count("Aggregate") < 4  # groups are stored, and variants with the rows
