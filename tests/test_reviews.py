@@ -7,6 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from quillgate.operators import goldset, numbering, reviews
+from quillgate.plans import handover
 
 
 def test_numbering_matches_brute_force(spark):
@@ -129,3 +130,19 @@ def test_evaluation(spark, tmp_path):
     a = {r.language: r for r in goldset.accuracies(out).collect()}
     assert (a[None].tier_total, a[None].tier_correct, a[None].tier_accuracy) == (2, 1, 0.5) and a["ko"].tier_accuracy is None
     assert {r.status: (r.total, r.passing, r.failing) for r in goldset.status_summary(out).collect()} == {"enforced": (2, 2, 0), "aspirational": (1, 0, 1)}
+
+
+def test_leaves_of_nested_documents(spark, sf):
+    deep = '{"a":' * 400 + '"end"' + "}" * 400
+    bodies = {
+        1: '"alone"', 2: '{"a":["x",{"b":"y","c":[[],["z"]],"n":1,"t":true,"o":null}],"e":{},"s":""}', 3: "broken", 4: "7", 5: deep, 6: "[" * 1001 + '"x"' + "]" * 1001, 7: '[{"a.b":"[{[{"}, "\\u00e9"]', 8: None, 9: "null",
+        10: "[" * 1000 + '"x"' + "]" * 1000, 11: '{"d":"2020-01-01","f":1.5}',
+    }
+    rows = spark.createDataFrame(list(bodies.items()), "id int, body string")
+    found = reviews.leaves(rows, "id", "body")
+    got = {(r.id, r.path, r.text) for r in found.collect()}
+    want = {(1, "$", "alone"), (2, "$.a[0]", "x"), (2, "$.a[1].b", "y"), (2, "$.a[1].c[1][0]", "z"), (2, "$.s", ""), (5, "$" + ".a" * 400, "end"), (7, "$[0].a.b", "[{[{"), (7, "$[1]", "é"), (11, "$.d", "2020-01-01")}
+    assert {g for g in got if g[0] not in (6, 10)} == want
+    assert {g for g in got if g[0] in (6, 10)} == {(10, "$" + "[0]" * 1000, "x")}
+    # A document is taken apart in its row: no level of all documents goes to another stage.
+    assert "UnionLoop" not in handover.json_leaves(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
