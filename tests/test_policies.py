@@ -7,7 +7,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from quillgate.functions import rules, strings
+from quillgate.functions import detectors, rules, strings
 from quillgate.functions.detectors import DETECTORS, HITS
 from quillgate.operators import analytics, bundle, claims, joins, numbering, verification
 from quillgate.plans import queries
@@ -183,3 +183,12 @@ def test_shared_texts_are_taken_apart_once(spark, sf, query):
 def test_repetition_reads_stored_rows(spark, sf):
     plan = queries.repetition_ledger(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert r"[\W_]+" not in plan and "claim_text" not in plan and plan.count("Aggregate") < 4  # groups are stored, and variants with the rows
+
+
+def test_look_alike_letters_are_folded_by_the_worker(spark):
+    texts = ["Вuy nоw", "plain buy", "가나 ﬁve​", "Вuy", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = detectors.read(df, F.col("t"), HITS, "out", "hits")
+    want = {r.t: r.w for r in df.select("t", detectors.normalise(F.col("t")).alias("w")).collect()}
+    assert {r.t: r.out for r in got.collect()} == want and want["Вuy nоw"] == "Buy now"
+    assert "translate(" not in got._jdf.queryExecution().optimizedPlan().toString()  # nothing is left to do after it
