@@ -43,6 +43,8 @@ LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 #: Characters of a claim at least; of a reply at least; words of a heading at most.
 LEAST, LEAST_REPLY = 8, 10
 _HOLD = "\u0001"
+#: Blank lines, which end every paragraph.  Others that count as blank only leave sections together.
+_SECTION_BREAK = r"\n(?:[ \t\r]*+\n)++"
 #: What every pattern of the chain needs: a word of the furniture, numbers in front, or a time at the end.
 _NOISE_WORD = r"로그인|포럼|파워링크|추천|첨부파일|목록|댓글|이전글|작성|신고|스크랩|조회|등록일"
 _NOISE_NUMBER = r"^\s*[0-9\p{Nd}]+\s+\p{Nd}|\p{Nd}:\p{Nd}\p{Nd}\s*$"
@@ -128,6 +130,13 @@ def sentences(paragraph: Column) -> Column:
     return F.filter(F.transform(parts, lambda p: trim(one(p))), lambda p: F.length(p) >= LEAST)
 
 
+def sections_with(df: DataFrame, pattern: str, text: str = "text") -> DataFrame:
+    """df, of each text only the sections between blank lines in which the pattern, of one character, occurs.  No claim
+    runs over a blank line, so the claims with such a character are the same before and after; their numbers are not."""
+    kept = F.filter(F.split(text, _SECTION_BREAK), lambda s: s.rlike(pattern))
+    return df.withColumn(text, F.array_join(kept, "\n\n"))
+
+
 def extract_claims(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, claim_no (from 1, in order of extraction), claim_id, claim_text; of claims that differ only in case
     the first.  A null or blank text gives none.  Each row of df is a document of its own: null or repeated keys do
